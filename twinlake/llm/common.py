@@ -6,7 +6,10 @@ All tokenisers here work on whole texts. A null text counts as empty.
 from __future__ import annotations
 
 import atexit
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +25,24 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, once a context, so that nothing need be installed there."""
+    sc = spark.sparkContext
+    if getattr(sc, "_twinlake_shipped", False):
+        return
+    top = Path(__file__).resolve().parents[1]
+    to = Path(tempfile.mkdtemp(prefix="twinlake-")) / "twinlake.zip"
+    with zipfile.ZipFile(to, "w") as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, p.relative_to(top.parent))
+    sc.addPyFile(str(to))
+    sc._twinlake_shipped = True
+
+
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of a size that Python workers can hold, unless the session chose its own."""
+    """Before an operator that uses Python: ship the package, and have Arrow batches of a size that
+    workers can hold, unless the session chose its own."""
+    ship_package(spark)
     for key, default, value in (
         ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"),
         ("spark.sql.execution.arrow.maxBytesPerBatch", None, str(16 << 20)),
@@ -37,8 +56,6 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
-        import tempfile
-
         named = "file://" + tempfile.mkdtemp(prefix="twinlake-")
         sc.setCheckpointDir(named)
     elif not sc.getCheckpointDir():

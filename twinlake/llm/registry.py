@@ -13,6 +13,12 @@ def op2_url_filter(spark, sf_dir):
     return filter_urls(table(spark, sf_dir, "pages", "page_id", "url"), **RULES)
 
 
+def op3_near_duplicates(spark, sf_dir):
+    from twinlake.llm.minmax import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), k=4, percent=80)
+
+
 def op5_media(spark, sf_dir):
     from twinlake.llm.media import media_digests
 
