@@ -46,4 +46,36 @@ select d.doc_id, coalesce(n_email, 0) n_email, coalesce(n_ip, 0) n_ip, coalesce(
   sha256(coalesce(items, '')) base_sha256 from d left join a using (doc_id)
 """.replace("\\\\", "\\")
 
-SQL = {"op2_url_filter": _OP2}
+_OP9 = r"""
+with recursive rows_ as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\r]+')) n_tokens from documents),
+totals as (select source, sum(n_tokens)::bigint total from rows_ group by source),
+whole as (select sum(total)::bigint whole, count(*) n from totals where total > 0),
+p as (select total / whole::double p from totals, whole where total > 0),
+ext as (select max(p) / min(p) spread, max(p) largest from p),
+target as (select 0.95 * ln(n) enough from whole),
+h1 as (select -sum(p * ln(p)) h from p),
+eb as (select 0 i, 0.0::double lo, 1.0::double hi
+  union all
+  select i + 1, case when h >= enough then mid else lo end, case when h >= enough then hi else mid end from (
+    select i, lo, hi, mid, enough, ln(sum(pow(p, mid))) - mid * sum(pow(p, mid) * ln(p)) / sum(pow(p, mid)) h
+    from (select i, lo, hi, (lo + hi) / 2 mid from eb where i < 40) b, p, target group by i, lo, hi, mid, enough)),
+rb as (select 0 i, 0.0::double lo, 1.0::double hi
+  union all
+  select i + 1, case when pow(spread, 1 - mid) <= 2.0 then lo else mid end, case when pow(spread, 1 - mid) <= 2.0 then mid else hi end
+  from (select i, lo, hi, (lo + hi) / 2 mid from rb where i < 40) b, ext),
+a as (select round(greatest(case when h >= enough then 1.0 else (select lo from eb where i = 40) end,
+    case when spread <= 2.0 then 0.0 else (select hi from rb where i = 40) end), 6) a from h1, target, ext),
+z as (select sum(pow(p, a)) z from p, a),
+w as (select source, total, case when total > 0 then round(pow(total / whole::double, a) / z * 1e6)::bigint else 0 end weight_ppm,
+    total * case when total > 0 then round(pow(largest / (total / whole::double), 1 - a) * 10000)::bigint else 10000 end // 10000 planned
+  from totals, whole, a, z, ext),
+c as (select doc_id, r.source, n_tokens, total, weight_ppm, planned, unnest(range(0, case when total > 0 then (planned + total - 1) // total else 1 end)) epoch
+  from rows_ r join w on r.source is not distinct from w.source),
+k as (select *, coalesce(sum(n_tokens) over (partition by source, epoch order by md5('0:' || epoch || ':' || doc_id), doc_id
+    rows between unbounded preceding and 1 preceding), 0) + epoch * total off from c),
+b as (select *, case when total > 0 then cast(off * 64 // planned as int) else 0 end block from k where total = 0 or off < planned)
+select doc_id, source, max(n_tokens)::bigint n_tokens, max(weight_ppm) weight_ppm, count(*) copies, string_agg(block::varchar, ',' order by block) blocks
+from b group by doc_id, source
+"""
+
+SQL = {"op9_mixing": _OP9, "op2_url_filter": _OP2}

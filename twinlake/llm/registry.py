@@ -38,6 +38,12 @@ def op7_pii(spark, sf_dir):
     return find_pii(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op9_mixing(spark, sf_dir):
+    from twinlake.llm.mixing import mix_sources
+
+    return mix_sources(table(spark, sf_dir, "documents", "doc_id", "source", "text"))
+
+
 def queries():
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
