@@ -38,6 +38,17 @@ def op7_pii(spark, sf_dir):
     return find_pii(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op8_toxicity(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from twinlake.llm.toxicity import fit, held_out, score_toxicity
+
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    model = fit(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
+    out = score_toxicity(docs, model)
+    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "n_words", "passages")
+
+
 def op9_mixing(spark, sf_dir):
     from twinlake.llm.mixing import mix_sources
 
