@@ -7,6 +7,16 @@ from twinlake.llm.common import table
 RULES = {"allow": ["org/", "com/fr/"], "block": ["example.org/es/", "example.org/en/1", "com/de/"]}
 
 
+def op1_language(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from twinlake.llm.crf import fit, identify
+
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    out = identify(docs, fit(docs))
+    return out.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out"), "lang_pred", "score", "mixed")
+
+
 def op2_url_filter(spark, sf_dir):
     from twinlake.llm.urlfilter import filter_urls
 
