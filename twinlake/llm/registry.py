@@ -29,6 +29,12 @@ def op3_near_duplicates(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), k=4, percent=80)
 
 
+def op4_decontamination(spark, sf_dir):
+    from twinlake.llm.decontam import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def op5_media(spark, sf_dir):
     from twinlake.llm.media import media_digests
 
