@@ -71,6 +71,12 @@ def op9_mixing(spark, sf_dir):
     return mix_sources(table(spark, sf_dir, "documents", "doc_id", "source", "text"))
 
 
+def op10_repeats(spark, sf_dir):
+    from twinlake.llm.suffix import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def queries():
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
