@@ -4,9 +4,10 @@ of a shingle set are kept, so half as many permutations are evaluated for a sign
 1. Each text becomes its set of k-word shingles (64-bit hashes) and its signature, cut into bands.
 2. Texts with equal sets form a class, stood for by its smallest id; only classes are banded.
 3. In each bucket (band value) every member is compared with the bucket's smallest member, on full sets.
-4. Linked classes are joined into components. Buckets that still hold several components then get
-   their pairs between different components compared, so no candidate is left untested; pairs
-   inside a component are already connected and are not emitted.
+4. Linked classes are joined into components. Members of buckets that still hold several components
+   are then compared across components, so no candidate is left untested: pairs inside a component
+   are connected already, and of the others only those that share enough of their rarest shingles to
+   reach the similarity are emitted (an exact filter by order and place, see ``across_labels``).
 
 With ROWS values a band, two sets of similarity s share some band with probability
 1 - (1 - s**ROWS)**BANDS: more than 0.99999 at 0.8.
@@ -129,15 +130,34 @@ def full_sets(df: DataFrame, k: int, *, id: str = "doc_id", text: str = "text")
     return rows.mapInArrow(build, f"id {dict(rows.dtypes)['id']}, shingles array<long>")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = written(full_sets(docs.join(ids, "doc_id", "left_semi"), k))
     both = pairs.join(sets.withColumnsRenamed({"id": "a", "shingles": "x"}), "a").join(sets.withColumnsRenamed({"id": "b", "shingles": "y"}), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.filter(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b").distinct()
 
 
+def across_labels(reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets under different labels that can reach the similarity; none that does is left out.
+
+    reps: id, n, label. Shingles are ordered by how many of these sets hold them, those held under one label
+    only first. If the first shingle that two sets share stands at places i and j of their orders, they share
+    at most min(n_i - i, n_j - j), which must reach the intersection that the similarity needs; so only the
+    first few, rare shingles of each set are compared. Work is in proportion to the sets' sizes and to the
+    pairs that share a rare shingle, not to the square of a bucket.
+    """
+    spread = sets.join(reps, "id").select("id", "label", "n", F.explode("shingles").alias("shingle"))
+    held = spread.groupBy("shingle").agg(F.count("*").alias("df"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("shingle", "df")
+    order = spread.join(held, "shingle").groupBy("id", "label", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("order"))
+    order = order.withColumn("own", F.expr("n - size(order)"))
+    prefix = F.expr(f"slice(order, 1, cast(greatest(0, n - ceil({percent} * n / 100) + 1 - own) as int))")
+    first = order.select("id", "label", "n", "own", F.posexplode(prefix).alias("i", "s")).selectExpr("id", "label", "n", "own + i as place", "s.shingle as shingle")
+    first = written(first)
+    enough = f"{100 + percent} * least(x.n - x.place, y.n - y.place) >= {percent} * (x.n + y.n)"
+    pairs = first.alias("x").join(first.alias("y"), F.expr(f"x.shingle = y.shingle and x.label < y.label and {enough}"))
+    return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
 def near_duplicates(df: DataFrame, *, k: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links), kept (whether it is its own)."""
     docs = df.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
@@ -151,24 +171,22 @@ def near_duplicates(df: DataFrame, *, k: int = 5, percent: int = 80, id: str = "
     spread = banded.select("rep", "n_shingles", F.explode("bands").alias("bucket"))
     hubs = spread.groupBy("bucket").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).filter("hub < last").drop("last")
     shared = written(spread.join(hubs, "bucket"))
-    similar_size = f"100 * least({{0}}, {{1}}) >= {percent} * greatest({{0}}, {{1}})"
+    sets = written(full_sets(docs.join(shared.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), k))
 
     sizes = shared.filter("rep = hub").select(F.col("rep").alias("hub"), F.col("n_shingles").alias("hub_size")).distinct()
     star = shared.filter("rep > hub").select("hub", "rep", "n_shingles").distinct().join(sizes, "hub")
-    star = written(star.filter(similar_size.format("n_shingles", "hub_size")).select(F.col("hub").alias("a"), F.col("rep").alias("b")))
-    links = written(confirmed(star, docs, k, percent))
+    star = star.filter(f"100 * least(n_shingles, hub_size) >= {percent} * greatest(n_shingles, hub_size)")
+    star = written(star.select(F.col("hub").alias("a"), F.col("rep").alias("b")))
+    links = written(confirmed(star, sets, percent))
     found = components(links)
 
     # buckets that hold more than one component: pairs between components that were not compared
     labelled = shared.select("bucket", "rep", "n_shingles").join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
     mixed = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("bucket")
-    rest = written(labelled.join(mixed, "bucket"))
-    x, y = (rest.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "n_shingles", "label"))) for s in "xy")
-    across = x.join(y, "bucket").filter(f"label_x < label_y and {similar_size.format('n_shingles_x', 'n_shingles_y')}")
-    across = across.select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    across = written(across)
+    rest = labelled.join(mixed, "bucket").select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), "label").distinct()
+    across = written(across_labels(rest, sets, percent).join(star, ["a", "b"], "left_anti"))
     if not across.isEmpty():
-        found = components(links.union(confirmed(across, docs, k, percent)))
+        found = components(links.union(confirmed(across, sets, percent)))
 
     out = keyed.select("doc_id", "n_shingles", "k1", "k2").join(classes, ["k1", "k2"], "left").join(found.withColumnRenamed("id", "rep"), "rep", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
