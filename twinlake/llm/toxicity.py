@@ -84,6 +84,21 @@ class Model:
     def probability(self, best: np.ndarray, n: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.base + self.slope * self.excess(best, n))))
 
+    def toxic_words(self, words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, token, bounds by row) of the toxic tokens, in order."""
+        hits, kinds = self.lookup(words.hashes())
+        order = np.argsort(hits)
+        return hits[order], kinds[order], np.searchsorted(hits[order], words.bounds)
+
+    def best(self, words) -> np.ndarray:
+        """The highest segment score of each row."""
+        hits, kinds, bounds = self.toxic_words(words)
+        out = np.zeros(len(words.counts))
+        for row in np.flatnonzero(np.diff(bounds)).tolist():
+            part = slice(bounds[row], bounds[row + 1])
+            out[row] = max(s for _, _, s in self.segments(hits[part] - words.bounds[row], kinds[part]))
+        return out
+
     def segments(self, at: np.ndarray, kinds: np.ndarray) -> list[tuple[int, int, float]]:
         """All maximal segments (first word, last word, score) given the toxic tokens' places."""
         return maximal_segments(at.tolist(), self.scores[kinds].tolist(), DRIFT)
@@ -180,10 +195,7 @@ def _scan(rows: DataFrame, model: Model, passages: bool) -> DataFrame:
         m = shared.value
         for batch in batches:
             for i, j, words in words_of(batch.column(1), ALPHA):
-                hits, kinds = m.lookup(words.hashes())
-                order = np.argsort(hits)
-                hits, kinds = hits[order], kinds[order]
-                bounds = np.searchsorted(hits, words.bounds)
+                hits, kinds, bounds = m.toxic_words(words)
                 best, found = np.zeros(j - i), [""] * (j - i)
                 for row in np.flatnonzero(np.diff(bounds)).tolist():
                     part = slice(bounds[row], bounds[row + 1])
@@ -204,3 +216,20 @@ def score_toxicity(df: DataFrame, model: Model, *, id: str = "doc_id", text: str
     """One row per document: doc_id, n_words, best, score (0 to 1) and passages (word places, end inclusive)."""
     bounded_batches(df.sparkSession)
     return _scan(df.select(F.col(id).alias("doc_id"), F.col(text).alias("text")), model, True)
+
+
+def drop_toxic(df: DataFrame, model: Model, *, threshold: float, text: str = "text") -> DataFrame:
+    """df without the rows whose score reaches the threshold; all columns, in place, without a shuffle."""
+    bounded_batches(df.sparkSession)
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    column = df.columns.index(text)
+
+    def keep(batches):
+        m = shared.value
+        for batch in batches:
+            clean = np.ones(batch.num_rows, bool)
+            for i, j, words in words_of(batch.column(column), ALPHA):
+                clean[i:j] = m.probability(m.best(words), words.counts) < threshold
+            yield batch.filter(pa.array(clean))
+
+    return df.mapInArrow(keep, df.schema)
