@@ -1,9 +1,469 @@
-"""The registered queries of the table-comparison engine and their SQL counterparts."""
+"""The registered queries of the table-comparison engine and their SQL counterparts.
 
+The right side of a comparison is derived from the left by fixed rules: some rows dropped, some changed,
+some copied under a new key; the same rules are written out in SQL. Money is compared as decimal(18,2).
+"""
 
-def queries():
-    return {}
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def oracle_sql():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from twinlake.diff import DiffOptions, diff, recheck
+from twinlake.functions.hashing import bucket, crc_hash, hash_slice
+from twinlake.gateway import catalog
+from twinlake.gateway.gateway import Gateway
+from twinlake.operators import checksum, filters, joins, paging, sketch, strategies
+from twinlake.plans.tableplan import build_plan, duplicate_keys
+
+BUCKETS = 16
+CELLS = sketch.cells_for(64)
+MONEY = {"o_totalprice", "l_quantity", "l_extendedprice", "l_discount", "l_tax"}
+ORDERS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+LINES = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+TIMES = {"o_orderdate", "l_shipdate"}
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return df.withColumns({c: F.col(c).cast("decimal(18,2)") for c in df.columns if c in MONEY})
+
+
+def orders_pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    left = read(spark, sf_dir, "orders")
+    changed = left.filter("o_orderkey % 997 <> 3").withColumn("o_orderstatus", F.expr("if(o_orderkey % 501 = 7, 'X', o_orderstatus)"))
+    added = left.filter("o_orderkey % 1499 = 5").withColumn("o_orderkey", F.col("o_orderkey") + 1000000)
+    return left, changed.unionByName(added)
+
+
+def lines_pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    left = read(spark, sf_dir, "lineitem")
+    kept = left.filter("l_orderkey % 499 <> 11").withColumn("l_returnflag", F.expr("if(l_orderkey % 701 = 13, 'Z', l_returnflag)"))
+    return left, kept.unionByName(left.filter("l_orderkey % 997 = 17"))
+
+
+def conversations_pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    left = read(spark, sf_dir, "conversations")
+    changed = left.filter("(conv_id * 7 + turn) % 53 <> 5").withColumn("role", F.expr("if((conv_id + turn) % 41 = 3, 'other', role)"))
+    return left, changed
+
+
+def nations_pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    left = read(spark, sf_dir, "nation")
+    return left, left.filter("n_nationkey % 7 <> 2").withColumn("n_regionkey", F.expr("if(n_nationkey % 5 = 1, n_regionkey + 1, n_regionkey)"))
+
+
+# ------------------------------------------------------------------ the same in SQL
+
+
+def _text(c: str) -> str:
+    t = f"cast(cast({c} as decimal(18,2)) as varchar)" if c in MONEY else f"strftime({c}, '%Y-%m-%d %H:%M:%S.%f')" if c in TIMES else f"cast({c} as varchar)"
+    return f"coalesce({t}, chr(31) || 'NULL' || chr(31))"
+
+
+def _hash(columns: list[str]) -> str:
+    return f"md5(concat_ws('#', {', '.join(map(_text, columns))}))"
+
+
+def _slice(h: str, i: int) -> str:
+    return f"cast('0x' || substr({h}, {8 * i + 1}, 8) as bigint)"
+
+
+_SUMS = "count(*) cnt, " + ", ".join(f"cast(sum({_slice('h', i)}::hugeint) % 18446744073709551616 as decimal(20,0)) s{i + 1}" for i in range(4))
+_ZERO_SUMS = "0 cnt, " + ", ".join(f"0::decimal(20,0) s{i}" for i in range(1, 5))
+_R_ORDERS = """select o_orderkey, o_custkey, case when o_orderkey % 501 = 7 then 'X' else o_orderstatus end o_orderstatus, o_totalprice, o_orderdate, o_orderpriority
+  from orders where o_orderkey % 997 <> 3
+  union all select o_orderkey + 1000000, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority from orders where o_orderkey % 1499 = 5"""
+_R_LINES = f"""select {', '.join("case when l_orderkey % 701 = 13 then 'Z' else l_returnflag end l_returnflag" if c == "l_returnflag" else c for c in LINES)}
+  from lineitem where l_orderkey % 499 <> 11 union all select {', '.join(LINES)} from lineitem where l_orderkey % 997 = 17"""
+_R_CONV = "select conv_id, turn, case when (conv_id + turn) % 41 = 3 then 'other' else role end role, text from conversations where (conv_id * 7 + turn) % 53 <> 5"
+_R_NATION = "select n_nationkey, n_name, case when n_nationkey % 5 = 1 then n_regionkey + 1 else n_regionkey end n_regionkey from nation where n_nationkey % 7 <> 2"
+
+
+def _sides(left: str, right: str, columns: list[str], more: str = "", where: str = "true") -> str:
+    return f"l as (select *, {_hash(columns)} h{more} from ({left}) t where {where}), r as (select *, {_hash(columns)} h{more} from ({right}) t where {where})"
+
+
+def _keyed(left: str, right: str, keys: list[str], columns: list[str], where: str = "true") -> str:
+    """key columns and status of a keyed comparison."""
+    order = [*keys, *(c for c in columns if c not in keys)]
+    on = " and ".join(f"l.{k} is not distinct from r.{k}" for k in keys)
+    key = ", ".join(f"coalesce(l.{k}, r.{k}) {k}" for k in keys)
+    status = "case when l.h is null then 'MissingLeft' when r.h is null then 'MissingRight' else 'Modified' end"
+    return f"with {_sides(left, right, order, where=where)} select {key}, {status} status from l full join r on {on} where l.h is null or r.h is null or l.h <> r.h"
+
+
+_ORDERS_DIFF = _keyed("select * from orders", _R_ORDERS, ["o_orderkey"], ORDERS)
+_BATCH = f"bl as (select {{b}} bkt, {_SUMS} from l group by 1), br as (select {{b}} bkt, {_SUMS} from r group by 1)"
+_DIFFER = """select coalesce(bl.{on}, br.{on}) {on}, coalesce(bl.cnt, 0) left_cnt, coalesce(br.cnt, 0) right_cnt from bl full join br on bl.{on} = br.{on}
+  where bl.cnt is null or br.cnt is null or bl.cnt <> br.cnt or bl.s1 <> br.s1 or bl.s2 <> br.s2 or bl.s3 <> br.s3 or bl.s4 <> br.s4"""
+_MULTI = """select coalesce(a.h, b.h) h, coalesce(a.n, 0) left_n, coalesce(b.n, 0) right_n,
+  case when coalesce(a.n, 0) > coalesce(b.n, 0) then 'MissingRight' else 'MissingLeft' end status
+  from (select h, count(*) n from l group by h) a full join (select h, count(*) n from r group by h) b on a.h = b.h where coalesce(a.n, 0) <> coalesce(b.n, 0)"""
+
+
+def _cells(side: str) -> str:
+    union = " union all ".join(f"select {g} grp, {_slice('h', g - 1)} % {CELLS} cell, o_orderkey k, h from {side}" for g in range(1, 5))
+    return f"select grp, cell, count(*) cnt, bit_xor(k) key_xor, {', '.join(f'bit_xor({_slice("h", i)}) vx{i + 1}' for i in range(4))} from ({union}) group by grp, cell"
+
+
+# ------------------------------------------------------------------ queries
+
+_REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
+
+
+def _query(sql: str | None = None):
+    def keep(f):
+        _REGISTRY[f.__name__] = (f, sql)
+        return f
+
+    return keep
+
+
+def _plans(l: DataFrame, r: DataFrame, key: list[str]):
+    return build_plan(l, key=key), build_plan(r, key=key)
+
+
+@_query(f"select {', '.join(f'{_text(c)} {c}' for c in ORDERS)} from orders")
+def normalize_projection(spark, sf_dir):
+    df = read(spark, sf_dir, "orders")
+    return df.select(*build_plan(df).normalized())
+
+
+@_query(f"select o_orderkey, {_hash(ORDERS)} h from orders")
+def row_hash(spark, sf_dir):
+    df = read(spark, sf_dir, "orders")
+    return df.select("o_orderkey", build_plan(df).content_hash().alias("h"))
+
+
+@_query(f"select o_orderkey, {', '.join(f'{_slice("h", i)} v{i + 1}' for i in range(4))}, {_slice('h', 0)} % {BUCKETS} bkt from (select *, {_hash(ORDERS)} h from orders)")
+def hash_slices(spark, sf_dir):
+    df = row_hash(spark, sf_dir)
+    h = F.col("h")
+    return df.select("o_orderkey", *(hash_slice(h, i).alias(f"v{i + 1}") for i in range(4)), bucket(h, BUCKETS).alias("bkt"))
+
+
+@_query()
+def crc_hashes(spark, sf_dir):
+    df = read(spark, sf_dir, "orders")
+    return df.select("o_orderkey", crc_hash(build_plan(df).normalized()).alias("crc"))
+
+
+@_query(f"select {_SUMS} from (select {_hash(ORDERS)} h from orders)")
+def checksum_full(spark, sf_dir):
+    df = read(spark, sf_dir, "orders")
+    return checksum.checksum(df, build_plan(df))
+
+
+@_query(f"select {_SUMS} from (select {_hash(ORDERS)} h from orders where o_orderkey >= 100 and o_orderkey < 5000)")
+def checksum_range(spark, sf_dir):
+    df = read(spark, sf_dir, "orders")
+    return checksum.checksum_range(df, build_plan(df, key=["o_orderkey"]), 100, 5000)
+
+
+@_query(f"select {_SUMS} from (select {_hash(ORDERS)} h from orders) where {_slice('h', 0)} % {BUCKETS} = 3")
+def checksum_bucket(spark, sf_dir):
+    df = read(spark, sf_dir, "orders")
+    return checksum.checksum_bucket(df, build_plan(df), BUCKETS, 3)
+
+
+@_query(f"select {_slice('h', 0)} % {BUCKETS} bkt, {_SUMS} from (select {_hash(LINES)} h from lineitem) group by 1")
+def batch_checksum_content(spark, sf_dir):
+    df = read(spark, sf_dir, "lineitem")
+    return checksum.batch_checksum(df, build_plan(df), BUCKETS)
+
+
+@_query(f"select {_slice('kh', 0)} % {BUCKETS} bkt, {_SUMS} from (select {_hash(ORDERS)} h, {_hash(['o_orderkey'])} kh from orders) group by 1")
+def batch_checksum_key(spark, sf_dir):
+    df = read(spark, sf_dir, "orders")
+    return checksum.batch_checksum(df, build_plan(df, key=["o_orderkey"]), BUCKETS, by="key")
+
+
+@_query(f"with {_sides('select * from lineitem', _R_LINES, LINES)}, {_BATCH.format(b=_slice('h', 0) + ' % 1024')} {_DIFFER.format(on='bkt')}")
+def diff_buckets(spark, sf_dir):
+    l, r = lines_pair(spark, sf_dir)
+    lp, rp = build_plan(l), build_plan(r)
+    return checksum.differing(checksum.batch_checksum(l, lp, 1024), checksum.batch_checksum(r, rp, 1024))
+
+
+@_query(f"with {_sides('select * from orders', _R_ORDERS, ORDERS, ', ' + _hash(['o_orderkey']) + ' kh')}, {_BATCH.format(b=_slice('kh', 0) + ' % 1024')} {_DIFFER.format(on='bkt')}")
+def diff_key_buckets(spark, sf_dir):
+    l, r = orders_pair(spark, sf_dir)
+    lp, rp = _plans(l, r, ["o_orderkey"])
+    return checksum.differing(checksum.batch_checksum(l, lp, 1024, by="key"), checksum.batch_checksum(r, rp, 1024, by="key"))
+
+
+@_query(f"with {_sides('select * from lineitem', _R_LINES, LINES)} {_MULTI}")
+def multiset_diff(spark, sf_dir):
+    l, r = lines_pair(spark, sf_dir)
+    return joins.multiset_differences(l, r, build_plan(l), build_plan(r))
+
+
+@_query(f"select h, count(*) n from (select {_hash(LINES)} h from lineitem) group by h")
+def multiset_counts(spark, sf_dir):
+    df = read(spark, sf_dir, "lineitem")
+    return joins.multiset(df, build_plan(df))
+
+
+@_query("select * from lineitem where l_orderkey % 499 = 11 except all select * from lineitem where l_orderkey % 998 = 11")
+def multiset_except(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return df.filter("l_orderkey % 499 = 11").exceptAll(df.filter("l_orderkey % 998 = 11"))
+
+
+@_query(_ORDERS_DIFF)
+def joindiff_rows(spark, sf_dir):
+    l, r = orders_pair(spark, sf_dir)
+    return joins.keyed_differences(l, r, *_plans(l, r, ["o_orderkey"])).select("key.o_orderkey", "status")
+
+
+@_query(f"select status, count(*) n from ({_ORDERS_DIFF}) group by status")
+def joindiff_summary(spark, sf_dir):
+    return joins.status_counts(joindiff_rows(spark, sf_dir))
+
+
+@_query(f"select d.o_orderkey, d.status, l.o_orderstatus left_status, r.o_orderstatus right_status, cast(l.o_totalprice as decimal(18,2)) left_price from ({_ORDERS_DIFF}) d left join orders l using (o_orderkey) left join ({_R_ORDERS}) r using (o_orderkey)")
+def joindiff_contents(spark, sf_dir):
+    l, r = orders_pair(spark, sf_dir)
+    lp, rp = _plans(l, r, ["o_orderkey"])
+    d = joins.with_contents(joins.keyed_differences(l, r, lp, rp), l, r, lp, rp)
+    return d.selectExpr("key.o_orderkey", "status", "left.o_orderstatus as left_status", "right.o_orderstatus as right_status", "left.o_totalprice as left_price")
+
+
+@_query(f"select o_orderkey from orders where o_orderkey not in (select o_orderkey from ({_R_ORDERS}))")
+def anti_missing_right(spark, sf_dir):
+    l, r = orders_pair(spark, sf_dir)
+    lp, rp = _plans(l, r, ["o_orderkey"])
+    return joins.only_in(l, r, lp, rp)
+
+
+@_query(f"select o_orderkey from ({_R_ORDERS}) where o_orderkey not in (select o_orderkey from orders)")
+def anti_missing_left(spark, sf_dir):
+    l, r = orders_pair(spark, sf_dir)
+    lp, rp = _plans(l, r, ["o_orderkey"])
+    return joins.only_in(r, l, rp, lp)
+
+
+def _run(pair, key, **options):
+    """Differences by a whole comparison with the given strategy."""
+
+    def go(spark, sf_dir):
+        l, r = pair(spark, sf_dir)
+        result = diff(l, r, DiffOptions(key=tuple(key), sample=0, **options), declared_key=key)
+        return result.diffs.select(*(F.col("key").getField(k).alias(k) for k in key), "status")
+
+    return go
+
+
+@_query(_keyed("select * from conversations", _R_CONV, ["conv_id", "turn"], ["conv_id", "turn", "role", "text"]))
+def keyed_composite_diff(spark, sf_dir):
+    return _run(conversations_pair, ["conv_id", "turn"], strategy="auto", fetch_all_threshold=100, bisection_threshold=64)(spark, sf_dir)
+
+
+@_query(_keyed("select * from nation", _R_NATION, ["n_name"], ["n_nationkey", "n_name", "n_regionkey"]))
+def keyed_string_diff(spark, sf_dir):
+    return _run(nations_pair, ["n_name"], strategy="auto")(spark, sf_dir)
+
+
+@_query("select n_name, 'MissingRight' status from nation")
+def empty_side_diff(spark, sf_dir):
+    return _run(lambda s, d: (read(s, d, "nation"), read(s, d, "nation").filter("n_nationkey < 0")), ["n_name"], strategy="keyeddiff")(spark, sf_dir)
+
+
+@_query(_ORDERS_DIFF)
+def keyeddiff_rows(spark, sf_dir):
+    return _run(orders_pair, ["o_orderkey"], strategy="keyeddiff", fetch_all_threshold=0, bisection_threshold=256)(spark, sf_dir)
+
+
+@_query(_ORDERS_DIFF)
+def hashdiff_rows(spark, sf_dir):
+    return _run(orders_pair, ["o_orderkey"], strategy="hashdiff", bisection_threshold=64, bisection_factor=8)(spark, sf_dir)
+
+
+@_query(_ORDERS_DIFF)
+def iblt_decode(spark, sf_dir):
+    return _run(orders_pair, ["o_orderkey"], strategy="iblt", iblt_capacity=4096)(spark, sf_dir)
+
+
+@_query(f"with {_sides('select * from lineitem', _R_LINES, LINES)} select printf('%s…(×%d/%d)', substr(h, 1, 12), left_n, right_n) content, status from ({_MULTI})")
+def bucketdiff_rows(spark, sf_dir):
+    l, r = lines_pair(spark, sf_dir)
+    return diff(l, r, DiffOptions(strategy="bucketdiff", sample=0)).diffs.select("key.content", "status")
+
+
+@_query("select min(o_orderkey) lo, max(o_orderkey) hi from orders")
+def key_domain(spark, sf_dir):
+    df = read(spark, sf_dir, "orders")
+    return checksum.key_domain(df, build_plan(df, key=["o_orderkey"]))
+
+
+@_query(
+    f"with {_sides('select * from orders', _R_ORDERS, ORDERS)}, d as (select min(o_orderkey) lo, max(o_orderkey) + 1 hi from (select o_orderkey from l union all select o_orderkey from r)),"
+    f" w as (select lo, (hi - lo + 31) // 32 width from d), bl as (select lo + (o_orderkey - lo) // width * width seg, {_SUMS} from l, w group by 1),"
+    f" br as (select lo + (o_orderkey - lo) // width * width seg, {_SUMS} from r, w group by 1) {_DIFFER.format(on='seg')}"
+)
+def hashdiff_segments(spark, sf_dir):
+    l, r = orders_pair(spark, sf_dir)
+    lp, rp = _plans(l, r, ["o_orderkey"])
+    low, high = checksum.key_domain(l, lp).unionByName(checksum.key_domain(r, rp)).agg(F.min("lo"), F.max("hi")).first()
+    width, _ = strategies.first_segments(low, high + 1, 32)
+    seg = F.expr(f"{low}L + ((k - {low}L) div {width}L) * {width}L")
+    a, b = (strategies.segment_checksums(df.select(F.col("o_orderkey").alias("k"), p.content_hash().alias("h")), seg) for df, p in ((l, lp), (r, rp)))
+    return checksum.differing(a, b, "seg")
+
+
+@_query(f"with l as (select *, {_hash(ORDERS)} h from orders) {_cells('l')}")
+def iblt_summary(spark, sf_dir):
+    df = read(spark, sf_dir, "orders")
+    return sketch.sketch(df, build_plan(df, key=["o_orderkey"]), CELLS)
+
+
+@_query(
+    f"with {_sides('select * from orders', _R_ORDERS, ORDERS)} select grp, cell, cast(sum(cnt) as bigint) cnt, bit_xor(key_xor) key_xor, {', '.join(f'bit_xor(vx{i}) vx{i}' for i in range(1, 5))}"
+    f" from (select * from ({_cells('l')}) union all select grp, cell, -cnt, key_xor, vx1, vx2, vx3, vx4 from ({_cells('r')})) group by grp, cell"
+    f" having sum(cnt) <> 0 or bit_xor(key_xor) <> 0 or {' or '.join(f'bit_xor(vx{i}) <> 0' for i in range(1, 5))}"
+)
+def iblt_subtract(spark, sf_dir):
+    l, r = orders_pair(spark, sf_dir)
+    lp, rp = _plans(l, r, ["o_orderkey"])
+    return sketch.subtract(sketch.sketch(l, lp, CELLS), sketch.sketch(r, rp, CELLS))
+
+
+@_query("select count(*) n from orders")
+def iblt_total(spark, sf_dir):
+    return sketch.total_rows(iblt_summary(spark, sf_dir))
+
+
+@_query("select conv_id, turn, role from conversations where (conv_id, turn) > (20, 1) order by conv_id, turn limit 50")
+def keyset_page(spark, sf_dir):
+    return paging.page(read(spark, sf_dir, "conversations"), ["conv_id", "turn"], last=[20, 1], size=50).select("conv_id", "turn", "role")
+
+
+@_query("select conv_id, turn from conversations where conv_id > 20 or (conv_id = 20 and turn > 1)")
+def tuple_gt(spark, sf_dir):
+    return read(spark, sf_dir, "conversations").filter(filters.after(["conv_id", "turn"], [20, 1])).select("conv_id", "turn")
+
+
+@_query("select o_orderkey, o_totalprice from (select o_orderkey, cast(o_totalprice as decimal(18,2)) o_totalprice from orders) order by o_totalprice desc, o_orderkey limit 20")
+def top_k(spark, sf_dir):
+    return read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(20)
+
+
+@_query(_keyed("select * from orders", _R_ORDERS, ["o_orderkey"], ORDERS, where="o_custkey % 2 = 0"))
+def filtered_diff(spark, sf_dir):
+    return _run(orders_pair, ["o_orderkey"], where="o_custkey % 2 = 0")(spark, sf_dir)
+
+
+@_query(_keyed("select * from orders", _R_ORDERS, ["o_orderkey"], ORDERS, where="o_orderdate >= timestamp '1996-01-01 00:00:00'"))
+def incremental_diff(spark, sf_dir):
+    return _run(orders_pair, ["o_orderkey"], update_column="o_orderdate", update_since="1996-01-01 00:00:00")(spark, sf_dir)
+
+
+@_query("select event_id from events where ts >= (timestamp '2024-01-15 00:00:00' - interval 3 day)")
+def incremental_window(spark, sf_dir):
+    from datetime import datetime
+
+    df = read(spark, sf_dir, "events")
+    return df.filter(filters.incremental("ts", "3 days", datetime(2024, 1, 15))).select("event_id")
+
+
+@_query("select event_id from events where event_id >= 100 and event_id < 900")
+def key_range(spark, sf_dir):
+    return filters.key_range(read(spark, sf_dir, "events"), "event_id", 100, 900).select("event_id")
+
+
+@_query(f"select o_orderkey from orders where {_slice(_hash(['o_orderkey']), 0)} % {BUCKETS} in (1, 5)")
+def bucket_filter(spark, sf_dir):
+    df = read(spark, sf_dir, "orders")
+    ids = spark.createDataFrame([(1,), (5,)], "bkt long")
+    return filters.in_buckets(df, build_plan(df, key=["o_orderkey"]).key_bucket(BUCKETS), ids).select("o_orderkey")
+
+
+@_query(f"select o_orderkey, status, true confirmed from ({_ORDERS_DIFF})")
+def recheck_confirmed(spark, sf_dir):
+    l, r = orders_pair(spark, sf_dir)
+    lp, rp = _plans(l, r, ["o_orderkey"])
+    return recheck(joins.keyed_differences(l, r, lp, rp), strategies.Sides(l, r, lp, rp)).select("key.o_orderkey", "status", "confirmed")
+
+
+@_query(f"select (select count(*) from orders) left_total, (select count(*) from ({_R_ORDERS})) right_total")
+def side_counts(spark, sf_dir):
+    l, r = orders_pair(spark, sf_dir)
+    both = l.select(F.lit(1).alias("l")).unionByName(r.select(F.lit(0).alias("l")))
+    return both.agg(F.count_if(F.col("l") == 1).alias("left_total"), F.count_if(F.col("l") == 0).alias("right_total"))
+
+
+@_query(f"select count(*) n, round(count(*) / greatest((select count(*) from orders), (select count(*) from ({_R_ORDERS}))), 10) diff_rate from ({_ORDERS_DIFF})")
+def diff_rate(spark, sf_dir):
+    totals = side_counts(spark, sf_dir)
+    n = joindiff_rows(spark, sf_dir).agg(F.count("*").alias("n"))
+    return n.crossJoin(totals).select("n", F.round(F.col("n") / F.greatest("left_total", "right_total"), 10).alias("diff_rate"))  # one row each
+
+
+@_query("select l_orderkey, l_linenumber, count(*) n_rows from lineitem group by all having count(*) > 1")
+def duplicate_key_check(spark, sf_dir):
+    df = read(spark, sf_dir, "lineitem")
+    return duplicate_keys(df, build_plan(df, key=["l_orderkey", "l_linenumber"]))
+
+
+@_query("select column_name, cast(row_number() over (order by i) as int) ordinal from (select unnest(['n_nationkey', 'n_name', 'n_regionkey']) column_name, unnest([1, 2, 3]) i)")
+def table_columns(spark, sf_dir):
+    return catalog.table_columns(read(spark, sf_dir, "nation"), ["n_nationkey"]).select("column_name", "ordinal")
+
+
+@_query("select c_custkey, c_name from customer where c_custkey <= 11")
+def gateway_limit(spark, sf_dir):
+    read(spark, sf_dir, "customer").createOrReplaceTempView("twinlake_customer")
+    return Gateway(spark).limited("select c_custkey, c_name from twinlake_customer where c_custkey <= 11 order by c_custkey", 50)
+
+
+@_query("select c_custkey, c_mktsegment from customer where c_mktsegment = 'BUILDING' and c_custkey < 500")
+def parameter_query(spark, sf_dir):
+    read(spark, sf_dir, "customer").createOrReplaceTempView("twinlake_customer")
+    return Gateway(spark).frame("select c_custkey, c_mktsegment from twinlake_customer where c_mktsegment = ? and c_custkey < ?", ["BUILDING", 500])
+
+
+#: Statements that users send through the gateway, as Spark runs them (views t_<table>), and the same for DuckDB.
+_PASSED = {
+    "sql_inner_group": "select c_mktsegment, count(*) n, sum(cast(o_totalprice as decimal(18,2))) total from {orders} join {customer} on o_custkey = c_custkey group by c_mktsegment",
+    "sql_left_semi_anti": "select c_custkey from {customer} where exists (select 1 from {orders} where o_custkey = c_custkey and o_orderstatus = 'F') and not exists (select 1 from {orders} where o_custkey = c_custkey and o_orderstatus = 'P')",
+    "sql_outer_join": "select n_name, count(s_suppkey) n from {nation} left join {supplier} on s_nationkey = n_nationkey group by n_name",
+    "sql_range_join": "select p_brand, count(*) n from {part} join {nation} on p_size between n_nationkey and n_nationkey + 2 group by p_brand",
+    "sql_grouping_sets": "select o_orderstatus, o_orderpriority, count(*) n from {orders} group by grouping sets ((o_orderstatus), (o_orderpriority), ())",
+    "sql_rollup": "select l_returnflag, l_linestatus, count(distinct l_orderkey) n from {lineitem} group by rollup (l_returnflag, l_linestatus)",
+    "sql_window": "select o_orderkey, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) rn, lag(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) before from {orders}",
+    "sql_frame": "select event_id, count(*) over (partition by user_id order by event_id rows between 2 preceding and current row) n from {events}",
+    "sql_set_operations": "select s_nationkey k from {supplier} intersect select c_nationkey from {customer} except select n_nationkey from {nation} where n_regionkey = 0",
+    "sql_cte_scalar": "with t as (select o_custkey, count(*) n from {orders} group by o_custkey) select o_custkey, n from t where n > (select avg(n) from t)",
+    "sql_correlated": "select o_orderkey from {orders} o where o_orderkey = (select max(o_orderkey) from {orders} i where i.o_custkey = o.o_custkey)",
+    "sql_as_of": "select e.event_id, max(p.event_id) before_id from {events} e join {events} p on p.user_id = e.user_id and p.event_id < e.event_id group by e.event_id",
+    "sql_limit_offset": "select c_custkey from {customer} order by c_custkey limit 20 offset 10",
+    "sql_functions": "select n_name, upper(n_name) u, length(n_name) n, substr(n_name, 1, 3) s, n_nationkey % 3 m, abs(n_nationkey - 10) a from {nation}",
+}
+
+
+def _passed(sql: str):
+    import re
+
+    tables = sorted(set(re.findall(r"\{(\w+)\}", sql)))
+
+    def go(spark, sf_dir):
+        for t in tables:
+            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(f"t_{t}")
+        return Gateway(spark).frame(sql.format(**{t: f"t_{t}" for t in tables}))
+
+    return go, sql.format(**{t: t for t in tables})
+
+
+for _name, _sql in _PASSED.items():
+    _REGISTRY[_name] = _passed(_sql)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: f for name, (f, _) in _REGISTRY.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for name, (_, sql) in _REGISTRY.items() if sql}
