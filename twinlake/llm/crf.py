@@ -146,7 +146,7 @@ class Crf:
         """rows x labels: the mean word marginals of each row with a word (others 0)."""
         h = words.hashes()
         out = np.zeros((len(words.counts), len(self.labels)))
-        if not len(h):
+        if not len(h) or not self.labels:
             return out
         _, which, inverse = np.unique(h, return_index=True, return_inverse=True)
         scores = emissions(self.table, *word_features(words, which))[inverse]
