@@ -103,7 +103,7 @@ def _diff(spark: SparkSession, registry: Registry, args: argparse.Namespace) ->
     left, right = (lambda n=n, t=t: registry.open(spark, n, t) for n, t in ((args.left, ltable), (args.right, rtable)))
     if args.dry_run:
         plan = dry_run(left(), right(), options, declared_key=declared)
-        text, code = render(["item", "value"], [[k, v] for k, v in plan.items()], "vertical"), 0
+        text, code = render(list(plan), [list(plan.values())], "vertical"), 0
     else:
         result = diff(left, right, options, declared_key=declared)
         text, code = render_report(result.report, args.format, summary_only=args.summary_only), result.report.exit_code

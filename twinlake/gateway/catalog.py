@@ -31,8 +31,8 @@ def list_tables(spark: SparkSession, database: str | None = None, *, count: bool
         name = f"`{t.name}`" if t.isTemporary or not t.namespace else ".".join(f"`{p}`" for p in (*t.namespace, t.name))
         df = spark.table(name)
         stats = df._jdf.queryExecution().optimizedPlan().stats()
-        known = int(stats.rowCount().get().toString()) if stats.rowCount().isDefined() else None
-        rows.append((".".join(t.namespace or []), t.name, t.tableType, "spark", df.count() if count else known, int(stats.sizeInBytes().bigInteger().longValue()), t.description))
+        known = int(stats.rowCount().get()) if stats.rowCount().isDefined() else None
+        rows.append((".".join(t.namespace or []), t.name, t.tableType, "spark", df.count() if count else known, min(int(str(stats.sizeInBytes())), 2**63 - 1), t.description))
     return _frame(spark, rows, "schema string, name string, type string, engine string, rows long, bytes long, comment string")
 
 
