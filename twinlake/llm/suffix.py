@@ -12,8 +12,8 @@ A suffix array of a whole corpus cannot be split among machines as it is, so suf
    common-prefix intervals of depth LENGTH: all occurrences of a repeated string, not only neighbours. An
    interval whose occurrences are preceded by different bytes cannot be extended to the left: it starts a
    maximal repeat.
-3. An anchor with more contexts than fit in memory is worked on in parts; each part hands on one suffix of
-   every distinct string, and equal ones of different parts are joined by an aggregation.
+3. An anchor with more contexts than one task should hold is dealt out in parts; each part hands on one
+   suffix of every distinct string, and equal ones of different parts are joined by an aggregation.
 
 Bytes are those of the UTF-8 text; matches never cross documents; overlapping occurrences count.
 
@@ -40,7 +40,7 @@ GRAM = 48
 TEXT_BYTES = 2 << 20
 CONTEXT_BYTES = 2 << 20
 #: Contexts of one anchor beyond so many bytes are worked on in parts.
-ANCHOR_BYTES = 8 << 20
+ANCHOR_BYTES = 2 << 20
 START = 255  # stands for the byte before a document's first; no byte of UTF-8
 
 
@@ -280,8 +280,8 @@ def _contexts(rows: DataFrame, length: int) -> DataFrame:
 
 
 def _scan_groups(rows: DataFrame, length: int, anchor_bytes: int) -> DataFrame:
-    """From (anchor, cid, context, copies), sorted by anchor: the ranges of repeated places of each context,
-    and, of anchors worked on in parts, one place of every distinct string."""
+    """From (anchor, cid, context, copies, part), sorted by anchor and part: the ranges of repeated places of
+    each context, and, of anchors worked on in parts (part >= 0, or too large), one place of every string."""
 
     def solve(contexts: dict[int, list], in_parts: bool, out: list) -> None:
         cids = list(contexts)
@@ -314,15 +314,15 @@ def _scan_groups(rows: DataFrame, length: int, anchor_bytes: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(rows_, kinds)], ["cid", "ranges", "string", "place"])
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in range(4)]
-            for anchor, cid, context, copies in zip(*columns):
-                if anchor != now:
+            columns = [batch.column(c).to_pylist() for c in range(5)]
+            for anchor, cid, context, copies, part in zip(*columns):
+                if (anchor, part) != now:
                     if parts:
                         solve(group, True, out)
                     else:
                         ready |= group
                         size += group_size
-                    group, group_size, now, parts = {}, 0, anchor, False
+                    group, group_size, now, parts = {}, 0, (anchor, part), part >= 0
                     if size >= CONTEXT_BYTES:
                         solve(ready, False, out)
                         ready, size = {}, 0
@@ -360,18 +360,24 @@ def repeated_ranges(df: DataFrame, *, length: int = LENGTH, gram: int = GRAM, an
     spark = df.sparkSession
     bounded_batches(spark)
     anchors = written(_anchors(df, length, gram))
-    often = anchors.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+    # written, so that its join below has plain exchanges, whose hot partitions AQE can split
+    often = written(anchors.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"))
     runs = anchors.join(often, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("first", "last", "anchor")).alias("runs"))
     places = written(_contexts(df.join(runs, "doc_id").select("doc_id", "text", "runs"), length))
     _release(spark)
     whole = places.filter("context is not null").select("anchor", "cid", "context", "copies")
-    found = written(_scan_groups(whole.repartition("anchor").sortWithinPartitions("anchor", "cid"), length, anchor_bytes))
+    # anchors with too many contexts are dealt out in parts, equal contexts to the same part
+    large = whole.groupBy("anchor").agg(F.sum(F.octet_length("context")).alias("n")).filter(F.col("n") > anchor_bytes)
+    large = written(large.select("anchor", F.ceil(F.col("n") / anchor_bytes).cast("long").alias("parts")))
+    part = F.coalesce(F.pmod("cid", "parts"), F.lit(-1)).cast("int").alias("part")
+    dealt = whole.join(large, "anchor", "left").select("anchor", "cid", "context", "copies", part)
+    found = written(_scan_groups(dealt.repartition("anchor", "part").sortWithinPartitions("anchor", "part", "cid"), length, anchor_bytes))
     _release(spark)
     inside = found.filter("ranges is not null").select("cid", "ranges")
     handed = found.filter("string is not null").select("cid", "string", "place")
     again = handed.groupBy("string").agg(F.count("*").alias("n")).filter("n > 1").select("string")
     across = handed.join(again, "string", "left_semi").select("cid", F.array("place", "place").alias("ranges"))
-    flagged = inside.union(across).groupBy("cid").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
+    flagged = written(inside.union(across).groupBy("cid").agg(F.flatten(F.collect_list("ranges")).alias("ranges")))
     hits = places.select("doc_id", "first", "cid").join(flagged, "cid")
     return hits.groupBy("doc_id").agg(F.collect_list(F.struct("first", "ranges")).alias("hits"))
 
