@@ -76,44 +76,79 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-_SPAN = "array<struct<start:int,ord:int,end:int,kind:string,match:string>>"
+_SPAN = "struct<start:int,ord:int,end:int,kind:string,match:string,around:string>"
+#: Items folded at a time; appending to one long array would copy it for each item.
+_CHUNK = 256
+
+
+def _fold(items: Column, kind: str, step, context=None) -> tuple[Column, Column]:
+    """Fold items left to right: step(at, item, base, view) gives (the next place, an array of outputs).
+
+    base is the place where the item's chunk began, and view is context(base, chunk), worked out once a chunk.
+    Returns (the last place, all outputs), in time close to linear in the number of items.
+    """
+
+    def state(at: Column, out: Column) -> Column:
+        return F.struct(at.alias("at"), out.alias("out"))
+
+    def chunk(s: Column, n: Column) -> Column:
+        part = F.slice(items, n * _CHUNK + 1, F.lit(_CHUNK))
+
+        def run(v: Column) -> Column:
+            def each(t: Column, item: Column) -> Column:
+                at, more = step(t["at"], item, v["base"], v["view"])
+                return state(at, F.concat(t["out"], more))
+
+            return F.aggregate(v["part"], state(v["base"], F.array().cast(f"array<{kind}>")), each)
+
+        view = context(s["at"], part) if context else F.lit(None).cast("string")
+        done = F.transform(F.array(F.struct(s["at"].alias("base"), view.alias("view"), part.alias("part"))), run)
+        return F.transform(done, lambda p: state(p["at"], F.array_append(s["out"], p["out"])))[0]
+
+    count = F.ceil(F.size(items) / _CHUNK).cast("int")
+    numbers = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+    whole = F.aggregate(numbers, state(F.lit(0), F.array().cast(f"array<array<{kind}>>")), chunk)
+    return whole["at"], F.flatten(whole["out"])
 
 
 def _spans(text: Column, kind: str) -> Column:
-    """array<struct<start, ord, end, kind, match>> of a kind's confirmed spans."""
+    """array<struct<start, ord, end, kind, match, around>> of a kind's confirmed spans."""
     pattern, ord_ = PATTERNS[kind], (KINDS + EXTRA_KINDS).index(kind)
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
-    pairs = F.arrays_zip(matches.alias("m"), F.transform(F.slice(between, 1, F.size(matches)), F.length).alias("gap"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+    count = F.size(matches)
+    pairs = F.arrays_zip(matches.alias("m"), F.slice(between, F.lit(1), count).alias("left"), F.slice(between, F.lit(2), count).alias("right"))
 
-    def step(state: Column, pair: Column) -> Column:
-        begin = state["at"] + pair["gap"]
+    def step(at: Column, pair: Column, base: Column, view: Column) -> tuple[Column, Column]:
+        begin = at + F.length(pair["left"])
         end = begin + F.length(pair["m"])
-        span = F.struct(begin.alias("start"), F.lit(ord_).alias("ord"), end.alias("end"), F.lit(kind).alias("kind"), pair["m"].alias("match"))
-        return F.struct(end.alias("at"), F.when(_valid(kind, pair["m"]), F.array_append(state["out"], span)).otherwise(state["out"]).alias("out"))
+        around = F.concat(F.right(pair["left"], F.lit(CONTEXT)), F.lit(" "), F.left(pair["right"], F.lit(CONTEXT)))
+        span = F.struct(begin.alias("start"), F.lit(ord_).alias("ord"), end.alias("end"), F.lit(kind).alias("kind"), pair["m"].alias("match"), around.alias("around"))
+        return end, F.when(_valid(kind, pair["m"]), F.array(span)).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
-    found = F.aggregate(pairs, start, step, lambda s: s["out"])
+    found = F.transform(F.array(pairs), lambda p: _fold(p, _SPAN, step)[1])[0]
     gate = F.contains(text, F.lit(_GATES[kind])) if kind in _GATES else text.rlike(pattern)
-    return F.when(gate, found).otherwise(F.array().cast(_SPAN))
+    return F.when(gate, found).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
 
 def with_spans(df: DataFrame, text: str = "text", kinds: tuple[str, ...] = KINDS + EXTRA_KINDS) -> DataFrame:
-    """df with ``spans``: array<struct<start, ord, end, kind, match>> of all kinds, by start, then kind."""
+    """df with ``spans``: array<struct<start, ord, end, kind, match, around>> of all kinds, by start, then kind."""
     whole = F.coalesce(F.col(text), F.lit(""))
     return df.withColumn("spans", F.array_sort(F.concat(*(_spans(whole, k) for k in kinds))))
 
 
-def score_spans(df: DataFrame, text: str = "text") -> DataFrame:
-    """df of with_spans with ``scores``: per span its prior, raised or lowered by the words around it."""
+def score_spans(df: DataFrame) -> DataFrame:
+    """df of with_spans with ``scores``: per span its prior, raised or lowered by the words around it.
+
+    Those are the CONTEXT characters before and after, as far as the next span of the kind.
+    """
 
     def score(span: Column) -> Column:
-        around = F.substr(F.col(text), F.greatest(span["start"] + 1 - CONTEXT, F.lit(1)), span["end"] - span["start"] + 2 * CONTEXT)
         out = F.lit(0.0)
         for kind in KINDS + EXTRA_KINDS:
-            raised = PRIOR[kind] + F.when(around.rlike(RAISING[kind]), 0.2).otherwise(0.0)
+            raised = PRIOR[kind] + F.when(span["around"].rlike(RAISING[kind]), 0.2).otherwise(0.0)
             out = F.when(span["kind"] == kind, raised).otherwise(out)
-        return F.greatest(F.lit(0.0), out - F.when(around.rlike(LOWERING), 0.3).otherwise(0.0))
+        return F.greatest(F.lit(0.0), out - F.when(span["around"].rlike(LOWERING), 0.3).otherwise(0.0))
 
     return df.withColumn("scores", F.transform("spans", score))
 
@@ -129,17 +164,17 @@ def redact(df: DataFrame, text: str = "text", kinds: tuple[str, ...] = KINDS + E
     Of overlapping spans the first gives the name and all are covered.
     """
     spans = with_spans(df, text, kinds)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def step(state: Column, s: Column) -> Column:
-        piece = F.substr(F.col(text), state["at"] + 1, s["start"] - state["at"])
-        joined = F.concat(state["out"], F.array(piece, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))
-        return F.when(
-            s["start"] >= state["at"],
-            F.struct(s["end"].alias("at"), joined.alias("out")),
-        ).otherwise(F.struct(F.greatest(state["at"], s["end"]).alias("at"), state["out"].alias("out")))
+    def view(at: Column, part: Column) -> Column:
+        return F.substr(F.col(text), at + 1, F.array_max(F.transform(part, lambda s: s["end"])) - at)
+
+    def step(at: Column, s: Column, base: Column, near: Column) -> tuple[Column, Column]:
+        piece = F.substr(near, at - base + 1, s["start"] - at)
+        named = F.array(piece, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
+        return F.greatest(at, s["end"]), F.when(s["start"] >= at, named).otherwise(F.array().cast("array<string>"))
 
-    clean = F.aggregate("spans", start, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substr(F.col(text), s["at"] + 1)))
+    last, pieces = _fold(F.col("spans"), "string", step, view)
+    clean = F.concat(F.array_join(pieces, ""), F.substr(F.col(text), last + 1))
     return spans.withColumn(text, F.when(F.size("spans") > 0, clean).otherwise(F.col(text))).drop("spans")
 
 
