@@ -1,7 +1,7 @@
 """The comparison strategies. Each yields its differences as a frame (key, left, right, status) and shards.
 
-All of them read filtered sides, so a condition or window holds for every step. Frames that several steps of
-a strategy read are projected to keys and hashes and persisted (spilling to disk) until the end.
+All of them read filtered sides, so a condition or window holds for every step. Hashed rows that several steps
+of a strategy read are persisted (spilling to disk) until the end; small results in between are checkpointed.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from twinlake.functions.canonical import identifier
 from twinlake.functions.hashing import bucket, hash_slice, sum_modulo
 from twinlake.operators import checksum, joins, sketch
 from twinlake.operators.filters import in_buckets
+from twinlake.operators.lineage import settled
 from twinlake.plans.checkpoints import Checkpoint, fingerprint
 from twinlake.plans.options import DiffOptions
 from twinlake.plans.report import Shard
@@ -41,10 +42,6 @@ class Outcome:
     totals: tuple[int, int] | None = None
     held: list[DataFrame] = field(default_factory=list)
 
-    def release(self) -> None:
-        for df in self.held:
-            df.unpersist()
-
 
 @dataclass
 class Sides:
@@ -74,7 +71,7 @@ class Sides:
 
 def joindiff(sides: Sides, options: DiffOptions) -> Outcome:
     """One full outer join of keys and hashes; rows of differences by a second, small join."""
-    diffs = joins.keyed_differences(sides.left, sides.right, sides.lplan, sides.rplan)
+    diffs = settled(joins.keyed_differences(sides.left, sides.right, sides.lplan, sides.rplan))
     return Outcome(sides.contents(diffs), queries=2)
 
 
@@ -89,12 +86,12 @@ def bucketdiff(sides: Sides, options: DiffOptions) -> Outcome:
     started = time.monotonic()
     l = checksum.batch_checksum(sides.left, sides.lplan, n)
     r = checksum.batch_checksum(sides.right, sides.rplan, n)
-    differ = checksum.differing(l, r).persist(StorageLevel.MEMORY_AND_DISK)
+    differ = settled(checksum.differing(l, r))
     shards = [Shard(f"bucket-{b}", (b, b + 1), lc, rc, abs(lc - rc), "Diff") for b, lc, rc in sorted(differ.collect())]  # at most MAX_BUCKETS
     ids = F.broadcast(differ.select("bkt"))  # at most MAX_BUCKETS rows
     some = [in_buckets(df, bucket(p.content_hash(), n), ids) for df, p in ((sides.left, sides.lplan), (sides.right, sides.rplan))]
     diffs = joins.keyless_rows(joins.multiset_differences(*some, sides.lplan, sides.rplan))
-    return Outcome(diffs, shards, queries=4, durations=[1000 * (time.monotonic() - started)], totals=totals, held=[differ])
+    return Outcome(diffs, shards, queries=4, durations=[1000 * (time.monotonic() - started)], totals=totals)
 
 
 def keyeddiff(sides: Sides, options: DiffOptions) -> Outcome:
@@ -109,16 +106,17 @@ def keyeddiff(sides: Sides, options: DiffOptions) -> Outcome:
     if totals == (0, 0):
         return Outcome(sides.no_diffs(), warnings=warnings, queries=1, totals=totals)
     if max(totals) <= options.fetch_all_threshold or 0 in totals:
-        return Outcome(joindiff(sides, options).diffs, warnings=warnings, queries=3, totals=totals)
+        out = joindiff(sides, options)
+        return Outcome(out.diffs, warnings=warnings, queries=3, totals=totals)
     n = bucket_count(max(totals), options.bisection_threshold)
     started = time.monotonic()
-    differ = checksum.differing(checksum.batch_checksum(sides.left, sides.lplan, n, by="key"), checksum.batch_checksum(sides.right, sides.rplan, n, by="key"))
-    differ = differ.persist(StorageLevel.MEMORY_AND_DISK)
+    differ = settled(checksum.differing(checksum.batch_checksum(sides.left, sides.lplan, n, by="key"), checksum.batch_checksum(sides.right, sides.rplan, n, by="key")))
     shards = [Shard(f"bucket-{b}", (b, b + 1), lc, rc, abs(lc - rc), "Diff") for b, lc, rc in sorted(differ.collect())]
     ids = F.broadcast(differ.select("bkt"))
     some = [in_buckets(df, p.key_bucket(n), ids).drop("bkt") for df, p in ((sides.left, sides.lplan), (sides.right, sides.rplan))]
     part = Sides(*some, sides.lplan, sides.rplan)
-    return Outcome(joindiff(part, options).diffs, shards, warnings, 5, [1000 * (time.monotonic() - started)], totals, [differ])
+    out = joindiff(part, options)
+    return Outcome(out.diffs, shards, warnings, 5, [1000 * (time.monotonic() - started)], totals)
 
 
 def first_segments(low: int, high: int, n: int) -> tuple[int, int]:
@@ -164,18 +162,17 @@ def hashdiff(sides: Sides, options: DiffOptions) -> Outcome:
 
     started = time.monotonic()
     found = checksum.differing(segment_checksums(l, start_of(width)), segment_checksums(r, start_of(width)), "seg")
-    found = found.persist(StorageLevel.MEMORY_AND_DISK)
-    held.append(found)
+    found = settled(found)
     firsts = sorted(found.collect())  # at most threads * 8 (+1)
     durations.append(1000 * (time.monotonic() - started))
     shards = [Shard(f"[{s},{min(s + width, high)})", (s, min(s + width, high)), lc, rc, abs(lc - rc), "Diff") for s, lc, rc in firsts]
     first_width = width
-    leaves: list[DataFrame] = []
-    open_, lopen, ropen = found, l, r
+    leaves: list[tuple[int, DataFrame]] = []  # (width, starts) by level
+    open_ = found
     for depth in range(MAX_DEPTH + 1):
         small = F.greatest("left_cnt", "right_cnt") <= options.bisection_threshold
         done = small if width > 1 else F.lit(True)
-        leaves.append(open_.filter(done).select(F.col("seg").alias("lo"), (F.col("seg") + width).alias("hi")))
+        leaves.append((width, open_.filter(done).select("seg")))
         rest = open_.filter(~done)
         if width == 1 or rest.isEmpty():
             break
@@ -183,46 +180,51 @@ def hashdiff(sides: Sides, options: DiffOptions) -> Outcome:
             raise RuntimeError(f"bisection did not settle in {MAX_DEPTH} levels")
         # rows of the open segments only; a join on the segment's start, which AQE may broadcast
         ids = rest.select("seg")
-        lopen, ropen = (rows.withColumn("seg", start_of(width)).join(ids, "seg", "left_semi").drop("seg") for rows in (lopen, ropen))
+        lopen, ropen = (rows.withColumn("seg", start_of(width)).join(ids, "seg", "left_semi").drop("seg") for rows in (l, r))
         # a child may reach into a neighbour of its parent; rows there are equal, or are compared twice and merged
         width = max(1, -(-width // options.bisection_factor))
         open_ = checksum.differing(segment_checksums(lopen, start_of(width)), segment_checksums(ropen, start_of(width)), "seg")
-        open_ = open_.persist(StorageLevel.MEMORY_AND_DISK)
-        held.append(open_)
         started = time.monotonic()
-        open_.count()
+        open_ = settled(open_)
         durations.append(1000 * (time.monotonic() - started))
         queries += 2
-    spans = leaves[0]
-    for more in leaves[1:]:
-        spans = spans.unionByName(more)
-    spans = spans.persist(StorageLevel.MEMORY_AND_DISK)
-    held.append(spans)
-    diffs = _leaf_differences(sides, l, r, spans, low, first_width, options, shards)
-    nulls = Sides(sides.left.filter(identifier(key).isNull()), sides.right.filter(identifier(sides.rplan.key_names[0]).isNull()), sides.lplan, sides.rplan)
-    diffs = diffs.unionByName(joindiff(nulls, options).diffs)
+    diffs = _leaf_differences(sides, l, r, leaves, low, first_width, options, shards)
+    diffs = _with_null_keys(sides, diffs, options)
     return Outcome(diffs, shards, [], queries + 2, durations, totals, held)
 
 
-def _leaf_differences(sides: Sides, l: DataFrame, r: DataFrame, spans: DataFrame, low: int, first_width: int, options: DiffOptions, shards: list[Shard]) -> DataFrame:
-    """Differences within the leaf spans, from the hashed rows; by waves of first segments with a checkpoint."""
+def _with_null_keys(sides: Sides, diffs: DataFrame, options: DiffOptions) -> DataFrame:
+    """diffs and those of the rows with a NULL key; nothing is added where no side can have any."""
+    names = (sides.lplan.key_names[0], sides.rplan.key_names[0])
+    parts = [df.filter(identifier(k).isNull()) for df, k in zip((sides.left, sides.right), names)]
+    if all(p.isEmpty() for p in parts):
+        return diffs
+    return diffs.unionByName(joindiff(Sides(*parts, sides.lplan, sides.rplan), options).diffs)
+
+
+def _leaf_differences(sides: Sides, l: DataFrame, r: DataFrame, leaves: list[tuple[int, DataFrame]], low: int, first_width: int, options: DiffOptions, shards: list[Shard]) -> DataFrame:
+    """Differences within the leaves, from the hashed rows; by waves of first segments with a checkpoint."""
     name = sides.lplan.key_names[0]
     kind = sides.lplan.keys[0].dataType
 
-    def within(rows: DataFrame, part: DataFrame) -> DataFrame:
-        # each row falls in one first segment; spans of a first segment are few, so match on it and then by range
-        first = F.expr(f"(k - {low}L) div {first_width}L")
-        s = part.withColumn("f", F.explode(F.sequence(F.expr(f"(lo - {low}L) div {first_width}L"), F.expr(f"(hi - 1 - {low}L) div {first_width}L"))))
-        return rows.withColumn("f", first).join(s, "f").filter("k >= lo and k < hi").select("k", "h")
-
-    def compare(part: DataFrame) -> DataFrame:
-        a, b = within(l, part).distinct(), within(r, part).distinct()
+    def within(rows: DataFrame, lo: int | None, hi: int | None) -> DataFrame:
+        """The rows of all leaves, or of those that start in [lo, hi); a row of overlapping leaves once."""
+        out = None
+        for width, starts in leaves:
+            some = starts if lo is None else starts.filter((F.col("seg") >= lo) & (F.col("seg") < hi))
+            seg = F.expr(f"{low}L + ((k - {low}L) div {width}L) * {width}L")
+            part = rows.withColumn("seg", seg).join(some, "seg", "left_semi").select("k", "h")
+            out = part if out is None else out.unionByName(part)
+        return out.distinct()
+
+    def compare(lo: int | None = None, hi: int | None = None) -> DataFrame:
+        a, b = within(l, lo, hi), within(r, lo, hi)
         both = a.withColumnsRenamed({"k": "lk", "h": "lh"}).join(b.withColumnsRenamed({"k": "rk", "h": "rh"}), F.col("lk") == F.col("rk"), "full_outer")
         status = F.when(F.col("lk").isNull(), joins.MISSING_LEFT).when(F.col("rk").isNull(), joins.MISSING_RIGHT).when(F.col("lh") != F.col("rh"), joins.MODIFIED)
-        return both.select(F.struct(F.coalesce("lk", "rk").cast(kind).alias(name)).alias("key"), status.alias("status")).filter("status is not null")
+        return settled(both.select(F.struct(F.coalesce("lk", "rk").cast(kind).alias(name)).alias("key"), status.alias("status")).filter("status is not null"))
 
     if not options.checkpoint:
-        return sides.contents(compare(spans))
+        return sides.contents(compare())
     plan = fingerprint(sides.lplan.key_names, [f.name for f in sides.lplan.columns], options.where, options.update_column, options.update_since, options.as_of, low, first_width)
     book = Checkpoint(options.checkpoint, plan)
     spark, waves = sides.spark, []
@@ -234,7 +236,7 @@ def _leaf_differences(sides: Sides, l: DataFrame, r: DataFrame, spans: DataFrame
         some = todo[at : at + options.threads]
         lo, hi = some[0].key_range[0], some[-1].key_range[1]
         wave = fingerprint(plan, lo, hi)
-        sides.contents(compare(spans.filter((F.col("lo") >= lo) & (F.col("lo") < hi)))).write.mode("overwrite").parquet(f"{book.diffs_path}/{wave}")
+        sides.contents(compare(lo, hi)).write.mode("overwrite").parquet(f"{book.diffs_path}/{wave}")
         for s in some:
             book.record(s.shard_id, left=s.left_count, right=s.right_count, wave=wave)
         waves.append(wave)
@@ -258,8 +260,7 @@ def ibltdiff(sides: Sides, options: DiffOptions) -> Outcome:
     name, kind = sides.lplan.key_names[0], sides.lplan.keys[0].dataType
     rows = sides.spark.createDataFrame(found, T.StructType([T.StructField("k", T.LongType()), T.StructField("status", T.StringType())]))
     diffs = sides.contents(rows.select(F.struct(F.col("k").cast(kind).alias(name)).alias("key"), "status"))
-    nulls = Sides(sides.left.filter(identifier(name).isNull()), sides.right.filter(identifier(sides.rplan.key_names[0]).isNull()), sides.lplan, sides.rplan)
-    return Outcome(diffs.unionByName(joindiff(nulls, options).diffs), queries=4, durations=[1000 * (time.monotonic() - started)], totals=sides.counts())
+    return Outcome(_with_null_keys(sides, diffs, options), queries=4, durations=[1000 * (time.monotonic() - started)], totals=sides.counts())
 
 
 RUN = {"joindiff": joindiff, "bucketdiff": bucketdiff, "keyeddiff": keyeddiff, "hashdiff": hashdiff, "iblt": ibltdiff}
