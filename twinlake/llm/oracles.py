@@ -78,4 +78,31 @@ select doc_id, source, max(n_tokens)::bigint n_tokens, max(weight_ppm) weight_pp
 from b group by doc_id, source
 """
 
-SQL = {"op9_mixing": _OP9, "op2_url_filter": _OP2}
+_OP3 = r"""
+with recursive words as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),
+shingles as (select distinct doc_id, array_to_string(w[i:i + 3], ' ') s from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) i from words where len(w) > 0)),
+sizes as (select doc_id, count(*) n from shingles group by doc_id),
+common as (select a.doc_id x, b.doc_id y, count(*) c from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id group by all),
+links as (select x, y from common join sizes p on p.doc_id = x join sizes q on q.doc_id = y where 100 * c >= 80 * (p.n + q.n - c)),
+both_ways as (select x, y from links union all select y, x from links),
+reach as (select doc_id, doc_id r from documents union select reach.doc_id, y from reach join both_ways on reach.r = x)
+select d.doc_id, coalesce(max(n), 0) n_shingles, min(r) component_id, min(r) = d.doc_id kept
+from documents d join reach using (doc_id) left join sizes using (doc_id) group by d.doc_id
+"""
+
+_OP10 = r"""
+with d as (select doc_id, hex(encode(coalesce(text, ''))) h from documents),
+parts as (select doc_id, base, substr(h, 2 * base + 1, 1398) p from (select doc_id, h, unnest(range(0, greatest(length(h) // 2 - 199, 0), 500)) base from d)),
+w as (select doc_id, base + i i, md5(substr(p, 2 * i + 1, 400)) k from (select doc_id, base, p, unnest(range(0, least(500, length(p) // 2 - 199))) i from parts)),
+f as (select doc_id, i from w where k in (select k from w group by k having count(*) > 1)),
+g as (select doc_id, i, case when i - lag(i) over (partition by doc_id order by i) <= 200 then 0 else 1 end fresh from f),
+runs as (select doc_id, min(i) a, max(i) + 200 b from (select *, sum(fresh) over (partition by doc_id order by i) run from g) group by doc_id, run),
+gaps as (select doc_id, coalesce(lag(b) over (partition by doc_id order by a), 0) from_, a to_ from runs
+  union all select doc_id, max(b), (select length(h) // 2 from d where d.doc_id = runs.doc_id) from runs group by doc_id),
+kept as (select doc_id, string_agg(substr(h, 2 * from_ + 1, 2 * (to_ - from_)), '' order by from_) h from gaps join d using (doc_id) group by doc_id),
+gone as (select doc_id, sum(b - a) n_removed, count(*) n_spans from runs group by doc_id)
+select d.doc_id, length(d.h) // 2 n_bytes, coalesce(n_removed, 0)::bigint n_removed, coalesce(n_spans, 0) n_spans, sha256(unhex(coalesce(kept.h, d.h))) kept_sha256
+from d left join kept using (doc_id) left join gone using (doc_id)
+"""
+
+SQL = {"op3_near_duplicates": _OP3, "op10_repeats": _OP10, "op9_mixing": _OP9, "op2_url_filter": _OP2}
