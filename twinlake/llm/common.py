@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 U64 = np.uint64
 _SEED = 0x9E3779B97F4A7C15
 #: Text bytes that one vectorised step works on; a longer text is a step of its own.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -45,7 +45,7 @@ def bounded_batches(spark: SparkSession) -> None:
     ship_package(spark)
     for key, default, value in (
         ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"),
-        ("spark.sql.execution.arrow.maxBytesPerBatch", None, str(16 << 20)),
+        ("spark.sql.execution.arrow.maxBytesPerBatch", None, str(8 << 20)),
     ):
         if default is None or spark.conf.get(key, default) == default:
             spark.conf.set(key, value)
