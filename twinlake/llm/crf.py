@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from twinlake.llm.common import ALPHA, U64, Words, bounded_batches, mix, words_of
 
@@ -42,6 +43,8 @@ STEP = 0.08
 DECAY = 1e-4
 SPLICE = (5, 40)
 STRIP = 512
+#: Text bytes scanned at a time; more of them make longer vectors.
+SCAN_BYTES = 4 << 20
 
 
 def word_features(words: Words, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -218,17 +221,20 @@ def train(texts: list[str], languages: list[str], seed: int = 7) -> Crf:
 
 
 def labelled_sample(df: DataFrame, *, per_label: int = PER_LABEL) -> DataFrame:
-    """(text, lang): per label the rows with the smallest hash of their id, outside the held-out quarter."""
+    """(text, lang): per label the rows with the smallest hash of their id, outside the held-out quarter.
+
+    Two scans, however many labels: one counts the rows of each, one takes those under a hash that leaves
+    about twice as many as are wanted, of which the smallest are kept.
+    """
     rows = df.filter((F.crc32(F.col("doc_id").cast("string")) % 4 != 2) & F.col("lang").isNotNull() & (F.length("text") <= MAX_TRAIN_BYTES) & F.col("text").rlike(r"\p{L}"))
-    h = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 40))
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LABELS + 1).collect()}
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LABELS + 1).collect()
     if len(sizes) > MAX_LABELS:
         raise ValueError(f"more than {MAX_LABELS} labels")
-    parts = [rows.filter((F.col("lang") == lang) & (h < int((1 << 40) * min(1.0, 2 * per_label / n)))).orderBy(h, "doc_id").limit(per_label).select("text", "lang") for lang, n in sorted(sizes.items())]
-    out = rows.select("text", "lang").limit(0)
-    for part in parts:
-        out = out.union(part)
-    return out
+    limits = df.sparkSession.createDataFrame([(r.lang, min(1.0, 2 * per_label / r.n)) for r in sizes], "lang string, share double")
+    h = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 40))
+    some = rows.withColumn("h", h).join(F.broadcast(limits), "lang").filter(F.col("h") < F.col("share") * (1 << 40))  # at most MAX_LABELS rows
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+    return some.withColumn("rank", rank).filter(F.col("rank") <= per_label).select("text", "lang")
 
 
 def fit(df: DataFrame, *, per_label: int = PER_LABEL) -> Crf:
@@ -248,7 +254,7 @@ def identify(df: DataFrame, model: Crf, *, id: str = "doc_id", text: str = "text
         m = shared.value
         for batch in batches:
             has = batch.column(2).to_numpy(zero_copy_only=False)
-            for i, j, words in words_of(batch.column(1), ALPHA):
+            for i, j, words in words_of(batch.column(1), ALPHA, SCAN_BYTES):
                 p = m.document_marginals(words)
                 ok = has[i:j] & (words.counts > 0) & (len(m.labels) > 0)
                 best = p.argmax(1) if len(m.labels) else np.zeros(j - i, int)
