@@ -386,6 +386,17 @@ def test_mixture_meets_weights_limits_and_blocks(spark, edge, nothing):
     assert "Python" not in mixing.mix_sources(df)._jdf.queryExecution().toString()
 
 
+def test_mixture_keeps_documents_without_tokens(spark):
+    texts = [None, "", " \n\t"]
+    rows = [(i, "mostly empty" if i < 300 else "full", "w w w" if i % 100 == 0 or i >= 300 else texts[i % 3]) for i in range(303)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(4)
+    out = mixing.mix_sources(df, blocks=8).collect()
+    assert sorted(r.doc_id for r in out) == list(range(303))
+    assert all(0 <= int(b) < 8 for r in out for b in r.blocks.split(","))
+    twice = mixing.mix_sources(df.filter("doc_id < 301"), blocks=8).collect()  # one source three times the other
+    assert sorted(r.doc_id for r in twice) == list(range(301)) and {r.copies for r in twice if r.source == "full"} == {2}
+
+
 def test_exponent_by_plain_bisection(spark):
     shares = [0.5, 0.2, 0.2, 0.05, 0.05]
     df = spark.createDataFrame([(shares,)], "s array<double>")

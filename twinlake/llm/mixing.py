@@ -13,7 +13,8 @@
 Prefix sums run within shards of a permutation (the leading hex digits of its key) on top of a small
 table of shard sums, so a source with any share of the rows is spread over many tasks.
 
-Cases: a null text has no tokens; a null source is a source of its own; sources without tokens keep
+Cases: a null text has no tokens, and a document without tokens that follows the last one goes to the last
+block; a null source is a source of its own; sources without tokens keep
 their documents once, in block 0; rows that repeat an id add up their copies; an empty table gives an
 empty result; only ``id``, ``source`` and ``text`` are read.
 """
@@ -118,6 +119,9 @@ def mix_sources(
     placed = copies.withColumn("in_shard", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
     placed = placed.alias("c").join(offsets.alias("o"), F.expr("c.source <=> o.source and c.epoch = o.epoch and c.shard = o.shard"))
     placed = placed.select("c.*", "o.shard_at").withColumn("at", F.expr("epoch * total + shard_at + in_shard"))
-    placed = placed.filter("total = 0 or at < planned").withColumn("block", F.when(F.col("total") > 0, F.expr(f"cast(floor(cast(at as decimal(38,0)) * {blocks} / planned) as int)")).otherwise(F.lit(0)))
+    # a document without tokens spends nothing, so one that follows the last token still has its place
+    placed = placed.filter("total = 0 or at < planned or (n_tokens = 0 and at = planned)")
+    block = F.expr(f"cast(least(floor(cast(at as decimal(38,0)) * {blocks} / planned), {blocks} - 1) as int)")
+    placed = placed.withColumn("block", F.when(F.col("total") > 0, block).otherwise(F.lit(0)))
     out = placed.groupBy("doc_id", "source").agg(F.max("n_tokens").alias("n_tokens"), F.max("weight_ppm").alias("weight_ppm"), F.count("*").alias("copies"), F.sort_array(F.collect_list("block")).alias("blocks"))
     return out.withColumn("blocks", F.array_join(F.transform("blocks", lambda b: b.cast("string")), ","))
