@@ -140,6 +140,38 @@ def test_repeats_against_all_substrings(spark, anchor_bytes):
         assert len(r.kept) == r.n_bytes - r.n_removed
 
 
+def plain_maximal_repeats(texts, length):
+    """{(bytes, doc, start)}: common prefixes of neighbours in suffix order, found everywhere, if no byte precedes all."""
+    data = [(t or "").encode() for t in texts]
+    suffixes = sorted(d[i:] for d in data for i in range(len(d) - length + 1))
+    strings = {a[: suffix._common(a, b)] for a, b in zip(suffixes, suffixes[1:])}
+    out = set()
+    for w in strings:
+        if len(w) >= length:
+            at = [(i, j) for i, d in enumerate(data) for j in range(d.find(w), len(d) - len(w) + 1) if j >= 0 and d.startswith(w, j)]
+            before = {data[i][j - 1] if j else None for i, j in at}
+            if len(before) > 1 or None in before:
+                out |= {(w, i, j) for i, j in at}
+    return out
+
+
+@pytest.mark.parametrize("anchor_bytes", [1 << 20, 120])
+def test_maximal_repeats_against_all_substrings(spark, nothing, anchor_bytes):
+    texts = corpus(8, 40) + ["ab" * 60, "é" * 40, "x" * 40, "x" * 43, "x" * 40, "ab" * 40 + "c"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = suffix.maximal_repeats(df, length=40, gram=9, anchor_bytes=anchor_bytes).collect()
+    data = [(t or "").encode() for t in texts]
+    got = [(data[r.doc_id][r.start : r.start + r.length], r.doc_id, r.start) for r in rows]
+    assert len(got) == len(set(got)) and set(got) == plain_maximal_repeats(texts, 40)
+    assert len({w for w, *_ in got}) == len({r.repeat_id for r in rows}) and max(r.length for r in rows) > 80
+    covered = [np.zeros(len(d), bool) for d in data]
+    for w, doc, start in got:
+        covered[doc][start : start + len(w)] = True
+    want = plain_removal(texts, 40)
+    assert [int(c.sum()) for c in covered] == [n for _, n, *_ in want]  # what removal takes out
+    assert suffix.maximal_repeats(nothing).count() == 0
+
+
 def test_repeat_edge_cases(edge, nothing):
     rows = {r.doc_id: r for r in suffix.remove_repeats(edge.filter("doc_id is null or doc_id <> 5"), length=200).collect()}
     assert len(rows) == 11 and suffix.remove_repeats(nothing).count() == 0

@@ -14,6 +14,10 @@ A suffix array of a whole corpus cannot be split among machines as it is, so suf
    maximal repeat.
 3. An anchor with more contexts than one task should hold is dealt out in parts; each part hands on one
    suffix of every distinct string, and equal ones of different parts are joined by an aggregation.
+4. ``maximal_repeats`` goes on from the strings that start a maximal repeat. The suffixes from there, as far as
+   strings repeat, are sorted once more, now to their full length, by groups of equal first LENGTH bytes. The
+   common-prefix intervals of all depths whose occurrences are preceded by different bytes are the maximal
+   repeats. The bytes that ``remove_repeats`` takes out are those that the maximal repeats cover.
 
 Bytes are those of the UTF-8 text; matches never cross documents; overlapping occurrences count.
 
@@ -227,6 +231,7 @@ def _ranges(places: np.ndarray) -> list[int]:
 
 _RUNS = "doc_id {0}, first int, last int, anchor long"
 _FOUND = "cid long, ranges array<int>, string long, place int"
+_LEFT = ", diverse array<int>, left int, copies int"
 
 
 def _anchors(rows: DataFrame, length: int, gram: int) -> DataFrame:
@@ -279,26 +284,38 @@ def _contexts(rows: DataFrame, length: int) -> DataFrame:
     return rows.mapInArrow(build, f"doc_id {dict(rows.dtypes)['doc_id']}, first int, anchor long, cid long, context binary, copies int")
 
 
-def _scan_groups(rows: DataFrame, length: int, anchor_bytes: int) -> DataFrame:
+def _scan_groups(rows: DataFrame, length: int, anchor_bytes: int, left: bool = False) -> DataFrame:
     """From (anchor, cid, context, copies, part), sorted by anchor and part: the ranges of repeated places of
-    each context, and, of anchors worked on in parts (part >= 0, or too large), one place of every string."""
+    each context, and, of anchors worked on in parts (part >= 0, or too large), one place of every string.
+
+    With ``left`` also the ranges of left-diverse places, and the preceding byte and number of each handed string.
+    """
 
     def solve(contexts: dict[int, list], in_parts: bool, out: list) -> None:
         cids = list(contexts)
         texts = [contexts[c][0] for c in cids]
-        owner, place, _, _ = repeated_starts(texts, length)
+        owner, place, _, diverse = repeated_starts(texts, length)
         bounds = np.searchsorted(owner, np.arange(len(cids) + 1))
         for k, cid in enumerate(cids):
-            count = len(texts[k]) - length
-            if contexts[cid][1] > 1:
-                out.append((cid, [0, count - 1], None, None))
+            count, copies = len(texts[k]) - length, contexts[cid][1]
+            here, more = slice(bounds[k], bounds[k + 1]), ()
+            if left:
+                starts = place[here][diverse[here]]
+                if copies > 1 and texts[k][0] == START:  # documents that begin alike
+                    starts = np.union1d(starts, [0])
+                more = (_ranges(starts) if len(starts) else None, None, None)
+            if copies > 1:
+                out.append((cid, [0, count - 1], None, None, *more))
             elif bounds[k] < bounds[k + 1]:
-                out.append((cid, _ranges(place[bounds[k] : bounds[k + 1]]), None, None))
+                out.append((cid, _ranges(place[here]), None, None, *more))
             if in_parts:
                 data = np.frombuffer(texts[k], np.uint8)
                 at = np.arange(count)
                 strings = span_hash(prefix_hash(data), at + 1, at + 1 + length).view(np.int64)
-                out += [(cid, None, s, p) for s, p in zip(strings.tolist(), at.tolist())]
+                if left:
+                    out += [(cid, None, s, p, None, b, copies) for s, p, b in zip(strings.tolist(), at.tolist(), data[at].tolist())]
+                else:
+                    out += [(cid, None, s, p) for s, p in zip(strings.tolist(), at.tolist())]
 
     def scan(batches):
         out: list = []
@@ -308,10 +325,11 @@ def _scan_groups(rows: DataFrame, length: int, anchor_bytes: int) -> DataFrame:
         now, parts = None, False
 
         def emit():
-            rows_ = list(zip(*out)) if out else [[], [], [], []]
+            names = ["cid", "ranges", "string", "place"] + ["diverse", "left", "copies"] * left
+            rows_ = list(zip(*out)) if out else [[]] * len(names)
             out.clear()
-            kinds = (pa.int64(), pa.list_(pa.int32()), pa.int64(), pa.int32())
-            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(rows_, kinds)], ["cid", "ranges", "string", "place"])
+            kinds = (pa.int64(), pa.list_(pa.int32()), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.int32(), pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(rows_, kinds)], names)
 
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in range(5)]
@@ -345,7 +363,7 @@ def _scan_groups(rows: DataFrame, length: int, anchor_bytes: int) -> DataFrame:
             solve(ready, False, out)
         yield emit()
 
-    return rows.mapInArrow(scan, _FOUND)
+    return rows.mapInArrow(scan, _FOUND + _LEFT * left)
 
 
 def _release(spark) -> None:
@@ -354,9 +372,12 @@ def _release(spark) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def repeated_ranges(df: DataFrame, *, length: int = LENGTH, gram: int = GRAM, anchor_bytes: int = ANCHOR_BYTES) -> DataFrame:
+def repeated_ranges(df: DataFrame, *, length: int = LENGTH, gram: int = GRAM, anchor_bytes: int = ANCHOR_BYTES, left: bool = False) -> DataFrame:
     """doc_id, ranges: per document the starts of repeated strings, as (first, last) pairs of runs in one array
-    a context, in no order; documents without any have no row. df: doc_id, text (not null)."""
+    a context, in no order; documents without any have no row. df: doc_id, text (not null).
+
+    With ``left`` each context also has the starts of left-diverse strings (``diverse``) in the same form.
+    """
     spark = df.sparkSession
     bounded_batches(spark)
     anchors = written(_anchors(df, length, gram))
@@ -371,15 +392,23 @@ def repeated_ranges(df: DataFrame, *, length: int = LENGTH, gram: int = GRAM, an
     large = written(large.select("anchor", F.ceil(F.col("n") / anchor_bytes).cast("long").alias("parts")))
     part = F.coalesce(F.pmod("cid", "parts"), F.lit(-1)).cast("int").alias("part")
     dealt = whole.join(large, "anchor", "left").select("anchor", "cid", "context", "copies", part)
-    found = written(_scan_groups(dealt.repartition("anchor", "part").sortWithinPartitions("anchor", "part", "cid"), length, anchor_bytes))
+    found = written(_scan_groups(dealt.repartition("anchor", "part").sortWithinPartitions("anchor", "part", "cid"), length, anchor_bytes, left))
     _release(spark)
     inside = found.filter("ranges is not null").select("cid", "ranges")
     handed = found.filter("string is not null").select("cid", "string", "place")
     again = handed.groupBy("string").agg(F.count("*").alias("n")).filter("n > 1").select("string")
     across = handed.join(again, "string", "left_semi").select("cid", F.array("place", "place").alias("ranges"))
-    flagged = written(inside.union(across).groupBy("cid").agg(F.flatten(F.collect_list("ranges")).alias("ranges")))
+    columns, both = ["ranges"], inside.union(across)
+    if left:
+        columns = ["ranges", "diverse"]
+        same = found.filter("diverse is not null").select("cid", "diverse")
+        strings = found.filter("string is not null").groupBy("string").agg(F.sum("copies").alias("n"), F.min("left").alias("lo"), F.max("left").alias("hi"))
+        strings = strings.filter(f"n > 1 and (lo < hi or hi = {START})").select("string")
+        apart = handed.join(strings, "string", "left_semi").select("cid", F.array("place", "place").alias("diverse"))
+        both = both.unionByName(same.union(apart), allowMissingColumns=True)
+    flagged = written(both.groupBy("cid").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in columns)))
     hits = places.select("doc_id", "first", "cid").join(flagged, "cid")
-    return hits.groupBy("doc_id").agg(F.collect_list(F.struct("first", "ranges")).alias("hits"))
+    return hits.groupBy("doc_id").agg(F.collect_list(F.struct("first", *columns)).alias("hits"))
 
 
 def _removed(hits: list | None, n: int, length: int) -> list[tuple[int, int]]:
@@ -393,6 +422,92 @@ def _removed(hits: list | None, n: int, length: int) -> list[tuple[int, int]]:
     return list(zip(pairs[np.concatenate([[0], cut + 1]), 0].tolist(), reach[np.concatenate([cut, [len(pairs) - 1]])].tolist()))
 
 
+def _suffixes(rows: DataFrame, length: int) -> DataFrame:
+    """From (doc_id, text, hits): key (digest of the first ``length`` bytes), doc_id, start, left (the byte before)
+    and suffix (the text as far as strings repeat without a gap) of each left-diverse start."""
+
+    def batch_of(out, kind):
+        kinds = (pa.binary(), kind, pa.int32(), pa.int32(), pa.binary())
+        columns = list(zip(*out)) if out else [[]] * 5
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["key", "doc_id", "start", "left", "suffix"])
+
+    def build(batches):
+        for batch in batches:
+            out, size = [], 0
+            for doc, text, hits in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                data = text.encode()
+                runs = _removed(hits, len(data), 1)  # of starts that follow each other
+                starts = sorted({h["first"] + p for h in hits for d in (h["diverse"],) for k in range(0, len(d), 2) for p in range(d[k], d[k + 1] + 1)})
+                run = 0
+                for at in starts:
+                    while runs[run][1] <= at:
+                        run += 1
+                    suffix = data[at : runs[run][1] - 1 + length]
+                    out.append((hashlib.blake2b(suffix[:length], digest_size=16).digest(), doc, at, data[at - 1] if at else START, suffix))
+                    size += len(suffix)
+                    if size >= CONTEXT_BYTES:
+                        yield batch_of(out, batch.column(0).type)
+                        out, size = [], 0
+            yield batch_of(out, batch.column(0).type)
+
+    return rows.mapInArrow(build, f"key binary, doc_id {dict(rows.dtypes)['doc_id']}, start int, left int, suffix binary")
+
+
+def _common(a: bytes, b: bytes) -> int:
+    """The length of the common prefix."""
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    return int(np.argmax(np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n)))
+
+
+def maximal_repeats(df: DataFrame, *, length: int = LENGTH, gram: int = GRAM, anchor_bytes: int = ANCHOR_BYTES, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """repeat_id (digest of the bytes), length, doc_id and start (in bytes) of every occurrence of every maximal
+    repeat of at least ``length`` bytes: one that occurs more than once and whose occurrences have neither the
+    same byte before them nor the same byte after them.
+
+    Nested repeats are all listed, so the result can be far longer than the texts: a cluster of near copies
+    has as many repeats as pairs of edits. Suffixes with the same first ``length`` bytes go to one task.
+    """
+    rows = df.select(F.col(id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    hits = written(repeated_ranges(rows, length=length, gram=gram, anchor_bytes=anchor_bytes, left=True))
+    suffixes = _suffixes(rows.join(hits, "doc_id").select("doc_id", "text", "hits"), length)
+    kind = dict(rows.dtypes)["doc_id"]
+
+    def extend(batches):
+        key, docs, starts, left, lcp, last, firsts = None, [], [], [], [], b"", []
+
+        def close(doc_type):
+            """The repeats of the group just read, in batches."""
+            for depth, a, b in zip(*(x.tolist() for x in lcp_intervals(np.array(lcp, np.int64), length))):
+                before = set(left[a : b + 1])
+                if len(before) > 1 or START in before:
+                    name = hashlib.blake2b(firsts[a][:depth], digest_size=16).hexdigest()
+                    n = b - a + 1
+                    columns = [pa.array([name] * n), pa.array([depth] * n, pa.int32()), pa.array(docs[a : b + 1], doc_type), pa.array(starts[a : b + 1], pa.int32())]
+                    yield pa.RecordBatch.from_arrays(columns, ["repeat_id", "length", "doc_id", "start"])
+
+        doc_type = None
+        for batch in batches:
+            doc_type = batch.column(1).type
+            for k, doc, start, byte, suffix in zip(*(batch.column(c).to_pylist() for c in range(5))):
+                if k != key:
+                    yield from close(doc_type)
+                    key, docs, starts, left, lcp, last, firsts = k, [], [], [], [], b"", []
+                lcp.append(_common(last, suffix) if docs else 0)
+                # equal suffixes are kept once
+                last = last if len(suffix) == len(last) == lcp[-1] else suffix
+                firsts.append(last)
+                docs.append(doc)
+                starts.append(start)
+                left.append(byte)
+        if docs:
+            yield from close(doc_type)
+
+    ordered = suffixes.repartition("key").sortWithinPartitions("key", "suffix")
+    return ordered.mapInArrow(extend, f"repeat_id string, length int, doc_id {kind}, start int")
+
+
 def remove_repeats(df: DataFrame, *, length: int = LENGTH, gram: int = GRAM, anchor_bytes: int = ANCHOR_BYTES, id: str = "doc_id", text: str = "text", keep_bytes: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (the remaining bytes)."""
     rows = df.select(F.col(id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
