@@ -386,6 +386,12 @@ def test_toxicity_on_held_out_rows(spark, edge, nothing):
     assert {round(r.score, 6) for r in toxicity.score_toxicity(edge, blank).collect()} == {0.5}
 
 
+def test_no_evidence_drops_nothing(spark, edge):
+    labels = spark.createDataFrame([(3, 5), (None, 1), (4, None)], "doc_id long, toxic int")
+    for marks in (labels, labels.limit(0)):
+        assert toxicity.drop_toxic(edge, toxicity.fit(edge, marks), threshold=0.3).count() == 13
+
+
 # ------------------------------------------------------------------ mixing
 
 

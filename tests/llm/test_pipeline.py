@@ -81,6 +81,11 @@ def test_stages_keep_the_columns_and_survive_odd_rows(spark, edge, nothing):
     assert [n for n, _ in corpus_pipeline.STAGES][0] == "toxicity" and len(corpus_pipeline.STAGES) == 5
 
 
+def test_clean_rows_survive_an_empty_labels_table(spark, edge, tmp_path):
+    spark.read.parquet(f"{SF}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.toxicity_stage(spark, edge, str(tmp_path)).count() == edge.count()
+
+
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()

@@ -62,7 +62,7 @@ def op8_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     model = fit(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
     out = score_toxicity(docs, model)
-    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "n_words", "passages")
+    return out.select("doc_id", held_out().alias("held_out"), "score", ((F.col("score") >= 0.3) & (F.col("best") > 0)).cast("int").alias("predicted"), "n_words", "passages")
 
 
 def op9_mixing(spark, sf_dir):

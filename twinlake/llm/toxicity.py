@@ -12,8 +12,8 @@ only tokens that score above 0 can start or end one, so runs between them are su
 Segments with an expected number below ``E_VALUE`` are the toxic passages.
 
 Cases: null and empty texts have no segment and get the score of such texts; labels other than 0 and 1
-and null ids are not learned from; without labelled rows no token is toxic and every score is 0.5's
-prior; copies of a text count once in the fit; an empty table gives an empty result.
+and null ids are not learned from; without labelled rows no token is toxic and every score is 0.5, which
+is no evidence: a text without a toxic token is never dropped, whatever its score; copies of a text count once in the fit; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -219,7 +219,8 @@ def score_toxicity(df: DataFrame, model: Model, *, id: str = "doc_id", text: str
 
 
 def drop_toxic(df: DataFrame, model: Model, *, threshold: float, text: str = "text") -> DataFrame:
-    """df without the rows whose score reaches the threshold; all columns, in place, without a shuffle."""
+    """df without the rows that hold a toxic token and whose score reaches the threshold; all columns, in
+    place, without a shuffle."""
     bounded_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
     column = df.columns.index(text)
@@ -229,7 +230,8 @@ def drop_toxic(df: DataFrame, model: Model, *, threshold: float, text: str = "te
         for batch in batches:
             clean = np.ones(batch.num_rows, bool)
             for i, j, words in words_of(batch.column(column), ALPHA):
-                clean[i:j] = m.probability(m.best(words), words.counts) < threshold
+                best = m.best(words)
+                clean[i:j] = (best == 0) | (m.probability(best, words.counts) < threshold)
             yield batch.filter(pa.array(clean))
 
     return df.mapInArrow(keep, df.schema)
