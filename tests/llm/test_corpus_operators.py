@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from twinlake.llm import components, crf, decontam, minmax, mixing, suffix, toxicity
+from twinlake.llm import common, components, crf, decontam, minmax, mixing, suffix, toxicity
 
 UP = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -386,6 +386,18 @@ def test_toxicity_on_held_out_rows(spark, edge, nothing):
     assert {round(r.score, 6) for r in toxicity.score_toxicity(edge, blank).collect()} == {0.5}
 
 
+def test_scattered_toxic_words_count_together(spark):
+    model = toxicity.Model(np.sort(common.word_hash([b"vile"])), np.array([5.5]), 1.58, 0.0025)
+    model.base, model.slope = -5.26, 0.45
+    long = ["plain"] * 2000
+    rows = [(0, long), (1, ["vile", *long[1:]]), (2, [*(["plain"] * 199 + ["vile"]) * 10])]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = {r.doc_id: r for r in toxicity.score_toxicity(df, model).collect()}
+    assert got[0].score < got[1].score < 0.2 and got[2].score > 0.9 and len(got[2].passages.split(",")) == 10
+    assert got[1].score == pytest.approx(float(model.probability(np.array([5.5]), np.array([2000]))[0]))
+    assert {r.doc_id for r in toxicity.drop_toxic(df, model, threshold=0.3).collect()} == {0, 1}
+
+
 def test_no_evidence_drops_nothing(spark, edge):
     labels = spark.createDataFrame([(3, 5), (None, 1), (4, None)], "doc_id long, toxic int")
     for marks in (labels, labels.limit(0)):

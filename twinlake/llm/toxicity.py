@@ -5,7 +5,10 @@ frequencies of the tokens in toxic and in clean texts, log-odds with a Dirichlet
 the token's overall frequency, and the tokens whose log-odds are clearly positive. Every other token
 scores the small negative DRIFT. The rate and scale of the extreme-value law of segment scores
 (expected number of segments of at least s in n tokens: K * n * exp(-lambda * s)) come from the clean
-rows, and a logistic curve maps a text's best segment, less what chance gives, to a probability.
+rows, and a logistic curve maps a text's significant segments, less what chance gives, to a probability.
+Several of them count together: under the law the r best normalised scores have a sum of at least t with
+probability about exp(-t) * t**(r-1) / (r! * (r-1)!) (Karlin and Altschul's sum statistic), and the least likely
+r counts, each further segment at half the weight for the choice.
 
 Score: one linear scan over each whole text finds all maximal scoring segments (Ruzzo and Tompa's scan;
 only tokens that score above 0 can start or end one, so runs between them are summed at once).
@@ -81,8 +84,23 @@ class Model:
         chance = np.log(self.scale * np.maximum(n, 1))
         return np.where(best > 0, np.clip(self.decay * best - chance, 0, 30), 0.0)
 
+    def together(self, scores: list[float], n: int) -> float:
+        """The excess of all significant segments of a text of n tokens: that of the best one, or more."""
+        x = np.sort(self.decay * np.array(scores) - math.log(self.scale * max(n, 1)))[::-1]
+        x = np.concatenate([x[:1], x[1:][x[1:] > -math.log(E_VALUE)]])
+        if len(x) > 1 and x[0] > -math.log(E_VALUE):
+            r = np.arange(1, len(x) + 1)
+            t = np.cumsum(x)
+            logs = np.cumsum(np.log(r))  # of r!
+            x = t - (r - 1) * np.log(2 * t) + 2 * logs - np.log(r)
+        return float(np.clip(x.max(), 0, 30))
+
     def probability(self, best: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-(self.base + self.slope * self.excess(best, n))))
+        """For texts with one segment."""
+        return self.curve(self.excess(best, n))
+
+    def curve(self, excess: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-(self.base + self.slope * excess)))
 
     def toxic_words(self, words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place, token, bounds by row) of the toxic tokens, in order."""
@@ -90,14 +108,15 @@ class Model:
         order = np.argsort(hits)
         return hits[order], kinds[order], np.searchsorted(hits[order], words.bounds)
 
-    def best(self, words) -> np.ndarray:
-        """The highest segment score of each row."""
+    def best(self, words) -> tuple[np.ndarray, np.ndarray]:
+        """The highest segment score and the excess of all segments of each row."""
         hits, kinds, bounds = self.toxic_words(words)
-        out = np.zeros(len(words.counts))
+        out, excess = np.zeros(len(words.counts)), np.zeros(len(words.counts))
         for row in np.flatnonzero(np.diff(bounds)).tolist():
             part = slice(bounds[row], bounds[row + 1])
-            out[row] = max(s for _, _, s in self.segments(hits[part] - words.bounds[row], kinds[part]))
-        return out
+            scores = [s for _, _, s in self.segments(hits[part] - words.bounds[row], kinds[part])]
+            out[row], excess[row] = max(scores), self.together(scores, words.counts[row])
+        return out, excess
 
     def segments(self, at: np.ndarray, kinds: np.ndarray) -> list[tuple[int, int, float]]:
         """All maximal segments (first word, last word, score) given the toxic tokens' places."""
@@ -174,13 +193,16 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS) -> Mode
         odds_ = np.array([r.odds for r in rows], float)
         decay = _law(odds_, np.array([r.clean_words for r in rows], float), total) if len(rows) else 1.0
         model = Model(tokens, odds_, decay, 1.0)
-        found = _scan(sample.select(F.col("toxic").cast("long").alias("doc_id"), "text"), model, False).select("doc_id", "best", "n_words").collect()
+        texts = sample.select(F.col("toxic").cast("long").alias("doc_id"), "text")
+        found = _scan(texts, model, False).select("doc_id", "best", "n_words").collect()
         y, best, n = (np.array([r[k] for r in found], float) for k in range(3))
         clean = y == 0
         least = odds_.min() if len(rows) else 0.0
         model.scale = (np.sum(best[clean] > 0) + 0.5) / max(1.0, n[clean].sum() * math.exp(-decay * least))
         if len(y):
-            model.base, model.slope = _logistic(model.excess(best, n), y)
+            found = _scan(texts, model, False).select("doc_id", "excess").collect()  # by the scale just set
+            y, excess = (np.array([r[k] for r in found], float) for k in range(2))
+            model.base, model.slope = _logistic(excess, y)
         counts.unpersist()
         return model
     finally:
@@ -188,7 +210,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS) -> Mode
 
 
 def _scan(rows: DataFrame, model: Model, passages: bool) -> DataFrame:
-    """doc_id, n_words, best (highest segment score), score, and the significant passages (first:last:score)."""
+    """doc_id, n_words, best (highest segment score), excess (of all), score, and the significant passages
+    (first:last:score)."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def scan(batches):
@@ -196,26 +219,27 @@ def _scan(rows: DataFrame, model: Model, passages: bool) -> DataFrame:
         for batch in batches:
             for i, j, words in words_of(batch.column(1), ALPHA):
                 hits, kinds, bounds = m.toxic_words(words)
-                best, found = np.zeros(j - i), [""] * (j - i)
+                best, excess, found = np.zeros(j - i), np.zeros(j - i), [""] * (j - i)
                 for row in np.flatnonzero(np.diff(bounds)).tolist():
                     part = slice(bounds[row], bounds[row + 1])
                     segments = m.segments(hits[part] - words.bounds[row], kinds[part])
                     best[row] = max(s for _, _, s in segments)
+                    excess[row] = m.together([s for _, _, s in segments], words.counts[row])
                     if passages:
                         rate = m.scale * words.counts[row]
                         found[row] = ",".join(f"{a}:{b}:{s:.3f}" for a, b, s in segments if rate * math.exp(-m.decay * s) < E_VALUE)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(words.counts), pa.array(best), pa.array(m.probability(best, words.counts)), pa.array(found, pa.string())],
-                    ["doc_id", "n_words", "best", "score", "passages"],
+                    [batch.column(0).slice(i, j - i), pa.array(words.counts), pa.array(best), pa.array(excess), pa.array(m.curve(excess)), pa.array(found, pa.string())],
+                    ["doc_id", "n_words", "best", "excess", "score", "passages"],
                 )
 
-    return rows.mapInArrow(scan, f"doc_id {dict(rows.dtypes)['doc_id']}, n_words long, best double, score double, passages string")
+    return rows.mapInArrow(scan, f"doc_id {dict(rows.dtypes)['doc_id']}, n_words long, best double, excess double, score double, passages string")
 
 
 def score_toxicity(df: DataFrame, model: Model, *, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, best, score (0 to 1) and passages (word places, end inclusive)."""
     bounded_batches(df.sparkSession)
-    return _scan(df.select(F.col(id).alias("doc_id"), F.col(text).alias("text")), model, True)
+    return _scan(df.select(F.col(id).alias("doc_id"), F.col(text).alias("text")), model, True).drop("excess")
 
 
 def drop_toxic(df: DataFrame, model: Model, *, threshold: float, text: str = "text") -> DataFrame:
@@ -230,8 +254,8 @@ def drop_toxic(df: DataFrame, model: Model, *, threshold: float, text: str = "te
         for batch in batches:
             clean = np.ones(batch.num_rows, bool)
             for i, j, words in words_of(batch.column(column), ALPHA):
-                best = m.best(words)
-                clean[i:j] = (best == 0) | (m.probability(best, words.counts) < threshold)
+                best, excess = m.best(words)
+                clean[i:j] = (best == 0) | (m.curve(excess) < threshold)
             yield batch.filter(pa.array(clean))
 
     return df.mapInArrow(keep, df.schema)
