@@ -23,9 +23,18 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked at 0.8 or more on five-word shingles the smallest id stays."""
-    gone = minmax.near_duplicates(docs, k=5, percent=80).filter(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Of each group of documents linked at 0.8 or more on five-word shingles the smallest id stays.
+
+    Of rows that repeat an id and its text one stays, that with the smallest other columns. Rows with one id
+    and different texts are different documents and all stay; so do rows without an id.
+    """
+    ids = minmax.near_duplicates(docs, k=5, percent=80).groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_and("kept").alias("kept"))
+    marks = written(ids.filter("doc_id is not null and (n > 1 or not kept)"))
+    once = docs.join(marks.select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    repeated = docs.join(marks.filter("kept").select("doc_id"), "doc_id", "left_semi")
+    others = F.struct(*(c for c in docs.columns if c not in ("doc_id", "text")))
+    one = repeated.groupBy("doc_id", "text").agg(F.min(others).alias("rest")).select("doc_id", "text", "rest.*")
+    return once.unionByName(one.select(docs.columns))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -86,6 +86,16 @@ def test_clean_rows_survive_an_empty_labels_table(spark, edge, tmp_path):
     assert corpus_pipeline.toxicity_stage(spark, edge, str(tmp_path)).count() == edge.count()
 
 
+def test_one_of_repeated_rows_survives_near_duplicates(spark):
+    text = "one two three four five six seven eight nine ten"
+    rows = [(1, text, "a"), (1, text, "a"), (1, text, "b"), (2, text, "a"), (3, None, "a"), (3, None, "a"), (4, "x y", "a"), (4, "p q", "a"), (5, text + " x", "a"), (None, None, "a"), (None, None, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = corpus_pipeline.near_duplicate_stage(spark, docs, SF)
+    assert got.columns == docs.columns
+    want = [(1, text, "a"), (3, None, "a"), (4, "p q", "a"), (4, "x y", "a"), (None, None, "a"), (None, None, "a")]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
