@@ -173,9 +173,23 @@ def test_maximal_repeats_against_all_substrings(spark, nothing, anchor_bytes):
 
 
 def test_repeat_edge_cases(edge, nothing):
-    rows = {r.doc_id: r for r in suffix.remove_repeats(edge.filter("doc_id is null or doc_id <> 5"), length=200).collect()}
-    assert len(rows) == 11 and suffix.remove_repeats(nothing).count() == 0
-    assert rows[7].n_removed == rows[7].n_bytes and rows[0].n_bytes == 0
+    rows = edge.select("doc_id", "text").collect()
+    got = suffix.remove_repeats(edge, length=20, gram=7, anchor_bytes=4000).collect()
+    want = sorted((repr(r.doc_id), *w) for r, w in zip(rows, plain_removal([r.text for r in rows], 20)))
+    assert sorted((repr(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
+    whole = {r.doc_id: r for r in suffix.remove_repeats(edge, length=200).collect()}
+    assert whole[7].n_removed == whole[7].n_bytes and whole[0].n_bytes == 0 and suffix.remove_repeats(nothing).count() == 0
+
+
+def test_repeats_of_rows_without_or_with_the_same_id(spark):
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(300)) for _ in range(4)]
+    rows = [(None, texts[0]), (1, texts[0]), (2, texts[1]), (2, texts[2]), (2, texts[2]), (None, texts[3]), (None, "x" + texts[1][50:] + "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = suffix.remove_repeats(df, length=60, gram=11).collect()
+    want = sorted((repr(i), *w) for (i, _), w in zip(rows, plain_removal([t for _, t in rows], 60)))
+    assert sorted((repr(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
+    assert sum(r.n_removed > 0 for r in got) == 6
 
 
 def test_suffix_array_and_intervals():
@@ -201,16 +215,72 @@ def test_suffix_array_and_intervals():
                 if (i == 0 or lcp[i] < low) and (j == len(order) - 1 or lcp[j + 1] < low):
                     want.add((low, i, j))
         assert set(zip(*(x.tolist() for x in suffix.lcp_intervals(lcp, least)))) == want
+        depths, first, last, parent, of_place = suffix.interval_tree(lcp, least)
+        for x, (d, a, b) in enumerate(zip(depths, first, last)):  # the parent is the smallest interval around
+            around = [(e - c, y) for y, (c, e) in enumerate(zip(first, last)) if c <= a and b <= e and y != x]
+            assert parent[x] == (min(around)[1] if around else -1)
+            assert all((of_place[k] == x) == (lcp[k] == d) or of_place[k] != x for k in range(a + 1, b + 1)) and any(of_place[k] == x for k in range(a + 1, b + 1))
+
+
+def test_suffixes_of_unequal_length_and_nul_bytes():
+    rng = random.Random(9)
+    for _ in range(80):
+        data = np.array([rng.choice(b"\0\0\0ab") for _ in range(rng.randint(1, 60))], np.uint8)
+        starts = np.array(sorted(rng.choices(range(len(data)), k=rng.randint(1, 30))))
+        sizes = np.array([rng.randint(0, len(data) - i) for i in starts])
+        order, lcp = suffix.suffix_array(data, starts, sizes)
+        keys = [bytes(data[i : i + n]) for i, n in zip(starts, sizes)]
+        assert [keys[i] for i in order] == sorted(keys)
+        for k in range(1, len(order)):
+            a, b = keys[order[k - 1]], keys[order[k]]
+            assert lcp[k] == next((n for n in range(min(len(a), len(b))) if a[n] != b[n]), min(len(a), len(b)))
 
 
-def test_repeated_starts_and_left_diversity():
-    contexts = [b"\xffhello world", b"xhello world", b"yhello worms"]
-    owner, place, group, diverse = suffix.repeated_starts(contexts, 5)
-    found = collections.defaultdict(list)
-    for o, p, g, d in zip(owner, place, group, diverse):
-        found[g].append((contexts[o][1 + p : 6 + p], bool(d)))
-    assert all(len({s for s, _ in v}) == 1 and len(v) > 1 for v in found.values())
-    assert {v[0] for v in found.values() if v[0][1]} >= {(b"hello", True)} and (b"ello ", False) in {v[0] for v in found.values()}
+def test_maximal_depths_against_all_intervals():
+    rng = random.Random(4)
+    for _ in range(80):
+        data = np.array([rng.choice(b"ab") for _ in range(rng.randint(5, 60))], np.uint8)
+        starts = np.arange(1, len(data))
+        order, lcp = suffix.suffix_array(data, starts, len(data) - starts)
+        left, outer = data[starts[order] - 1], np.array([rng.random() < 0.1 for _ in order])
+        least = rng.randint(1, 6)
+        want = [0] * len(order)
+        for d, a, b in zip(*(x.tolist() for x in suffix.lcp_intervals(lcp, least))):
+            if len(set(left[a : b + 1])) > 1 or outer[a : b + 1].any():
+                for k in range(a, b + 1):
+                    want[k] = max(want[k], d)
+        assert suffix.maximal_depths(lcp, left, outer, least).tolist() == want
+
+
+def test_removal_goes_through_the_stack_scan(spark, monkeypatch):
+    """The repeats of one anchor's contexts are nested and deeper than the least length."""
+    seen = []
+    plain = suffix.interval_tree
+
+    def watched(lcp, least):
+        out = plain(lcp, least)
+        seen.append((int(out[0].max()) if len(out[0]) else 0, int((out[3] >= 0).sum())))
+        return out
+
+    monkeypatch.setattr(suffix, "interval_tree", watched)
+    rng = random.Random(5)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(500))
+    texts = [base[:k] + "#" + str(k) + base[k:] for k in range(0, 500, 9)]
+    raw = [t.encode() for t in texts]
+    first, anchor, context = [], [], []
+    for d in raw:
+        row, a, b, hashes = suffix.anchor_runs(np.frombuffer(d, np.uint8), np.array([0, len(d)]), 40, 9)
+        for x, y, h in zip(a.tolist(), b.tolist(), hashes.view(np.int64).tolist()):
+            anchor.append(h)
+            context.append(d[x - 1 : y + 40] if x else bytes([suffix.START]) + d[: y + 40])
+    order = np.argsort(anchor, kind="stable")
+    joined = [context[i] for i in order]
+    n = len(order)
+    suffix.scan_contexts(np.array(anchor)[order], np.arange(n), np.ones(n, int), np.full(n, -1), np.frombuffer(b"".join(joined), np.uint8), np.cumsum([0, *map(len, joined)]), 40, False)
+    assert seen[0][0] > 40 and seen[0][1] > 0
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.remove_repeats(df, length=40, gram=9).collect()}
+    assert [got[i] for i in range(len(texts))] == plain_removal(texts, 40)
 
 
 # ------------------------------------------------------------------ decontamination

@@ -87,6 +87,25 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+class Scratch:
+    """Tables written for the steps of one operator; they are deleted when its block ends."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def written(self, df: DataFrame) -> DataFrame:
+        self.paths.append(f"{shared_dir(self.spark)}/tables/{uuid.uuid4().hex}")
+        df.write.parquet(self.paths[-1])
+        return self.spark.read.parquet(self.paths[-1])
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for path in self.paths:
+            _delete(self.spark, path)
+
+
 # --------------------------------------------------------------------------- bytes
 
 
