@@ -32,8 +32,10 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     marks = written(ids.filter("doc_id is not null and (n > 1 or not kept)"))
     once = docs.join(marks.select("doc_id"), "doc_id", "left_anti").select(docs.columns)
     repeated = docs.join(marks.filter("kept").select("doc_id"), "doc_id", "left_semi")
-    others = F.struct(*(c for c in docs.columns if c not in ("doc_id", "text")))
-    one = repeated.groupBy("doc_id", "text").agg(F.min(others).alias("rest")).select("doc_id", "text", "rest.*")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    one = repeated.distinct()
+    if others:
+        one = repeated.groupBy("doc_id", "text").agg(F.min(F.struct(*others)).alias("rest")).select("doc_id", "text", "rest.*")
     return once.unionByName(one.select(docs.columns))
 
 
@@ -51,9 +53,14 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document with its copies and their blocks in the mixture of sources."""
-    plan = mixing.mix_sources(docs).select(F.col("doc_id").alias("id"), F.col("source").alias("of"), "n_tokens", "weight_ppm", "copies", "blocks")
-    return docs.join(plan, docs.doc_id.eqNullSafe(plan.id) & docs.source.eqNullSafe(plan.of)).drop("id", "of")
+    """Each document with its copies and their blocks in the mixture of sources.
+
+    A column of the documents that has the name of one of these results is replaced by it.
+    """
+    added = ("n_tokens", "weight_ppm", "copies", "blocks")
+    plan = mixing.mix_sources(docs).alias("p")
+    kept = docs.drop(*added).alias("d")
+    return kept.join(plan, F.expr("d.doc_id <=> p.doc_id and d.source <=> p.source")).select("d.*", *(f"p.{c}" for c in added))
 
 
 STAGES = [
