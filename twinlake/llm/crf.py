@@ -11,12 +11,14 @@ Forward-backward over a batch of documents is exact and vectorised: the words of
 sequence with resets where documents begin, cut into equal strips. The strips' transfer matrices are
 multiplied out side by side, chained, and then each strip's vectors are computed side by side.
 
-The fit uses at most PER_LABEL labelled rows a label (those with the smallest hash of their id, and no
-longer than MAX_TRAIN_BYTES); everything else covers all rows and whole texts.
+The fit uses at most PER_LABEL labelled rows a label (those with the smallest hash of their id), of texts over
+MAX_TRAIN_CHARS that many characters from a place given by the hash, so a label of long texts is learned
+too; everything else covers all rows and whole texts. Training works through its sequences in pieces of
+TRAIN_CELLS words times labels, so the driver's memory does not grow with the square of the labels.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0; equal texts get equal results; rows
-without a label are not learned from; without any training row all is ``und``; an empty table gives an
-empty result.
+without a label or an id are not learned from (nor is a null id held out); without any training row all is ``und``;
+an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import Window
 from twinlake.llm.common import ALPHA, U64, Words, bounded_batches, mix, words_of
 
 PER_LABEL = 300
-MAX_TRAIN_BYTES = 20_000
+MAX_TRAIN_CHARS = 4_000
 #: Labels are collected to the driver and index small matrices; more of them are refused.
 MAX_LABELS = 256
 AFFIX = 3
@@ -42,7 +44,13 @@ EPOCHS = 40
 STEP = 0.08
 DECAY = 1e-4
 SPLICE = (5, 40)
+#: Training ends early after PATIENCE epochs that lower the mean miss of the right label by less than ENOUGH.
+ENOUGH, PATIENCE = 2e-5, 3
+#: Words times labels (or features times labels) that one step of the training holds.
+TRAIN_CELLS = 4 << 20
 STRIP = 512
+#: Chains of at most so many words are scanned side by side.
+SHORT_CHAIN = 256
 #: Text bytes scanned at a time; more of them make longer vectors.
 SCAN_BYTES = 4 << 20
 
@@ -82,10 +90,29 @@ def word_features(words: Words, which: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def emissions(table: np.ndarray, slots: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """words x labels: the mean weight of each word's features times their root number."""
-    if len(bounds) < 2:
-        return np.zeros((0, table.shape[1]), table.dtype)
-    sums = np.add.reduceat(table[slots], bounds[:-1], axis=0)
-    return sums / np.sqrt(np.diff(bounds))[:, None].astype(table.dtype)
+    words, k = len(bounds) - 1, table.shape[1]
+    out = np.zeros((words, k), table.dtype)
+    at = 0
+    while at < words:  # by pieces of bounded size
+        to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + 4 * TRAIN_CELLS // max(1, k), "right")) - 1)
+        out[at:to] = np.add.reduceat(table[slots[bounds[at] : bounds[to]]], bounds[at:to] - bounds[at], axis=0)
+        at = to
+    return out / np.sqrt(np.diff(bounds))[:, None].astype(table.dtype)
+
+
+def _scan_short(steps: np.ndarray, begin: np.ndarray, sizes: np.ndarray, first: np.ndarray, transition: np.ndarray) -> np.ndarray:
+    """As _scan, for short chains: one word of every chain at a time."""
+    order = np.argsort(-sizes, kind="stable")  # longest first, so that those still going on are the first ones
+    begin, sizes = begin[order], sizes[order]
+    out = np.empty_like(steps)
+    vector = np.broadcast_to(first, (len(begin), len(first)))
+    for t in range(int(sizes[0])):
+        go = int(np.searchsorted(-sizes, -t, "left"))
+        at = begin[:go] + t
+        vector = (vector[:go] if t == 0 else vector[:go] @ transition) * steps[at]
+        vector = vector / vector.sum(1, keepdims=True)
+        out[at] = vector
+    return out
 
 
 def _scan(steps: np.ndarray, resets: np.ndarray, first: np.ndarray, transition: np.ndarray) -> np.ndarray:
@@ -94,6 +121,10 @@ def _scan(steps: np.ndarray, resets: np.ndarray, first: np.ndarray, transition:
     steps: n x k positive emissions; resets: where a chain begins; first: k start weights.
     """
     n, k = steps.shape
+    begin = np.flatnonzero(resets)
+    sizes = np.diff(np.append(begin, n))
+    if n and begin[0] == 0 and sizes.max() <= SHORT_CHAIN:
+        return _scan_short(steps, begin, sizes, first, transition)
     strips = max(1, -(-n // STRIP))
     width = -(-n // strips)
     e = np.ones((strips * width, k), steps.dtype)
@@ -141,6 +172,15 @@ def forward_backward(scores: np.ndarray, begins: np.ndarray, start: np.ndarray,
     return marginals, forward, behind
 
 
+def expected_transitions(forward: np.ndarray, behind: np.ndarray, begins: np.ndarray, transition: np.ndarray) -> np.ndarray:
+    """labels x labels: the expected number of each transition within the chains, by one matrix product."""
+    inner = np.flatnonzero(~begins)
+    a = np.exp(transition)
+    before, after = forward[inner - 1].astype(np.float64), behind[inner].astype(np.float64)
+    z = np.einsum("ti,ti->t", before @ a, after)
+    return a * (before.T @ (after / z[:, None]))
+
+
 class Crf:
     def __init__(self, labels: list[str], table: np.ndarray, start: np.ndarray, transition: np.ndarray):
         self.labels, self.table, self.start, self.transition = labels, table, start, transition
@@ -197,26 +237,38 @@ def train(texts: list[str], languages: list[str], seed: int = 7) -> Crf:
     _, which, inverse = np.unique(words.hashes()[picked], return_index=True, return_inverse=True)
     slots, bounds = word_features(words, picked[which])
     owner, root = np.repeat(np.arange(len(which)), np.diff(bounds)), np.sqrt(np.diff(bounds))
-    target = np.zeros((n, k), np.float32)
-    target[np.arange(n), gold] = 1
     inner = np.flatnonzero(~starts)
     seen = np.zeros((k, k))
     np.add.at(seen, (gold[inner - 1], gold[inner]), 1)
+    chains = np.append(begins, n)
+    pieces = [0]  # whole chains, TRAIN_CELLS words times labels each
+    while pieces[-1] < n:
+        pieces.append(max(int(chains[np.searchsorted(chains, pieces[-1], "right")]), int(chains[np.searchsorted(chains, pieces[-1] + TRAIN_CELLS // k, "right") - 1])))
     moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (crf.table, crf.start, crf.transition)]
+    least, idle = np.inf, 0
     for epoch in range(1, EPOCHS + 1):
-        scores = emissions(crf.table, slots, bounds)[inverse]
-        marginals, forward, behind = forward_backward(scores, starts, crf.start, crf.transition)
-        miss = target - marginals
-        by_word = np.stack([np.bincount(inverse, miss[:, y], len(which)) for y in range(k)], 1) / root[:, None]
+        scores = emissions(crf.table, slots, bounds)
+        by_word, of_start, expected, missed = np.zeros((len(which), k)), np.zeros(k), np.zeros((k, k)), 0.0
+        for a, b in zip(pieces, pieces[1:]):
+            marginals, forward, behind = forward_backward(scores[inverse[a:b]], starts[a:b], crf.start, crf.transition)
+            expected += expected_transitions(forward, behind, starts[a:b], crf.transition)
+            miss = -marginals
+            miss[np.arange(b - a), gold[a:b]] += 1
+            missed += float(miss[np.arange(b - a), gold[a:b]].sum())
+            for y in range(k):
+                by_word[:, y] += np.bincount(inverse[a:b], miss[:, y], len(which))
+            of_start += miss[starts[a:b]].sum(0)
+        by_word /= root[:, None]
         grad_table = np.stack([np.bincount(slots, by_word[owner, y], 1 << TABLE_BITS) for y in range(k)], 1)
-        pairs = forward[inner - 1][:, :, None] * np.exp(crf.transition) * behind[inner][:, None, :]
-        expected = (pairs / pairs.sum((1, 2), keepdims=True)).sum(0)
-        grads = (grad_table, miss[starts].sum(0), seen - expected)
-        for x, (m, v), g in zip((crf.table, crf.start, crf.transition), moments, grads):
+        for x, (m, v), g in zip((crf.table, crf.start, crf.transition), moments, (grad_table, of_start, seen - expected)):
             g = g / n - DECAY * x / 100
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             x += STEP * (m / (1 - 0.9**epoch)) / (np.sqrt(v / (1 - 0.99**epoch)) + 1e-8)
+        idle = idle + 1 if missed / n > least - ENOUGH else 0
+        least = min(least, missed / n)
+        if idle >= PATIENCE:
+            break
     return crf
 
 
@@ -226,7 +278,7 @@ def labelled_sample(df: DataFrame, *, per_label: int = PER_LABEL) -> DataFrame:
     Two scans, however many labels: one counts the rows of each, one takes those under a hash that leaves
     about twice as many as are wanted, of which the smallest are kept.
     """
-    rows = df.filter((F.crc32(F.col("doc_id").cast("string")) % 4 != 2) & F.col("lang").isNotNull() & (F.length("text") <= MAX_TRAIN_BYTES) & F.col("text").rlike(r"\p{L}"))
+    rows = df.filter((F.crc32(F.col("doc_id").cast("string")) % 4 != 2) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LABELS + 1).collect()
     if len(sizes) > MAX_LABELS:
         raise ValueError(f"more than {MAX_LABELS} labels")
@@ -234,7 +286,9 @@ def labelled_sample(df: DataFrame, *, per_label: int = PER_LABEL) -> DataFrame:
     h = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 40))
     some = rows.withColumn("h", h).join(F.broadcast(limits), "lang").filter(F.col("h") < F.col("share") * (1 << 40))  # at most MAX_LABELS rows
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    return some.withColumn("rank", rank).filter(F.col("rank") <= per_label).select("text", "lang")
+    n, h = F.length("text"), F.col("h")
+    part = F.when(n > MAX_TRAIN_CHARS, F.substr("text", (1 + h % (n - MAX_TRAIN_CHARS + 1)).cast("int"), F.lit(MAX_TRAIN_CHARS))).otherwise(F.col("text"))
+    return some.withColumn("rank", rank).filter(F.col("rank") <= per_label).select(part.alias("text"), "lang")
 
 
 def fit(df: DataFrame, *, per_label: int = PER_LABEL) -> Crf:
