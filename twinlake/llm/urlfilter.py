@@ -15,6 +15,7 @@ empty result; other columns of the input are left out (only ``id`` and ``url`` a
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterable
 
 import pyarrow as pa
@@ -28,14 +29,18 @@ MAX_RULES = 200_000
 
 
 class HostPathTrie:
-    """Host labels from the right, then path segments; ``tails`` hold rule paths that end within a segment."""
+    """Host labels from the right, then path segments; ``tails`` hold rule paths that end within a segment.
 
-    __slots__ = ("labels", "segments", "tails", "rule")
+    A segment is looked up in them by each of the lengths that they have, so the number of tails does not matter.
+    """
+
+    __slots__ = ("labels", "segments", "tails", "lengths", "rule")
 
     def __init__(self):
         self.labels: dict[str, HostPathTrie] = {}
         self.segments: dict[str, HostPathTrie] = {}
-        self.tails: list[tuple[str, tuple[str, bool]]] = []
+        self.tails: dict[str, tuple[str, bool]] = {}
+        self.lengths: list[int] = []  # of the tails, ascending
         self.rule: tuple[str, bool] | None = None
 
     def add(self, rule: str, block: bool) -> None:
@@ -49,7 +54,10 @@ class HostPathTrie:
         for segment in whole:
             node = node.segments.setdefault(segment, HostPathTrie())
         if tail:
-            node.tails.append((tail, (rule, block)))
+            node.tails[tail] = _longer(node.tails.get(tail), (rule, block))
+            at = bisect_left(node.lengths, len(tail))
+            if at == len(node.lengths) or node.lengths[at] != len(tail):
+                node.lengths.insert(at, len(tail))
         elif node.rule is None or block:
             node.rule = (rule, block)
 
@@ -66,9 +74,10 @@ class HostPathTrie:
             at = node
             best = _longer(best, at.rule)
             for k, segment in enumerate(segments):
-                for tail, rule in at.tails:
-                    if segment.startswith(tail):
-                        best = _longer(best, rule)
+                for n in at.lengths:
+                    if n > len(segment):
+                        break
+                    best = _longer(best, at.tails.get(segment[:n]))
                 at = at.segments.get(segment) if k + 1 < len(segments) else None
                 if at is None:
                     break
@@ -86,10 +95,10 @@ def build_trie(allow: Iterable[str], block: Iterable[str]) -> HostPathTrie:
     trie, n = HostPathTrie(), 0
     for rules, blocks in ((allow, False), (block, True)):
         for rule in rules:
-            trie.add(rule, blocks)
             n += 1
-    if n > MAX_RULES:
-        raise ValueError(f"{n} rules; at most {MAX_RULES} are shipped to the tasks")
+            if n > MAX_RULES:
+                raise ValueError(f"more than {MAX_RULES} rules; so many are not shipped to the tasks")
+            trie.add(rule, blocks)
     return trie
 
 
@@ -101,7 +110,7 @@ def split_url(url: str = "url") -> tuple:
     """(host, path) columns of a url column, computed in the JVM."""
     u = F.coalesce(F.col(url), F.lit(""))
     at = F.instr(u, "://")
-    rest = F.when(at > 0, F.expr(f"substring(coalesce({url}, ''), instr(coalesce({url}, ''), '://') + 3)")).otherwise(F.lit(""))
+    rest = F.when(at > 0, F.substr(u, at + 3)).otherwise(F.lit(""))
     host = F.translate(F.regexp_extract(rest, r"^[^/?#]*", 0), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     path = F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
     return host, path
