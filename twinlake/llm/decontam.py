@@ -10,8 +10,10 @@ A retrieved item is confirmed by the overlap of k-word shingles of its question
 passage. The answer is the item's last sentence, or its last third if it has but one.
 
 Words are runs of letters, digits and non-ASCII characters, in lower case. Cases: null and empty texts have
-no passage; items without words are never found; equal items are all reported; an empty benchmark or table
-gives no rows; extra columns pass through ``drop_contaminated``.
+no passage; items of less than MIN_WORDS words hold too little to tell a copy from common speech, and are never
+found, like those without words; equal items, and items that repeat an id, are all reported (under their ids, which
+may be of any type, or null); an empty benchmark or table gives no rows; a null ``doc_id`` is passed on; extra
+columns pass through ``drop_contaminated``.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from twinlake.llm.common import ALNUM, U64, Lookup, Words, bounded_batches, words_of
 
@@ -35,6 +38,8 @@ SHINGLE = 5
 QUESTION_OVERLAP = 0.8
 ANSWER_OVERLAP = 0.5
 LEAST_STRIDE = 32
+#: Items of less words (as many as a shingle has) are not looked for.
+MIN_WORDS = SHINGLE
 #: The index is shipped to every task, so the benchmark's size is checked first and more is refused.
 MAX_ITEMS = 500_000
 MAX_BYTES = 256 << 20
@@ -73,11 +78,11 @@ def overlap(part: np.ndarray, passage: np.ndarray) -> float:
 class Index:
     """Postings per term, by item, with impacts as shares of the item's score for its own words."""
 
-    def __init__(self, items: list[tuple[int, str]]):
-        items = sorted(items)
+    def __init__(self, items: list[tuple[object, str | None]]):
+        items = sorted(((i, t or "") for i, t in items), key=lambda x: (x[1], repr(x[0])))
         self.ids = [i for i, _ in items]
-        texts = [t or "" for _, t in items]
-        words = _hashes(texts)
+        texts = [t for _, t in items]
+        words = [w if len(w) >= MIN_WORDS else w[:0] for w in _hashes(texts)]
         split = [question_and_answer(t) for t in texts]
         self.questions, self.answers = _hashes([q for q, _ in split]), _hashes([a for _, a in split])
         lengths = np.array([len(w) for w in words], float)
@@ -222,13 +227,15 @@ def build_index(benchmark: DataFrame, *, id: str = "item_id", text: str = "text"
     size = benchmark.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.col(text))), F.lit(0)).alias("b")).first()
     if size.n > MAX_ITEMS or size.b > MAX_BYTES:
         raise ValueError(f"benchmark of {size.n} items and {size.b} bytes; at most {MAX_ITEMS} and {MAX_BYTES} are shipped to the tasks")
-    return Index([(r[0], r[1]) for r in benchmark.select(id, text).filter(F.col(id).isNotNull()).collect()])
+    return Index([(r[0], r[1]) for r in benchmark.select(id, text).collect()])
 
 
 def contaminated(df: DataFrame, benchmark: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document and confirmed item: doc_id, item_id, score (best passage), overlaps, passages."""
     bounded_batches(df.sparkSession)
     rows = df.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
+    kind = benchmark.schema["item_id"].dataType
+    item_type = to_arrow_type(kind)
     shared = df.sparkSession.sparkContext.broadcast(build_index(benchmark))
     names = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "passages"]
 
@@ -246,14 +253,14 @@ def contaminated(df: DataFrame, benchmark: DataFrame, *, id: str = "doc_id", tex
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(pa.array([k[0] for k in keys], pa.int64())),
-                        pa.array([index.ids[k[1]] for k in keys], pa.int64()),
+                        pa.array([index.ids[k[1]] for k in keys], item_type),
                         *(pa.array(list(v), pa.float64()) for v in values[:3]),
                         pa.array(list(values[3]), pa.int64()),
                     ],
                     names,
                 )
 
-    return rows.mapInArrow(search, f"doc_id {dict(rows.dtypes)['doc_id']}, item_id long, score double, question_overlap double, answer_overlap double, passages long")
+    return rows.mapInArrow(search, f"doc_id {dict(rows.dtypes)['doc_id']}, item_id {kind.simpleString()}, score double, question_overlap double, answer_overlap double, passages long")
 
 
 def drop_contaminated(df: DataFrame, benchmark: DataFrame, *, text: str = "text") -> DataFrame:
