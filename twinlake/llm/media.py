@@ -105,7 +105,7 @@ def media_of(text: bytes) -> dict:
 
 
 _FULL = "doc_id {0}, n_bytes long, payload_bytes long, wav binary, codes array<long>"
-_DIGEST = "doc_id {0}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_pairs long"
+_DIGEST = "doc_id {0}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_pairs long, codes array<long>"
 
 
 def media_columns(df: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -114,7 +114,10 @@ def media_columns(df: DataFrame, *, id: str = "doc_id", text: str = "text") -> D
 
 
 def media_digests(df: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """As media_columns, with digests in place of the file and the array, so that neither leaves its task."""
+    """As media_columns, with digests of the payload and in place of the file, which does not leave its task.
+
+    ``feature`` is the digest of ``codes``.
+    """
     return _run(df, id, text, digest=True)
 
 
@@ -122,9 +125,9 @@ def _row(text: bytes, digest: bool) -> tuple:
     m = media_of(text)
     back, stored, codes = m["payload"], m["wav"], m["codes"]
     if not digest:
-        return len(text), len(back), stored, codes.tolist()
+        return len(text), len(back), stored, codes
     feature = hashlib.sha256(codes.astype("<i8").tobytes()).hexdigest()
-    return len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), feature, len(codes)
+    return len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), feature, len(codes), codes
 
 
 def _run(df: DataFrame, id: str, text: str, digest: bool) -> DataFrame:
