@@ -13,7 +13,9 @@ With ROWS values a band, two sets of similarity s share some band with probabili
 1 - (1 - s**ROWS)**BANDS: more than 0.99999 at 0.8.
 
 Cases: a text without words (null, empty, only spaces) has an empty set and is linked with nothing; a
-text with fewer than k words is one shingle; repeated rows with one id and text count as copies; an
+text with fewer than k words is one shingle; repeated rows with one id and text count as copies; a row
+without an id cannot stand for others: it gets the component of a row with an equal text and an id, if there
+is one, else null, and is always kept (two rows without an id are not compared with each other); an
 empty table gives an empty result; other columns are not read.
 """
 

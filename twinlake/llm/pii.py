@@ -10,7 +10,7 @@ one start right after the previous match) and never give back what they took, so
 
 Cases: a null or empty text has no spans; overlapping spans of different kinds are all reported;
 ``redact`` replaces overlapping spans as one, named by the first; repeated rows are treated alike;
-extra columns pass through ``with_spans`` and ``redact`` unless they are named ``spans``.
+extra columns pass through, whatever their names (``with_spans`` replaces one of the name that it is to give).
 """
 
 from __future__ import annotations
@@ -131,10 +131,10 @@ def _spans(text: Column, kind: str) -> Column:
     return F.when(gate, found).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
 
-def with_spans(df: DataFrame, text: str = "text", kinds: tuple[str, ...] = KINDS + EXTRA_KINDS) -> DataFrame:
-    """df with ``spans``: array<struct<start, ord, end, kind, match, around>> of all kinds, by start, then kind."""
+def with_spans(df: DataFrame, text: str = "text", kinds: tuple[str, ...] = KINDS + EXTRA_KINDS, into: str = "spans") -> DataFrame:
+    """df with ``into``: array<struct<start, ord, end, kind, match, around>> of all kinds, by start, then kind."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    return df.withColumn("spans", F.array_sort(F.concat(*(_spans(whole, k) for k in kinds))))
+    return df.withColumn(into, F.array_sort(F.concat(*(_spans(whole, k) for k in kinds))))
 
 
 def score_spans(df: DataFrame) -> DataFrame:
@@ -163,7 +163,10 @@ def redact(df: DataFrame, text: str = "text", kinds: tuple[str, ...] = KINDS + E
 
     Of overlapping spans the first gives the name and all are covered.
     """
-    spans = with_spans(df, text, kinds)
+    found = "spans"
+    while found.lower() in {c.lower() for c in df.columns}:
+        found += "_"
+    spans = with_spans(df, text, kinds, found)
 
     def view(at: Column, part: Column) -> Column:
         return F.substr(F.col(text), at + 1, F.array_max(F.transform(part, lambda s: s["end"])) - at)
@@ -173,9 +176,9 @@ def redact(df: DataFrame, text: str = "text", kinds: tuple[str, ...] = KINDS + E
         named = F.array(piece, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
         return F.greatest(at, s["end"]), F.when(s["start"] >= at, named).otherwise(F.array().cast("array<string>"))
 
-    last, pieces = _fold(F.col("spans"), "string", step, view)
+    last, pieces = _fold(F.col(found), "string", step, view)
     clean = F.concat(F.array_join(pieces, ""), F.substr(F.col(text), last + 1))
-    return spans.withColumn(text, F.when(F.size("spans") > 0, clean).otherwise(F.col(text))).drop("spans")
+    return spans.withColumn(text, F.when(F.size(found) > 0, clean).otherwise(F.col(text))).drop(found)
 
 
 def find_pii(df: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
