@@ -14,7 +14,7 @@ def op1_language(spark, sf_dir):
 
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     out = identify(docs, fit(docs))
-    return out.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out"), "lang_pred", "score", "mixed")
+    return out.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "mixed")
 
 
 def op2_url_filter(spark, sf_dir):
@@ -54,6 +54,21 @@ def op7_pii(spark, sf_dir):
     return find_pii(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def license_base(spark, sf_dir):
+    """The columns of op6 that SQL can express."""
+    return op6_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def media_payload(spark, sf_dir):
+    """The columns of op5 that SQL can express."""
+    return op5_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "media_bytes", "media_sha256")
+
+
+def pii_base(spark, sf_dir):
+    """The columns of op7 that SQL can express."""
+    return op7_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
+
+
 def op8_toxicity(spark, sf_dir):
     from pyspark.sql import functions as F
 
@@ -62,7 +77,7 @@ def op8_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     model = fit(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
     out = score_toxicity(docs, model)
-    return out.select("doc_id", held_out().alias("held_out"), "score", ((F.col("score") >= 0.3) & (F.col("best") > 0)).cast("int").alias("predicted"), "n_words", "passages")
+    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "n_words", "passages")
 
 
 def op9_mixing(spark, sf_dir):
@@ -78,7 +93,7 @@ def op10_repeats(spark, sf_dir):
 
 
 def queries():
-    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
+    return {k: f for k, f in globals().items() if callable(f) and (k.startswith("op") or k in ("license_base", "media_payload", "pii_base"))}
 
 
 def oracle_sql():

@@ -1,22 +1,27 @@
 """Toxicity by maximum-scoring segments over token log-odds.
 
-Fit, on at most ``max_rows`` labelled rows (those with the smallest hash of their id): document
-frequencies of the tokens in toxic and in clean texts, log-odds with a Dirichlet prior in proportion to
-the token's overall frequency, and the tokens whose log-odds are clearly positive. Every other token
-scores the small negative DRIFT. The rate and scale of the extreme-value law of segment scores
-(expected number of segments of at least s in n tokens: K * n * exp(-lambda * s)) come from the clean
-rows, and a logistic curve maps a text's significant segments, less what chance gives, to a probability.
-Several of them count together: under the law the r best normalised scores have a sum of at least t with
-probability about exp(-t) * t**(r-1) / (r! * (r-1)!) (Karlin and Altschul's sum statistic), and the least likely
-r counts, each further segment at half the weight for the choice.
-
-Score: one linear scan over each whole text finds all maximal scoring segments (Ruzzo and Tompa's scan;
-only tokens that score above 0 can start or end one, so runs between them are summed at once).
-Segments with an expected number below ``E_VALUE`` are the toxic passages.
+Fit, on at most ``max_rows`` labelled rows (those with the smallest hash of their id): in how many toxic and
+clean texts each unit occurs. Units are words and their prefixes of LEAST_PREFIX to LONGEST_PREFIX bytes, so
+that an inflected word that was never seen has the odds of its stem. The toxic share of a unit's texts has a
+Dirichlet prior of PRIOR_TEXTS texts that are split as those of the next shorter prefix are (of all texts, for
+the shortest). A token scores the log-odds of its longest known unit against those of all texts, negative ones too,
+less COST: what a passage must gain from each of its tokens, so that common text scores below 0. Units in fewer
+than MIN_TEXTS texts are left to the prior, so a token of unknown units has log-odds 0.
+
+Score: one linear scan over each whole text finds all maximal scoring segments (Ruzzo and Tompa's scan; tokens
+above 0 that follow each other are one step, and all between two steps are summed at once). By the extreme-value law
+n tokens hold K * n * exp(-lambda * s) segments of score s or more by chance; lambda and K are the maximum
+likelihood estimates from the best segments of the clean rows. Segments with an expected number below
+``E_VALUE`` are the toxic passages. Several of them count together: the r best normalised scores have a sum of
+at least t with probability about exp(-t) * t**(r-1) / (r! * (r-1)!) (Karlin and Altschul's sum statistic), and
+the least likely r counts, each further segment at half the weight for the choice. A logistic curve maps the
+result to a probability. The law and the curve are fitted on scores by the odds of the other half of the rows,
+so that no text is judged by its own counts.
 
 Cases: null and empty texts have no segment and get the score of such texts; labels other than 0 and 1
-and null ids are not learned from; without labelled rows no token is toxic and every score is 0.5, which
-is no evidence: a text without a toxic token is never dropped, whatever its score; copies of a text count once in the fit; an empty table gives an empty result.
+and null ids are not learned from (a null id is not held out either); without labelled rows of both kinds
+there is no evidence, and every score is NO_EVIDENCE; copies of a text count once in the fit; an empty
+table gives an empty result; other columns are not read, and ``drop_toxic`` keeps them all.
 """
 
 from __future__ import annotations
@@ -28,112 +33,153 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinlake.llm.common import ALPHA, U64, Lookup, bounded_batches, words_of
+from twinlake.llm.common import ALPHA, U64, Lookup, Words, bounded_batches, mix, prefix_hash, span_hash, words_of
 
-#: Bound on the labelled rows of the fit, and what a token needs to count as toxic.
+#: Bound on the labelled rows of the fit, and on the units that are shipped to the tasks (those in most texts).
 MAX_ROWS = 20_000
-PRIOR_WEIGHT = 100.0
-MIN_TOXIC_DOCS = 3
-MIN_Z = 2.5
-DRIFT = -0.1
+MAX_UNITS = 500_000
+LEAST_PREFIX, LONGEST_PREFIX = 3, 10
+PRIOR_TEXTS = 5.0
+MIN_TEXTS = 3
+COST = 1.5
 E_VALUE = 0.05
+NO_EVIDENCE = 0.1
+#: Normalised scores are kept within these bounds; the lower one is that of a text without a segment.
+LOW, HIGH = -5.0, 30.0
+_WHOLE = U64(0xA0761D6478BD642F)
 
 
 def held_out(id: str = "doc_id"):
-    return F.crc32(F.col(id).cast("string")) % 4 == 2
+    return F.coalesce(F.crc32(F.col(id).cast("string")) % 4 == 2, F.lit(False))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """(text, toxic) of at most max_rows labelled rows outside the held-out quarter, equal texts once."""
-    ids = labels.filter(~held_out() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    """(text, toxic, fold) of at most max_rows labelled rows outside the held-out quarter, equal texts once."""
+    ids = labels.filter(F.col("doc_id").isNotNull() & ~held_out() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     rows = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(ids), "doc_id")  # at most max_rows ids
-    return rows.groupBy(F.xxhash64("text").alias("h"), F.length("text").alias("n")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
+    once = rows.groupBy(F.xxhash64("text").alias("h"), F.length("text").alias("n")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
+    return once.select("text", "toxic", F.pmod("h", F.lit(2)).cast("int").alias("fold"))
 
 
-def token_frequencies(sample: DataFrame) -> DataFrame:
-    """token (hash), toxic and clean: in how many texts of each kind it occurs; tokens: their total words."""
+def units_of(words: Words, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word, unit, parent, size) of all units of the given words; size 255 is the whole word, parent 0 none."""
+    start, size = words.start[which], (words.end - words.start)[which]
+    hashed = prefix_hash(words.data)
+    out, parent, own = [], np.zeros(len(which), U64), np.arange(len(which))
+    for n in range(LEAST_PREFIX, LONGEST_PREFIX + 1):
+        long = np.flatnonzero(size >= n)
+        unit = span_hash(hashed, start[long], start[long] + n)
+        out.append((own[long], unit, parent[long], np.full(len(long), n)))
+        parent[long] = unit
+    out.append((own, mix(words.hashes()[which] ^ _WHOLE), parent, np.full(len(own), 255)))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+def unit_frequencies(sample: DataFrame) -> DataFrame:
+    """unit, parent, size, and in how many toxic and clean texts of each fold it occurs (t0, c0, t1, c1)."""
+    names = ["unit", "parent", "size", "t0", "c0", "t1", "c1"]
 
     def count(batches):
         for batch in batches:
-            labels = np.asarray(batch.column(1).to_numpy(zero_copy_only=False))
+            kind = batch.column(1).to_numpy(zero_copy_only=False) != 1  # 0 toxic, 1 clean
+            kind = kind + 2 * batch.column(2).to_numpy(zero_copy_only=False)
             for i, j, words in words_of(batch.column(0), ALPHA):
-                h, rows = words.hashes(), words.rows()
-                order = np.lexsort((rows, h))
-                h, rows = h[order], rows[order]
-                first = np.ones(len(h), bool)
-                first[1:] = (h[1:] != h[:-1]) | (rows[1:] != rows[:-1])
-                toxic = labels[i:j][rows] == 1
-                keys, inverse = np.unique(h, return_inverse=True)
-                sums = [np.bincount(inverse, w, len(keys)).astype(np.int64) if len(keys) else np.zeros(0, np.int64) for w in (first & toxic, first & ~toxic, ~toxic)]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *map(pa.array, sums)], ["token", "toxic", "clean", "clean_words"])
+                word, unit, parent, size = units_of(words, np.arange(len(words.start)))
+                row = words.rows()[word]
+                order = np.lexsort((row, unit))
+                unit, row = unit[order], row[order]
+                first = np.ones(len(unit), bool)
+                first[1:] = (unit[1:] != unit[:-1]) | (row[1:] != row[:-1])
+                keys, at, inverse = np.unique(unit, return_index=True, return_inverse=True)
+                of = kind[i:j][row]
+                sums = [np.bincount(inverse, first & (of == k), len(keys)).astype(np.int64) for k in range(4)] if len(keys) else [np.zeros(0, np.int64)] * 4
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys.view(np.int64)), pa.array(parent[order][at].view(np.int64)), pa.array(size[order][at].astype(np.int64)), *map(pa.array, sums)], names
+                )
 
-    parts = sample.select("text", "toxic").mapInArrow(count, "token long, toxic long, clean long, clean_words long")
-    return parts.groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.sum("clean_words").alias("clean_words"))
+    parts = sample.select("text", "toxic", "fold").mapInArrow(count, ", ".join(f"{n} long" for n in names))
+    return parts.groupBy("unit").agg(F.min("parent").alias("parent"), F.min("size").alias("size"), *(F.sum(n).alias(n) for n in names[3:]))
 
 
-class Model:
-    """Toxic tokens with their log-odds, the extreme-value law and the logistic curve."""
+def unit_odds(unit: np.ndarray, parent: np.ndarray, size: np.ndarray, toxic: np.ndarray, clean: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """(units, log-odds): of those in MIN_TEXTS texts at least, by their counts and their parents' shares."""
+    keep = np.flatnonzero(toxic + clean >= MIN_TEXTS)
+    unit, parent, size, toxic, clean = (x[keep] for x in (unit, parent, size, toxic, clean))
+    order = np.argsort(unit)
+    at = np.minimum(np.searchsorted(unit[order], parent), max(0, len(unit) - 1))
+    above = np.where(unit[order][at] == parent, order[at], -1) if len(unit) else at
+    p = np.full(len(unit) + 1, share)  # the last is the root
+    for n in np.unique(size):
+        now = np.flatnonzero(size == n)
+        p[now] = (toxic[now] + PRIOR_TEXTS * p[above[now]]) / (toxic[now] + clean[now] + PRIOR_TEXTS)
+    return unit, (np.log(p) - np.log1p(-p))[:-1] - (math.log(share) - math.log1p(-share))
 
-    def __init__(self, tokens: np.ndarray, scores: np.ndarray, decay: float, scale: float):
-        self.lookup, self.scores, self.decay, self.scale = Lookup(tokens), scores, decay, scale
-        self.base, self.slope = 0.0, 1.0
 
-    def excess(self, best: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """By how much the best segment exceeds what chance gives in n tokens (0: no segment)."""
-        chance = np.log(self.scale * np.maximum(n, 1))
-        return np.where(best > 0, np.clip(self.decay * best - chance, 0, 30), 0.0)
+class Model:
+    """Units with their scores, the extreme-value law and the logistic curve."""
+
+    def __init__(self, units: np.ndarray, odds: np.ndarray, decay: float = 1.0, scale: float = 1.0):
+        self.lookup, self.scores, self.decay, self.scale = Lookup(units), odds - COST, decay, scale
+        self.base, self.slope = math.log(NO_EVIDENCE / (1 - NO_EVIDENCE)), 0.0
+
+    def token_scores(self, words: Words) -> np.ndarray:
+        h = words.hashes()
+        if not len(h) or not len(self.scores):
+            return np.full(len(h), -COST)
+        _, which, inverse = np.unique(h, return_index=True, return_inverse=True)
+        start, size = words.start[which], (words.end - words.start)[which]
+        hashed = prefix_hash(words.data)
+        value, alive = np.full(len(which), -COST), np.ones(len(which), bool)
+        for n in range(LEAST_PREFIX, LONGEST_PREFIX + 1):
+            long = np.flatnonzero(alive & (size >= n))
+            hit, kind = self.lookup(span_hash(hashed, start[long], start[long] + n))
+            alive[long] = False
+            alive[long[hit]] = True
+            value[long[hit]] = self.scores[kind]
+        left = np.flatnonzero(alive)
+        hit, kind = self.lookup(mix(h[which[left]] ^ _WHOLE))
+        value[left[hit]] = self.scores[kind]
+        return value[inverse]
+
+    def normalised(self, scores: np.ndarray, n: int | np.ndarray) -> np.ndarray:
+        """The log of how unlikely segments of these scores are among n tokens."""
+        return self.decay * np.asarray(scores, float) - np.log(self.scale * np.maximum(n, 1))
 
     def together(self, scores: list[float], n: int) -> float:
-        """The excess of all significant segments of a text of n tokens: that of the best one, or more."""
-        x = np.sort(self.decay * np.array(scores) - math.log(self.scale * max(n, 1)))[::-1]
+        """The normalised score of all significant segments of a text of n tokens: that of the best one, or more."""
+        if not scores:
+            return LOW
+        x = np.sort(self.normalised(scores, n))[::-1]
         x = np.concatenate([x[:1], x[1:][x[1:] > -math.log(E_VALUE)]])
-        if len(x) > 1 and x[0] > -math.log(E_VALUE):
+        if len(x) > 1:
             r = np.arange(1, len(x) + 1)
             t = np.cumsum(x)
             logs = np.cumsum(np.log(r))  # of r!
             x = t - (r - 1) * np.log(2 * t) + 2 * logs - np.log(r)
-        return float(np.clip(x.max(), 0, 30))
-
-    def probability(self, best: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """For texts with one segment."""
-        return self.curve(self.excess(best, n))
-
-    def curve(self, excess: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-(self.base + self.slope * excess)))
-
-    def toxic_words(self, words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place, token, bounds by row) of the toxic tokens, in order."""
-        hits, kinds = self.lookup(words.hashes())
-        order = np.argsort(hits)
-        return hits[order], kinds[order], np.searchsorted(hits[order], words.bounds)
-
-    def best(self, words) -> tuple[np.ndarray, np.ndarray]:
-        """The highest segment score and the excess of all segments of each row."""
-        hits, kinds, bounds = self.toxic_words(words)
-        out, excess = np.zeros(len(words.counts)), np.zeros(len(words.counts))
-        for row in np.flatnonzero(np.diff(bounds)).tolist():
-            part = slice(bounds[row], bounds[row + 1])
-            scores = [s for _, _, s in self.segments(hits[part] - words.bounds[row], kinds[part])]
-            out[row], excess[row] = max(scores), self.together(scores, words.counts[row])
-        return out, excess
-
-    def segments(self, at: np.ndarray, kinds: np.ndarray) -> list[tuple[int, int, float]]:
-        """All maximal segments (first word, last word, score) given the toxic tokens' places."""
-        return maximal_segments(at.tolist(), self.scores[kinds].tolist(), DRIFT)
-
-
-def maximal_segments(at: list[int], gain: list[float], drift: float) -> list[tuple[int, int, float]]:
-    """Ruzzo and Tompa's scan over positive tokens at the given places, ``drift`` for each word between."""
+        return float(np.clip(x.max(), LOW, HIGH))
+
+    def curve(self, together: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-(self.base + self.slope * np.asarray(together))))
+
+    def judge(self, words: Words):
+        """(row, segments) of each row with a segment; segments: (first word, last word, score)."""
+        scores = self.token_scores(words)
+        rows = words.rows()
+        for row in np.unique(rows[scores > 0]).tolist():
+            yield row, maximal_segments(scores[words.bounds[row] : words.bounds[row + 1]])
+
+
+def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
+    """Ruzzo and Tompa's scan: all maximal scoring segments (first, last, score), in order."""
+    total = np.concatenate([[0.0], np.cumsum(scores)])
+    above = np.concatenate([[False], scores > 0, [False]])
+    begin, end = np.flatnonzero(~above[:-1] & above[1:]), np.flatnonzero(above[:-1] & ~above[1:])
     low: list[float] = []  # sums before and after each candidate, its first and last place
     high: list[float] = []
     ends: list[tuple[int, int]] = []
     back: list[int] = []  # the nearest earlier candidate that starts lower
-    total, last = 0.0, -1
-    for place, score in zip(at, gain):
-        left = total + drift * (place - last - 1)
-        total = right = left + score
-        first, last = place, place
+    for first, last, left, right in zip(begin.tolist(), (end - 1).tolist(), total[begin].tolist(), total[end].tolist()):
         while True:
             j = len(low) - 1
             while j >= 0 and low[j] >= left:
@@ -149,102 +195,126 @@ def maximal_segments(at: list[int], gain: list[float], drift: float) -> list[tup
     return [(a, b, h - x) for (a, b), x, h in zip(ends, low, high)]
 
 
-def _law(scores: np.ndarray, clean_words: np.ndarray, all_words: int) -> float:
-    """The lambda at which sum(p * exp(lambda * s)) is 1 over the clean texts' token scores."""
-    p = (clean_words + 0.5) / (all_words + 0.5 * len(scores) + 1)
-    low, high = 0.0, 50.0
+def extreme_value_law(best: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+    """(lambda, K) of greatest likelihood for the best scores of clean texts of n tokens."""
+    if not len(best):
+        return 1.0, 1.0
+    n = np.maximum(n, 1)
+
+    def weights(decay: float) -> np.ndarray:
+        return n * np.exp(-decay * (best - best.min()))
+
+    low, high = 1e-3, 20.0
     for _ in range(60):
         mid = (low + high) / 2
-        if np.sum(p * np.exp(mid * scores)) + (1 - p.sum()) * math.exp(mid * DRIFT) > 1:
-            high = mid
-        else:
+        w = weights(mid)
+        if 1 / mid > best.mean() - np.sum(best * w) / w.sum():
             low = mid
-    return max(low, 1e-3)
+        else:
+            high = mid
+    return low, float(len(best) / np.sum(n * np.exp(-low * best)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Intercept and slope (not below 0) by Newton steps with a weak pull to (0, 0)."""
+def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Intercept and slope (not below 0) by Newton steps, halved while they do not help, with a weak pull to (0, 0)."""
     w = np.zeros(2)
     design = np.stack([np.ones_like(x), x], 1)
-    for _ in range(50):
+
+    def loss(w: np.ndarray) -> float:
+        z = design @ w
+        return float(np.logaddexp(0, z).sum() - y @ z + 0.05 * w @ w)
+
+    for _ in range(100):
         p = 1 / (1 + np.exp(-design @ w))
         gradient = design.T @ (p - y) + 0.1 * w
-        hessian = (design * (p * (1 - p) + 1e-9)[:, None]).T @ design + 0.1 * np.eye(2)
-        w -= np.clip(np.linalg.solve(hessian, gradient), -2, 2)
+        hessian = (design * (p * (1 - p))[:, None]).T @ design + 0.1 * np.eye(2)
+        step = np.linalg.solve(hessian, gradient)
+        while np.abs(step).max() > 1e-9 and loss(w - step) > loss(w):
+            step = step / 2
+        w = w - step
+        if np.abs(step).max() <= 1e-9:
+            break
     return float(w[0]), float(max(0.0, w[1]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS) -> Model:
-    """The model from the labelled rows; the driver gets the toxic tokens and two numbers a sample row."""
+    """The model from the labelled rows; the driver gets at most MAX_UNITS units, and a few numbers a sample row."""
     bounded_batches(docs.sparkSession)
     sample = labelled_sample(docs, labels, max_rows).persist()
     try:
-        counts = token_frequencies(sample).persist()
-        sizes = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-        n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
-        total = counts.agg(F.sum("clean_words")).first()[0] or 0
-        prior = PRIOR_WEIGHT * (F.col("toxic") + F.col("clean")) / F.lit(max(1, n1 + n0))
-        a, b = F.col("toxic") + prior, F.col("clean") + prior
-        odds = F.log(a / (n1 + PRIOR_WEIGHT - a)) - F.log(b / (n0 + PRIOR_WEIGHT - b))
-        scored = counts.filter(F.col("toxic") >= MIN_TOXIC_DOCS).filter((a < n1 + PRIOR_WEIGHT) & (b < n0 + PRIOR_WEIGHT))
-        scored = scored.select("token", "clean_words", odds.alias("odds"), F.sqrt(1 / a + 1 / b).alias("se"))
-        rows = scored.filter(F.col("odds") >= MIN_Z * F.col("se")).orderBy("token").collect()
-        tokens = np.array([r.token for r in rows], np.int64).view(U64)
-        odds_ = np.array([r.odds for r in rows], float)
-        decay = _law(odds_, np.array([r.clean_words for r in rows], float), total) if len(rows) else 1.0
-        model = Model(tokens, odds_, decay, 1.0)
-        texts = sample.select(F.col("toxic").cast("long").alias("doc_id"), "text")
-        found = _scan(texts, model, False).select("doc_id", "best", "n_words").collect()
-        y, best, n = (np.array([r[k] for r in found], float) for k in range(3))
-        clean = y == 0
-        least = odds_.min() if len(rows) else 0.0
-        model.scale = (np.sum(best[clean] > 0) + 0.5) / max(1.0, n[clean].sum() * math.exp(-decay * least))
-        if len(y):
-            found = _scan(texts, model, False).select("doc_id", "excess").collect()  # by the scale just set
-            y, excess = (np.array([r[k] for r in found], float) for k in range(2))
-            model.base, model.slope = _logistic(excess, y)
-        counts.unpersist()
+        sizes = np.zeros((2, 2))  # fold x (toxic, clean)
+        for r in sample.groupBy("fold", "toxic").agg(F.count("*").alias("n")).collect():
+            sizes[r.fold, 1 - r.toxic] = r.n
+        both = sizes.sum(0)
+        if not both.all():
+            return Model(np.zeros(0, U64), np.zeros(0))
+        texts = F.col("t0") + F.col("c0") + F.col("t1") + F.col("c1")
+        units = unit_frequencies(sample).filter(texts >= MIN_TEXTS).orderBy(texts.desc(), "unit").limit(MAX_UNITS).toArrow()
+        unit, parent = (units.column(c).to_numpy().view(U64) for c in ("unit", "parent"))
+        size, t0, c0, t1, c1 = (units.column(c).to_numpy() for c in ("size", "t0", "c0", "t1", "c1"))
+        whole = unit_odds(unit, parent, size, t0 + t1, c0 + c1, both[0] / both.sum())
+        model, others = Model(*whole), [Model(*whole), Model(*whole)]
+        if sizes.all():  # each fold is judged by the counts of the other
+            others = [Model(*unit_odds(unit, parent, size, *tc, n[0] / n.sum())) for tc, n in (((t1, c1), sizes[1]), ((t0, c0), sizes[0]))]
+        found = np.array([(r.toxic, r.best, r.n_words) for r in _judge_sample(sample, others)], float).reshape(-1, 3)
+        clean = found[:, 0] == 0
+        model.decay, model.scale = extreme_value_law(found[clean, 1], found[clean, 2])
+        for m in others:
+            m.decay, m.scale = model.decay, model.scale
+        found = np.array([(r.toxic, r.together) for r in _judge_sample(sample, others)], float).reshape(-1, 2)
+        model.base, model.slope = logistic(found[:, 1], found[:, 0])
         return model
     finally:
         sample.unpersist()
 
 
-def _scan(rows: DataFrame, model: Model, passages: bool) -> DataFrame:
-    """doc_id, n_words, best (highest segment score), excess (of all), score, and the significant passages
-    (first:last:score)."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+def _judge_sample(sample: DataFrame, models: list[Model]) -> list:
+    """toxic, best, together, n_words of each sample row, by the model of its fold."""
+    shared = sample.sparkSession.sparkContext.broadcast(models)
 
     def scan(batches):
-        m = shared.value
         for batch in batches:
-            for i, j, words in words_of(batch.column(1), ALPHA):
-                hits, kinds, bounds = m.toxic_words(words)
-                best, excess, found = np.zeros(j - i), np.zeros(j - i), [""] * (j - i)
-                for row in np.flatnonzero(np.diff(bounds)).tolist():
-                    part = slice(bounds[row], bounds[row + 1])
-                    segments = m.segments(hits[part] - words.bounds[row], kinds[part])
-                    best[row] = max(s for _, _, s in segments)
-                    excess[row] = m.together([s for _, _, s in segments], words.counts[row])
-                    if passages:
-                        rate = m.scale * words.counts[row]
-                        found[row] = ",".join(f"{a}:{b}:{s:.3f}" for a, b, s in segments if rate * math.exp(-m.decay * s) < E_VALUE)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(words.counts), pa.array(best), pa.array(excess), pa.array(m.curve(excess)), pa.array(found, pa.string())],
-                    ["doc_id", "n_words", "best", "excess", "score", "passages"],
-                )
+            fold = batch.column(2).to_numpy(zero_copy_only=False)
+            for i, j, words in words_of(batch.column(0), ALPHA):
+                best, together = np.zeros(j - i), np.full(j - i, LOW)
+                for k, m in enumerate(shared.value):
+                    if (fold[i:j] == k).any():
+                        for row, segments in m.judge(words):
+                            if fold[i + row] == k:
+                                scores = [s for *_, s in segments]
+                                best[row], together[row] = max(scores), m.together(scores, words.counts[row])
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(i, j - i).cast(pa.int64()), pa.array(best), pa.array(together), pa.array(words.counts)], ["toxic", "best", "together", "n_words"])
 
-    return rows.mapInArrow(scan, f"doc_id {dict(rows.dtypes)['doc_id']}, n_words long, best double, excess double, score double, passages string")
+    return sample.select("text", "toxic", "fold").mapInArrow(scan, "toxic long, best double, together double, n_words long").collect()
 
 
 def score_toxicity(df: DataFrame, model: Model, *, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_words, best, score (0 to 1) and passages (word places, end inclusive)."""
+    """One row per document: doc_id, n_words, best (segment's score), score (0 to 1) and passages: the significant
+    segments as first word, last word and score, joined by colons, and all by commas."""
     bounded_batches(df.sparkSession)
-    return _scan(df.select(F.col(id).alias("doc_id"), F.col(text).alias("text")), model, True).drop("excess")
+    rows = df.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def scan(batches):
+        m = shared.value
+        for batch in batches:
+            for i, j, words in words_of(batch.column(1), ALPHA):
+                best, together, found = np.zeros(j - i), np.full(j - i, LOW), [""] * (j - i)
+                for row, segments in m.judge(words):
+                    scores = [s for *_, s in segments]
+                    best[row], together[row] = max(scores), m.together(scores, words.counts[row])
+                    rate = m.scale * words.counts[row]
+                    found[row] = ",".join(f"{a}:{b}:{s:.3f}" for a, b, s in segments if rate * math.exp(-m.decay * s) < E_VALUE)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(i, j - i), pa.array(words.counts), pa.array(best), pa.array(m.curve(together)), pa.array(found, pa.string())],
+                    ["doc_id", "n_words", "best", "score", "passages"],
+                )
+
+    return rows.mapInArrow(scan, f"doc_id {dict(rows.dtypes)['doc_id']}, n_words long, best double, score double, passages string")
 
 
 def drop_toxic(df: DataFrame, model: Model, *, threshold: float, text: str = "text") -> DataFrame:
-    """df without the rows that hold a toxic token and whose score reaches the threshold; all columns, in
-    place, without a shuffle."""
+    """df without the rows whose score reaches the threshold; all columns, in place, without a shuffle."""
     bounded_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
     column = df.columns.index(text)
@@ -252,10 +322,10 @@ def drop_toxic(df: DataFrame, model: Model, *, threshold: float, text: str = "te
     def keep(batches):
         m = shared.value
         for batch in batches:
-            clean = np.ones(batch.num_rows, bool)
-            for i, j, words in words_of(batch.column(column), ALPHA):
-                best, excess = m.best(words)
-                clean[i:j] = (best == 0) | (m.curve(excess) < threshold)
-            yield batch.filter(pa.array(clean))
+            together = np.full(batch.num_rows, LOW)
+            for i, _, words in words_of(batch.column(column), ALPHA):
+                for row, segments in m.judge(words):
+                    together[i + row] = m.together([s for *_, s in segments], words.counts[row])
+            yield batch.filter(pa.array(m.curve(together) < threshold))
 
     return df.mapInArrow(keep, df.schema)
