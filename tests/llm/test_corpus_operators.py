@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -343,9 +344,123 @@ def test_decontamination_against_all_passages(spark, edge, nothing):
     assert decontam.contaminated(nothing, bench).count() == 0 and decontam.drop_contaminated(df, bench.limit(0)).count() == 120
 
 
+def test_odd_items(spark, edge):
+    text = "what is the capital of the far away land. it is the old town by the sea"
+    items = spark.createDataFrame([("a", text), ("a", None), (None, text), ("b", "one"), ("c", "one two three four"), ("d", " ")], "item_id string, text string")
+    docs = spark.createDataFrame([(1, "he said: " + text.upper() + " and so on"), (2, "one"), (3, "one two three four"), (None, text)], "doc_id long, text string")
+    rows = decontam.contaminated(docs, items).collect()
+    assert sorted((repr(r.doc_id), repr(r.item_id)) for r in rows) == [("1", "'a'"), ("1", "None"), ("None", "'a'"), ("None", "None")]
+    assert sorted(r.doc_id for r in decontam.drop_contaminated(docs, items).collect()) == [2, 3]
+    assert decontam.drop_contaminated(edge, items).count() == 13
+
+
 # ------------------------------------------------------------------ language
 
 
+def test_expected_transitions_against_pairs():
+    rng = np.random.default_rng(3)
+    n, k = 400, 5
+    scores, start, move = rng.normal(size=(n, k)), rng.normal(size=k), rng.normal(size=(k, k))
+    begins = rng.random(n) < 0.1
+    begins[0] = True
+    _, forward, behind = crf.forward_backward(scores, begins, start, move)
+    want = np.zeros((k, k))
+    for t in range(1, n):
+        if not begins[t]:
+            pair = forward[t - 1][:, None] * np.exp(move) * behind[t][None, :]
+            want += pair / pair.sum()
+    assert np.allclose(crf.expected_transitions(forward, behind, begins, move), want)
+
+
+def test_short_and_long_chains_agree(monkeypatch):
+    rng = np.random.default_rng(4)
+    n, k = 900, 3
+    scores, start, move = rng.normal(size=(n, k)), rng.normal(size=k), rng.normal(size=(k, k))
+    begins = np.zeros(n, bool)
+    begins[[0, 1, 2, 50, 260, 500, 740]] = True
+    short = crf.forward_backward(scores, begins, start, move)
+    monkeypatch.setattr(crf, "SHORT_CHAIN", 0)
+    for a, b in zip(short, crf.forward_backward(scores, begins, start, move)):
+        assert np.allclose(a, b)
+
+
+def test_pieces_of_the_training_do_not_change_it(monkeypatch):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["ka", "ro", "shi"] if i % 2 else ["ung", "ver", "ich"]) for _ in range(30)) for i in range(20)]
+    monkeypatch.setattr(crf, "TRAIN_WORDS", 600)
+    whole = crf.train(texts, ["ab"[i % 2] for i in range(20)])
+    monkeypatch.setattr(crf, "TRAIN_CELLS", 200)
+    parts = crf.train(texts, ["ab"[i % 2] for i in range(20)])
+    assert np.allclose(whole.table, parts.table, atol=1e-2) and np.allclose(whole.transition, parts.transition, atol=1e-2)
+
+
+def test_many_labels_in_bounded_memory(monkeypatch):
+    import tracemalloc
+
+    rng = random.Random(8)
+    monkeypatch.setattr(crf, "EPOCHS", 1)
+    monkeypatch.setattr(crf, "TRAIN_WORDS", 60_000)
+    texts = [" ".join("".join(rng.choice("abcdefghij") for _ in range(4)) for _ in range(40)) for _ in range(200)]
+    tracemalloc.start()
+    crf.train(texts, [f"l{i % 100}" for i in range(200)])
+    assert tracemalloc.get_traced_memory()[1] < 900 << 20  # a cubic array would have 2.4 GB
+    tracemalloc.stop()
+
+
+def test_a_label_of_long_texts_is_learned(spark):
+    rng = random.Random(6)
+    make = lambda syllables, n: " ".join("".join(rng.choice(syllables) for _ in range(2)) for _ in range(n))
+    rows = [(i, make(["ka", "ro", "shi"], 30), "short") for i in range(30)] + [(100 + i, make(["ung", "ver", "ich"], 6000), "long") for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in crf.identify(df, crf.fit(df)).collect()}
+    assert got == {i: lang for i, _, lang in rows}
+
+
+def test_identification_against_a_plain_version(spark):
+    """Features, emissions, marginals and the choice of the label, word by word."""
+    rng = random.Random(12)
+    vocabulary = {"a": ["karo", "shita", "naïve", "rota"], "b": ["ungver", "ichung", "über", "verich"]}
+    rows = [(i, " ".join(rng.choice(vocabulary["ab"[i % 2]]) + rng.choice(["", ",", "!"]) for _ in range(rng.randint(1, 25))), "ab"[i % 2]) for i in range(60)]
+    df = spark.createDataFrame([*rows, (70, "karo ungver shita über karo", None), (71, "12 !", None)], "doc_id long, text string, lang string")
+    model = crf.fit(df)
+
+    def slot(kind, value):
+        x = (value * 64 + kind) % 2**64
+        return int(common.mix(np.array([x], np.uint64))[0] >> np.uint64(64 - crf.TABLE_BITS))
+
+    def number(piece):
+        value = 0
+        for byte in piece:
+            value = value * 257 + byte + 1
+        return value
+
+    def emission(word):
+        slots = [slot(1, int(common.word_hash([word])[0]))]
+        for n in range(1, min(crf.AFFIX, len(word)) + 1):
+            slots += [slot(8 * n + 2, number(word[:n])), slot(8 * n + 3, number(word[-n:]))]
+        for n in crf.GRAMS:
+            slots += [slot(40 + n, number(word[i : i + n])) for i in range(len(word) - n + 1)]
+        return model.table[slots].sum(0) / np.sqrt(len(slots))
+
+    for r in crf.identify(df, model).collect():
+        text = {i: t for i, t, _ in rows}.get(r.doc_id, "karo ungver shita über karo")
+        words = plain_words(text)
+        if r.doc_id == 71:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        e = np.exp(np.array([emission(w) for w in words], float))
+        a, p = np.exp(model.transition.astype(float)), np.exp(model.start.astype(float))
+        forward, backward = [p * e[0]], [np.ones(2)]
+        for t in range(1, len(words)):
+            forward.append(forward[-1] / forward[-1].sum() @ a * e[t])
+        for t in range(len(words) - 1, 0, -1):
+            v = a @ (e[t] * backward[0])
+            backward.insert(0, v / v.sum())
+        m = np.array(forward) * np.array(backward)
+        mean = (m / m.sum(1, keepdims=True)).mean(0)
+        assert r.lang_pred == model.labels[int(mean.argmax())] and r.score == pytest.approx(mean.max(), abs=1e-3)
+
+
 def test_forward_backward_against_plain_recursion():
     rng = np.random.default_rng(0)
     n = 1500
@@ -394,84 +509,169 @@ def test_language_of_held_out_and_mixed_text(spark, edge, nothing):
 # ------------------------------------------------------------------ toxicity
 
 
-def plain_maximal(at, gain, drift, n):
-    """All maximal segments by definition, recursively: the best segment, then left and right of it."""
-    scores = [drift] * n
-    for p, g in zip(at, gain):
-        scores[p] = g
-    out = []
-
-    def best(lo, hi):
-        top = None
-        for i in range(lo, hi):
-            total = 0.0
-            for j in range(i, hi):
-                total += scores[j]
-                if total > 1e-12 and (top is None or total > top[0] + 1e-9):
-                    top = (total, i, j)
-        if top:
-            out.append((top[1], top[2], top[0]))
-            best(lo, top[1])
-            best(top[2] + 1, hi)
-
-    best(0, n)
+def kadane(scores):
+    """(sum, first, last) of the best run; the earliest and shortest of equals."""
+    best, here, start = (0.0, 0, -1), 0.0, 0
+    for i, s in enumerate(scores):
+        if here <= 0:
+            here, start = 0.0, i
+        here += s
+        if here > best[0] + 1e-9:
+            best = (here, start, i)
+    return best
+
+
+def plain_maximal(scores):
+    """All maximal segments by definition: the best one, then those left and right of it."""
+    out, todo = [], [(0, len(scores))]
+    while todo:
+        lo, hi = todo.pop()
+        total, i, j = kadane(scores[lo:hi])
+        if total > 1e-12:
+            out.append((lo + i, lo + j, total))
+            todo += [(lo, lo + i), (lo + j + 1, hi)]
     return sorted(out)
 
 
+def plain_words(text):
+    return re.findall(rb"[a-z\x80-\xff]+", (text or "").encode().translate(UP))
+
+
+class PlainToxicity:
+    """The fit and the score, word by word."""
+
+    def __init__(self, sample):
+        folds = [[r for r in sample if r.fold == k] for k in (0, 1)]
+        halves = all({r.toxic for r in f} == {0, 1} for f in folds)
+        self.odds = self.count(sample)
+        other = [self.count(folds[1 - k]) if halves else self.odds for k in (0, 1)]
+        judged = [(r.toxic, *self.segments(r.text, other[r.fold])) for r in sample]
+        best = np.array([max((s for *_, s in seg), default=0.0) for y, seg, _ in judged if y == 0])
+        n = np.array([max(1, words) for y, _, words in judged if y == 0])
+        grid = np.arange(0.001, 20, 0.001)
+        likelihood = [np.log(x) - x * best.mean() - np.log(np.mean(n * np.exp(-x * best))) for x in grid]
+        self.decay = float(grid[int(np.argmax(likelihood))])
+        self.scale = len(best) / np.sum(n * np.exp(-self.decay * best))
+        x, y = np.array([self.together(seg, words) for _, seg, words in judged]), np.array([y for y, *_ in judged])
+        self.loss = lambda b, w: np.logaddexp(0, b + w * x).sum() - (y * (b + w * x)).sum() + 0.05 * (b * b + w * w)
+        self.base, self.slope = min(((b, w) for b in np.arange(-8, 3, 0.1) for w in np.arange(0, 3, 0.02)), key=lambda c: self.loss(*c))
+
+    def units(self, word):
+        lo, hi = toxicity.LEAST_PREFIX, toxicity.LONGEST_PREFIX
+        return [word[:n] for n in range(lo, min(hi, len(word)) + 1)] + [(word,)]
+
+    def count(self, rows):
+        seen = [collections.Counter(), collections.Counter()]
+        for r in rows:
+            seen[r.toxic].update({u for w in plain_words(r.text) for u in self.units(w)})
+        share = sum(r.toxic for r in rows) / len(rows)
+        p = {}
+
+        def probability(chain):
+            if not chain:
+                return share
+            u = chain[-1]
+            if u not in p:
+                t, c = seen[1][u], seen[0][u]
+                above = probability(chain[:-1])
+                p[u] = (t + toxicity.PRIOR_TEXTS * above) / (t + c + toxicity.PRIOR_TEXTS) if t + c >= toxicity.MIN_TEXTS else above
+            return p[u]
+
+        def odds(word):
+            q = probability(self.units(word))
+            return np.log(q / (1 - q)) - np.log(share / (1 - share))
+
+        return odds
+
+    def segments(self, text, odds):
+        words = plain_words(text)
+        known = {w: odds(w) - toxicity.COST for w in set(words)}
+        return plain_maximal([known[w] for w in words]), len(words)
+
+    def together(self, segments, n):
+        x = sorted((self.decay * s - np.log(self.scale * max(1, n)) for *_, s in segments), reverse=True)
+        out, total, x = [], 0.0, x[:1] + [v for v in x[1:] if v > -np.log(toxicity.E_VALUE)]
+        for r, v in enumerate(x, 1):
+            total += v
+            out.append(total if r == 1 else total - (r - 1) * np.log(2 * total) + 2 * sum(np.log(k) for k in range(1, r + 1)) - np.log(r))
+        return float(np.clip(max(out), toxicity.LOW, toxicity.HIGH)) if out else toxicity.LOW
+
+    def score(self, text):
+        segments, n = self.segments(text, self.odds)
+        return 1 / (1 + np.exp(-(self.base + self.slope * self.together(segments, n))))
+
+
 def test_maximal_segments_by_definition():
     rng = random.Random(7)
-    for _ in range(150):
-        n = rng.randint(1, 40)
-        at = sorted(rng.sample(range(n), rng.randint(1, min(n, 8))))
-        gain = [rng.uniform(0.1, 3) for _ in at]
-        got = toxicity.maximal_segments(at, gain, -0.4)
-        want = plain_maximal(at, gain, -0.4, n)
+    for _ in range(200):
+        scores = [rng.choice([-1, -1, 1]) * rng.uniform(0.1, 3) for _ in range(rng.randint(1, 60))]
+        got = toxicity.maximal_segments(np.array(scores))
+        want = plain_maximal(scores)
         assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in want]
         assert [s for *_, s in got] == pytest.approx([s for *_, s in want])
+    assert toxicity.maximal_segments(np.zeros(0)) == []
 
 
-def test_toxicity_on_held_out_rows(spark, edge, nothing):
+def toxic_corpus(spark, n=600):
     rng = random.Random(11)
-    plain, bad = [f"w{i}" for i in range(200)], ["vile", "awful", "scummy"]
-    plain = ["".join(rng.choice("abcdefg") for _ in range(4)) for _ in plain]
+    plain, bad = ["".join(rng.choice("abcdefg") for _ in range(4)) for _ in range(200)], ["vile", "awful", "scummy"]
     rows, labels = [], []
-    for i in range(600):
+    for i in range(n):
         words = [rng.choice(plain) for _ in range(rng.randint(5, 80))]
         toxic = i % 6 == 0
         if toxic:
             for _ in range(3):
-                words.insert(rng.randrange(len(words)), rng.choice(bad))
+                words.insert(rng.randrange(len(words)), rng.choice(bad) + rng.choice(["", "ness", "ly"]))
         rows.append((i, " ".join(words)))
         labels.append((i, int(toxic)))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    marks = spark.createDataFrame([*labels, (None, 1), (1, None), (2, 5)], "doc_id long, toxic int")
+    return docs, labels, spark.createDataFrame([*labels, (None, 1), (1, None), (2, 5)], "doc_id long, toxic int")
+
+
+def test_toxicity_on_held_out_rows(spark, edge, nothing):
+    docs, labels, marks = toxic_corpus(spark)
     model = toxicity.fit(docs, marks)
     got = {r.doc_id: r for r in toxicity.score_toxicity(docs, model).collect()}
     right = sum((got[i].score >= 0.3) == bool(y) for i, y in labels)
-    assert right / len(labels) > 0.99 and all(0 <= r.score <= 1 for r in got.values())
+    assert right / len(labels) > 0.98 and all(0 <= r.score <= 1 for r in got.values())
     assert any(r.passages for r in got.values())
     assert toxicity.drop_toxic(docs, model, threshold=0.3).count() == sum(r.score < 0.3 for r in got.values())
     assert toxicity.score_toxicity(edge, model).count() == 13 and toxicity.score_toxicity(nothing, model).count() == 0
-    blank = toxicity.fit(docs, marks.limit(0))
-    assert {round(r.score, 6) for r in toxicity.score_toxicity(edge, blank).collect()} == {0.5}
+    new = spark.createDataFrame([(1, "vilest vilest gaga"), (2, "gaga gaga gaga")], "doc_id long, text string")  # a form never seen
+    a, b = sorted(toxicity.score_toxicity(new, model).collect())
+    assert a.score > 0.5 > 0.3 > b.score and a.passages == "0:1:" + a.passages.rpartition(":")[2]
+
+
+def test_fit_law_and_curve_against_a_plain_version(spark):
+    docs, _, marks = toxic_corpus(spark, 360)
+    model = toxicity.fit(docs, marks)
+    plain = PlainToxicity(toxicity.labelled_sample(docs, marks).collect())
+    assert model.decay == pytest.approx(plain.decay, abs=0.002) and model.scale == pytest.approx(plain.scale, rel=0.05)
+    assert model.base == pytest.approx(plain.base, abs=0.2) and model.slope == pytest.approx(plain.slope, abs=0.05)
+    assert plain.loss(model.base, model.slope) <= plain.loss(plain.base, plain.slope) + 1e-3
+    plain.decay, plain.scale, plain.base, plain.slope = model.decay, model.scale, model.base, model.slope
+    rows = {r.doc_id: r for r in toxicity.score_toxicity(docs, model).collect()}
+    assert all(rows[r.doc_id].score == pytest.approx(plain.score(r.text)) for r in docs.collect())
 
 
 def test_scattered_toxic_words_count_together(spark):
-    model = toxicity.Model(np.sort(common.word_hash([b"vile"])), np.array([5.5]), 1.58, 0.0025)
+    unit = np.sort(common.word_hash([b"vil"]))
+    model = toxicity.Model(unit, np.array([5.5 + toxicity.COST]), 1.58, 0.0025)
     model.base, model.slope = -5.26, 0.45
     long = ["plain"] * 2000
     rows = [(0, long), (1, ["vile", *long[1:]]), (2, [*(["plain"] * 199 + ["vile"]) * 10])]
     df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
     got = {r.doc_id: r for r in toxicity.score_toxicity(df, model).collect()}
     assert got[0].score < got[1].score < 0.2 and got[2].score > 0.9 and len(got[2].passages.split(",")) == 10
-    assert got[1].score == pytest.approx(float(model.probability(np.array([5.5]), np.array([2000]))[0]))
     assert {r.doc_id for r in toxicity.drop_toxic(df, model, threshold=0.3).collect()} == {0, 1}
 
 
 def test_no_evidence_drops_nothing(spark, edge):
     labels = spark.createDataFrame([(3, 5), (None, 1), (4, None)], "doc_id long, toxic int")
-    for marks in (labels, labels.limit(0)):
-        assert toxicity.drop_toxic(edge, toxicity.fit(edge, marks), threshold=0.3).count() == 13
+    for marks in (labels, labels.limit(0), spark.createDataFrame([(3, 1)], "doc_id long, toxic int")):
+        model = toxicity.fit(edge, marks)
+        assert toxicity.drop_toxic(edge, model, threshold=0.3).count() == 13
+        assert {round(r.score, 6) for r in toxicity.score_toxicity(edge, model).collect()} == {toxicity.NO_EVIDENCE}
 
 
 # ------------------------------------------------------------------ mixing

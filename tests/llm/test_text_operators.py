@@ -86,9 +86,62 @@ def test_equal_rules_and_bad_rules():
         urlfilter.build_trie(["nohost"], [])
 
 
+def test_many_rules_on_one_host(spark):
+    import time
+
+    trie = urlfilter.build_trie((f"a.b/x{i}" for i in range(0, 50_000, 2)), (f"a.b/x{i}" for i in range(1, 50_000, 2)))
+    assert trie.match("a.b", "/x49999/y") == ("a.b/x49999", True) and trie.match("c.a.b", "/x7") == ("a.b/x7", True) and trie.match("a.b", "/y") is None
+    began = time.perf_counter()
+    for i in range(2000):
+        trie.match("a.b", f"/x{i}zz")
+    assert (time.perf_counter() - began) / 2000 < 2e-4
+    df = spark.createDataFrame([(1, "http://a.org/x"), (2, None)], "`my-id` long, `my-url` string")
+    got = sorted(urlfilter.filter_urls(df, ALLOW, BLOCK, id="my-id", url="my-url").collect())
+    assert [(r.host, r.verdict) for r in got] == [("a.org", "allow"), ("", "block")]
+
+
 # ------------------------------------------------------------------ media
 
 
+def plain_fingerprint(samples):
+    """Frames, transforms by definition, peaks and pairs, one by one."""
+    n = max(1, 1 + -(-max(0, len(samples) - media.FRAME) // media.HOP))
+    angle = -2j * np.pi / media.FRAME * np.outer(np.arange(media.FRAME // 2 + 1), np.arange(media.FRAME))
+    table = np.exp(angle)
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(media.FRAME) / (media.FRAME - 1))
+    peaks = []
+    for f in range(n):
+        frame = [float(x) - 128 for x in samples[f * media.HOP : f * media.HOP + media.FRAME]]
+        frame += [0.0] * (media.FRAME - len(frame))
+        m = np.round(np.abs(table @ (np.array(frame) * window)).astype(np.float32), 2)
+        local = [(-m[k], k) for k in range(1, len(m) - 1) if m[k] >= m[k - 1] and m[k] > m[k + 1]]
+        peaks.append([k for _, k in sorted(local)[: media.PEAKS]])
+    if n == 1:
+        return [peaks[0][0] << 15] if peaks[0] else None
+    codes = []
+    for t in range(n):
+        for d in range(1, media.FAN + 1):
+            if t + d < n:
+                codes += [t << 24 | p << 15 | peaks[t + d][0] << 6 | d for p in peaks[t]]
+    return sorted(codes)
+
+
+def test_fingerprint_by_definition():
+    rng = random.Random(2)
+    for size in (1, 3, 9):
+        text = " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 9))) for _ in range(110 * size)).encode()
+        samples = np.frombuffer(media.padded(text), np.uint8)
+        got, want = media.fingerprint(samples).tolist(), plain_fingerprint(samples)
+        assert len(got) == len(want) and len(set(got) & set(want)) >= 0.97 * len(set(want))  # single against double precision near ties
+
+
+def test_registered_media_has_its_codes(spark, edge):
+    full = {(r.doc_id, r.n_bytes): list(r.codes) for r in media.media_columns(edge).collect()}
+    for r in media.media_digests(edge).collect():
+        assert list(r.codes) == full[r.doc_id, r.n_bytes] and r.n_pairs == len(r.codes)
+        assert r.feature == hashlib.sha256(np.array(r.codes, "<i8").tobytes()).hexdigest()
+
+
 def test_media_round_trip_and_equality(spark, edge, nothing):
     rows = media.media_columns(edge).collect()
     texts = [r.text for r in edge.collect()]

@@ -105,4 +105,24 @@ select d.doc_id, length(d.h) // 2 n_bytes, coalesce(n_removed, 0)::bigint n_remo
 from d left join kept using (doc_id) left join gone using (doc_id)
 """
 
-SQL = {"op3_near_duplicates": _OP3, "op10_repeats": _OP10, "op9_mixing": _OP9, "op2_url_filter": _OP2}
+_OP6_BASE = r"""
+with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents),
+p as (select doc_id, unnest(w) w, generate_subscripts(w, 1) - 1 i from d),
+n as (select doc_id, i, w, lead(w) over o b, lead(w, 2) over o c from p window o as (partition by doc_id order by i)),
+h as (select doc_id, i, case when w = 'cc' and b = 'by' then 'cc-by' when w = 'general' and b = 'public' and c = 'license' then 'gpl'
+  when w = 'all' and b = 'rights' and c = 'reserved' then 'reserved' end label from n)
+select d.doc_id, len(any_value(w)) n_words, count(label) n_base, min(i) first_word, max(i) last_word, coalesce(string_agg(distinct label, ',' order by label), '') base_labels
+from d left join (select * from h where label is not null) h using (doc_id) group by d.doc_id
+"""
+
+_OP5_PAYLOAD = r"""
+with d as (select doc_id, hex(encode(coalesce(text, ''))) h from documents),
+p as (select doc_id, length(h) // 2 n, greatest(1, (length(h) // 2 + 575) // 576) * 576 m, h from d),
+f as (select doc_id, n, m, h || repeat('FF', m - n) payload, printf('%08X', m) a, printf('%08X', m + 36) b from p)
+select doc_id, n n_bytes, m payload_bytes, sha256(unhex(payload)) payload_sha256, m + 44 media_bytes,
+  sha256(unhex(hex(encode('RIFF')) || b[7:8] || b[5:6] || b[3:4] || b[1:2] || hex(encode('WAVEfmt ')) || '10000000' || '0100' || '0100'
+    || '401F0000' || '401F0000' || '0100' || '0800' || hex(encode('data')) || a[7:8] || a[5:6] || a[3:4] || a[1:2] || payload)) media_sha256
+from f
+"""
+
+SQL = {"license_base": _OP6_BASE, "media_payload": _OP5_PAYLOAD, "pii_base": _OP7, "op3_near_duplicates": _OP3, "op10_repeats": _OP10, "op9_mixing": _OP9, "op2_url_filter": _OP2}
