@@ -574,7 +574,9 @@ class PlainToxicity:
             if u not in p:
                 t, c = seen[1][u], seen[0][u]
                 above = probability(chain[:-1])
-                p[u] = (t + toxicity.PRIOR_TEXTS * above) / (t + c + toxicity.PRIOR_TEXTS) if t + c >= toxicity.MIN_TEXTS else above
+                m, n1 = toxicity.PRIOR_TEXTS, sum(r.toxic for r in rows)
+                low, high = m * share / (len(rows) - n1 + m), (n1 + m * share) / (n1 + m)
+                p[u] = min(max((t + m * above) / (t + c + m), low), high) if t + c >= toxicity.MIN_TEXTS else above
             return p[u]
 
         def odds(word):
@@ -642,6 +644,13 @@ def test_toxicity_on_held_out_rows(spark, edge, nothing):
     assert a.score > 0.5 > 0.3 > b.score and a.passages == "0:1:" + a.passages.rpartition(":")[2]
 
 
+def test_odds_stay_finite_however_many_texts():
+    n = 8
+    unit = np.arange(1, n + 1).astype(np.uint64)
+    units, odds = toxicity.unit_odds(unit, unit - np.uint64(1), np.arange(3, n + 3), np.full(n, 10**6), np.zeros(n, int), 10**6, 10**7)
+    assert len(units) == n and np.isfinite(odds).all() and 14 < odds.min() <= odds.max() < 16
+
+
 def test_fit_law_and_curve_against_a_plain_version(spark):
     docs, _, marks = toxic_corpus(spark, 360)
     model = toxicity.fit(docs, marks)

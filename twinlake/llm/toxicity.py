@@ -4,7 +4,7 @@ Fit, on at most ``max_rows`` labelled rows (those with the smallest hash of thei
 clean texts each unit occurs. Units are words and their prefixes of LEAST_PREFIX to LONGEST_PREFIX bytes, so
 that an inflected word that was never seen has the odds of its stem. The toxic share of a unit's texts has a
 Dirichlet prior of PRIOR_TEXTS texts that are split as those of the next shorter prefix are (of all texts, for
-the shortest). A token scores the log-odds of its longest known unit against those of all texts, negative ones too,
+the shortest); it goes no further than that of a word that all toxic, or all clean, texts had. A token scores the log-odds of its longest known unit against those of all texts, negative ones too,
 less COST: what a passage must gain from each of its tokens, so that common text scores below 0. Units in fewer
 than MIN_TEXTS texts are left to the prior, so a token of unknown units has log-odds 0.
 
@@ -37,11 +37,13 @@ from twinlake.llm.common import ALPHA, U64, Lookup, Words, bounded_batches, mix,
 
 #: Bound on the labelled rows of the fit, and on the units that are shipped to the tasks (those in most texts).
 MAX_ROWS = 20_000
-MAX_UNITS = 500_000
+MAX_UNITS = 200_000
 LEAST_PREFIX, LONGEST_PREFIX = 3, 10
 PRIOR_TEXTS = 5.0
 MIN_TEXTS = 3
 COST = 1.5
+#: Text bytes whose units are counted in one step.
+UNIT_BYTES = 256 << 10
 E_VALUE = 0.05
 NO_EVIDENCE = 0.1
 #: Normalised scores are kept within these bounds; the lower one is that of a text without a segment.
@@ -84,7 +86,7 @@ def unit_frequencies(sample: DataFrame) -> DataFrame:
         for batch in batches:
             kind = batch.column(1).to_numpy(zero_copy_only=False) != 1  # 0 toxic, 1 clean
             kind = kind + 2 * batch.column(2).to_numpy(zero_copy_only=False)
-            for i, j, words in words_of(batch.column(0), ALPHA):
+            for i, j, words in words_of(batch.column(0), ALPHA, UNIT_BYTES):
                 word, unit, parent, size = units_of(words, np.arange(len(words.start)))
                 row = words.rows()[word]
                 order = np.lexsort((row, unit))
@@ -102,8 +104,10 @@ def unit_frequencies(sample: DataFrame) -> DataFrame:
     return parts.groupBy("unit").agg(F.min("parent").alias("parent"), F.min("size").alias("size"), *(F.sum(n).alias(n) for n in names[3:]))
 
 
-def unit_odds(unit: np.ndarray, parent: np.ndarray, size: np.ndarray, toxic: np.ndarray, clean: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
+def unit_odds(unit: np.ndarray, parent: np.ndarray, size: np.ndarray, toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> tuple[np.ndarray, np.ndarray]:
     """(units, log-odds): of those in MIN_TEXTS texts at least, by their counts and their parents' shares."""
+    share = n_toxic / (n_toxic + n_clean)
+    bounds = PRIOR_TEXTS * share / (n_clean + PRIOR_TEXTS), (n_toxic + PRIOR_TEXTS * share) / (n_toxic + PRIOR_TEXTS)
     keep = np.flatnonzero(toxic + clean >= MIN_TEXTS)
     unit, parent, size, toxic, clean = (x[keep] for x in (unit, parent, size, toxic, clean))
     order = np.argsort(unit)
@@ -112,7 +116,8 @@ def unit_odds(unit: np.ndarray, parent: np.ndarray, size: np.ndarray, toxic: np.
     p = np.full(len(unit) + 1, share)  # the last is the root
     for n in np.unique(size):
         now = np.flatnonzero(size == n)
-        p[now] = (toxic[now] + PRIOR_TEXTS * p[above[now]]) / (toxic[now] + clean[now] + PRIOR_TEXTS)
+        # texts that a unit shares with its stem count again at each length, so the share is kept within bounds
+        p[now] = np.clip((toxic[now] + PRIOR_TEXTS * p[above[now]]) / (toxic[now] + clean[now] + PRIOR_TEXTS), *bounds)
     return unit, (np.log(p) - np.log1p(-p))[:-1] - (math.log(share) - math.log1p(-share))
 
 
@@ -252,10 +257,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS) -> Mode
         units = unit_frequencies(sample).filter(texts >= MIN_TEXTS).orderBy(texts.desc(), "unit").limit(MAX_UNITS).toArrow()
         unit, parent = (units.column(c).to_numpy().view(U64) for c in ("unit", "parent"))
         size, t0, c0, t1, c1 = (units.column(c).to_numpy() for c in ("size", "t0", "c0", "t1", "c1"))
-        whole = unit_odds(unit, parent, size, t0 + t1, c0 + c1, both[0] / both.sum())
+        whole = unit_odds(unit, parent, size, t0 + t1, c0 + c1, *both)
         model, others = Model(*whole), [Model(*whole), Model(*whole)]
         if sizes.all():  # each fold is judged by the counts of the other
-            others = [Model(*unit_odds(unit, parent, size, *tc, n[0] / n.sum())) for tc, n in (((t1, c1), sizes[1]), ((t0, c0), sizes[0]))]
+            others = [Model(*unit_odds(unit, parent, size, *tc, *n)) for tc, n in (((t1, c1), sizes[1]), ((t0, c0), sizes[0]))]
         found = np.array([(r.toxic, r.best, r.n_words) for r in _judge_sample(sample, others)], float).reshape(-1, 3)
         clean = found[:, 0] == 0
         model.decay, model.scale = extreme_value_law(found[clean, 1], found[clean, 2])
