@@ -56,6 +56,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the executors share")
         named = "file://" + tempfile.mkdtemp(prefix="twinlake-")
         sc.setCheckpointDir(named)
     elif not sc.getCheckpointDir():
