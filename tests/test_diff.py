@@ -135,6 +135,67 @@ def test_checkpoint_resumes_with_differences(spark, tmp_path):
     assert found(again) == want and {s.status for s in again.report.shards} == {"Skipped"}
 
 
+def test_checkpoint_of_other_tables_is_not_resumed(spark, tmp_path):
+    make = lambda changed: spark.range(40).selectExpr("id", f"if(id = {changed}, 'x', 'v') v")
+    path = tmp_path / "run.jsonl"
+    options = DiffOptions(strategy="hashdiff", checkpoint=str(path), threads=1, bisection_threshold=4)
+    assert found(diff(make(-1), make(7), options, declared_key=["id"])) == {7: "Modified"}
+    path.with_suffix(".done").rename(path)
+    assert found(diff(make(-1), make(3), options, declared_key=["id"])) == {3: "Modified"}
+
+
+def test_declared_keys_that_repeat(spark):
+    l = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "id int, v string")
+    r = spark.createDataFrame([(1, "b"), (1, "a"), (2, "d")], "id int, v string")
+    for strategy in ("joindiff", "keyeddiff", "hashdiff", "iblt"):
+        same = diff(l, l, DiffOptions(strategy=strategy), declared_key=["id"])
+        assert same.report.exit_code == 0 and same.report.strategy == "bucketdiff" and any("duplicate" in w for w in same.report.warnings)
+        assert diff(l, r, DiffOptions(strategy=strategy), declared_key=["id"]).diffs.count() == 2
+    assert diff(l.filter("id = 2"), r.filter("id = 2"), DiffOptions(trust_keys=True), declared_key=["id"]).report.strategy == "joindiff"
+
+
+def test_multisets_of_large_tables(spark, monkeypatch):
+    from twinlake.operators import strategies
+
+    l = spark.range(3000).selectExpr("id % 500 as a", "concat('v', id % 700) as b")
+    few = l.filter("a <> 3").unionByName(l.filter("a = 9"))
+    many = l.selectExpr("a", "concat(b, 'x') as b")
+    whole = [sorted(map(repr, diff(l, r).diffs.collect())) for r in (few, many)]
+    monkeypatch.setattr(strategies, "WHOLE_ROWS", 0)
+    for r, want in zip((few, many), whole):
+        result = diff(l, r, DiffOptions(bisection_threshold=8))
+        assert sorted(map(repr, result.diffs.collect())) == want and len(result.report.shards) > 3
+        result.close()
+    assert diff(l, l, DiffOptions(bisection_threshold=8)).report.exit_code == 0
+
+
+def test_a_comparison_has_a_time_limit(spark):
+    from pyspark.sql.functions import udf
+
+    from twinlake.operators.timeouts import JobTimeout
+
+    @udf("long")
+    def slow(x):
+        import time
+
+        time.sleep(20)
+        return x
+
+    l = spark.range(4).select(slow("id").alias("id"), F.lit("v").alias("v"))
+    with pytest.raises(JobTimeout):
+        diff(l, l, DiffOptions(statement_timeout=1.0), declared_key=["id"])
+
+
+def test_a_snapshot_does_not_read_again(spark, tmp_path):
+    spark.range(10).selectExpr("id", "'a' v").write.parquet(f"{tmp_path}/l")
+    spark.range(10).selectExpr("id", "if(id = 4, 'b', 'a') v").write.parquet(f"{tmp_path}/r")
+    left, right = (lambda s=s: spark.read.parquet(f"{tmp_path}/{s}") for s in "lr")
+    result = diff(left, right, DiffOptions(consistency="snapshot", strategy="joindiff"), declared_key=["id"])
+    assert found(result) == {4: "Modified"} and len(result._stored) == 2
+    result.close()
+    assert not result._stored
+
+
 def test_dry_run(spark):
     l = spark.createDataFrame([(1, "a"), (7, "b")], "id int, v string")
     plan = dry_run(l, l, DiffOptions(strategy="hashdiff"), declared_key=["id"])

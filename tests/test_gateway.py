@@ -175,8 +175,7 @@ def test_command_line(spark, folder, capsys, tmp_path):
 
 def test_tool_server(spark, folder):
     server = ToolServer(spark, load_config(folder / "sources.toml"))
-    ask = lambda tool, **arguments: server.answer({"id": 1, "method": "tools/call", "params": {"name": tool, "arguments": arguments}})
-    assert "delta_diff" in server.answer({"id": 0, "method": "tools/list"})["result"]
+    ask = lambda tool, **arguments: server.answer({"id": 1, "method": tool, "params": arguments})
     assert ask("execute_query", sql="select id from range(4)", max_rows=3)["result"] == {"columns": ["id"], "rows": [[0], [1], [2]], "row_count": 3, "truncated": True}
     assert ask("execute_query", sql="drop table t")["error"]["data"]["error"] == "read_only"
     assert ask("delta_diff", left="a", right="b", table="t", strategy="keyeddiff")["result"]["summary"]["modified"] == 1
@@ -188,6 +187,33 @@ def test_tool_server(spark, folder):
     assert [("result" in json.loads(x)) for x in out.getvalue().splitlines()] == [True, False]
 
 
+def test_model_context_client(spark, folder):
+    lines = [
+        {"jsonrpc": "2.0", "id": 1, "method": "initialize", "params": {"protocolVersion": "2024-11-05", "capabilities": {}, "clientInfo": {"name": "t", "version": "1"}}},
+        {"jsonrpc": "2.0", "method": "notifications/initialized"},
+        {"jsonrpc": "2.0", "id": 2, "method": "tools/list"},
+        {"jsonrpc": "2.0", "id": 3, "method": "tools/call", "params": {"name": "execute_query", "arguments": {"sql": "select 1 x"}}},
+        {"jsonrpc": "2.0", "id": 4, "method": "tools/call", "params": {"name": "execute_query", "arguments": {"sql": "drop table t"}}},
+        {"jsonrpc": "2.0", "id": 5, "method": "tools/call", "params": {"name": "nope"}},
+        {"jsonrpc": "2.0", "id": 6, "method": "ping"},
+    ]
+    out = io.StringIO()
+    server = ToolServer(spark, load_config(folder / "sources.toml"))
+    server.serve(io.StringIO("".join(json.dumps(x) + "\n" for x in lines)), out)
+    replies = {r["id"]: r for r in map(json.loads, out.getvalue().splitlines())}
+    assert sorted(replies) == [1, 2, 3, 4, 5, 6] and replies[1]["result"]["protocolVersion"] == "2024-11-05" and "tools" in replies[1]["result"]["capabilities"]
+    tools = {t["name"]: t for t in replies[2]["result"]["tools"]}
+    assert set(tools) == set(server.tools) and tools["delta_diff"]["inputSchema"]["required"] == ["left", "right"]
+    assert json.loads(replies[3]["result"]["content"][0]["text"])["rows"] == [[1]] and replies[3]["result"]["isError"] is False
+    assert replies[4]["result"]["isError"] is True and "error" in replies[5] and replies[6]["result"] == {}
+
+
+def test_analyze_and_run_leave_rows_in_their_tasks(spark):
+    gateway = Gateway(spark)
+    plan = gateway.explain("select id % 3 k, count(*) n from range(1000) group by 1", analyze=True)
+    assert "3 rows" in plan and gateway.run("select id from range(100000)") is None
+
+
 def test_stream_comparison(spark, tmp_path):
     from twinlake.streaming.incremental import compare_stream
 

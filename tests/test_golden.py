@@ -94,3 +94,16 @@ def test_sum_is_modulo_two_to_the_64(spark):
     n = spark.range(1000).select(sum_modulo(F.lit(4294967295).cast("bigint"))).first()[0]
     assert int(n) == 1000 * 4294967295
     assert int(spark.range(0).select("id").agg(sum_modulo(F.col("id"))).first()[0]) == 0
+
+
+def test_crc_chain_against_zlib(spark):
+    import zlib
+
+    from twinlake.functions.canonical import NULL_TEXT
+    from twinlake.functions.hashing import crc_hash
+    from twinlake.plans.tableplan import build_plan
+
+    df = spark.createDataFrame([(1, "a", None), (2, "", 5), (3, "é#", -7)], "id int, v string, n long")
+    got = {r.id: r.crc for r in df.select("id", crc_hash(build_plan(df).normalized()).alias("crc")).collect()}
+    for row in df.collect():
+        assert got[row.id] == zlib.crc32("#".join(NULL_TEXT if x is None else str(x) for x in row).encode())

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from twinlake.operators import checksum, joins
 from twinlake.operators.filters import apply_filter
+from twinlake.operators.lineage import delete, stored
+from twinlake.operators.timeouts import limited
 from twinlake.operators.strategies import RUN, Outcome, Sides, SketchOverflow
 from twinlake.plans import router
 from twinlake.plans.options import DiffOptions
@@ -29,10 +31,15 @@ class DiffResult:
     report: Report
     diffs: DataFrame
     _held: list[DataFrame]
+    _stored: list[str] = field(default_factory=list)
 
     def close(self) -> None:
+        """Give up what the comparison holds; ``diffs`` of a snapshot cannot be read after it."""
         for df in self._held:
             df.unpersist()
+        for path in self._stored:
+            delete(self.diffs.sparkSession, path)
+        self._stored.clear()
 
 
 def _reader(side: DataFrame | Reader) -> Reader:
@@ -65,10 +72,17 @@ def recheck(diffs: DataFrame, sides: Sides) -> DataFrame:
 def diff(left: DataFrame | Reader, right: DataFrame | Reader, options: DiffOptions | None = None, *, declared_key: Sequence[str] = ()) -> DiffResult:
     """Compare two tables, given as frames or as functions that read them (then rechecks read afresh).
 
-    consistency ``snapshot``: both sides are read once, to disk and memory, and every step sees that state;
-    differences are then confirmed on a fresh read.
+    consistency ``snapshot``: both sides are read once, into tables of the shared folder, and every step sees that
+    state; differences are then confirmed on a fresh read. Keys, declared or given, are checked to be unique unless
+    ``trust_keys`` says that the source enforces them; with a repeated key contents are compared as multisets.
+    ``statement_timeout`` is a limit on each job of the comparison.
     """
     options = options or DiffOptions()
+    spark = SparkSession.active()
+    return limited(spark, lambda: _diff(left, right, options, declared_key), options.statement_timeout, "comparison")
+
+
+def _diff(left: DataFrame | Reader, right: DataFrame | Reader, options: DiffOptions, declared_key: Sequence[str]) -> DiffResult:
     read_left, read_right = _reader(left), _reader(right)
     started = datetime.now(timezone.utc)
     lraw, rraw = read_left(), read_right()
@@ -77,12 +91,13 @@ def diff(left: DataFrame | Reader, right: DataFrame | Reader, options: DiffOptio
     route = router.choose(lplan, rplan, same_source=same, wish=options.strategy)
     sides = Sides(apply_filter(lraw, options), apply_filter(rraw, options), lplan, rplan)
     held: list[DataFrame] = []
+    paths: list[str] = []
     if options.consistency == "snapshot":
-        sides.left, sides.right = (df.persist(StorageLevel.MEMORY_AND_DISK) for df in (sides.left, sides.right))
-        held += [sides.left, sides.right]
+        (sides.left, a), (sides.right, b) = stored(sides.left), stored(sides.right)
+        paths += [a, b]
     warnings += route.warnings
     strategy = route.strategy
-    if strategy != "bucketdiff" and options.key and tuple(options.key) != tuple(declared_key):
+    if strategy != "bucketdiff" and not options.trust_keys:
         if not (duplicate_keys(sides.left, lplan).isEmpty() and duplicate_keys(sides.right, rplan).isEmpty()):
             warnings.append(f"duplicate keys; strategy '{strategy}' needs unique keys: falling back to bucketdiff")
             strategy = "bucketdiff"
@@ -102,7 +117,7 @@ def diff(left: DataFrame | Reader, right: DataFrame | Reader, options: DiffOptio
         diffs = diffs.withColumn("confirmed", F.lit(True))
     diffs = diffs.persist(StorageLevel.MEMORY_AND_DISK)
     held += [diffs, *outcome.held]
-    return DiffResult(_report(sides, outcome, diffs, strategy, options, started, warnings), diffs, held)
+    return DiffResult(_report(sides, outcome, diffs, strategy, options, started, warnings), diffs, held, paths)
 
 
 def _report(sides: Sides, outcome: Outcome, diffs: DataFrame, strategy: str, options: DiffOptions, started: datetime, warnings: list[str]) -> Report:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import threading
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -12,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from twinlake.gateway import statements
 from twinlake.gateway.errors import GatewayError, classify
 from twinlake.gateway.render import render
+from twinlake.operators.timeouts import JobTimeout, limited
 
 DEFAULT_ROWS, MOST_ROWS = 1000, 10_000
 EXPLAIN_MODES = ("simple", "extended", "codegen", "cost", "formatted")
@@ -58,32 +57,15 @@ class Gateway:
         return Result(df.columns, [list(r) for r in rows[:cap]], len(rows) > cap)
 
     def run(self, sql: str) -> None:
-        """A statement without a result (refused by a read-only gateway unless it only reads)."""
-        self.frame(sql).collect()
+        """A statement whose result is not wanted (refused by a read-only gateway unless it only reads)."""
+        self.timed(self.frame(sql).write.format("noop").mode("overwrite").save, self.timeout)
 
     def timed(self, work: Callable, timeout: float | None):
-        """work() in a job group that is cancelled after the timeout."""
-        if not timeout:
-            return work()
-        sc, group = self.spark.sparkContext, f"twinlake-{uuid.uuid4().hex[:12]}"
-        late = threading.Event()
-
-        def stop() -> None:
-            late.set()
-            sc.cancelJobGroup(group)
-
-        timer = threading.Timer(timeout, stop)
-        sc.setJobGroup(group, "gateway statement", interruptOnCancel=True)
-        timer.start()
+        """work() with a limit on how long each of its jobs may run."""
         try:
-            return work()
-        except Exception as e:
-            if late.is_set():
-                raise GatewayError("timeout", f"cancelled after {timeout} s") from e
-            raise
-        finally:
-            timer.cancel()
-            sc.setLocalProperty("spark.jobGroup.id", None)
+            return limited(self.spark, work, timeout)
+        except JobTimeout as e:
+            raise GatewayError("timeout", str(e)) from e
 
     def explain(self, sql: str, mode: str = "formatted", *, analyze: bool = False) -> str:
         """The plan; with analyze the statement runs and the plan that ran is given with its row counts."""
@@ -95,7 +77,7 @@ class Gateway:
         execution = df._jdf.queryExecution()
         if not analyze:
             return execution.explainString(self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString(mode))
-        self.timed(df.collect, self.timeout)
+        self.timed(lambda: execution.toRdd().count(), self.timeout)  # runs the plan; no row leaves its task
         plan = execution.executedPlan()
         return plan.toString() + "\n" + "\n".join(_metrics(plan))
 
@@ -108,7 +90,7 @@ def _metrics(node, depth: int = 0):
     values = node.metrics()
     shown = f"{values.apply('numOutputRows').value()} rows" if values.contains("numOutputRows") else ""
     yield "  " * depth + f"{name} {shown}".rstrip()
-    inner = [node.executedPlan()] if name == "AdaptiveSparkPlan" else []
+    inner = [node.executedPlan()] if name == "AdaptiveSparkPlan" else [node.plan()] if name.endswith("QueryStage") else []
     children = node.children()
     for child in inner + [children.apply(i) for i in range(children.size())]:
         yield from _metrics(child, depth + 1)

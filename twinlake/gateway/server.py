@@ -1,4 +1,9 @@
-"""A tool server: JSON-RPC 2.0 requests as lines on stdin, answers as lines on stdout."""
+"""A tool server for model context clients: JSON-RPC 2.0 messages as lines on stdin, answers as lines on stdout.
+
+A client opens with ``initialize``, lists the tools with their input schemas and calls them by ``tools/call``; a
+call answers with content blocks, and a tool that fails answers with ``isError``. A tool's name is also a
+method of its own, which answers with the bare result.
+"""
 
 from __future__ import annotations
 
@@ -9,14 +14,41 @@ from typing import TextIO
 
 from pyspark.sql import SparkSession
 
+from twinlake import __version__
 from twinlake.diff import DiffOptions, diff
 from twinlake.gateway import catalog
 from twinlake.gateway.errors import classify
-from twinlake.gateway.gateway import Gateway
+from twinlake.gateway.gateway import EXPLAIN_MODES, MOST_ROWS, Gateway
 from twinlake.gateway.render import jsonable
+from twinlake.plans.options import STRATEGIES
 from twinlake.sources.registry import Registry
 
 
+PROTOCOLS = ("2025-06-18", "2025-03-26", "2024-11-05")
+_TEXT, _WHOLE, _FLAG = {"type": "string"}, {"type": "integer"}, {"type": "boolean"}
+#: What each tool does, its arguments, and those that it needs.
+TOOLS: dict[str, tuple[str, dict, list[str]]] = {
+    "database_info": ("Facts about the session", {}, []),
+    "list_tables": ("Tables of a database", {"database": _TEXT}, []),
+    "describe_table": ("Columns and declared key of a table", {"table": _TEXT, "connection": _TEXT}, ["table"]),
+    "execute_query": ("Run a statement that only reads", {"sql": _TEXT, "max_rows": _WHOLE | {"minimum": 1, "maximum": MOST_ROWS}, "args": {"type": "array"}}, ["sql"]),
+    "execution_plan": ("The plan of a statement; with analyze it runs", {"sql": _TEXT, "mode": _TEXT | {"enum": list(EXPLAIN_MODES)}, "analyze": _FLAG}, ["sql"]),
+    "list_connections": ("Sources and their states", {}, []),
+    "delta_diff": (
+        "Compare two tables",
+        {
+            **{n: _TEXT for n in ("left", "right", "table", "left_table", "right_table", "key", "columns", "where", "update_column", "update_since")},
+            "strategy": _TEXT | {"enum": list(STRATEGIES)},
+            "consistency": _TEXT | {"enum": ["none", "snapshot"]},
+            **{n: _WHOLE for n in ("bisection_factor", "bisection_threshold", "threads", "sample", "iblt_capacity", "fetch_all_threshold", "decimal_scale")},
+            "statement_timeout": {"type": "number"},
+            **{n: _FLAG for n in ("recheck", "strict", "exact_hash", "summary_only", "trust_keys")},
+        },
+        ["left", "right"],
+    ),
+}
+
+
 class ToolServer:
     def __init__(self, spark: SparkSession, registry: Registry, *, timeout: float | None = 300):
         self.spark, self.registry, self.gateway = spark, registry, Gateway(spark, timeout=timeout)
@@ -58,15 +90,43 @@ class ToolServer:
         finally:
             result.close()
 
-    def answer(self, request: dict) -> dict:
-        reply: dict = {"jsonrpc": "2.0", "id": request.get("id")}
+    def listing(self) -> list[dict]:
+        return [
+            {"name": n, "description": text, "inputSchema": {"type": "object", "properties": given, "required": needed, "additionalProperties": False}}
+            for n, (text, given, needed) in sorted(TOOLS.items())
+        ]
+
+    def call(self, name: str, arguments: dict) -> dict:
+        """The result of a tool as content blocks; an error of the tool is a result too."""
+        try:
+            value, failed = self.tools[name](**arguments), False
+        except Exception as e:
+            value, failed = classify(e).as_dict(), True
+        text = value if isinstance(value, str) else json.dumps(value, default=str)
+        structured = value if isinstance(value, dict) else {"result": value}
+        return {"content": [{"type": "text", "text": text}], "structuredContent": structured, "isError": failed}
+
+    def answer(self, request: dict) -> dict | None:
+        """The reply to a request; None to a notification."""
         method, params = request.get("method"), request.get("params") or {}
+        if "id" not in request:
+            return None
+        reply: dict = {"jsonrpc": "2.0", "id": request["id"]}
+        if method == "initialize":
+            asked = params.get("protocolVersion")
+            version = asked if asked in PROTOCOLS else PROTOCOLS[0]
+            return reply | {"result": {"protocolVersion": version, "capabilities": {"tools": {"listChanged": False}}, "serverInfo": {"name": "twinlake", "version": __version__}}}
+        if method == "ping":
+            return reply | {"result": {}}
         if method == "tools/list":
-            return reply | {"result": sorted(self.tools)}
+            return reply | {"result": {"tools": self.listing()}}
         if method == "tools/call":
-            method, params = params.get("name"), params.get("arguments") or {}
+            name = params.get("name")
+            if name not in self.tools:
+                return reply | {"error": {"code": -32602, "message": f"unknown tool {name!r}"}}
+            return reply | {"result": self.call(name, params.get("arguments") or {})}
         if method not in self.tools:
-            return reply | {"error": {"code": -32601, "message": f"unknown tool {method!r}"}}
+            return reply | {"error": {"code": -32601, "message": f"unknown method {method!r}"}}
         try:
             return reply | {"result": self.tools[method](**params)}
         except Exception as e:
@@ -81,5 +141,7 @@ class ToolServer:
                 reply = self.answer(json.loads(line))
             except ValueError as e:
                 reply = {"jsonrpc": "2.0", "id": None, "error": {"code": -32700, "message": str(e)}}
+            if reply is None:
+                continue
             out.write(json.dumps(reply, default=str) + "\n")
             out.flush()

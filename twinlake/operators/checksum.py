@@ -42,6 +42,11 @@ def batch_checksum(df: DataFrame, plan: TablePlan, n: int, *, by: str = "content
         rows = df.select(plan.identity_hash().alias("h"), plan.key_bucket(n).alias("bkt"))
     else:
         raise ValueError("by is 'content' or 'key'")
+    return bucket_sums(rows)
+
+
+def bucket_sums(rows: DataFrame) -> DataFrame:
+    """(bkt, cnt, s1..s4) of rows (h, bkt) that are hashed already."""
     return rows.groupBy("bkt").agg(*_aggregates())
 
 

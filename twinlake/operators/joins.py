@@ -62,8 +62,13 @@ def multiset(df: DataFrame, plan: TablePlan) -> DataFrame:
 
 def multiset_differences(left: DataFrame, right: DataFrame, lplan: TablePlan, rplan: TablePlan) -> DataFrame:
     """(h, left_n, right_n, status) of contents that occur unequally often; one shuffle of partial sums."""
-    l = left.select(lplan.content_hash().alias("h"), F.lit(1).alias("a"), F.lit(0).alias("b"))
-    r = right.select(rplan.content_hash().alias("h"), F.lit(0).alias("a"), F.lit(1).alias("b"))
+    return unequal_counts(left.select(lplan.content_hash().alias("h")), right.select(rplan.content_hash().alias("h")))
+
+
+def unequal_counts(left: DataFrame, right: DataFrame) -> DataFrame:
+    """multiset_differences of rows (h) that are hashed already."""
+    l = left.select("h", F.lit(1).alias("a"), F.lit(0).alias("b"))
+    r = right.select("h", F.lit(0).alias("a"), F.lit(1).alias("b"))
     both = l.unionByName(r).groupBy("h").agg(F.sum("a").alias("left_n"), F.sum("b").alias("right_n")).filter("left_n <> right_n")
     return both.withColumn("status", F.when(F.col("left_n") > F.col("right_n"), MISSING_RIGHT).otherwise(MISSING_LEFT))
 

@@ -25,6 +25,9 @@ from twinlake.plans.report import Shard
 from twinlake.plans.tableplan import TablePlan
 
 MAX_BUCKETS = 1024
+#: bucketdiff: tables of at most so many rows are compared in one pass; the most buckets of larger ones.
+WHOLE_ROWS = 4_000_000
+MOST_CONTENT_BUCKETS = 1 << 20
 MAX_DEPTH = 16
 
 
@@ -80,18 +83,30 @@ def bucket_count(rows: int, threshold: int) -> int:
 
 
 def bucketdiff(sides: Sides, options: DiffOptions) -> Outcome:
-    """Checksums by content-hash bucket from one scan a side, then multisets of the buckets that differ."""
+    """Contents as multisets. Small tables in one pass: one aggregation of the row hashes of both sides.
+
+    Of larger tables each row is hashed once; checksums by content bucket, with as many buckets as the rows call for, then
+    leave only rows of buckets that differ to that aggregation, unless most rows are in such buckets.
+    """
     totals = sides.counts()
-    n = bucket_count(max(totals), options.bisection_threshold)
     started = time.monotonic()
-    l = checksum.batch_checksum(sides.left, sides.lplan, n)
-    r = checksum.batch_checksum(sides.right, sides.rplan, n)
-    differ = settled(checksum.differing(l, r))
-    shards = [Shard(f"bucket-{b}", (b, b + 1), lc, rc, abs(lc - rc), "Diff") for b, lc, rc in sorted(differ.collect())]  # at most MAX_BUCKETS
-    ids = F.broadcast(differ.select("bkt"))  # at most MAX_BUCKETS rows
-    some = [in_buckets(df, bucket(p.content_hash(), n), ids) for df, p in ((sides.left, sides.lplan), (sides.right, sides.rplan))]
-    diffs = joins.keyless_rows(joins.multiset_differences(*some, sides.lplan, sides.rplan))
-    return Outcome(diffs, shards, queries=4, durations=[1000 * (time.monotonic() - started)], totals=totals)
+    if max(totals) <= WHOLE_ROWS:
+        diffs = settled(joins.multiset_differences(sides.left, sides.right, sides.lplan, sides.rplan))
+        n = bucket_count(max(totals), options.bisection_threshold)
+        found = diffs.groupBy(bucket(F.col("h"), n).alias("bkt")).agg(F.sum("left_n"), F.sum("right_n")).collect()  # at most MAX_BUCKETS
+        shards = [Shard(f"bucket-{b}", (b, b + 1), lc, rc, abs(lc - rc), "Diff") for b, lc, rc in sorted(found)]
+        return Outcome(joins.keyless_rows(diffs), shards, queries=2, durations=[1000 * (time.monotonic() - started)], totals=totals)
+    n = max(1, min(MOST_CONTENT_BUCKETS, -(-max(totals) // options.bisection_threshold)))
+    hashed = [df.select(p.content_hash().alias("h")).withColumn("bkt", bucket(F.col("h"), n)).persist(StorageLevel.MEMORY_AND_DISK) for df, p in ((sides.left, sides.lplan), (sides.right, sides.rplan))]
+    differ = settled(checksum.differing(*(checksum.bucket_sums(rows) for rows in hashed)))
+    shards = [Shard(f"bucket-{b}", (b, b + 1), lc, rc, abs(lc - rc), "Diff") for b, lc, rc in differ.orderBy("bkt").limit(MAX_BUCKETS).collect()]
+    inside = differ.agg(F.coalesce(F.sum(F.col("left_cnt") + F.col("right_cnt")), F.lit(0))).first()[0]
+    if inside * 2 < sum(totals):
+        hashed_some = [rows.join(differ.select("bkt"), "bkt", "left_semi") for rows in hashed]  # AQE broadcasts few buckets
+    else:
+        hashed_some = hashed
+    diffs = settled(joins.unequal_counts(*(rows.select("h") for rows in hashed_some)))
+    return Outcome(joins.keyless_rows(diffs), shards, queries=4, durations=[1000 * (time.monotonic() - started)], totals=totals, held=hashed)
 
 
 def keyeddiff(sides: Sides, options: DiffOptions) -> Outcome:
@@ -225,9 +240,15 @@ def _leaf_differences(sides: Sides, l: DataFrame, r: DataFrame, leaves: list[tup
 
     if not options.checkpoint:
         return sides.contents(compare())
-    plan = fingerprint(sides.lplan.key_names, [f.name for f in sides.lplan.columns], options.where, options.update_column, options.update_since, options.as_of, low, first_width)
-    book = Checkpoint(options.checkpoint, plan)
     spark, waves = sides.spark, []
+    contents = [list(segment_checksums(rows, F.lit(0)).first() or ()) for rows in (l, r)]
+    plan = fingerprint(
+        [options.left_source, options.right_source, options.left_name, options.right_name, contents],
+        [[p.key_names, [(f.name, f.dataType.simpleString()) for f in p.columns], p.scale, p.exact, p.nested_json] for p in (sides.lplan, sides.rplan)],
+        [options.where, options.update_column, options.update_since, options.as_of, options.bisection_factor, options.bisection_threshold, low, first_width],
+    )
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    book = Checkpoint(options.checkpoint, plan, f"{shared}/differences" if shared else None)
     todo = [s for s in shards if not book.completed(s.shard_id)]
     waves += [e["wave"] for s in shards if (e := book.completed(s.shard_id)) and e["wave"]]
     for s in shards:

@@ -1,7 +1,7 @@
 """Resuming: finished shards of a comparison as JSON lines, their differences as Parquet beside the file.
 
-Each line names the plan it belongs to, so a file written under another filter, key or column list is not
-reused. Lines that cannot be read are counted and skipped. The file is renamed to ``.done`` at the end.
+Each line names the plan it belongs to: the sources, names, types and contents of both tables, the filter, key,
+columns and thresholds. A file written for other tables, or for tables that have changed, is not reused. Lines that cannot be read are counted and skipped. The file is renamed to ``.done`` at the end.
 """
 
 from __future__ import annotations
@@ -16,8 +16,10 @@ def fingerprint(*parts) -> str:
 
 
 class Checkpoint:
-    def __init__(self, path: str | Path, plan: str):
+    def __init__(self, path: str | Path, plan: str, folder: str | None = None):
+        """folder: where executors can write, for the differences; by default beside the file."""
         self.path, self.plan, self.corrupted = Path(path), plan, 0
+        self.folder = folder or f"{path}.diffs"
         self.shards: dict[str, dict] = {}
         if self.path.exists():
             for line in self.path.read_text().splitlines():
@@ -39,7 +41,7 @@ class Checkpoint:
     @property
     def diffs_path(self) -> str:
         """Folder of this plan's differences, one subfolder a wave of shards."""
-        return f"{self.path}.diffs/{self.plan}"
+        return f"{self.folder}/{self.plan}"
 
     def record(self, shard: str, *, left: int, right: int, wave: str | None) -> None:
         """wave: the subfolder with the shard's differences, None if it has none."""

@@ -32,6 +32,8 @@ class DiffOptions:
     exact_hash: bool = False
     nested_json: bool = False
     summary_only: bool = False
+    #: Keys are enforced by the source, so that their uniqueness need not be measured.
+    trust_keys: bool = False
     left_name: str = "left"
     right_name: str = "right"
     left_source: str | None = None

@@ -6,7 +6,10 @@ some copied under a new key; the same rules are written out in SQL. Money is com
 
 from __future__ import annotations
 
+import re
+import tempfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +19,9 @@ from twinlake.functions.hashing import bucket, crc_hash, hash_slice
 from twinlake.gateway import catalog
 from twinlake.gateway.gateway import Gateway
 from twinlake.operators import checksum, filters, joins, paging, sketch, strategies
+from twinlake.operators.lineage import settled
 from twinlake.plans.tableplan import build_plan, duplicate_keys
+from twinlake.sources.registry import Source
 
 BUCKETS = 16
 CELLS = sketch.cells_for(64)
@@ -78,6 +83,7 @@ _R_ORDERS = """select o_orderkey, o_custkey, case when o_orderkey % 501 = 7 then
   union all select o_orderkey + 1000000, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority from orders where o_orderkey % 1499 = 5"""
 _R_LINES = f"""select {', '.join("case when l_orderkey % 701 = 13 then 'Z' else l_returnflag end l_returnflag" if c == "l_returnflag" else c for c in LINES)}
   from lineitem where l_orderkey % 499 <> 11 union all select {', '.join(LINES)} from lineitem where l_orderkey % 997 = 17"""
+_MONEY_LINES = ", ".join(f"cast({c} as decimal(18,2)) {c}" if c in MONEY else c for c in LINES)
 _R_CONV = "select conv_id, turn, case when (conv_id + turn) % 41 = 3 then 'other' else role end role, text from conversations where (conv_id * 7 + turn) % 53 <> 5"
 _R_NATION = "select n_nationkey, n_name, case when n_nationkey % 5 = 1 then n_regionkey + 1 else n_regionkey end n_regionkey from nation where n_nationkey % 7 <> 2"
 
@@ -207,10 +213,10 @@ def multiset_counts(spark, sf_dir):
     return joins.multiset(df, build_plan(df))
 
 
-@_query("select * from lineitem where l_orderkey % 499 = 11 except all select * from lineitem where l_orderkey % 998 = 11")
+@_query(f"select {_MONEY_LINES} from lineitem except all select {_MONEY_LINES} from ({_R_LINES})")
 def multiset_except(spark, sf_dir):
-    df = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return df.filter("l_orderkey % 499 = 11").exceptAll(df.filter("l_orderkey % 998 = 11"))
+    l, r = lines_pair(spark, sf_dir)
+    return l.exceptAll(r)
 
 
 @_query(_ORDERS_DIFF)
@@ -408,21 +414,66 @@ def duplicate_key_check(spark, sf_dir):
     return duplicate_keys(df, build_plan(df, key=["l_orderkey", "l_linenumber"]))
 
 
-@_query("select column_name, cast(row_number() over (order by i) as int) ordinal from (select unnest(['n_nationkey', 'n_name', 'n_regionkey']) column_name, unnest([1, 2, 3]) i)")
+@_query(
+    "select column_name, data_type, true nullable, cast(null as varchar) \"default\", ordinal, cast(null as varchar) \"comment\", column_key from"
+    " (values ('n_nationkey', 'int', 1, 'PRI'), ('n_name', 'string', 2, ''), ('n_regionkey', 'int', 3, '')) t(column_name, data_type, ordinal, column_key)"
+)
 def table_columns(spark, sf_dir):
-    return catalog.table_columns(read(spark, sf_dir, "nation"), ["n_nationkey"]).select("column_name", "ordinal")
+    return catalog.table_columns(read(spark, sf_dir, "nation"), ["n_nationkey"])
+
+
+@_query("select 'PRIMARY' index_name, true is_unique, true is_primary, 'n_nationkey' as \"columns\", 'declared' index_type")
+def table_indexes(spark, sf_dir):
+    df = read(spark, sf_dir, "nation")
+    return catalog.table_indexes(spark, Source("driver", "parquet", sf_dir, keys={"nation": ["n_nationkey"]}), "nation", df)
 
 
-@_query("select c_custkey, c_name from customer where c_custkey <= 11")
+@_query("select 'twinlake_listed' as \"name\", 'TEMPORARY' as \"type\", 'spark' engine, (select count(*) from nation) as \"rows\"")
+def list_tables(spark, sf_dir):
+    read(spark, sf_dir, "nation").createOrReplaceTempView("twinlake_listed")
+    return catalog.list_tables(spark, count=True).filter("name = 'twinlake_listed'").select("name", "type", "engine", "rows")
+
+
+@_query()
+def database_info(spark, sf_dir):
+    return catalog.database_info(spark)
+
+
+@_query("select c_custkey, c_name from customer order by c_custkey limit 51")
 def gateway_limit(spark, sf_dir):
+    """All of a table, cut off by the cap of 50: one row more tells that there is more."""
     read(spark, sf_dir, "customer").createOrReplaceTempView("twinlake_customer")
-    return Gateway(spark).limited("select c_custkey, c_name from twinlake_customer where c_custkey <= 11 order by c_custkey", 50)
+    return Gateway(spark).limited("select c_custkey, c_name from twinlake_customer order by c_custkey", 50)
 
 
-@_query("select c_custkey, c_mktsegment from customer where c_mktsegment = 'BUILDING' and c_custkey < 500")
+@_query("select c_custkey, c_mktsegment from customer where c_mktsegment = 'BUILDING' and c_acctbal > 1000")
 def parameter_query(spark, sf_dir):
     read(spark, sf_dir, "customer").createOrReplaceTempView("twinlake_customer")
-    return Gateway(spark).frame("select c_custkey, c_mktsegment from twinlake_customer where c_mktsegment = ? and c_custkey < ?", ["BUILDING", 500])
+    return Gateway(spark).frame("select c_custkey, c_mktsegment from twinlake_customer where c_mktsegment = ? and c_acctbal > ?", ["BUILDING", 1000])
+
+
+@_query("select l_orderkey, l_linenumber from lineitem where false")
+def declared_duplicate_diff(spark, sf_dir):
+    """Identical tables whose declared key repeats: no difference, by comparison of multisets."""
+    df = read(spark, sf_dir, "lineitem")
+    result = diff(df, df, DiffOptions(sample=0, strategy="keyeddiff"), declared_key=["l_orderkey", "l_linenumber"])
+    assert result.report.strategy == "bucketdiff", result.report.strategy
+    return result.diffs.select(F.lit(0).cast("long").alias("l_orderkey"), F.lit(0).alias("l_linenumber"))
+
+
+@_query(_ORDERS_DIFF)
+def checkpoint_resume(spark, sf_dir):
+    """A comparison after another one, of other tables of the same form, left its checkpoint under the same name."""
+    with tempfile.TemporaryDirectory() as folder:  # of the driver's own book of shards
+        book = Path(folder) / "book.jsonl"
+        options = DiffOptions(strategy="hashdiff", sample=0, checkpoint=str(book), bisection_threshold=256)
+        l, r = orders_pair(spark, sf_dir)
+        diff(l, r.filter("o_orderkey % 5 <> 1"), options, declared_key=["o_orderkey"]).close()
+        book.with_suffix(".done").rename(book)
+        result = diff(l, r, options, declared_key=["o_orderkey"])
+        rows = settled(result.diffs.select("key.o_orderkey", "status"))
+        result.close()
+    return rows
 
 
 #: Statements that users send through the gateway, as Spark runs them (views t_<table>), and the same for DuckDB.
@@ -438,15 +489,34 @@ _PASSED = {
     "sql_set_operations": "select s_nationkey k from {supplier} intersect select c_nationkey from {customer} except select n_nationkey from {nation} where n_regionkey = 0",
     "sql_cte_scalar": "with t as (select o_custkey, count(*) n from {orders} group by o_custkey) select o_custkey, n from t where n > (select avg(n) from t)",
     "sql_correlated": "select o_orderkey from {orders} o where o_orderkey = (select max(o_orderkey) from {orders} i where i.o_custkey = o.o_custkey)",
-    "sql_as_of": "select e.event_id, max(p.event_id) before_id from {events} e join {events} p on p.user_id = e.user_id and p.event_id < e.event_id group by e.event_id",
+    "sql_as_of": "select event_id, before_id from (select event_id, lag(event_id) over (partition by user_id order by event_id) before_id from {events}) where before_id is not null",
     "sql_limit_offset": "select c_custkey from {customer} order by c_custkey limit 20 offset 10",
     "sql_functions": "select n_name, upper(n_name) u, length(n_name) n, substr(n_name, 1, 3) s, n_nationkey % 3 m, abs(n_nationkey - 10) a from {nation}",
 }
 
+#: The same where the two engines name functions differently: (Spark, DuckDB).
+_BOTH = {
+    "sql_approximate": (
+        "select o_orderstatus, abs(approx_count_distinct(o_custkey) - count(distinct o_custkey)) <= 0.15 * count(distinct o_custkey) near,"
+        " abs(percentile_approx(o_totalprice, 0.5, 1000) - percentile(o_totalprice, 0.5)) <= 0.02 * percentile(o_totalprice, 0.5) middle from {orders} group by o_orderstatus",
+        "select o_orderstatus, true near, true middle from orders group by o_orderstatus",
+    ),
+    "sql_dates": (
+        "select extract(year from o_orderdate) y, extract(month from o_orderdate) m, count(*) n, max(datediff(last_day(o_orderdate), to_date(o_orderdate))) d, date_format(max(date_trunc('month', o_orderdate)), 'yyyy-MM-dd') t from {orders} group by 1, 2",
+        "select cast(extract(year from o_orderdate) as int) y, cast(extract(month from o_orderdate) as int) m, count(*) n, cast(max(datediff('day', cast(o_orderdate as date), last_day(o_orderdate))) as int) d, strftime(max(date_trunc('month', o_orderdate)), '%Y-%m-%d') t from orders group by 1, 2",
+    ),
+    "sql_arrays_and_maps": (
+        "select user_id, array_join(array_sort(collect_set(event_type)), ',') kinds, map_from_arrays(array('a', 'b'), array(count(*), min(event_id)))['b'] first_id, aggregate(sort_array(collect_list(event_id % 7)), 0L, (a, x) -> a + x) s from {events} group by user_id",
+        "select user_id, array_to_string(list_sort(list(distinct event_type)), ',') kinds, map(['a', 'b'], [count(*), min(event_id)])['b'] first_id, cast(list_sum(list(event_id % 7)) as bigint) s from events group by user_id",
+    ),
+    "sql_json": (
+        "select event_id, get_json_object(to_json(named_struct('t', event_type, 'x', array(event_id, user_id))), '$.x[1]') u, json_array_length(to_json(array(event_id, user_id))) n from {events}",
+        "select event_id, json_extract_string(json_object('t', event_type, 'x', [event_id, user_id]), '$.x[1]') u, cast(json_array_length(to_json([event_id, user_id])) as int) n from events",
+    ),
+}
 
-def _passed(sql: str):
-    import re
 
+def _passed(sql: str, other: str | None = None):
     tables = sorted(set(re.findall(r"\{(\w+)\}", sql)))
 
     def go(spark, sf_dir):
@@ -454,11 +524,13 @@ def _passed(sql: str):
             spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(f"t_{t}")
         return Gateway(spark).frame(sql.format(**{t: f"t_{t}" for t in tables}))
 
-    return go, sql.format(**{t: t for t in tables})
+    return go, other or sql.format(**{t: t for t in tables})
 
 
 for _name, _sql in _PASSED.items():
     _REGISTRY[_name] = _passed(_sql)
+for _name, _pair in _BOTH.items():
+    _REGISTRY[_name] = _passed(*_pair)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
