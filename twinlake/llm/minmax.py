@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinlake.llm.common import SPACED, U64, Words, bounded_batches, mix, words_of, written
+from twinlake.llm.common import SPACED, U64, Scratch, Words, bounded_batches, mix, words_of, written
 from twinlake.llm.components import components
 
 ROWS = 6
@@ -139,7 +139,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b").distinct()
 
 
-def across_labels(reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def across_labels(reps: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) of sets under different labels that can reach the similarity; none that does is left out.
 
     reps: id, n, label. Shingles are ordered by how many of these sets hold them, those held under one label
@@ -154,7 +154,7 @@ def across_labels(reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     order = order.withColumn("own", F.expr("n - size(order)"))
     prefix = F.expr(f"slice(order, 1, cast(greatest(0, n - ceil({percent} * n / 100) + 1 - own) as int))")
     first = order.select("id", "label", "n", "own", F.posexplode(prefix).alias("i", "s")).selectExpr("id", "label", "n", "own + i as place", "s.shingle as shingle")
-    first = written(first)
+    first = scratch.written(first)
     enough = f"{100 + percent} * least(x.n - x.place, y.n - y.place) >= {percent} * (x.n + y.n)"
     pairs = first.alias("x").join(first.alias("y"), F.expr(f"x.shingle = y.shingle and x.label < y.label and {enough}"))
     return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
@@ -169,26 +169,27 @@ def near_duplicates(df: DataFrame, *, k: int = 5, percent: int = 80, id: str = "
     keyed = sig.withColumn("k1", F.when(alone, F.xxhash64("doc_id")).otherwise(F.col("k1")))
     classes = written(keyed.filter(~alone).groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")))
 
-    banded = keyed.filter(~alone).join(classes, ["k1", "k2"]).filter("doc_id = rep")
-    spread = banded.select("rep", "n_shingles", F.explode("bands").alias("bucket"))
-    hubs = spread.groupBy("bucket").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).filter("hub < last").drop("last")
-    shared = written(spread.join(hubs, "bucket"))
-    sets = written(full_sets(docs.join(shared.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), k))
-
-    sizes = shared.filter("rep = hub").select(F.col("rep").alias("hub"), F.col("n_shingles").alias("hub_size")).distinct()
-    star = shared.filter("rep > hub").select("hub", "rep", "n_shingles").distinct().join(sizes, "hub")
-    star = star.filter(f"100 * least(n_shingles, hub_size) >= {percent} * greatest(n_shingles, hub_size)")
-    star = written(star.select(F.col("hub").alias("a"), F.col("rep").alias("b")))
-    links = written(confirmed(star, sets, percent))
-    found = components(links)
-
-    # buckets that hold more than one component: pairs between components that were not compared
-    labelled = shared.select("bucket", "rep", "n_shingles").join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
-    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("bucket")
-    rest = labelled.join(mixed, "bucket").select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), "label").distinct()
-    across = written(across_labels(rest, sets, percent).join(star, ["a", "b"], "left_anti"))
-    if not across.isEmpty():
-        found = components(links.union(confirmed(across, sets, percent)))
+    with Scratch(df.sparkSession) as scratch:
+        banded = keyed.filter(~alone).join(classes, ["k1", "k2"]).filter("doc_id = rep")
+        spread = banded.select("rep", "n_shingles", F.explode("bands").alias("bucket"))
+        hubs = spread.groupBy("bucket").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).filter("hub < last").drop("last")
+        shared = scratch.written(spread.join(hubs, "bucket"))
+        sets = scratch.written(full_sets(docs.join(shared.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), k))
+
+        sizes = shared.filter("rep = hub").select(F.col("rep").alias("hub"), F.col("n_shingles").alias("hub_size")).distinct()
+        star = shared.filter("rep > hub").select("hub", "rep", "n_shingles").distinct().join(sizes, "hub")
+        star = star.filter(f"100 * least(n_shingles, hub_size) >= {percent} * greatest(n_shingles, hub_size)")
+        star = scratch.written(star.select(F.col("hub").alias("a"), F.col("rep").alias("b")))
+        links = scratch.written(confirmed(star, sets, percent))
+        found = components(links)
+
+        # buckets that hold more than one component: pairs between components that were not compared
+        labelled = shared.select("bucket", "rep", "n_shingles").join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
+        mixed = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("bucket")
+        rest = labelled.join(mixed, "bucket").select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), "label").distinct()
+        across = scratch.written(across_labels(rest, sets, percent, scratch).join(star, ["a", "b"], "left_anti"))
+        if not across.isEmpty():
+            found = components(links.union(confirmed(across, sets, percent)))
 
     out = keyed.select("doc_id", "n_shingles", "k1", "k2").join(classes, ["k1", "k2"], "left").join(found.withColumnRenamed("id", "rep"), "rep", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
