@@ -187,6 +187,27 @@ def test_tool_server(spark, folder):
     assert [("result" in json.loads(x)) for x in out.getvalue().splitlines()] == [True, False]
 
 
+def test_database_source_end_to_end(spark, tmp_path):
+    """A table in an embedded database, read by ranges of its key and compared with files."""
+    from twinlake.diff import DiffOptions, diff
+    from twinlake.sources.registry import Registry, Source
+
+    rows = spark.range(100).selectExpr("cast(id as int) ID", "concat('v', id) V")
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    rows.write.jdbc(url, "T", properties={"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"})
+    rows.selectExpr("ID", "if(ID = 42, 'x', V) V").filter("ID <> 7").write.parquet(f"{tmp_path}/T.parquet")
+    database = Source("db", "jdbc", f"derby:{tmp_path}/db", {"partitions": "4"}, {"T": ["ID"]}, timeout=30)
+    registry = Registry([database, Source("files", "parquet", str(tmp_path), keys={"T": ["ID"]}), Source("bad", "jdbc", "derby:/nowhere/x", fallbacks=(database,))])
+    df = registry.open(spark, "db", "T")
+    assert df.rdd.getNumPartitions() == 4 and df.count() == 100 and registry.check(spark, "db", "T")
+    pushed = df.filter("ID >= 10 and ID < 12").select("V")
+    assert pushed.count() == 2 and "GreaterThanOrEqual(ID,10)" in pushed._jdf.queryExecution().toString()
+    assert registry.open(spark, "bad", "T").count() == 100  # the alternative
+    for strategy in ("hashdiff", "iblt", "keyeddiff"):
+        result = diff(lambda: registry.open(spark, "db", "T"), lambda: registry.open(spark, "files", "T"), DiffOptions(strategy=strategy, fetch_all_threshold=0), declared_key=["ID"])
+        assert {(r.key.ID, r.status) for r in result.diffs.collect()} == {(7, "MissingRight"), (42, "Modified")}
+
+
 def test_model_context_client(spark, folder):
     lines = [
         {"jsonrpc": "2.0", "id": 1, "method": "initialize", "params": {"protocolVersion": "2024-11-05", "capabilities": {}, "clientInfo": {"name": "t", "version": "1"}}},

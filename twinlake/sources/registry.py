@@ -14,10 +14,12 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from twinlake.plans.tableplan import find_column, is_integer
+
 _SECRET = re.compile(r"(://[^:/@\s]+:)[^@\s]+(@)")
 _DURATION = re.compile(r"(\d+(?:\.\d+)?)\s*(ms|s|m|h)?$")
 _UNITS = {"ms": 0.001, "s": 1.0, "m": 60.0, "h": 3600.0, None: 1.0}
-JDBC_DRIVERS = {"mysql": "com.mysql.cj.jdbc.Driver", "oracle": "oracle.jdbc.OracleDriver", "postgresql": "org.postgresql.Driver", "gaussdb": "org.postgresql.Driver"}
+JDBC_DRIVERS = {"mysql": "com.mysql.cj.jdbc.Driver", "oracle": "oracle.jdbc.OracleDriver", "postgresql": "org.postgresql.Driver", "gaussdb": "org.postgresql.Driver", "derby": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
 PENDING, CONNECTING, CONNECTED, UNAVAILABLE = "pending", "connecting", "connected", "unavailable"
 
 
@@ -81,7 +83,24 @@ def jdbc_options(source: Source, table: str) -> dict:
 
 
 def _jdbc(spark: SparkSession, source: Source, table: str) -> DataFrame:
-    return spark.read.format("jdbc").options(**jdbc_options(source, table)).load()
+    """By one connection, or by ``partitions`` of them over equal ranges of the single integer key that is declared."""
+    options = jdbc_options(source, table)
+    n, key = int(options.pop("partitions", 1)), source.declared_key(table)
+
+    def reader(**more) -> DataFrame:
+        return spark.read.format("jdbc").options(**options | more).load()
+
+    df = reader()
+    if n < 2 or len(key) != 1 or "partitionColumn" in options:
+        return df
+    field = find_column(df.schema, key[0])
+    if not is_integer(field.dataType):
+        return df
+    # the range by the database, which reads its index
+    ends = reader(dbtable=f"(select min({field.name}) as lo, max({field.name}) as hi from {table}) ends").first()
+    if ends[0] is None:
+        return df
+    return reader(partitionColumn=field.name, lowerBound=str(int(ends[0])), upperBound=str(int(ends[1]) + 1), numPartitions=str(n))
 
 
 READERS: dict[str, Callable[[SparkSession, Source, str], DataFrame]] = {"parquet": _files, "orc": _files, "csv": _files, "json": _files, "table": _table, "jdbc": _jdbc}
