@@ -19,6 +19,8 @@ columns pass through ``drop_contaminated``.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -55,12 +57,26 @@ def question_and_answer(text: str) -> tuple[str, str]:
     return " ".join(words[:at]), " ".join(words[at:])
 
 
-def _hashes(texts: list[str]) -> list[np.ndarray]:
-    out: list[np.ndarray] = []
-    for _, _, words in words_of(pc.utf8_lower(pa.array(texts, pa.string())), ALNUM):
-        h = words.hashes()
-        out += [h[a:b] for a, b in zip(words.bounds[:-1], words.bounds[1:])]
-    return out
+class Texts:
+    """The words (as hashes) of texts, end to end in one array; those of one text by its number."""
+
+    def __init__(self, texts: list[str]):
+        out, counts = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
+        for _, _, words in words_of(pc.utf8_lower(pa.array(texts, pa.string())), ALNUM):
+            out.append(words.hashes())
+            counts.append(words.counts)
+        self.words = np.concatenate(out)
+        self.counts = np.concatenate(counts)
+        self.bounds = np.append(0, np.cumsum(self.counts))
+
+    def __getitem__(self, n: int) -> np.ndarray:
+        if n >= len(self.counts):
+            raise IndexError(n)
+        return self.words[self.bounds[n] : self.bounds[n + 1]]
+
+
+def _hashes(texts: list[str]) -> Texts:
+    return Texts(texts)
 
 
 def grams(words: np.ndarray, k: int) -> set[bytes]:
@@ -75,53 +91,63 @@ def overlap(part: np.ndarray, passage: np.ndarray) -> float:
     return len(own & grams(passage, k)) / len(own) if own else 1.0
 
 
+def _highest(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """The highest value of each stretch from one begin to the next (none is empty)."""
+    return np.maximum.reduceat(values, begin) if len(begin) else values[:0]
+
+
 class Index:
-    """Postings per term, by item, with impacts as shares of the item's score for its own words."""
+    """Postings per term, by item, with impacts as shares of the item's score for its own words.
+
+    All postings are end to end in flat arrays, those of term t from edges[t] to edges[t + 1], so that an index has
+    some 20 bytes a word of its items and RANGES numbers a term.
+    """
 
     def __init__(self, items: list[tuple[object, str | None]]):
         items = sorted(((i, t or "") for i, t in items), key=lambda x: (x[1], repr(x[0])))
         self.ids = [i for i, _ in items]
-        texts = [t for _, t in items]
-        words = [w if len(w) >= MIN_WORDS else w[:0] for w in _hashes(texts)]
-        split = [question_and_answer(t) for t in texts]
+        split = [question_and_answer(t) for _, t in items]
         self.questions, self.answers = _hashes([q for q, _ in split]), _hashes([a for _, a in split])
-        lengths = np.array([len(w) for w in words], float)
-        self.longest = int(lengths.max()) if len(words) else 0
+        whole = _hashes([t for _, t in items])
+        del split
+        lengths = np.where(whole.counts >= MIN_WORDS, whole.counts, 0)
+        self.longest = int(lengths.max()) if len(items) else 0
         mean = lengths.mean() if lengths.sum() else 1.0
-        postings: dict[int, list[tuple[int, int]]] = {}
-        for n, w in enumerate(words):
-            for term, tf in zip(*(x.tolist() for x in np.unique(w, return_counts=True))):
-                postings.setdefault(term, []).append((n, tf))
-        own = np.zeros(len(items))
-        terms = sorted(postings)
-        raw = []
-        for term in terms:
-            at, tf = np.array(postings[term]).T
-            idf = np.log(1 + (len(items) - len(at) + 0.5) / (len(at) + 0.5))
-            impact = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[at] / mean))
-            own[at] += impact
-            raw.append((at, impact))
-        self.postings, self.top, self.block_ends, self.block_tops = [], np.zeros(len(terms)), [], []
-        for k, (at, impact) in enumerate(raw):
-            impact = impact / own[at]
-            self.postings.append((at.tolist(), impact.tolist()))
-            self.top[k] = impact.max()
-            cuts = range(0, len(at), BLOCK)
-            self.block_ends.append([int(at[min(c + BLOCK, len(at)) - 1]) for c in cuts])
-            self.block_tops.append([float(impact[c : c + BLOCK].max()) for c in cuts])
-        self.lookup = Lookup(np.array(terms, U64))
+        n = max(1, len(items))
+        terms, of = np.unique(whole.words[np.repeat(lengths > 0, whole.counts)], return_inverse=True)
+        pairs, tf = np.unique(of * n + np.repeat(np.arange(len(items)), lengths), return_counts=True)
+        del whole, of
+        term, at = np.divmod(pairs, n)
+        self.edges = np.searchsorted(term, np.arange(len(terms) + 1))
+        held = np.diff(self.edges)
+        idf = np.log(1 + (len(items) - held + 0.5) / (held + 0.5))
+        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[at] / mean))
+        self.impact = impact / np.bincount(at, impact, n)[at]
+        self.at = at.astype(np.int32)
+        self.top = _highest(self.impact, self.edges[:-1])
+        blocks = -(-held // BLOCK)
+        self.blocks = np.append(0, np.cumsum(blocks))  # of each term its first block
+        begin = np.repeat(self.edges[:-1], blocks) + BLOCK * (np.arange(self.blocks[-1]) - np.repeat(self.blocks[:-1], blocks))
+        self.block_tops = _highest(self.impact, begin)
+        self.block_ends = self.at[np.minimum(begin + BLOCK, np.repeat(self.edges[1:], blocks)) - 1]
+        self.lookup = Lookup(terms)
         # highest impact of each term in each of RANGES ranges of items: the bounds for all passages at once
         self.range_tops = np.zeros((len(terms), RANGES), np.float32)
-        for k, (at, impact) in enumerate(self.postings):
-            np.maximum.at(self.range_tops[k], np.array(at) * RANGES // max(1, len(items)), np.nextafter(np.array(impact, np.float32), np.float32(2)))
+        cell = term * RANGES + at * RANGES // n
+        first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])[: len(cell)])
+        self.range_tops.ravel()[cell[first]] = _highest(np.nextafter(self.impact.astype(np.float32), np.float32(2)), first)
 
     def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
         """(item number, score) of all items with at least the threshold, by block-max WAND."""
-        lists = [[self.postings[t][0], self.postings[t][1], 0, float(self.top[t]), self.block_ends[t], self.block_tops[t]] for t in terms]
+        at, impact, ends, tops = map(memoryview, (self.at, self.impact, self.block_ends, self.block_tops))
+        t = np.asarray(terms, np.int64)
+        # of each term the place in its postings, their begin and end, the highest impact, the first block and the one behind
+        columns = (self.edges[t], self.edges[t], self.edges[t + 1], self.top[t], self.blocks[t], self.blocks[t + 1])
+        lists = [list(x) for x in zip(*(c.tolist() for c in columns))]
         found = []
         eps = 1e-9
         while lists:
-            lists.sort(key=lambda x: x[0][x[2]])
+            lists.sort(key=lambda x: at[x[0]])
             bound, pivot = 0.0, -1
             for k, x in enumerate(lists):
                 bound += x[3]
@@ -130,39 +156,39 @@ class Index:
                     break
             if pivot < 0:
                 break
-            item = lists[pivot][0][lists[pivot][2]]
-            while pivot + 1 < len(lists) and lists[pivot + 1][0][lists[pivot + 1][2]] == item:
+            item = at[lists[pivot][0]]
+            while pivot + 1 < len(lists) and at[lists[pivot + 1][0]] == item:
                 pivot += 1
             bound, behind = 0.0, None
             for x in lists[: pivot + 1]:
-                b = x[2] // BLOCK
-                while b < len(x[4]) and x[4][b] < item:
-                    b += 1
-                if b < len(x[4]):
-                    bound += x[5][b]
-                    behind = x[4][b] if behind is None else min(behind, x[4][b])
+                b = bisect_left(ends, item, x[4] + (x[0] - x[1]) // BLOCK, x[5])
+                if b < x[5]:
+                    bound += tops[b]
+                    behind = ends[b] if behind is None else min(behind, ends[b])
             if bound < threshold - eps:
                 # no item up to the nearest block end, or before the next list, can reach the threshold
                 to = (behind if behind is not None else item) + 1
                 if pivot + 1 < len(lists):
-                    to = min(to, lists[pivot + 1][0][lists[pivot + 1][2]])
+                    to = min(to, at[lists[pivot + 1][0]])
                 to = max(to, item + 1)
                 moved = lists[: pivot + 1]
-            elif lists[0][0][lists[0][2]] == item:
-                score = sum(x[1][x[2]] for x in lists[: pivot + 1])
+            elif at[lists[0][0]] == item:
+                score = sum(impact[x[0]] for x in lists[: pivot + 1])
                 if score >= threshold - eps:
                     found.append((item, score))
                 to, moved = item + 1, lists[: pivot + 1]
             else:
-                to, moved = item, [x for x in lists[: pivot + 1] if x[0][x[2]] < item]
+                to, moved = item, [x for x in lists[: pivot + 1] if at[x[0]] < item]
             for x in moved:
-                at, k = x[0], x[2]
-                while k < len(at) and at[k] < to:
-                    k += 1
-                x[2] = k
-            lists = [x for x in lists if x[2] < len(x[0])]
+                x[0] = bisect_left(at, to, x[0], x[2])
+            lists = [x for x in lists if x[0] < x[2]]
         return found
 
+    @cached_property
+    def postings(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each term the items that hold it, and its impacts there."""
+        return [(self.at[a:b], self.impact[a:b]) for a, b in zip(self.edges[:-1], self.edges[1:])]
+
     @property
     def stride(self) -> int:
         return max(LEAST_STRIDE, self.longest + self.longest // 4)
