@@ -86,7 +86,7 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_delete, spark, path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)  # a schema given is a job less
 
 
 class Scratch:
@@ -98,7 +98,12 @@ class Scratch:
     def written(self, df: DataFrame) -> DataFrame:
         self.paths.append(f"{shared_dir(self.spark)}/tables/{uuid.uuid4().hex}")
         df.write.parquet(self.paths[-1])
-        return self.spark.read.parquet(self.paths[-1])
+        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+
+    def keep_last(self) -> None:
+        """Delete all tables but the last one written."""
+        while len(self.paths) > 1:
+            _delete(self.spark, self.paths.pop(0))
 
     def __enter__(self) -> Scratch:
         return self

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinlake.llm.common import SPACED, U64, Scratch, Words, bounded_batches, mix, words_of, written
-from twinlake.llm.components import components
+from twinlake.llm.components import components, merged
 
 ROWS = 6
 BANDS = 42
@@ -186,10 +186,13 @@ def near_duplicates(df: DataFrame, *, k: int = 5, percent: int = 80, id: str = "
         # buckets that hold more than one component: pairs between components that were not compared
         labelled = shared.select("bucket", "rep", "n_shingles").join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
         mixed = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("bucket")
-        rest = labelled.join(mixed, "bucket").select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), "label").distinct()
+        rest = scratch.written(labelled.join(mixed, "bucket").select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), "label").distinct())
         across = scratch.written(across_labels(rest, sets, percent, scratch).join(star, ["a", "b"], "left_anti"))
         if not across.isEmpty():
-            found = components(links.union(confirmed(across, sets, percent)))
+            label = rest.select("id", "label")
+            ends = [label.withColumnsRenamed({"id": end, "label": f"{end}_label"}) for end in ("a", "b")]
+            new = confirmed(across, sets, percent).join(ends[0], "a").join(ends[1], "b")
+            found = written(merged(found, new.select(F.col("a_label").alias("a"), F.col("b_label").alias("b"))))
 
     out = keyed.select("doc_id", "n_shingles", "k1", "k2").join(classes, ["k1", "k2"], "left").join(found.withColumnRenamed("id", "rep"), "rep", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
