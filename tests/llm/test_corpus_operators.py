@@ -111,6 +111,20 @@ def test_components_of_chains_and_hubs(spark):
     assert components.components(df.limit(0)).count() == 0
 
 
+def test_later_links_merge_components(spark):
+    """Links between components, or with ids of no component, give what all links at once give."""
+    first = [(1, 2), (2, 3), (10, 11), (20, 21), (30, 31)]
+    label = {1: 1, 2: 1, 3: 1, 10: 10, 11: 10, 20: 20, 21: 20, 30: 30, 31: 30, 5: 5, 40: 40, 41: 41}
+    later = [(3, 11), (5, 21), (40, 41), (21, 5), (11, 10)]
+    one = spark.createDataFrame(first, "a long, b long")
+    by_label = spark.createDataFrame([(label[a], label[b]) for a, b in later], "a long, b long")
+    got = components.merged(components.components(one), by_label)
+    both = components.components(spark.createDataFrame(first + later, "a long, b long"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, both.collect()))
+    assert {r.component for r in got.filter("id in (10, 11)").collect()} == {1}
+    assert {r.component for r in got.filter("id in (20, 21)").collect()} == {5}
+
+
 # ------------------------------------------------------------------ repeats
 
 
