@@ -92,6 +92,14 @@ def op10_repeats(spark, sf_dir):
     return remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op13_pieces(spark, sf_dir):
+    from public_tokenizers import path
+
+    from twinlake.llm.pieces import digests
+
+    return digests(table(spark, sf_dir, "documents", "doc_id", "text"), path("piece_bpe_32k.model"))
+
+
 def queries():
     return {k: f for k, f in globals().items() if callable(f) and (k.startswith("op") or k in ("license_base", "media_payload", "pii_base"))}
 
