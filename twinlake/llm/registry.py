@@ -92,6 +92,12 @@ def op10_repeats(spark, sf_dir):
     return remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op12_periodic_runs(spark, sf_dir):
+    from twinlake.llm.runs import periodic_runs
+
+    return periodic_runs(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op13_pieces(spark, sf_dir):
     from public_tokenizers import path
 
