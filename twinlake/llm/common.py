@@ -95,9 +95,10 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, []
 
-    def written(self, df: DataFrame) -> DataFrame:
+    def written(self, df: DataFrame, *by: str) -> DataFrame:
+        """``by``: columns whose values get folders of their own."""
         self.paths.append(f"{shared_dir(self.spark)}/tables/{uuid.uuid4().hex}")
-        df.write.parquet(self.paths[-1])
+        df.write.partitionBy(*by).parquet(self.paths[-1])
         return self.spark.read.schema(df.schema).parquet(self.paths[-1])
 
     def keep_last(self) -> None:

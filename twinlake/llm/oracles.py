@@ -105,6 +105,19 @@ select d.doc_id, length(d.h) // 2 n_bytes, coalesce(n_removed, 0)::bigint n_remo
 from d left join kept using (doc_id) left join gone using (doc_id)
 """
 
+_OP11 = r"""
+with d as (select row_number() over () u, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') ts from documents),
+q as (select row_number() over () v, item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') ts from benchmark),
+qt as (select v, item_id, term, count(*) c from (select v, item_id, unnest(ts) term from q) group by all),
+dt as (select u, doc_id, n, term, count(*) tf from (select u, doc_id, len(ts) n, unnest(ts) term from d) group by all),
+whole as (select count(*)::bigint docs, sum(len(ts))::bigint terms from d where len(ts) > 0),
+w as (select term, cast(floor(1000 * ln((2 * docs + 2)::double / (2 * count(*) + 1)::double)) as bigint) w from dt, whole group by term, docs),
+s as (select v, item_id, u, doc_id, cast(sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // terms)))) as bigint) score
+  from dt join qt using (term) join w using (term), whole group by v, item_id, u, doc_id),
+r as (select *, row_number() over (partition by v order by score desc, doc_id nulls last, u) rank from s where score > 0)
+select item_id, rank::int rank, doc_id, score from r where rank <= 20
+"""
+
 _OP6_BASE = r"""
 with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents),
 p as (select doc_id, unnest(w) w, generate_subscripts(w, 1) - 1 i from d),
@@ -125,4 +138,4 @@ select doc_id, n n_bytes, m payload_bytes, sha256(unhex(payload)) payload_sha256
 from f
 """
 
-SQL = {"license_base": _OP6_BASE, "media_payload": _OP5_PAYLOAD, "pii_base": _OP7, "op3_near_duplicates": _OP3, "op10_repeats": _OP10, "op9_mixing": _OP9, "op2_url_filter": _OP2}
+SQL = {"license_base": _OP6_BASE, "media_payload": _OP5_PAYLOAD, "pii_base": _OP7, "op3_near_duplicates": _OP3, "op10_repeats": _OP10, "op11_ranked_search": _OP11, "op9_mixing": _OP9, "op2_url_filter": _OP2}

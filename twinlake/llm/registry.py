@@ -92,6 +92,12 @@ def op10_repeats(spark, sf_dir):
     return remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op11_ranked_search(spark, sf_dir):
+    from twinlake.llm.ranking import rank
+
+    return rank(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def op12_periodic_runs(spark, sf_dir):
     from twinlake.llm.runs import periodic_runs
 
