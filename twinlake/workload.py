@@ -18,7 +18,7 @@ from twinlake.diff import DiffOptions, diff, recheck
 from twinlake.functions.hashing import bucket, crc_hash, hash_slice
 from twinlake.gateway import catalog
 from twinlake.gateway.gateway import Gateway
-from twinlake.operators import checksum, filters, joins, paging, sketch, strategies
+from twinlake.operators import checksum, filters, joins, paging, sketch, strategies, temporal
 from twinlake.operators.lineage import settled
 from twinlake.plans.tableplan import build_plan, duplicate_keys
 from twinlake.sources.registry import Source
@@ -476,6 +476,47 @@ def checkpoint_resume(spark, sf_dir):
     return rows
 
 
+#: Orders are of 1995 to 2001, events of January 2024; so many days later orders fall before, among and after events.
+LATER = 8400
+
+
+@_query(
+    f"select event_id, user_id, o_orderkey, o_orderdate from (select *, row_number() over (partition by event_id order by o_orderdate desc nulls last, o_orderkey desc) rn"
+    f" from (select event_id, user_id, ts from events) left join (select o_custkey, o_orderkey, o_orderdate + interval {LATER} day o_orderdate from orders) on o_custkey = user_id and o_orderdate <= ts) where rn = 1"
+)
+def as_of_orders(spark, sf_dir):
+    """Each event with the last order of its user until then."""
+    orders = read(spark, sf_dir, "orders").select("o_custkey", F.expr(f"o_orderdate + interval {LATER} days").alias("o_orderdate"), "o_orderkey")
+    events = read(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    return temporal.as_of_join(events, orders, on=[("user_id", "o_custkey")], time=("ts", "o_orderdate")).select("event_id", "user_id", "o_orderkey", "o_orderdate")
+
+
+_WINDOW_HOURS = "case when o_orderkey % 50 = 0 then 480 else o_orderkey % 6 end"
+
+
+@_query(
+    f"select o_orderkey, event_id from events join (select o_orderkey, o_orderdate + interval {LATER} day a, o_orderdate + interval {LATER} day + to_hours(cast({_WINDOW_HOURS} as bigint)) b from orders) on ts between a and b"
+)
+def interval_points(spark, sf_dir):
+    """Events within the hours (or, for one order of fifty, the twenty days) after an order."""
+    start = f"o_orderdate + interval {LATER} days"
+    orders = read(spark, sf_dir, "orders").selectExpr("o_orderkey", f"{start} as a", f"{start} + make_dt_interval(0, cast({_WINDOW_HOURS} as int)) as b")
+    events = read(spark, sf_dir, "events").select("event_id", "ts")
+    return temporal.interval_join(events, orders, left_interval=("ts", "ts"), right_interval=("a", "b")).select("o_orderkey", "event_id")
+
+
+@_query(
+    "select o_orderkey, l_orderkey, l_linenumber from (select o_orderkey, o_custkey, cast(o_orderdate as date) a, cast(o_orderdate as date) + cast(o_orderkey % 4 as int) b from orders)"
+    " join (select l_orderkey, l_linenumber, l_suppkey, cast(l_shipdate as date) c, cast(l_shipdate as date) + cast(l_quantity as int) d from lineitem) on o_custkey = l_suppkey and a < d and c < b and a < b and c < d"
+)
+def interval_overlaps(spark, sf_dir):
+    """Orders and lines of one number whose days, [from, to), overlap."""
+    orders = read(spark, sf_dir, "orders").selectExpr("o_orderkey", "o_custkey", "cast(o_orderdate as date) a", "date_add(cast(o_orderdate as date), cast(o_orderkey % 4 as int)) b")
+    lines = read(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_suppkey", "cast(l_shipdate as date) c", "date_add(cast(l_shipdate as date), cast(l_quantity as int)) d")
+    out = temporal.interval_join(orders, lines, left_interval=("a", "b"), right_interval=("c", "d"), on=[("o_custkey", "l_suppkey")], closed=False)
+    return out.select("o_orderkey", "l_orderkey", "l_linenumber")
+
+
 #: Statements that users send through the gateway, as Spark runs them (views t_<table>), and the same for DuckDB.
 _PASSED = {
     "sql_inner_group": "select c_mktsegment, count(*) n, sum(cast(o_totalprice as decimal(18,2))) total from {orders} join {customer} on o_custkey = c_custkey group by c_mktsegment",
@@ -489,7 +530,6 @@ _PASSED = {
     "sql_set_operations": "select s_nationkey k from {supplier} intersect select c_nationkey from {customer} except select n_nationkey from {nation} where n_regionkey = 0",
     "sql_cte_scalar": "with t as (select o_custkey, count(*) n from {orders} group by o_custkey) select o_custkey, n from t where n > (select avg(n) from t)",
     "sql_correlated": "select o_orderkey from {orders} o where o_orderkey = (select max(o_orderkey) from {orders} i where i.o_custkey = o.o_custkey)",
-    "sql_as_of": "select event_id, before_id from (select event_id, lag(event_id) over (partition by user_id order by event_id) before_id from {events}) where before_id is not null",
     "sql_limit_offset": "select c_custkey from {customer} order by c_custkey limit 20 offset 10",
     "sql_functions": "select n_name, upper(n_name) u, length(n_name) n, substr(n_name, 1, 3) s, n_nationkey % 3 m, abs(n_nationkey - 10) a from {nation}",
 }
@@ -501,6 +541,10 @@ _BOTH = {
         " abs(percentile_approx(o_totalprice, 0.5, 1000) - percentile(o_totalprice, 0.5)) <= 0.02 * percentile(o_totalprice, 0.5) middle from {orders} group by o_orderstatus",
         "select o_orderstatus, true near, true middle from orders group by o_orderstatus",
     ),
+    "sql_as_of": (
+        f"select event_id, max_by(o_orderkey, struct(o_orderdate, o_orderkey)) last_order from {{events}} left join {{orders}} on o_custkey = user_id and o_orderdate + interval {LATER} days <= ts group by event_id",
+        f"select event_id, max_by(o_orderkey, (o_orderdate, o_orderkey)) last_order from events left join orders on o_custkey = user_id and o_orderdate + interval {LATER} day <= ts group by event_id",
+    ),
     "sql_dates": (
         "select extract(year from o_orderdate) y, extract(month from o_orderdate) m, count(*) n, max(datediff(last_day(o_orderdate), to_date(o_orderdate))) d, date_format(max(date_trunc('month', o_orderdate)), 'yyyy-MM-dd') t from {orders} group by 1, 2",
         "select cast(extract(year from o_orderdate) as int) y, cast(extract(month from o_orderdate) as int) m, count(*) n, cast(max(datediff('day', cast(o_orderdate as date), last_day(o_orderdate))) as int) d, strftime(max(date_trunc('month', o_orderdate)), '%Y-%m-%d') t from orders group by 1, 2",
