@@ -15,11 +15,11 @@ from twinlake.operators import checksum, joins
 from twinlake.operators.filters import apply_filter
 from twinlake.operators.lineage import delete, stored
 from twinlake.operators.timeouts import limited
-from twinlake.operators.strategies import RUN, Outcome, Sides, SketchOverflow
+from twinlake.operators.strategies import RUN, Outcome, RepeatedKeys, Sides, SketchOverflow
 from twinlake.plans import router
 from twinlake.plans.options import DiffOptions
 from twinlake.plans.report import MISSING_LEFT, MISSING_RIGHT, MODIFIED, Report, TableRef
-from twinlake.plans.tableplan import TablePlan, build_plan, duplicate_keys, pair_warnings
+from twinlake.plans.tableplan import TablePlan, build_plan, pair_warnings
 
 Reader = Callable[[], DataFrame]
 
@@ -73,8 +73,10 @@ def diff(left: DataFrame | Reader, right: DataFrame | Reader, options: DiffOptio
     """Compare two tables, given as frames or as functions that read them (then rechecks read afresh).
 
     consistency ``snapshot``: both sides are read once, into tables of the shared folder, and every step sees that
-    state; differences are then confirmed on a fresh read. Keys, declared or given, are checked to be unique unless
-    ``trust_keys`` says that the source enforces them; with a repeated key contents are compared as multisets.
+    state; differences are then confirmed on a fresh read. Unless ``trust_keys`` says that the source enforces them, keys are
+    counted where a strategy looks at them anyhow: all of them by joindiff, those of differing buckets or leaves
+    by keyeddiff and hashdiff, those that differ by iblt (rows repeated alike on both sides are no difference). Where one
+    repeats, contents are compared as multisets.
     ``statement_timeout`` is a limit on each job of the comparison.
     """
     options = options or DiffOptions()
@@ -88,7 +90,7 @@ def _diff(left: DataFrame | Reader, right: DataFrame | Reader, options: DiffOpti
     lraw, rraw = read_left(), read_right()
     lplan, rplan, warnings = plan_sides(lraw, rraw, options, declared_key)
     same = options.left_source is not None and options.left_source == options.right_source or options.left_source is None and options.right_source is None
-    route = router.choose(lplan, rplan, same_source=same, wish=options.strategy)
+    route = router.choose(lplan, rplan, same_source=same, wish=options.strategy, any_key=options.any_key)
     sides = Sides(apply_filter(lraw, options), apply_filter(rraw, options), lplan, rplan)
     held: list[DataFrame] = []
     paths: list[str] = []
@@ -97,17 +99,18 @@ def _diff(left: DataFrame | Reader, right: DataFrame | Reader, options: DiffOpti
         paths += [a, b]
     warnings += route.warnings
     strategy = route.strategy
-    if strategy != "bucketdiff" and not options.trust_keys:
-        if not (duplicate_keys(sides.left, lplan).isEmpty() and duplicate_keys(sides.right, rplan).isEmpty()):
-            warnings.append(f"duplicate keys; strategy '{strategy}' needs unique keys: falling back to bucketdiff")
-            strategy = "bucketdiff"
     try:
-        outcome = RUN[strategy](sides, options)
-    except SketchOverflow as e:
-        if options.strict:
-            raise
-        warnings.append(f"{e}; falling back to hashdiff")
-        strategy = "hashdiff"
+        try:
+            outcome = RUN[strategy](sides, options)
+        except SketchOverflow as e:
+            if options.strict:
+                raise
+            warnings.append(f"{e}; falling back to hashdiff")
+            strategy = "hashdiff"
+            outcome = RUN[strategy](sides, options)
+    except RepeatedKeys as e:
+        warnings.append(f"{e}; strategy '{strategy}' needs unique keys: falling back to bucketdiff")
+        strategy = "bucketdiff"
         outcome = RUN[strategy](sides, options)
     diffs = outcome.diffs
     if options.rechecks and strategy != "bucketdiff":
@@ -144,7 +147,7 @@ def dry_run(left: DataFrame, right: DataFrame, options: DiffOptions | None = Non
     options = options or DiffOptions()
     lplan, rplan, warnings = plan_sides(left, right, options, declared_key)
     same = options.left_source == options.right_source
-    route = router.choose(lplan, rplan, same_source=same, wish=options.strategy)
+    route = router.choose(lplan, rplan, same_source=same, wish=options.strategy, any_key=options.any_key)
     domain = None
     if router.why_not_bisectable(lplan, rplan) is None:
         rows = checksum.key_domain(apply_filter(left, options), lplan).unionByName(checksum.key_domain(apply_filter(right, options), rplan))

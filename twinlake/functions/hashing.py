@@ -29,6 +29,11 @@ def hash_slice(h: Column, i: int) -> Column:
     return F.conv(F.substring(h, 8 * i + 1, 8), 16, 10).cast("bigint")
 
 
+def half(h: Column, i: int) -> Column:
+    """Half i (0 or 1) of a hash: 16 hex digits as a signed number."""
+    return F.conv(F.substring(h, 16 * i + 1, 16), 16, -10).cast("bigint")
+
+
 def bucket(h: Column, n: int) -> Column:
     return hash_slice(h, 0) % F.lit(n)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -23,33 +24,49 @@ def key_sample(keys: DataFrame, size: int, by: Column | None = None) -> DataFram
     return keys.select(place.alias("_place"), *names).orderBy("_place", *names).limit(size).drop("_place")
 
 
+def spread(rows: list[tuple], ranges: int) -> list[tuple]:
+    """At most ``ranges - 1`` distinct rows of a sorted sample that cut it into parts of about equal size."""
+    out: list[tuple] = []
+    for k in range(1, ranges):
+        i = k * len(rows) // ranges
+        if 0 < i < len(rows) and rows[i] != rows[0] and (not out or rows[i] != out[-1]):
+            out.append(rows[i])
+    return out
+
+
 def split_points(keys: DataFrame, ranges: int, names: Sequence[str] = (), by: Column | None = None) -> list[tuple]:
     """At most ``ranges - 1`` distinct ascending keys that cut the rows into parts of about equal size, for keys of any order.
 
-    names: the key's columns (default all). What reaches the driver is bounded by PER_RANGE * ranges keys.
+    names: the key's columns (default all). Points are given as text, as ``range_of`` takes them. What reaches the
+    driver is bounded by PER_RANGE * ranges keys.
     """
     if ranges < 2:
         return []
     names = [f"`{n}`" for n in names or keys.columns]
     # Spark sorts, as its order of strings (by bytes) is not the driver's
-    rows = [tuple(r) for r in key_sample(keys, PER_RANGE * ranges, by).select(*names).orderBy(*map(F.asc_nulls_first, names)).collect()]
-    out: list[tuple] = []
-    for k in range(1, ranges):
-        i = k * len(rows) // ranges
-        if 0 < i < len(rows) and rows[i] != rows[0] and (not out or rows[i] != out[-1]):
-            out.append(rows[i])
-    return out
+    rows = key_sample(keys, PER_RANGE * ranges, by).select(*names).orderBy(*map(F.asc_nulls_first, names))
+    return spread([tuple(r) for r in rows.select(*(F.col(n).cast("string") for n in names)).collect()], ranges)
 
 
 def range_of(keys: Sequence[Column], kinds: Sequence[T.DataType], points: Sequence[tuple]) -> Column:
-    """The number of points that are at most the key, by binary search in a constant array."""
+    """The number of points (ascending, as text) that are at most the key, by binary search in a constant array."""
     if not points:
         return F.lit(0)
-    named = [k.cast(t).alias(f"k{i}") for i, (k, t) in enumerate(zip(keys, kinds))]
-    key = F.struct(*named)
-    table = F.array(*(F.struct(*(F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(p, kinds)))) for p in points))
+    columns = [F.from_json(F.lit(json.dumps([p[i] for p in points])), "array<string>").cast(T.ArrayType(t)) for i, t in enumerate(kinds)]
+    keys = [k.cast(t) for k, t in zip(keys, kinds)]
+
+    def reached(i: Column) -> Column:
+        """Whether point i is at most the key, column by column; NULLs come first."""
+        out = None
+        for column, k in reversed(list(zip(columns, keys))):
+            p = F.get(column, i)
+            if out is None:
+                out = p.isNull() | F.coalesce(p <= k, F.lit(False))
+            else:
+                out = (p.isNull() & k.isNotNull()) | F.coalesce(p < k, F.lit(False)) | (p.eqNullSafe(k) & out)
+        return out
+
     n = len(points)
     steps = [1 << b for b in reversed(range(n.bit_length()))]
-    # the right-hand side of get() is evaluated for places that exist only
-    forward = lambda at, step: F.when((at + step <= n) & (F.get(table, at + step - 1) <= key), at + step).otherwise(at)
+    forward = lambda at, step: F.when((at + step <= n) & reached(at + step - 1), at + step).otherwise(at)
     return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), forward)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinlake.functions.canonical import identifier
+from twinlake.functions.hashing import half
 from twinlake.plans.report import MISSING_LEFT, MISSING_RIGHT, MODIFIED
 from twinlake.plans.tableplan import TablePlan
 
@@ -40,19 +41,66 @@ def only_in(df: DataFrame, other: DataFrame, plan: TablePlan, other_plan: TableP
     return _side(df, plan, "l").join(_side(other, other_plan, "r"), _same_keys(len(plan.keys)), "left_anti").select(*(F.col(f"lk{i}").alias(k) for i, k in enumerate(plan.key_names)))
 
 
-def _rows_of(df: DataFrame, plan: TablePlan, keys: DataFrame, names: list[str], side: str) -> DataFrame:
-    """(key, row) of the rows of df whose key is among the keys."""
-    mine = df.select(*(identifier(k).alias(f"lk{i}") for i, k in enumerate(plan.key_names)), plan.payload_struct().alias(side))
-    asked = keys.select(F.col("key").alias("key"), *(F.col("key").getField(k).alias(f"rk{i}") for i, k in enumerate(names)))
-    return mine.join(asked, _same_keys(len(names))).select("key", side)
+def keyed_states(left: DataFrame, right: DataFrame, lplan: TablePlan, rplan: TablePlan) -> DataFrame:
+    """(key, left_n, right_n, status): for each key its rows on both sides, and how it differs (NULL: not at all).
+
+    One exchange of keys and 128-bit hashes, combined before it; no sort. NULL keys match each other. The status is that of
+    keys that are unique.
+    """
+    n = len(lplan.keys)
+
+    def side(df: DataFrame, plan: TablePlan, mine: str, other: str) -> DataFrame:
+        rows = df.select(*(identifier(k).alias(f"k{i}") for i, k in enumerate(plan.key_names)), plan.identity_hash().alias("h"))
+        halves = [half(F.col("h"), i) for i in (0, 1)]
+        none = F.lit(None).cast("bigint")
+        return rows.select(*(f"k{i}" for i in range(n)), *(halves[i].alias(f"{mine}h{i}") for i in (0, 1)), *(none.alias(f"{other}h{i}") for i in (0, 1)))
+
+    both = side(left, lplan, "l", "r").unionByName(side(right, rplan, "r", "l"))
+    sums = [F.min(c).alias(c) for c in ("lh0", "lh1", "rh0", "rh1")]
+    states = both.groupBy(*(f"k{i}" for i in range(n))).agg(F.count("lh0").alias("left_n"), F.count("rh0").alias("right_n"), *sums)
+    status = F.when(F.col("left_n") == 0, MISSING_LEFT).when(F.col("right_n") == 0, MISSING_RIGHT).when((F.col("lh0") != F.col("rh0")) | (F.col("lh1") != F.col("rh1")), MODIFIED)
+    key = F.struct(*(F.col(f"k{i}").alias(k) for i, k in enumerate(lplan.key_names)))
+    return states.select(key.alias("key"), "left_n", "right_n", status.alias("status"))
 
 
-def with_contents(diffs: DataFrame, left: DataFrame, right: DataFrame, lplan: TablePlan, rplan: TablePlan) -> DataFrame:
-    """(key, left, right, status) of differences: both sides' rows, fetched by key."""
+def both_rows(left: DataFrame, right: DataFrame, lplan: TablePlan, rplan: TablePlan, keys) -> DataFrame:
+    """The rows of both sides, one below the other: the columns keys(plan) gives, and the row as ``left`` or as ``right``."""
+    none = [F.lit(None).cast(df.select(p.payload_struct().alias("x")).schema["x"].dataType) for df, p in ((left, lplan), (right, rplan))]
+    l = left.select(*keys(lplan), lplan.payload_struct().alias("left"), none[1].alias("right"))
+    return l.unionByName(right.select(*keys(rplan), none[0].alias("left"), rplan.payload_struct().alias("right")))
+
+
+def by_key_hash(entries: DataFrame, left: DataFrame, right: DataFrame, lplan: TablePlan, rplan: TablePlan) -> DataFrame:
+    """(key, left, right, status, left_n, right_n) of entries (h0, h1, status) that name keys by the halves of their hash.
+
+    entries are broadcast: their number is bounded by a sketch's capacity.
+    """
+
+    def keys(p: TablePlan) -> list[Column]:
+        named = F.struct(*(identifier(f.name).alias(n) for f, n in zip(p.keys, lplan.key_names)))
+        return [named.alias("key"), half(p.key_hash(), 0).alias("h0"), half(p.key_hash(), 1).alias("h1")]
+
+    rows = both_rows(left, right, lplan, rplan, keys).join(F.broadcast(entries), ["h0", "h1"])
+    return _first_rows(rows.groupBy("key", "status")).select("key", "left", "right", "status", "left_n", "right_n")
+
+
+def with_contents(diffs: DataFrame, left: DataFrame, right: DataFrame, lplan: TablePlan, rplan: TablePlan, *, few: bool = False, counted: bool = False) -> DataFrame:
+    """(key, left, right, status) of differences: both sides' rows, fetched by key in one join.
+
+    few: the keys are few enough to be sent to every task. counted: also left_n and right_n, the rows of each key.
+    """
     names = lplan.key_names
-    l, r = _rows_of(left, lplan, diffs, names, "left"), _rows_of(right, rplan, diffs, names, "right")
-    d = diffs.alias("d").join(l.alias("l"), F.expr("d.key <=> l.key"), "left").select("d.*", "l.left")
-    return d.alias("d").join(r.alias("r"), F.expr("d.key <=> r.key"), "left").select("d.key", "d.left", "r.right", "d.status")
+    keys = lambda p: [identifier(k).alias(f"lk{i}") for i, k in enumerate(p.key_names)]
+    asked = diffs.select("key", *(F.col("key").getField(k).alias(f"rk{i}") for i, k in enumerate(names)))
+    rows = both_rows(left, right, lplan, rplan, keys).join(F.broadcast(asked) if few else asked, _same_keys(len(names)))
+    got = _first_rows(rows.groupBy("key")).alias("g")
+    out = diffs.alias("d").join(got, F.expr("d.key <=> g.key"), "left")
+    numbers = [F.coalesce(f"g.{c}", F.lit(0)).alias(c) for c in ("left_n", "right_n")] if counted else []
+    return out.select("d.key", "g.left", "g.right", "d.status", *numbers)
+
+
+def _first_rows(groups) -> DataFrame:
+    return groups.agg(F.first("left", ignorenulls=True).alias("left"), F.first("right", ignorenulls=True).alias("right"), F.count("left").alias("left_n"), F.count("right").alias("right_n"))
 
 
 def multiset(df: DataFrame, plan: TablePlan) -> DataFrame:

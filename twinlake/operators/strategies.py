@@ -16,25 +16,32 @@ from pyspark.sql import types as T
 
 from twinlake.functions.canonical import identifier
 from twinlake.functions.hashing import bucket, hash_slice, sum_modulo
-from twinlake.operators import checksum, joins, sketch
+from twinlake.operators import checksum, joins, sketch, tree
 from twinlake.operators.filters import in_buckets
 from twinlake.operators.lineage import settled
 from twinlake.plans.checkpoints import Checkpoint, fingerprint
 from twinlake.plans.options import DiffOptions
 from twinlake.plans.report import Shard
-from twinlake.plans.tableplan import TablePlan
+from twinlake.plans.tableplan import TablePlan, is_integer
 
 MAX_BUCKETS = 1024
 #: bucketdiff: tables of at most so many rows are compared in one pass; the most buckets of larger ones.
 WHOLE_ROWS = 4_000_000
 MOST_CONTENT_BUCKETS = 1 << 20
-MAX_DEPTH = 16
+#: Keys of differences that are broadcast to fetch their rows: at most so many, of so many bytes.
+FEW_KEYS, FEW_BYTES = 50_000, 4 << 20
+#: The sketch of ibltdiff is sized by an estimate; beyond so many differences the comparison is made by hashdiff.
+SKETCH_LIMIT = 1 << 17
 
 
 class SketchOverflow(RuntimeError):
     """More differences than the sketch's capacity."""
 
 
+class RepeatedKeys(RuntimeError):
+    """Keys that a comparison by key met more than once on a side."""
+
+
 @dataclass
 class Outcome:
     diffs: DataFrame
@@ -66,16 +73,29 @@ class Sides:
         return int(got[0]), int(got[1])
 
     def contents(self, diffs: DataFrame) -> DataFrame:
-        return joins.with_contents(diffs, self.left, self.right, self.lplan, self.rplan)
+        """Rows of differences that are settled: few enough keys are sent to all tasks, others are joined by exchange."""
+        n, size = diffs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.to_json("key"))), F.lit(0))).first()
+        few = n <= FEW_KEYS and size <= FEW_BYTES
+        return joins.with_contents(diffs, self.left, self.right, self.lplan, self.rplan, few=few)
 
     def no_diffs(self) -> DataFrame:
         return self.contents(joins.keyed_differences(self.left.limit(0), self.right.limit(0), self.lplan, self.rplan))
 
 
+def _differing_keys(sides: Sides, options: DiffOptions) -> DataFrame:
+    """(key, status), from one exchange of keys and hashes, in which keys are counted too."""
+    states = joins.keyed_states(sides.left, sides.right, sides.lplan, sides.rplan)
+    if options.trust_keys:
+        return settled(states.filter("status is not null").select("key", "status"))
+    found = settled(states.filter("status is not null or left_n > 1 or right_n > 1"))
+    if not found.filter("left_n > 1 or right_n > 1").isEmpty():
+        raise RepeatedKeys("duplicate keys")
+    return found.select("key", "status")
+
+
 def joindiff(sides: Sides, options: DiffOptions) -> Outcome:
-    """One full outer join of keys and hashes; rows of differences by a second, small join."""
-    diffs = settled(joins.keyed_differences(sides.left, sides.right, sides.lplan, sides.rplan))
-    return Outcome(sides.contents(diffs), queries=2)
+    """One exchange of keys and hashes; rows of differences by a second, small join."""
+    return Outcome(sides.contents(_differing_keys(sides, options)), queries=2)
 
 
 def bucket_count(rows: int, threshold: int) -> int:
@@ -148,140 +168,118 @@ def segment_checksums(rows: DataFrame, segment) -> DataFrame:
 
 
 def hashdiff(sides: Sides, options: DiffOptions) -> Outcome:
-    """Bisection of the key range, level by level: one aggregation a side and level over all open segments.
+    """A tree of checksums by key, from one scan a side; rows of leaves that differ are compared by key.
 
-    A segment whose checksums differ is split in ``bisection_factor`` parts until it has at most
-    ``bisection_threshold`` rows or one key; the rows of such leaves are compared by a full outer join. Keys that
-    are NULL are compared apart.
+    The leaves hold about ``bisection_threshold`` rows, cut at quantiles of the keys, so skewed keys are no deeper than others.
+    Nodes of ``bisection_factor`` children are rolled up from them; the shards of the report are the nodes that
+    differ on the lowest level of at most eight nodes a thread. NULL keys are in the first leaves.
     """
-    key = sides.lplan.key_names[0]
-    domain = checksum.key_domain(sides.left, sides.lplan).unionByName(checksum.key_domain(sides.right, sides.rplan)).agg(F.min("lo"), F.max("hi")).first()
-    totals = sides.counts()
-    queries = 2
-    if domain[0] is None:
-        out = joindiff(sides, options)  # no keys but NULL
-        out.totals = totals
-        return out
-    low, high = int(domain[0]), int(domain[1]) + 1
-    width, _ = first_segments(low, high, options.threads * 8)
-
-    def hashed(df: DataFrame, plan: TablePlan, name: str) -> DataFrame:
-        rows = df.select(identifier(name).cast("bigint").alias("k"), plan.content_hash().alias("h")).filter("k is not null")
-        return rows.persist(StorageLevel.MEMORY_AND_DISK)
-
-    l, r = hashed(sides.left, sides.lplan, key), hashed(sides.right, sides.rplan, sides.rplan.key_names[0])
-    held, durations = [l, r], []
-
-    def start_of(w: int):
-        return F.expr(f"{low}L + ((k - {low}L) div {w}L) * {w}L")
-
     started = time.monotonic()
-    found = checksum.differing(segment_checksums(l, start_of(width)), segment_checksums(r, start_of(width)), "seg")
-    found = settled(found)
-    firsts = sorted(found.collect())  # at most threads * 8 (+1)
-    durations.append(1000 * (time.monotonic() - started))
-    shards = [Shard(f"[{s},{min(s + width, high)})", (s, min(s + width, high)), lc, rc, abs(lc - rc), "Diff") for s, lc, rc in firsts]
-    first_width = width
-    leaves: list[tuple[int, DataFrame]] = []  # (width, starts) by level
-    open_ = found
-    for depth in range(MAX_DEPTH + 1):
-        small = F.greatest("left_cnt", "right_cnt") <= options.bisection_threshold
-        done = small if width > 1 else F.lit(True)
-        leaves.append((width, open_.filter(done).select("seg")))
-        rest = open_.filter(~done)
-        if width == 1 or rest.isEmpty():
-            break
-        if depth == MAX_DEPTH:
-            raise RuntimeError(f"bisection did not settle in {MAX_DEPTH} levels")
-        # rows of the open segments only; a join on the segment's start, which AQE may broadcast
-        ids = rest.select("seg")
-        lopen, ropen = (rows.withColumn("seg", start_of(width)).join(ids, "seg", "left_semi").drop("seg") for rows in (l, r))
-        # a child may reach into a neighbour of its parent; rows there are equal, or are compared twice and merged
-        width = max(1, -(-width // options.bisection_factor))
-        open_ = checksum.differing(segment_checksums(lopen, start_of(width)), segment_checksums(ropen, start_of(width)), "seg")
-        started = time.monotonic()
-        open_ = settled(open_)
-        durations.append(1000 * (time.monotonic() - started))
-        queries += 2
-    diffs = _leaf_differences(sides, l, r, leaves, low, first_width, options, shards)
-    diffs = _with_null_keys(sides, diffs, options)
-    return Outcome(diffs, shards, [], queries + 2, durations, totals, held)
-
-
-def _with_null_keys(sides: Sides, diffs: DataFrame, options: DiffOptions) -> DataFrame:
-    """diffs and those of the rows with a NULL key; nothing is added where no side can have any."""
-    names = (sides.lplan.key_names[0], sides.rplan.key_names[0])
-    parts = [df.filter(identifier(k).isNull()) for df, k in zip((sides.left, sides.right), names)]
-    if all(p.isEmpty() for p in parts):
-        return diffs
-    return diffs.unionByName(joindiff(Sides(*parts, sides.lplan, sides.rplan), options).diffs)
-
-
-def _leaf_differences(sides: Sides, l: DataFrame, r: DataFrame, leaves: list[tuple[int, DataFrame]], low: int, first_width: int, options: DiffOptions, shards: list[Shard]) -> DataFrame:
-    """Differences within the leaves, from the hashed rows; by waves of first segments with a checkpoint."""
-    name = sides.lplan.key_names[0]
-    kind = sides.lplan.keys[0].dataType
-
-    def within(rows: DataFrame, lo: int | None, hi: int | None) -> DataFrame:
-        """The rows of all leaves, or of those that start in [lo, hi); a row of overlapping leaves once."""
-        out = None
-        for width, starts in leaves:
-            some = starts if lo is None else starts.filter((F.col("seg") >= lo) & (F.col("seg") < hi))
-            seg = F.expr(f"{low}L + ((k - {low}L) div {width}L) * {width}L")
-            part = rows.withColumn("seg", seg).join(some, "seg", "left_semi").select("k", "h")
-            out = part if out is None else out.unionByName(part)
-        return out.distinct()
-
-    def compare(lo: int | None = None, hi: int | None = None) -> DataFrame:
-        a, b = within(l, lo, hi), within(r, lo, hi)
-        both = a.withColumnsRenamed({"k": "lk", "h": "lh"}).join(b.withColumnsRenamed({"k": "rk", "h": "rh"}), F.col("lk") == F.col("rk"), "full_outer")
-        status = F.when(F.col("lk").isNull(), joins.MISSING_LEFT).when(F.col("rk").isNull(), joins.MISSING_RIGHT).when(F.col("lh") != F.col("rh"), joins.MODIFIED)
-        return settled(both.select(F.struct(F.coalesce("lk", "rk").cast(kind).alias(name)).alias("key"), status.alias("status")).filter("status is not null"))
+    leaves = tree.cut(sides.left, sides.right, sides.lplan, sides.rplan, options.bisection_threshold, min(tree.MAX_RANGES, 2 * options.threads))
+    sums = settled(tree.leaf_sums(sides.left, sides.right, sides.lplan, sides.rplan, leaves))
+    width = 1
+    while -(-leaves.number // width) > options.threads * 8:
+        width *= options.bisection_factor
+    nodes = sorted(tree.roll_up(sums, width).withColumn("differs", tree.unequal()).collect(), key=lambda r: r["node"])  # at most threads * 8
+    durations = [1000 * (time.monotonic() - started)]
+    totals = (sum(r["left_cnt"] for r in nodes), sum(r["right_cnt"] for r in nodes))
+    shards = []
+    for r in nodes:
+        if r["differs"]:
+            a, b = r["node"] * width, min((r["node"] + 1) * width, leaves.number)
+            shards.append(Shard(f"leaves-[{a},{b})", (a, b), r["left_cnt"], r["right_cnt"], abs(r["left_cnt"] - r["right_cnt"]), "Diff"))
+    if not shards:
+        return Outcome(sides.no_diffs(), queries=3, durations=durations, totals=totals)
+    open_ = sums.filter(tree.unequal()).select("leaf")
+
+    def compare(a: int, b: int) -> DataFrame:
+        """The differences in leaves a to b - 1."""
+        some = open_.filter(f"leaf >= {a} and leaf < {b}")
+        parts = [tree.within(df, p, leaves, some, (a, b - 1)) for df, p in ((sides.left, sides.lplan), (sides.right, sides.rplan))]
+        return sides.contents(_differing_keys(Sides(*parts, sides.lplan, sides.rplan), options))
 
     if not options.checkpoint:
-        return sides.contents(compare())
-    spark, waves = sides.spark, []
-    contents = [list(segment_checksums(rows, F.lit(0)).first() or ()) for rows in (l, r)]
+        return Outcome(compare(shards[0].key_range[0], shards[-1].key_range[1]), shards, [], 5, durations, totals)
+    columns = [c for c in nodes[0].asDict() if c not in ("node", "differs")]
     plan = fingerprint(
-        [options.left_source, options.right_source, options.left_name, options.right_name, contents],
+        [options.left_source, options.right_source, options.left_name, options.right_name, [[str(r[c]) for c in columns] for r in nodes]],
         [[p.key_names, [(f.name, f.dataType.simpleString()) for f in p.columns], p.scale, p.exact, p.nested_json] for p in (sides.lplan, sides.rplan)],
-        [options.where, options.update_column, options.update_since, options.as_of, options.bisection_factor, options.bisection_threshold, low, first_width],
+        [options.where, options.update_column, options.update_since, options.as_of, options.bisection_factor, options.bisection_threshold, width, leaves.points, leaves.parts],
     )
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    shared = sides.spark.conf.get("spark.checkpoint.dir", None)
     book = Checkpoint(options.checkpoint, plan, f"{shared}/differences" if shared else None)
     todo = [s for s in shards if not book.completed(s.shard_id)]
-    waves += [e["wave"] for s in shards if (e := book.completed(s.shard_id)) and e["wave"]]
+    waves = [e["wave"] for s in shards if (e := book.completed(s.shard_id)) and e["wave"]]
     for s in shards:
         s.status = "Diff" if s in todo else "Skipped"
     for at in range(0, len(todo), options.threads):
         some = todo[at : at + options.threads]
-        lo, hi = some[0].key_range[0], some[-1].key_range[1]
-        wave = fingerprint(plan, lo, hi)
-        sides.contents(compare(lo, hi)).write.mode("overwrite").parquet(f"{book.diffs_path}/{wave}")
+        a, b = some[0].key_range[0], some[-1].key_range[1]
+        wave = fingerprint(plan, a, b)
+        compare(a, b).write.mode("overwrite").parquet(f"{book.diffs_path}/{wave}")
         for s in some:
             book.record(s.shard_id, left=s.left_count, right=s.right_count, wave=wave)
         waves.append(wave)
     book.finish()
     out = sides.no_diffs()
     for wave in dict.fromkeys(waves):
-        out = out.unionByName(spark.read.schema(out.schema).parquet(f"{book.diffs_path}/{wave}"))
-    return out
+        out = out.unionByName(sides.spark.read.schema(out.schema).parquet(f"{book.diffs_path}/{wave}"))
+    return Outcome(out, shards, [], 4 + len(waves), durations, totals)
+
+
+def _with_null_keys(sides: Sides, diffs: DataFrame, options: DiffOptions) -> DataFrame:
+    """diffs and those of the rows with a NULL key; nothing is added where no side can have any."""
+    parts = [df.filter(identifier(p.key_names[0]).isNull()) for df, p in ((sides.left, sides.lplan), (sides.right, sides.rplan))]
+    if all(p.isEmpty() for p in parts):
+        return diffs
+    return diffs.unionByName(joindiff(Sides(*parts, sides.lplan, sides.rplan), options).diffs)
 
 
 def ibltdiff(sides: Sides, options: DiffOptions) -> Outcome:
-    """Sketches of a fixed size a side; only their difference reaches the driver."""
-    m = sketch.cells_for(options.iblt_capacity)
+    """Sketches of a fixed size a side; only their difference reaches the driver.
+
+    The size follows an estimate of the number of differences, from a stack of small sketches, unless
+    ``iblt_capacity`` names one. One integer key is read off the cells; other keys are cells of 128-bit hashes, and the join
+    that fetches the rows recovers them.
+    """
     started = time.monotonic()
-    l = sketch.sketch(sides.left.filter(identifier(sides.lplan.key_names[0]).isNotNull()), sides.lplan, m)
-    r = sketch.sketch(sides.right.filter(identifier(sides.rplan.key_names[0]).isNotNull()), sides.rplan, m)
-    decoded = sketch.peel(sketch.subtract(l, r).collect(), m)  # at most 4 * m cells
+    plain = len(sides.lplan.keys) == 1 and all(is_integer(p.keys[0].dataType) for p in (sides.lplan, sides.rplan))
+    l, r = sides.left, sides.right
+    if plain:  # NULL has no integer
+        l, r = (df.filter(identifier(p.key_names[0]).isNotNull()) for df, p in ((l, sides.lplan), (r, sides.rplan)))
+    key = sketch.INTEGER if plain else sketch.HASHED
+    capacity, decoded, queries = options.iblt_capacity, None, 3
+    if capacity is None:  # one scan for a small sketch and the estimate that tells the size of a larger one
+        m = sketch.cells_for(sketch.FIRST_CAPACITY)
+        cells = sketch.subtract(sketch.strata(l, sides.lplan, key, m), sketch.strata(r, sides.rplan, key, m), key, "stratum").collect()
+        decoded = sketch.peel([c for c in cells if c["stratum"] < 0], m, key)
+        if not decoded.complete:
+            about = sketch.estimated(cells, key)
+            if about > SKETCH_LIMIT:
+                raise SketchOverflow(f"about {about} differences, more than a sketch may hold ({SKETCH_LIMIT})")
+            capacity, queries = 2 * max(about, sketch.FIRST_CAPACITY), 4
+    if capacity is not None:
+        m = sketch.cells_for(capacity)
+        cells = sketch.subtract(sketch.sketch(l, sides.lplan, m, key), sketch.sketch(r, sides.rplan, m, key), key)
+        decoded = sketch.peel(cells.collect(), m, key)  # at most 4 * m cells
     if not decoded.complete:
-        raise SketchOverflow(f"more differences than a sketch of capacity {options.iblt_capacity} can decode")
+        raise SketchOverflow(f"more differences than a sketch of capacity {capacity} can decode")
     found = sketch.classify(decoded)
-    name, kind = sides.lplan.key_names[0], sides.lplan.keys[0].dataType
-    rows = sides.spark.createDataFrame(found, T.StructType([T.StructField("k", T.LongType()), T.StructField("status", T.StringType())]))
-    diffs = sides.contents(rows.select(F.struct(F.col("k").cast(kind).alias(name)).alias("key"), "status"))
-    return Outcome(_with_null_keys(sides, diffs, options), queries=4, durations=[1000 * (time.monotonic() - started)], totals=sides.counts())
+    if plain:
+        name, kind = sides.lplan.key_names[0], sides.lplan.keys[0].dataType
+        rows = sides.spark.createDataFrame(found, T.StructType([T.StructField("k", T.LongType()), T.StructField("status", T.StringType())]))
+        rows = rows.select(F.struct(F.col("k").cast(kind).alias(name)).alias("key"), "status")
+        diffs = joins.with_contents(rows, sides.left, sides.right, sides.lplan, sides.rplan, few=len(found) <= FEW_KEYS, counted=True)
+    else:
+        rows = sides.spark.createDataFrame([(*k, status) for k, status in found], "h0 long, h1 long, status string")
+        diffs = joins.by_key_hash(rows, sides.left, sides.right, sides.lplan, sides.rplan)
+    diffs = settled(diffs)
+    if not options.trust_keys and not diffs.filter("left_n > 1 or right_n > 1").isEmpty():
+        raise RepeatedKeys("duplicate keys")
+    diffs = diffs.select("key", "left", "right", "status")
+    if plain:
+        diffs = _with_null_keys(sides, diffs, options)
+    return Outcome(diffs, queries=queries, durations=[1000 * (time.monotonic() - started)], totals=sides.counts())
 
 
 RUN = {"joindiff": joindiff, "bucketdiff": bucketdiff, "keyeddiff": keyeddiff, "hashdiff": hashdiff, "iblt": ibltdiff}

@@ -24,7 +24,8 @@ class DiffOptions:
     recheck: bool = False
     consistency: str = "none"
     checkpoint: str | None = None
-    iblt_capacity: int = 65536
+    #: Differences that a sketch can hold; None: estimated from the tables.
+    iblt_capacity: int | None = None
     strict: bool = False
     fetch_all_threshold: int = 4096
     statement_timeout: float | None = 300
@@ -34,6 +35,8 @@ class DiffOptions:
     summary_only: bool = False
     #: Keys are enforced by the source, so that their uniqueness need not be measured.
     trust_keys: bool = False
+    #: hashdiff and iblt also for keys of several columns or other types than integers.
+    any_key: bool = False
     left_name: str = "left"
     right_name: str = "right"
     left_source: str | None = None
@@ -51,7 +54,7 @@ class DiffOptions:
         need(not (self.update_since and not self.update_column), "an update window needs an update column")
         need(self.consistency in ("none", "snapshot"), "consistency is 'none' or 'snapshot'")
         for name in ("bisection_factor", "bisection_threshold", "threads", "iblt_capacity"):
-            need(getattr(self, name) >= 1, f"{name} must be at least 1")
+            need(getattr(self, name) is None or getattr(self, name) >= 1, f"{name} must be at least 1")
         need(self.bisection_factor >= 2, "bisection_factor must be at least 2")
         need(self.sample >= 0 and self.fetch_all_threshold >= 0, "sample and fetch_all_threshold must not be negative")
 

@@ -39,8 +39,11 @@ def why_not_bisectable(left: TablePlan, right: TablePlan) -> str | None:
 _NEEDS = {"hashdiff": "a single integer key", "iblt": "a single integer key", "keyeddiff": "a comparison key", "joindiff": "a single comparison key"}
 
 
-def choose(left: TablePlan, right: TablePlan, *, same_source: bool, wish: str = "auto") -> Route:
+def choose(left: TablePlan, right: TablePlan, *, same_source: bool, wish: str = "auto", any_key: bool = False) -> Route:
+    """``any_key``: hashdiff and iblt, if wished, also take composite keys and keys that are no integers."""
     keys, obstacle = shared_key(left, right), why_not_bisectable(left, right)
+    if any_key and keys and wish in ("hashdiff", "iblt"):
+        return Route(wish, keys)
     if wish == "auto":
         if not keys:
             return Route("bucketdiff", [], ["note: without a key only differences of row contents, as a multiset, are reported"])

@@ -18,7 +18,7 @@ from twinlake.diff import DiffOptions, diff, recheck
 from twinlake.functions.hashing import bucket, crc_hash, hash_slice
 from twinlake.gateway import catalog
 from twinlake.gateway.gateway import Gateway
-from twinlake.operators import checksum, filters, joins, paging, sketch, strategies, temporal
+from twinlake.operators import checksum, filters, joins, paging, sketch, strategies, temporal, tree
 from twinlake.operators.lineage import settled
 from twinlake.plans.tableplan import build_plan, duplicate_keys
 from twinlake.sources.registry import Source
@@ -290,7 +290,7 @@ def hashdiff_rows(spark, sf_dir):
 
 @_query(_ORDERS_DIFF)
 def iblt_decode(spark, sf_dir):
-    return _run(orders_pair, ["o_orderkey"], strategy="iblt", iblt_capacity=4096)(spark, sf_dir)
+    return _run(orders_pair, ["o_orderkey"], strategy="iblt")(spark, sf_dir)
 
 
 @_query(f"with {_sides('select * from lineitem', _R_LINES, LINES)} select printf('%s…(×%d/%d)', substr(h, 1, 12), left_n, right_n) content, status from ({_MULTI})")
@@ -452,13 +452,49 @@ def parameter_query(spark, sf_dir):
     return Gateway(spark).frame("select c_custkey, c_mktsegment from twinlake_customer where c_mktsegment = ? and c_acctbal > ?", ["BUILDING", 1000])
 
 
-@_query("select l_orderkey, l_linenumber from lineitem where false")
+@_query(f"with {_sides(f'select {_MONEY_LINES} from lineitem', f'select {_MONEY_LINES} from ({_R_LINES}) x', LINES)} {_MULTI}")
 def declared_duplicate_diff(spark, sf_dir):
-    """Identical tables whose declared key repeats: no difference, by comparison of multisets."""
-    df = read(spark, sf_dir, "lineitem")
-    result = diff(df, df, DiffOptions(sample=0, strategy="keyeddiff"), declared_key=["l_orderkey", "l_linenumber"])
+    """Sides whose declared key repeats where they differ: contents are compared as multisets."""
+    l, r = lines_pair(spark, sf_dir)
+    result = diff(l, r, DiffOptions(sample=0, strategy="hashdiff", any_key=True), declared_key=["l_orderkey", "l_linenumber"])
     assert result.report.strategy == "bucketdiff", result.report.strategy
-    return result.diffs.select(F.lit(0).cast("long").alias("l_orderkey"), F.lit(0).alias("l_linenumber"))
+    return result.diffs.select("left.h", F.col("left.n").alias("left_n"), F.col("right.n").alias("right_n"), "status")
+
+
+@_query(_keyed("select * from conversations", _R_CONV, ["conv_id", "turn"], ["conv_id", "turn", "role", "text"]))
+def hashdiff_composite(spark, sf_dir):
+    """A composite key, cut at quantiles of its order."""
+    return _run(conversations_pair, ["conv_id", "turn"], strategy="hashdiff", any_key=True, bisection_threshold=32)(spark, sf_dir)
+
+
+@_query(_keyed("select * from conversations", _R_CONV, ["conv_id", "turn"], ["conv_id", "turn", "role", "text"]))
+def iblt_composite(spark, sf_dir):
+    """A composite key in cells of hashes; the sketch's size is estimated."""
+    return _run(conversations_pair, ["conv_id", "turn"], strategy="iblt", any_key=True)(spark, sf_dir)
+
+
+@_query(f"with {_sides('select * from orders', _R_ORDERS, ORDERS)} select cast(count(l.h) + count(r.h) as bigint) entries, true near from l full join r on l.o_orderkey = r.o_orderkey where l.h is null or r.h is null or l.h <> r.h")
+def difference_estimate(spark, sf_dir):
+    """The entries that differ, and whether the estimate from strata of small sketches is within a factor of two."""
+    l, r = orders_pair(spark, sf_dir)
+    lp, rp = _plans(l, r, ["o_orderkey"])
+    about = sketch.estimate(l, r, lp, rp)
+    entries = F.sum(F.when(F.col("status") == "Modified", 2).otherwise(1))
+    true = joins.keyed_states(l, r, lp, rp).filter("status is not null").agg(F.coalesce(entries, F.lit(0)).alias("entries"))
+    return true.select("entries", ((F.lit(about) <= 2 * F.col("entries")) & (2 * F.lit(about) >= F.col("entries"))).alias("near"))
+
+
+@_query(
+    f"with l as (select *, {_hash(ORDERS)} h from orders), r as (select *, {_hash(ORDERS)} h from ({_R_ORDERS}) t), a as (select {_SUMS} from l), b as (select {_SUMS} from r)"
+    " select a.cnt left_cnt, a.s1 left_s1, a.s2 left_s2, a.s3 left_s3, a.s4 left_s4, b.cnt right_cnt, b.s1 right_s1, b.s2 right_s2, b.s3 right_s3, b.s4 right_s4 from a, b"
+)
+def checksum_tree_root(spark, sf_dir):
+    """Both sides' whole sums, rolled up from the leaves of the tree."""
+    l, r = orders_pair(spark, sf_dir)
+    lp, rp = _plans(l, r, ["o_orderkey"])
+    leaves = tree.cut(l, r, lp, rp, 64)
+    sums = tree.leaf_sums(l, r, lp, rp, leaves)
+    return tree.roll_up(sums, leaves.number).drop("node")
 
 
 @_query(_ORDERS_DIFF)
