@@ -207,6 +207,20 @@ def test_repeats_of_rows_without_or_with_the_same_id(spark):
     assert sum(r.n_removed > 0 for r in got) == 6
 
 
+def test_many_repeats_of_a_row(spark):
+    """Equal rows, with one id or none, are searched as one row; texts that share a passage with them are found."""
+    rng = random.Random(12)
+    long, other = ("".join(rng.choice("abcdefgh ") for _ in range(400)) for _ in range(2))
+    texts = [(1, long)] * 4000 + [(None, other)] * 4000 + [(2, "x" + long[50:150] + "y"), (3, other[:70] + long[:20]), (4, "alone"), (5, "tiny"), (5, "tiny"), (6, "")] + [(7, "z" * 59)] * 2
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {}
+    for r in suffix.remove_repeats(df, length=60, gram=11).collect():
+        got.setdefault(r.doc_id, []).append((r.n_bytes, r.n_removed, r.n_spans))
+    assert {k: (len(v), set(v)) for k, v in got.items()} == {
+        1: (4000, {(400, 400, 1)}), None: (4000, {(400, 400, 1)}), 2: (1, {(102, 100, 1)}), 3: (1, {(90, 70, 1)}), 4: (1, {(5, 0, 0)}), 5: (2, {(4, 0, 0)}), 6: (1, {(0, 0, 0)}), 7: (2, {(59, 0, 0)}),
+    }
+
+
 def test_suffix_array_and_intervals():
     rng = random.Random(3)
     for _ in range(60):

@@ -617,17 +617,26 @@ def maximal_repeats(df: DataFrame, *, length: int = LENGTH, gram: int = GRAM, an
 
 
 def remove_repeats(df: DataFrame, *, length: int = LENGTH, gram: int = GRAM, anchor_bytes: int = ANCHOR_BYTES, id: str = "doc_id", text: str = "text", keep_bytes: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (the remaining bytes)."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (the remaining bytes).
+
+    Rows that repeat an id and its text are found by their names first. One of them stands for all in the search, so that
+    work does not grow with their number; each of them repeats whole if it has ``length`` bytes.
+    """
     rows = _rows(df, id, text)
-    hits = repeated_ranges(rows, length=length, gram=gram, anchor_bytes=anchor_bytes)
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep_bytes
+    repeated = written(rows.groupBy(*_ROW).agg(F.count("*").alias("n")).filter("n > 1").select(*_ROW))
+    once, again = rows, None
+    if not repeated.isEmpty():
+        once, again = rows.join(repeated, list(_ROW), "left_anti"), rows.join(repeated, list(_ROW), "left_semi")
+    searched = once if again is None else once.unionByName(again.dropDuplicates(list(_ROW)))
+    hits = repeated_ranges(searched, length=length, gram=gram, anchor_bytes=anchor_bytes)
 
     def build(batches):
         for batch in batches:
             out = []
-            for text_, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for text_, found, whole in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3))):
                 data = text_.encode()
-                spans = _removed(found)
+                spans = _removed(found) if not whole else [(0, len(data))] if len(data) >= length else []
                 edges = [0, *(x for s in spans for x in s), len(data)]
                 kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
                 out.append((len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept))
@@ -636,4 +645,7 @@ def remove_repeats(df: DataFrame, *, length: int = LENGTH, gram: int = GRAM, anc
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), k) for c, k in list(zip(columns, kinds))[: len(names) - 1])], names)
 
     schema = f"doc_id {dict(rows.dtypes)['doc_id']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_bytes
-    return rows.join(hits, list(_ROW), "left").select("doc_id", "text", "hits").mapInArrow(build, schema)
+    judged = once.join(hits, list(_ROW), "left").select("doc_id", "text", "hits", F.lit(False).alias("whole"))
+    if again is not None:
+        judged = judged.unionByName(again.select("doc_id", "text", F.lit(True).alias("whole")), allowMissingColumns=True)
+    return judged.select("doc_id", "text", "hits", "whole").mapInArrow(build, schema)
