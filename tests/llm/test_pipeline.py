@@ -121,3 +121,28 @@ def test_every_operator_is_registered(spark):
     n = spark.read.parquet(f"{SF}/documents.parquet").count()
     for name in ("op1_language", "op3_near_duplicates", "op5_media", "op6_licenses", "op8_toxicity", "op9_mixing", "op10_repeats"):
         assert registry.queries()[name](spark, SF).count() == n, name
+
+
+def test_one_id_with_two_texts_is_two_documents(spark):
+    """Each has copies and tokens of its own in the mixture."""
+    rows = [(1, "a b c", "s"), (1, "d e f g", "s"), (2, "h i", "s"), (3, "j " * 9, "t"), (None, "k l", "t"), (4, None, "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {(r.doc_id, r.text): (r.n_tokens, r.copies) for r in corpus_pipeline.mixing_stage(spark, docs, None).collect()}
+    assert got == {(i, t): (len((t or "").split()), 1) for i, t, _ in rows}
+
+
+def test_mixing_sql_keeps_documents_without_tokens(spark):
+    """The SQL counterpart on sources whose epochs end in documents without tokens."""
+    import duckdb
+    import pandas as pd
+
+    from twinlake.llm.mixing import mix_sources
+    from twinlake.llm.oracles import SQL
+
+    rows = [(i, "" if i % 3 else "w " * (i % 11 + 1), "big" if i % 5 else "small") for i in range(150)] + [(900 + i, None, "small") for i in range(9)]
+    documents = pd.DataFrame(rows, columns=["doc_id", "text", "source"])  # noqa: F841
+    con = duckdb.connect()
+    con.register("documents", documents)
+    want = con.sql(SQL["op9_mixing"])
+    got = mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).select(*want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall()) and got.count() == len(rows)

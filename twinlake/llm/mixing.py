@@ -15,8 +15,8 @@ table of shard sums, so a source with any share of the rows is spread over many
 
 Cases: a null text has no tokens, and a document without tokens that follows the last one goes to the last
 block; a null source is a source of its own; sources without tokens keep
-their documents once, in block 0; rows that repeat an id add up their copies; an empty table gives an
-empty result; only ``id``, ``source`` and ``text`` are read.
+their documents once, in block 0; rows that repeat an id add up their copies (with ``by_text``, only if their
+texts are equal too); an empty table gives an empty result; only ``id``, ``source`` and ``text`` are read.
 """
 
 from __future__ import annotations
@@ -43,6 +43,11 @@ def token_count(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^ \t\n\r]+")), F.lit(0)).cast("long")
 
 
+def text_marks(text: str = "text") -> dict[str, Column]:
+    """Two hashes that stand for a text."""
+    return {"mark1": F.xxhash64(text), "mark2": F.xxhash64(text, F.lit(1))}
+
+
 def _bisect(holds, rising: bool) -> Column:
     """The end of [0, 1] at which ``holds`` (true up to, or from, some point) changes."""
 
@@ -97,13 +102,16 @@ def source_weights(tokens: DataFrame, *, entropy: float = ENTROPY, repeats: floa
 
 
 def mix_sources(
-    df: DataFrame, *, entropy: float = ENTROPY, repeats: float = REPEATS, budget: int | None = None, blocks: int = BLOCKS, seed: int = 0, id: str = "doc_id", source: str = "source", text: str = "text"
+    df: DataFrame, *, entropy: float = ENTROPY, repeats: float = REPEATS, budget: int | None = None, blocks: int = BLOCKS, seed: int = 0, id: str = "doc_id", source: str = "source", text: str = "text", by_text: bool = False
 ) -> DataFrame:
     """doc_id, source, n_tokens, weight_ppm (of the source), copies and blocks (comma-joined, ascending).
 
-    With the default budget every document has a copy; with a smaller one, copies of 0 have no row.
+    With the default budget every document has a copy; with a smaller one, copies of 0 have no row. ``by_text``: rows of one
+    id and different texts are different documents, told apart by the columns ``text_marks`` that the result then has.
     """
-    rows = written(df.select(F.col(id).alias("doc_id"), F.col(source).alias("source"), token_count(text).alias("n_tokens")))
+    marks = [c.alias(n) for n, c in text_marks(text).items()] if by_text else []
+    row = ["doc_id", "source", *(text_marks(text) if by_text else ())]
+    rows = written(df.select(F.col(id).alias("doc_id"), F.col(source).alias("source"), token_count(text).alias("n_tokens"), *marks))
     weights = source_weights(rows, entropy=entropy, repeats=repeats, budget=budget)
     # as many rows as sources; a join that AQE may split or, if it proves small, broadcast
     plan = rows.join(weights, rows.source.eqNullSafe(weights.source)).drop(weights.source)
@@ -115,7 +123,7 @@ def mix_sources(
     sums = copies.groupBy("source", "epoch", "shard").agg(F.sum("n_tokens").alias("shard_tokens"))
     before = Window.partitionBy("source", "epoch").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("source", "epoch", "shard", F.coalesce(F.sum("shard_tokens").over(before), F.lit(0)).alias("shard_at"))
-    within = Window.partitionBy("source", "epoch", "shard").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "epoch", "shard").orderBy("key", "doc_id", *row[2:]).rowsBetween(Window.unboundedPreceding, -1)
     placed = copies.withColumn("in_shard", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
     placed = placed.alias("c").join(offsets.alias("o"), F.expr("c.source <=> o.source and c.epoch = o.epoch and c.shard = o.shard"))
     placed = placed.select("c.*", "o.shard_at").withColumn("at", F.expr("epoch * total + shard_at + in_shard"))
@@ -123,5 +131,5 @@ def mix_sources(
     placed = placed.filter("total = 0 or at < planned or (n_tokens = 0 and at = planned)")
     block = F.expr(f"cast(least(floor(cast(at as decimal(38,0)) * {blocks} / planned), {blocks} - 1) as int)")
     placed = placed.withColumn("block", F.when(F.col("total") > 0, block).otherwise(F.lit(0)))
-    out = placed.groupBy("doc_id", "source").agg(F.max("n_tokens").alias("n_tokens"), F.max("weight_ppm").alias("weight_ppm"), F.count("*").alias("copies"), F.sort_array(F.collect_list("block")).alias("blocks"))
+    out = placed.groupBy(*row).agg(F.max("n_tokens").alias("n_tokens"), F.max("weight_ppm").alias("weight_ppm"), F.count("*").alias("copies"), F.sort_array(F.collect_list("block")).alias("blocks"))
     return out.withColumn("blocks", F.array_join(F.transform("blocks", lambda b: b.cast("string")), ","))

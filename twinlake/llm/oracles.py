@@ -73,7 +73,7 @@ c as (select doc_id, r.source, n_tokens, total, weight_ppm, planned, unnest(rang
   from rows_ r join w on r.source is not distinct from w.source),
 k as (select *, coalesce(sum(n_tokens) over (partition by source, epoch order by md5('0:' || epoch || ':' || doc_id), doc_id
     rows between unbounded preceding and 1 preceding), 0) + epoch * total off from c),
-b as (select *, case when total > 0 then cast(off * 64 // planned as int) else 0 end block from k where total = 0 or off < planned)
+b as (select *, case when total > 0 then cast(least(off * 64 // planned, 63) as int) else 0 end block from k where total = 0 or off < planned or (n_tokens = 0 and off = planned))
 select doc_id, source, max(n_tokens)::bigint n_tokens, max(weight_ppm) weight_ppm, count(*) copies, string_agg(block::varchar, ',' order by block) blocks
 from b group by doc_id, source
 """
