@@ -55,12 +55,16 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document with its copies and their blocks in the mixture of sources.
 
-    A column of the documents that has the name of one of these results is replaced by it.
+    A column of the documents that has the name of one of these results is replaced by it. Rows of one id and different
+    texts are different documents, each with copies of its own.
     """
     added = ("n_tokens", "weight_ppm", "copies", "blocks")
-    plan = mixing.mix_sources(docs).alias("p")
-    kept = docs.drop(*added).alias("d")
-    return kept.join(plan, F.expr("d.doc_id <=> p.doc_id and d.source <=> p.source")).select("d.*", *(f"p.{c}" for c in added))
+    plan = mixing.mix_sources(docs, by_text=True).alias("p")
+    names = docs.drop(*added).columns
+    marks = {f"__{n}": c for n, c in mixing.text_marks().items()}
+    kept = docs.drop(*added).withColumns(marks).alias("d")
+    same = " and ".join(["d.doc_id <=> p.doc_id", "d.source <=> p.source", *(f"d.{n} = p.{n[2:]}" for n in marks)])
+    return kept.join(plan, F.expr(same)).select(*(f"d.`{c}`" for c in names), *(f"p.{c}" for c in added))
 
 
 STAGES = [
