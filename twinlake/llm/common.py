@@ -99,7 +99,15 @@ class Scratch:
         """``by``: columns whose values get folders of their own."""
         self.paths.append(f"{shared_dir(self.spark)}/tables/{uuid.uuid4().hex}")
         df.write.partitionBy(*by).parquet(self.paths[-1])
-        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+        out = self.spark.read.schema(df.schema).parquet(self.paths[-1])
+        out._scratch = self.paths[-1]
+        return out
+
+    def done(self, *tables: DataFrame) -> None:
+        """Delete tables that were returned by ``written`` and that no later step reads."""
+        for df in tables:
+            self.paths.remove(df._scratch)
+            _delete(self.spark, df._scratch)
 
     def keep_last(self) -> None:
         """Delete all tables but the last one written."""

@@ -490,6 +490,8 @@ def repeated_ranges(rows: DataFrame, *, length: int = LENGTH, gram: int = GRAM,
         runs = anchors.join(often, "anchor", "left_semi").groupBy(*_ROW).agg(F.collect_list(F.struct("first", "last", "anchor")).alias("runs"))
         once = rows.select(*_ROW, "text").join(runs, list(_ROW)).select(*_ROW, "text", "runs")
         places = scratch.written(_contexts(once, length))
+        scratch.done(anchors, often)
+        del runs, once
         _release(spark)
         # equal contexts together, with partial sums on the map side
         whole = scratch.written(places.filter("context is not null").groupBy("anchor", "cid").agg(F.first("context").alias("context"), F.sum("copies").alias("copies")))
@@ -500,6 +502,8 @@ def repeated_ranges(rows: DataFrame, *, length: int = LENGTH, gram: int = GRAM,
         part = F.coalesce(F.pmod("cid", "parts"), F.lit(-1)).cast("int").alias("part")
         dealt = whole.join(large, "anchor", "left").select("anchor", "cid", "context", "copies", part)
         found = scratch.written(_scan(dealt.repartition("anchor", "part").sortWithinPartitions("anchor", "part"), length, left))
+        scratch.done(whole, large)
+        del dealt
         _release(spark)
         inside = found.filter("ranges is not null").select("anchor", "cid", "ranges")
         handed = found.filter("s1 is not null")
