@@ -55,11 +55,11 @@ def range_of(keys: Sequence[Column], kinds: Sequence[T.DataType], points: Sequen
     columns = [F.from_json(F.lit(json.dumps([p[i] for p in points])), "array<string>").cast(T.ArrayType(t)) for i, t in enumerate(kinds)]
     keys = [k.cast(t) for k, t in zip(keys, kinds)]
 
-    def reached(i: Column) -> Column:
+    def reached(i: Column, key: Column) -> Column:
         """Whether point i is at most the key, column by column; NULLs come first."""
         out = None
-        for column, k in reversed(list(zip(columns, keys))):
-            p = F.get(column, i)
+        for j in reversed(range(len(kinds))):
+            p, k = F.get(columns[j], i), key.getField(f"k{j}")
             if out is None:
                 out = p.isNull() | F.coalesce(p <= k, F.lit(False))
             else:
@@ -68,5 +68,12 @@ def range_of(keys: Sequence[Column], kinds: Sequence[T.DataType], points: Sequen
 
     n = len(points)
     steps = [1 << b for b in reversed(range(n.bit_length()))]
-    forward = lambda at, step: F.when((at + step <= n) & reached(at + step - 1), at + step).otherwise(at)
-    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), forward)
+    # the key is handed on in the state: what only the body of a function refers to is not seen by all rules of the optimizer
+    state = lambda at, key: F.struct(at.alias("at"), key.alias("key"))
+
+    def forward(s: Column, step: Column) -> Column:
+        at, key = s.getField("at"), s.getField("key")
+        return state(F.when((at + step <= n) & reached(at + step - 1, key), at + step).otherwise(at), key)
+
+    start = state(F.lit(0), F.struct(*(k.alias(f"k{j}") for j, k in enumerate(keys))))
+    return F.aggregate(F.array(*map(F.lit, steps)), start, forward, lambda s: s.getField("at"))
