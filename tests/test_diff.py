@@ -239,18 +239,21 @@ def test_sketches_size_themselves(spark, monkeypatch):
     assert result.report.strategy == "hashdiff" and result.report.summary.modified == 3000 and any("about" in w for w in result.report.warnings)
 
 
-def test_multisets_of_large_tables(spark, monkeypatch):
-    from twinlake.operators import strategies
+def test_multisets_by_buckets(spark):
+    from twinlake.diff import plan_sides
+    from twinlake.operators import joins
 
     l = spark.range(3000).selectExpr("id % 500 as a", "concat('v', id % 700) as b")
     few = l.filter("a <> 3").unionByName(l.filter("a = 9"))
     many = l.selectExpr("a", "concat(b, 'x') as b")
-    whole = [sorted(map(repr, diff(l, r).diffs.collect())) for r in (few, many)]
-    monkeypatch.setattr(strategies, "WHOLE_ROWS", 0)
-    for r, want in zip((few, many), whole):
-        result = diff(l, r, DiffOptions(bisection_threshold=8))
-        assert sorted(map(repr, result.diffs.collect())) == want and len(result.report.shards) > 3
-        result.close()
+    for r in (few, many, l.limit(0)):
+        lplan, rplan, _ = plan_sides(l, r, DiffOptions())
+        want = joins.keyless_rows(joins.multiset_differences(l, r, lplan, rplan)).collect()
+        for threshold in (8, 16384):
+            result = diff(l, r, DiffOptions(bisection_threshold=threshold))
+            got = result.diffs.drop("confirmed").collect()
+            assert sorted(map(repr, got)) == sorted(map(repr, want)) and (threshold > 8) == (len(result.report.shards) == 1)
+            result.close()
     assert diff(l, l, DiffOptions(bisection_threshold=8)).report.exit_code == 0
 
 
@@ -271,6 +274,33 @@ def test_a_comparison_has_a_time_limit(spark):
         diff(l, l, DiffOptions(statement_timeout=1.0), declared_key=["id"])
 
 
+def test_a_whole_comparison_has_a_deadline(spark):
+    """Many jobs, each well within the limit of a job, end together at the deadline."""
+    import time
+
+    from pyspark.sql.functions import udf
+
+    from twinlake.operators.timeouts import JobTimeout, limited
+
+    @udf("long")
+    def slow(x):
+        import time
+
+        time.sleep(0.2)
+        return x
+
+    rows = spark.range(4).select(slow("id").alias("id"))
+    rows.count()  # workers are started
+    rows.agg(F.sum("id")).first()
+    done, started = [], time.monotonic()
+    with pytest.raises(JobTimeout, match="in all"):
+        limited(spark, lambda: [done.append(rows.agg(F.sum("id")).first()) for _ in range(500)], 60, deadline=4.0)
+    assert done and time.monotonic() - started < 15
+    assert limited(spark, lambda: spark.range(3).count(), None, deadline=60.0) == 3
+    with pytest.raises(JobTimeout):
+        diff(rows.withColumn("v", F.lit("a")), rows.withColumn("v", F.lit("b")), DiffOptions(deadline=0.3), declared_key=["id"])
+
+
 def test_a_snapshot_does_not_read_again(spark, tmp_path):
     spark.range(10).selectExpr("id", "'a' v").write.parquet(f"{tmp_path}/l")
     spark.range(10).selectExpr("id", "if(id = 4, 'b', 'a') v").write.parquet(f"{tmp_path}/r")
@@ -281,6 +311,49 @@ def test_a_snapshot_does_not_read_again(spark, tmp_path):
     assert not result._stored
 
 
+@pytest.mark.parametrize("change", ["added", "rewritten", "gone"])
+def test_a_pinned_comparison_keeps_its_files(spark, tmp_path, monkeypatch, change):
+    import shutil
+
+    from twinlake.operators.snapshots import SnapshotChanged
+
+    for side, changed in (("l", "'a'"), ("r", "if(id = 4, 'b', 'a')")):
+        spark.range(10).selectExpr("id", f"{changed} v").write.parquet(f"{tmp_path}/{side}")
+    spark.range(100, 105).selectExpr("id", "'late' v").write.parquet(f"{tmp_path}/late")
+    run, files = strategies.RUN["joindiff"], lambda at: sorted((tmp_path / at).glob("part-*.parquet"))
+
+    def meanwhile(sides, options):
+        if change == "added":
+            shutil.copy(files("late")[-1], tmp_path / "r" / "part-added.parquet")
+        out = run(sides, options)
+        if change == "rewritten":
+            shutil.copy(files("late")[-1], files("r")[0])
+        elif change == "gone":
+            files("l")[0].unlink()
+        return out
+
+    monkeypatch.setitem(strategies.RUN, "joindiff", meanwhile)
+    sides = (lambda s=s: spark.read.parquet(f"{tmp_path}/{s}") for s in "lr")
+    options = DiffOptions(consistency="pinned", strategy="joindiff", sample=0)
+    if change != "added":
+        with pytest.raises(SnapshotChanged, match="right" if change == "rewritten" else "left"):
+            diff(*sides, options, declared_key=["id"])
+        return
+    result = diff(*sides, options, declared_key=["id"])
+    assert found(result) == {4: "Modified"} and result.report.summary.right_total == 10 and spark.read.parquet(f"{tmp_path}/r").count() > 10
+    assert len(result._stored) == 2 and all("manifest" in p for p in result._stored)  # no copy of a side
+    result.close()
+
+
+def test_a_pinned_comparison_copies_what_has_no_files(spark, tmp_path):
+    spark.range(10).selectExpr("id", "'a' v").write.parquet(f"{tmp_path}/l")
+    left = spark.read.parquet(f"{tmp_path}/l")
+    mixed = left.unionByName(spark.range(10, 12).selectExpr("id", "'b' v"))
+    result = diff(left, mixed, DiffOptions(consistency="pinned", strategy="joindiff"), declared_key=["id"])
+    assert found(result) == {10: "MissingLeft", 11: "MissingLeft"} and sorted("manifest" in p for p in result._stored) == [False, True]
+    result.close()
+
+
 def test_dry_run(spark):
     l = spark.createDataFrame([(1, "a"), (7, "b")], "id int, v string")
     plan = dry_run(l, l, DiffOptions(strategy="hashdiff"), declared_key=["id"])
@@ -294,6 +367,28 @@ def test_paging(spark):
     assert [r.b for r in paging.rows_in_order(df.filter("a = 0"), ["b"])] == list(range(10))
 
 
+def test_paging_index(spark):
+    """Pages by number and by key from one sort; a page reads the files that hold it, and no others."""
+    df = spark.range(1000).selectExpr("if(id < 3, null, id * 7 % 1000) as a", "concat('t', id) as twinlake_at", "id").repartition(5)
+    want = sorted(((r.a is not None, r.a, r.id) if r.a is not None else (False, 0, r.id) for r in df.collect()))
+    index = paging.PageIndex.build(df, ["a", "id"], size=90, ranges=4)
+    assert (index.rows, index.number, len(index.files()) > 1) == (1000, 12, True)
+    got = []
+    for n in range(index.number):
+        page = index.page(n)
+        rows = page.collect()
+        assert page.columns == df.columns and len(page.inputFiles()) <= 2
+        got += [(r.a is not None, r.a or 0, r.id) for r in rows]
+    assert got == want and index.page(12).collect() == []
+    after = index.after([350, 50]).collect()
+    assert [r.a for r in after] == [r[1] for r in want if r[:1] == (True,) and (r[1], r[2]) > (350, 50)][:90]
+    assert [len(p) for p in index.pages()] == [90] * 11 + [10]
+    empty = paging.PageIndex.build(df.limit(0), ["a"])
+    assert empty.number == 0 and empty.page(0).collect() == [] and list(empty.pages()) == []
+    index.close()
+    empty.close()
+
+
 @pytest.mark.parametrize(("span", "want"), [((0, 100, 4), (25, 4)), ((0, 10, 3), (4, 3)), ((5, 6, 32), (1, 1)), ((-50, 1000001, 32), (31252, 32))])
 def test_first_segments(span, want):
     assert first_segments(*span) == want

@@ -107,6 +107,40 @@ def test_timeout_plan_and_errors(spark):
     assert classify(ValueError("x://u:secret@h")).message == "x://u:***@h"
 
 
+def test_actions_after_a_timeout(spark):
+    slow = "select count(*) from range(10000000000) a where hash(a.id) % 7 = hash(a.id + 1) % 11"
+    for action in ("cancel", "disconnect"):
+        g = Gateway(spark.newSession(), timeout=1.0, timeout_action=action)
+        g.spark.range(2).createOrReplaceTempView("of_this_session")
+        with pytest.raises(GatewayError) as e:
+            g.execute(slow)
+        assert e.value.kind == "timeout"
+        if action == "disconnect":
+            with pytest.raises(GatewayError) as e:
+                g.execute("select 1")
+            assert e.value.kind == "connection"
+            g.connect()
+            with pytest.raises(GatewayError) as e:
+                g.execute("select * from of_this_session")
+            assert e.value.condition == "TABLE_OR_VIEW_NOT_FOUND"
+        else:
+            assert len(g.execute("select * from of_this_session", timeout=60).rows) == 2
+        assert g.execute("select 1 as a", timeout=60).rows == [[1]]
+    with pytest.raises(GatewayError):
+        Gateway(spark, timeout_action="other")
+
+
+def test_a_measured_plan(spark):
+    """A join by exchange: rows of each node and of the shuffles, known beforehand."""
+    g = Gateway(spark.newSession(), timeout=120)
+    g.spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    text = g.explain("select a.id from range(0, 1000, 1, 3) a join range(0, 2000, 2, 3) b on a.id = b.id", analyze=True)
+    joined = [line for line in text.splitlines() if line.strip().startswith(("SortMergeJoin", "ShuffledHashJoin")) and " rows" in line]
+    assert len(joined) == 1 and "500 rows" in joined[0]
+    assert "shuffled: 2000 rows, " in text and "spilled: 0 B" in text and text.count("shuffle records written: 1000") == 2
+    assert "sort time" in text or "time to build hash map" in text or "shuffle write time" in text
+
+
 def test_renderers():
     columns, rows = ["a", "bé"], [[1, None], [22, "x,\"y\""]]
     assert render(columns, rows) == "┌────┬───────┐\n│ a  │ bé    │\n├────┼───────┤\n│ 1  │ NULL  │\n│ 22 │ x,\"y\" │\n└────┴───────┘\n\n(2 rows)\n"

@@ -58,7 +58,8 @@ def parser() -> argparse.ArgumentParser:
     d.add_argument("--fetch-all-threshold", type=int, default=4096)
     d.add_argument("--decimal-scale", type=int)
     d.add_argument("--statement-timeout", type=seconds, default=300.0)
-    d.add_argument("--consistency", choices=("snapshot", "none"), default="snapshot")
+    d.add_argument("--deadline", type=seconds, help="limit on the whole comparison")
+    d.add_argument("--consistency", choices=("snapshot", "pinned", "none"), default="snapshot")
     d.add_argument("--format", choices=FORMATS, default="table")
     for name in ("recheck", "strict", "summary-only", "dry-run", "exact-hash", "trust-keys"):
         d.add_argument(f"--{name}", action="store_true")
@@ -77,7 +78,7 @@ def _names(text: str | None) -> tuple[str, ...]:
 
 def diff_options(args: argparse.Namespace, registry: Registry) -> DiffOptions:
     same = ("where", "update_column", "update_since", "strategy", "bisection_factor", "bisection_threshold", "threads", "sample", "recheck", "consistency", "checkpoint")
-    same += ("iblt_capacity", "strict", "fetch_all_threshold", "statement_timeout", "decimal_scale", "exact_hash", "summary_only", "trust_keys")
+    same += ("iblt_capacity", "strict", "fetch_all_threshold", "statement_timeout", "deadline", "decimal_scale", "exact_hash", "summary_only", "trust_keys")
     ltable, rtable = args.left_table or args.table, args.right_table or args.table
     if args.table and (args.left_table or args.right_table):
         raise ValueError("--table excludes --left-table and --right-table")

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from twinlake.operators import checksum, joins
 from twinlake.operators.filters import apply_filter
 from twinlake.operators.lineage import delete, stored
+from twinlake.operators.snapshots import Manifest, SnapshotChanged, is_pinned
 from twinlake.operators.timeouts import limited
 from twinlake.operators.strategies import RUN, Outcome, RepeatedKeys, Sides, SketchOverflow
 from twinlake.plans import router
@@ -77,11 +78,13 @@ def diff(left: DataFrame | Reader, right: DataFrame | Reader, options: DiffOptio
     counted where a strategy looks at them anyhow: all of them by joindiff, those of differing buckets or leaves
     by keyeddiff and hashdiff, those that differ by iblt (rows repeated alike on both sides are no difference). Where one
     repeats, contents are compared as multisets.
-    ``statement_timeout`` is a limit on each job of the comparison.
+    consistency ``pinned``: a side that is read from files keeps the list of them for every step and is not copied; were
+    they rewritten or removed meanwhile, SnapshotChanged is raised. A side without such a list is copied.
+    ``statement_timeout`` is a limit on each job of the comparison, ``deadline`` on all of them together.
     """
     options = options or DiffOptions()
     spark = SparkSession.active()
-    return limited(spark, lambda: _diff(left, right, options, declared_key), options.statement_timeout, "comparison")
+    return limited(spark, lambda: _diff(left, right, options, declared_key), options.statement_timeout, "comparison", deadline=options.deadline)
 
 
 def _diff(left: DataFrame | Reader, right: DataFrame | Reader, options: DiffOptions, declared_key: Sequence[str]) -> DiffResult:
@@ -97,6 +100,34 @@ def _diff(left: DataFrame | Reader, right: DataFrame | Reader, options: DiffOpti
     if options.consistency == "snapshot":
         (sides.left, a), (sides.right, b) = stored(sides.left), stored(sides.right)
         paths += [a, b]
+    manifests: list[Manifest] = []
+    if options.consistency == "pinned":
+        for name, raw in (("left", lraw), ("right", rraw)):
+            if is_pinned(raw):
+                manifests.append(Manifest.of(name, raw))
+                paths.append(manifests[-1].path)
+            else:
+                copy, path = stored(getattr(sides, name))
+                setattr(sides, name, copy)
+                paths.append(path)
+    try:
+        result = _compare(sides, read_left, read_right, route, options, started, warnings, held, paths)
+        for manifest in manifests:
+            manifest.check()
+        return result
+    except Exception as e:
+        try:
+            if not isinstance(e, SnapshotChanged):  # a step may have failed because a file is no longer what it was
+                for manifest in manifests:
+                    manifest.check()
+            raise
+        finally:
+            for path in paths:
+                delete(sides.spark, path)
+
+
+def _compare(sides: Sides, read_left: Reader, read_right: Reader, route: router.Route, options: DiffOptions, started: datetime, warnings: list[str], held: list[DataFrame], paths: list[str]) -> DiffResult:
+    lplan, rplan = sides.lplan, sides.rplan
     warnings += route.warnings
     strategy = route.strategy
     try:

@@ -39,9 +39,10 @@ TOOLS: dict[str, tuple[str, dict, list[str]]] = {
         {
             **{n: _TEXT for n in ("left", "right", "table", "left_table", "right_table", "key", "columns", "where", "update_column", "update_since")},
             "strategy": _TEXT | {"enum": list(STRATEGIES)},
-            "consistency": _TEXT | {"enum": ["none", "snapshot"]},
+            "consistency": _TEXT | {"enum": ["none", "snapshot", "pinned"]},
             **{n: _WHOLE for n in ("bisection_factor", "bisection_threshold", "threads", "sample", "iblt_capacity", "fetch_all_threshold", "decimal_scale")},
             "statement_timeout": {"type": "number"},
+            "deadline": {"type": "number"},
             **{n: _FLAG for n in ("recheck", "strict", "exact_hash", "summary_only", "trust_keys")},
         },
         ["left", "right"],

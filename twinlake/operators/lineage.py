@@ -30,9 +30,9 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> tuple[DataFrame, str]:
+def stored(df: DataFrame, folder: str = "tables") -> tuple[DataFrame, str]:
     """(df as a Parquet table in the shared folder, its path): a lost executor does not read the source again."""
-    path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/{folder}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 

@@ -25,8 +25,7 @@ from twinlake.plans.report import Shard
 from twinlake.plans.tableplan import TablePlan, is_integer
 
 MAX_BUCKETS = 1024
-#: bucketdiff: tables of at most so many rows are compared in one pass; the most buckets of larger ones.
-WHOLE_ROWS = 4_000_000
+#: The most buckets of bucketdiff; fewer than the rows call for only prune less.
 MOST_CONTENT_BUCKETS = 1 << 20
 #: Keys of differences that are broadcast to fetch their rows: at most so many, of so many bytes.
 FEW_KEYS, FEW_BYTES = 50_000, 4 << 20
@@ -103,19 +102,11 @@ def bucket_count(rows: int, threshold: int) -> int:
 
 
 def bucketdiff(sides: Sides, options: DiffOptions) -> Outcome:
-    """Contents as multisets. Small tables in one pass: one aggregation of the row hashes of both sides.
-
-    Of larger tables each row is hashed once; checksums by content bucket, with as many buckets as the rows call for, then
-    leave only rows of buckets that differ to that aggregation, unless most rows are in such buckets.
+    """Contents as multisets. Each row is hashed once; checksums by content bucket, with as many buckets as the rows call for,
+    leave only rows of buckets that differ to a count of each content, unless most rows are in such buckets.
     """
     totals = sides.counts()
     started = time.monotonic()
-    if max(totals) <= WHOLE_ROWS:
-        diffs = settled(joins.multiset_differences(sides.left, sides.right, sides.lplan, sides.rplan))
-        n = bucket_count(max(totals), options.bisection_threshold)
-        found = diffs.groupBy(bucket(F.col("h"), n).alias("bkt")).agg(F.sum("left_n"), F.sum("right_n")).collect()  # at most MAX_BUCKETS
-        shards = [Shard(f"bucket-{b}", (b, b + 1), lc, rc, abs(lc - rc), "Diff") for b, lc, rc in sorted(found)]
-        return Outcome(joins.keyless_rows(diffs), shards, queries=2, durations=[1000 * (time.monotonic() - started)], totals=totals)
     n = max(1, min(MOST_CONTENT_BUCKETS, -(-max(totals) // options.bisection_threshold)))
     hashed = [df.select(p.content_hash().alias("h")).withColumn("bkt", bucket(F.col("h"), n)).persist(StorageLevel.MEMORY_AND_DISK) for df, p in ((sides.left, sides.lplan), (sides.right, sides.rplan))]
     differ = settled(checksum.differing(*(checksum.bucket_sums(rows) for rows in hashed)))

@@ -29,6 +29,8 @@ class DiffOptions:
     strict: bool = False
     fetch_all_threshold: int = 4096
     statement_timeout: float | None = 300
+    #: Seconds that all jobs of a comparison may take together.
+    deadline: float | None = None
     decimal_scale: int | None = None
     exact_hash: bool = False
     nested_json: bool = False
@@ -52,7 +54,8 @@ class DiffOptions:
         need(not (self.where and ";" in self.where), "a condition must not contain ';'")
         need(not (self.where and self.update_column), "a condition and an update column exclude each other")
         need(not (self.update_since and not self.update_column), "an update window needs an update column")
-        need(self.consistency in ("none", "snapshot"), "consistency is 'none' or 'snapshot'")
+        need(self.consistency in ("none", "snapshot", "pinned"), "consistency is 'none', 'snapshot' or 'pinned'")
+        need(self.deadline is None or self.deadline > 0, "a deadline must be above 0")
         for name in ("bisection_factor", "bisection_threshold", "threads", "iblt_capacity"):
             need(getattr(self, name) is None or getattr(self, name) >= 1, f"{name} must be at least 1")
         need(self.bisection_factor >= 2, "bisection_factor must be at least 2")

@@ -347,6 +347,13 @@ def keyset_page(spark, sf_dir):
     return paging.page(read(spark, sf_dir, "conversations"), ["conv_id", "turn"], last=[20, 1], size=50).select("conv_id", "turn", "role")
 
 
+@_query("select conv_id, turn, role from conversations order by conv_id, turn limit 64 offset 128")
+def page_by_number(spark, sf_dir):
+    """The third page of 64 rows, from a table that is sorted once."""
+    index = paging.PageIndex.build(read(spark, sf_dir, "conversations"), ["conv_id", "turn"], size=64)
+    return index.page(2).select("conv_id", "turn", "role")
+
+
 @_query("select conv_id, turn from conversations where conv_id > 20 or (conv_id = 20 and turn > 1)")
 def tuple_gt(spark, sf_dir):
     return read(spark, sf_dir, "conversations").filter(filters.after(["conv_id", "turn"], [20, 1])).select("conv_id", "turn")
