@@ -26,7 +26,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each group of documents linked at 0.8 or more on five-word shingles the smallest id stays.
 
     Of rows that repeat an id and its text one stays, that with the smallest other columns. Rows with one id
-    and different texts are different documents and all stay; so do rows without an id.
+    and different texts belong together: all stay, or all go. Rows without an id stay.
     """
     ids = minmax.near_duplicates(docs, k=5, percent=80).groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_and("kept").alias("kept"))
     marks = written(ids.filter("doc_id is not null and (n > 1 or not kept)"))
