@@ -82,6 +82,48 @@ def test_near_duplicate_edge_cases(edge, nothing):
     assert got[4] == 3 and got[6] == 5 and got[8] == 7 and got[0] == 0 and got[2] == 2
 
 
+def test_near_duplicates_of_rows_with_the_same_id(spark):
+    """An id with several texts is one document, linked by any of them; repeats of a row are copies. Against all pairs."""
+    rng = random.Random(9)
+    texts = corpus(9, 40)
+    rows = [(rng.randrange(45), t) for t in texts] + [(i, t) for i, t in enumerate(texts[:5]) for _ in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sets, root = sets_of([t for _, t in rows], 5), {i: i for i, _ in rows}
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for x in sets:
+        for y in range(x):
+            both = len(sets[x] & sets[y])
+            if sets[x] and sets[y] and 100 * both >= 80 * (len(sets[x]) + len(sets[y]) - both):
+                a, b = find(rows[x][0]), find(rows[y][0])
+                root[max(a, b)] = min(a, b)
+    got = minmax.near_duplicates(df, k=5, percent=80).collect()
+    assert len(got) == len(rows) and all(r.component_id == find(r.doc_id) for r in got)
+    assert sorted((r.doc_id, r.n_shingles) for r in got) == sorted((i, len(sets[n])) for n, (i, _) in enumerate(rows))
+
+
+def test_repeats_of_linked_rows_are_compared_once(spark):
+    """600 and 600 repeats of two linked rows: the join of their sets has one row, not 360,000."""
+    words = [f"w{i}" for i in range(60)]
+    rows = [(n, " ".join([*words[: 59 - n], *("x" * n)])) for n in range(2) for _ in range(600)]
+    seen = []
+    plain = minmax.confirmed
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+
+    def counted(pairs, sets, percent):
+        seen.append((pairs.count(), sets.count()))
+        return plain(pairs, sets, percent)
+
+    minmax.confirmed = counted
+    try:
+        got = minmax.near_duplicates(df, k=5, percent=80).collect()
+    finally:
+        minmax.confirmed = plain
+    assert {(r.doc_id, r.component_id) for r in got} == {(0, 0), (1, 0)} and len(got) == 1200 and seen[0] == (1, 2)
+
+
 def test_min_max_estimates_without_bias():
     rng = np.random.default_rng(1)
     pool = rng.integers(0, 2**63, 3000, dtype=np.uint64)
@@ -435,6 +477,31 @@ def test_many_labels_in_bounded_memory(monkeypatch):
     tracemalloc.stop()
 
 
+def test_labelling_in_pieces_changes_nothing(monkeypatch):
+    """Pieces that end inside of texts and at their ends, against one piece; with 256 labels, in bounded memory."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng, random_ = np.random.default_rng(3), random.Random(3)
+    texts = [" ".join("".join(random_.choice("abcdef") for _ in range(3)) for _ in range(n)) for n in (0, 7, 512, 505, 1, 2600, 0, 30)]
+    ((_, _, words),) = list(common.words_of(pa.array(texts), common.ALPHA, 1 << 40))
+    model = crf.Crf(["a", "b", "c"], rng.normal(size=(1 << crf.TABLE_BITS, 3)).astype(np.float32), rng.normal(size=3).astype(np.float32), rng.normal(size=(3, 3)).astype(np.float32))
+    whole = model.document_marginals(words)
+    for cells in (1, 3 * 519, 3 * 1024):
+        monkeypatch.setattr(crf, "LABEL_CELLS", cells)
+        assert np.allclose(model.document_marginals(words), whole, atol=1e-5)
+    assert np.allclose(whole.sum(1), words.counts > 0)
+    monkeypatch.setattr(crf, "LABEL_CELLS", 1 << 20)
+    k = 256
+    model = crf.Crf([f"l{i}" for i in range(k)], np.zeros((1 << crf.TABLE_BITS, k), np.float32), np.zeros(k, np.float32), np.eye(k, dtype=np.float32))
+    ((_, _, words),) = list(common.words_of(pa.array([" ".join(texts) * 20]), common.ALPHA, 1 << 40))
+    tracemalloc.start()
+    assert np.allclose(model.document_marginals(words), 1 / k, atol=1e-4)
+    assert tracemalloc.get_traced_memory()[1] < 150 << 20  # words x labels alone are 18 million cells, of which several arrays are needed
+    tracemalloc.stop()
+
+
 def test_a_label_of_long_texts_is_learned(spark):
     rng = random.Random(6)
     make = lambda syllables, n: " ".join("".join(rng.choice(syllables) for _ in range(2)) for _ in range(n))

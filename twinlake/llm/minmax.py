@@ -13,7 +13,9 @@ With ROWS values a band, two sets of similarity s share some band with probabili
 1 - (1 - s**ROWS)**BANDS: more than 0.99999 at 0.8.
 
 Cases: a text without words (null, empty, only spaces) has an empty set and is linked with nothing; a
-text with fewer than k words is one shingle; repeated rows with one id and text count as copies; a row
+text with fewer than k words is one shingle; repeated rows with one id and text count as copies, whose set
+is made and compared once; rows of one id with different texts are one document: it is linked with all that any of its
+texts links with, and all its rows have one component (``n_shingles`` is that of the row's own text); a row
 without an id cannot stand for others: it gets the component of a row with an equal text and an id, if there
 is one, else null, and is always kept (two rows without an id are not compared with each other); an
 empty table gives an empty result; other columns are not read.
@@ -134,23 +136,25 @@ def full_sets(df: DataFrame, k: int, *, id: str = "doc_id", text: str = "text")
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+    sets = sets.select("id", "shingles")
     both = pairs.join(sets.withColumnsRenamed({"id": "a", "shingles": "x"}), "a").join(sets.withColumnsRenamed({"id": "b", "shingles": "y"}), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.filter(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b").distinct()
 
 
 def across_labels(reps: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b) of sets under different labels that can reach the similarity; none that does is left out.
+    """Pairs (a, b) of ids under different labels of which two sets can reach the similarity; none that does is left out.
 
-    reps: id, n, label. Shingles are ordered by how many of these sets hold them, those held under one label
+    reps: id, label. sets: id, u, shingles; u tells apart the sets of an id that has several. Shingles are ordered by how many of these sets hold them, those held under one label
     only first. If the first shingle that two sets share stands at places i and j of their orders, they share
     at most min(n_i - i, n_j - j), which must reach the intersection that the similarity needs; so only the
     first few, rare shingles of each set are compared. Work is in proportion to the sets' sizes and to the
     pairs that share a rare shingle, not to the square of a bucket.
     """
-    spread = sets.join(reps, "id").select("id", "label", "n", F.explode("shingles").alias("shingle"))
+    one = ["id", "label", "u", "n"]
+    spread = sets.withColumn("n", F.size("shingles").cast("long")).join(reps, "id").select(*one, F.explode("shingles").alias("shingle"))
     held = spread.groupBy("shingle").agg(F.count("*").alias("df"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("shingle", "df")
-    order = spread.join(held, "shingle").groupBy("id", "label", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("order"))
+    order = spread.join(held, "shingle").groupBy(*one).agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("order"))
     order = order.withColumn("own", F.expr("n - size(order)"))
     prefix = F.expr(f"slice(order, 1, cast(greatest(0, n - ceil({percent} * n / 100) + 1 - own) as int))")
     first = order.select("id", "label", "n", "own", F.posexplode(prefix).alias("i", "s")).selectExpr("id", "label", "n", "own + i as place", "s.shingle as shingle")
@@ -174,19 +178,35 @@ def near_duplicates(df: DataFrame, *, k: int = 5, percent: int = 80, id: str = "
         spread = banded.select("rep", "n_shingles", F.explode("bands").alias("bucket"))
         hubs = spread.groupBy("bucket").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).filter("hub < last").drop("last")
         shared = scratch.written(spread.join(hubs, "bucket"))
-        sets = scratch.written(full_sets(docs.join(shared.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), k))
+        # ids of several rows: their sets are made once each, and the classes of different texts are linked
+        ids = keyed.filter(F.col("doc_id").isNotNull()).groupBy("doc_id")
+        differ = (F.min("k1") < F.max("k1")) | (F.min("k2") < F.max("k2"))
+        repeated = scratch.written(ids.agg(F.count("*").alias("rows"), differ.alias("differ")).filter("rows > 1").select("doc_id", "differ"))
+        asked = docs.join(shared.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        once, again = asked, None
+        if not repeated.isEmpty():
+            once, again = asked.join(repeated, "doc_id", "left_anti"), full_sets(asked.join(repeated, "doc_id", "left_semi"), k).filter("size(shingles) > 0").distinct()
+        sets = full_sets(once, k).withColumn("u", F.lit(0).cast("long"))
+        if again is not None:
+            sets = sets.unionByName(again.withColumn("u", F.xxhash64("shingles")))
+        sets = scratch.written(sets)
+        of_one_id = keyed.filter(~alone).join(repeated.filter("differ"), "doc_id", "left_semi").join(classes, ["k1", "k2"])
+        of_one_id = of_one_id.filter("rep < doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
 
         sizes = shared.filter("rep = hub").select(F.col("rep").alias("hub"), F.col("n_shingles").alias("hub_size")).distinct()
         star = shared.filter("rep > hub").select("hub", "rep", "n_shingles").distinct().join(sizes, "hub")
         star = star.filter(f"100 * least(n_shingles, hub_size) >= {percent} * greatest(n_shingles, hub_size)")
         star = scratch.written(star.select(F.col("hub").alias("a"), F.col("rep").alias("b")))
-        links = scratch.written(confirmed(star, sets, percent))
+        links = confirmed(star, sets, percent)
+        if again is not None:
+            links = links.unionByName(of_one_id)
+        links = scratch.written(links)
         found = components(links)
 
         # buckets that hold more than one component: pairs between components that were not compared
         labelled = shared.select("bucket", "rep", "n_shingles").join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
         mixed = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("bucket")
-        rest = scratch.written(labelled.join(mixed, "bucket").select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), "label").distinct())
+        rest = scratch.written(labelled.join(mixed, "bucket").select(F.col("rep").alias("id"), "label").distinct())
         across = scratch.written(across_labels(rest, sets, percent, scratch).join(star, ["a", "b"], "left_anti"))
         if not across.isEmpty():
             label = rest.select("id", "label")
@@ -194,6 +214,8 @@ def near_duplicates(df: DataFrame, *, k: int = 5, percent: int = 80, id: str = "
             new = confirmed(across, sets, percent).join(ends[0], "a").join(ends[1], "b")
             found = written(merged(found, new.select(F.col("a_label").alias("a"), F.col("b_label").alias("b"))))
 
-    out = keyed.select("doc_id", "n_shingles", "k1", "k2").join(classes, ["k1", "k2"], "left").join(found.withColumnRenamed("id", "rep"), "rep", "left")
+    out = keyed.select("doc_id", "n_shingles", "k1", "k2").join(classes, ["k1", "k2"], "left")
+    # a row without words is in no class, but its document may be linked by another text
+    out = out.withColumn("id", F.coalesce("rep", "doc_id")).join(found, "id", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
