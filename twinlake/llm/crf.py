@@ -9,7 +9,9 @@ largest sum of word marginals over its whole text; its score is that label's mea
 
 Forward-backward over a batch of documents is exact and vectorised: the words of all documents form one
 sequence with resets where documents begin, cut into equal strips. The strips' transfer matrices are
-multiplied out side by side, chained, and then each strip's vectors are computed side by side.
+multiplied out side by side, chained, and then each strip's vectors are computed side by side. Labelling takes
+LABEL_CELLS words times labels at once: the vectors at the ends of the pieces are kept from a first pass forwards, then
+the pieces are worked through backwards, so memory depends neither on the number of labels nor on a text's length.
 
 The fit uses at most PER_LABEL labelled rows a label (those with the smallest hash of their id), of texts over
 MAX_TRAIN_CHARS that many characters from a place given by the hash, so a label of long texts is learned
@@ -53,6 +55,8 @@ STRIP = 512
 SHORT_CHAIN = 256
 #: Text bytes scanned at a time; more of them make longer vectors.
 SCAN_BYTES = 4 << 20
+#: Words times labels that are labelled at once; longer texts are labelled in pieces, which changes no result.
+LABEL_CELLS = 8 << 20
 
 
 def word_features(words: Words, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -115,15 +119,16 @@ def _scan_short(steps: np.ndarray, begin: np.ndarray, sizes: np.ndarray, first:
     return out
 
 
-def _scan(steps: np.ndarray, resets: np.ndarray, first: np.ndarray, transition: np.ndarray) -> np.ndarray:
+def _scan(steps: np.ndarray, resets: np.ndarray, first: np.ndarray, transition: np.ndarray, entry: np.ndarray | None = None) -> np.ndarray:
     """Normalised forward vectors of one long chain.
 
-    steps: n x k positive emissions; resets: where a chain begins; first: k start weights.
+    steps: n x k positive emissions; resets: where a chain begins; first: k start weights; entry: the vector before the
+    first word, if that is not the begin of a chain.
     """
     n, k = steps.shape
     begin = np.flatnonzero(resets)
     sizes = np.diff(np.append(begin, n))
-    if n and begin[0] == 0 and sizes.max() <= SHORT_CHAIN:
+    if len(begin) and begin[0] == 0 and sizes.max() <= SHORT_CHAIN:
         return _scan_short(steps, begin, sizes, first, transition)
     strips = max(1, -(-n // STRIP))
     width = -(-n // strips)
@@ -139,14 +144,14 @@ def _scan(steps: np.ndarray, resets: np.ndarray, first: np.ndarray, transition:
             moved = np.where(r[t][:, None, None], product.sum(2, keepdims=True) * first, moved)
         product = moved * e[t][:, None, :]
         product /= product.sum((1, 2), keepdims=True)
-    entry = np.empty((strips, k), steps.dtype)
-    vector = first.copy()
+    entries = np.empty((strips, k), steps.dtype)
+    vector = (first if entry is None else entry).copy()
     for s in range(strips):
-        entry[s] = vector
+        entries[s] = vector
         vector = vector @ product[s]
         vector = vector / vector.sum()
     out = np.empty((width, strips, k), steps.dtype)
-    vector = entry
+    vector = entries
     for t in range(width):
         vector = np.where(r[t][:, None], vector.sum(1, keepdims=True) * first, vector @ transition) * e[t]
         vector = vector / vector.sum(1, keepdims=True)
@@ -154,18 +159,29 @@ def _scan(steps: np.ndarray, resets: np.ndarray, first: np.ndarray, transition:
     return out.transpose(1, 0, 2).reshape(strips * width, k)[:n]
 
 
-def forward_backward(scores: np.ndarray, begins: np.ndarray, start: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _forward(e: np.ndarray, begins: np.ndarray, start: np.ndarray, transition: np.ndarray, entry: np.ndarray | None = None) -> np.ndarray:
+    a, p = np.exp(transition - transition.max()), np.exp(start - start.max())
+    return _scan(e, begins, p.astype(e.dtype), a.astype(e.dtype), entry)
+
+
+def _potentials(scores: np.ndarray) -> np.ndarray:
+    return np.exp(scores - scores.max(1, keepdims=True))
+
+
+def forward_backward(
+    scores: np.ndarray, begins: np.ndarray, start: np.ndarray, transition: np.ndarray, entry: np.ndarray | None = None, exit: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(marginals, forward, backward) of words in a row of chains; begins: where each chain begins.
 
-    forward and backward vectors are normalised word by word.
+    forward and backward vectors are normalised word by word. entry: the forward vector of the word before the first one, if
+    that is in the same chain; exit: the backward vector of the word behind the last one, likewise.
     """
-    e = np.exp(scores - scores.max(1, keepdims=True))
-    a, p = np.exp(transition - transition.max()), np.exp(start - start.max())
-    forward = _scan(e, begins, p.astype(e.dtype), a.astype(e.dtype))
+    e = _potentials(scores)
+    forward = _forward(e, begins, start, transition, entry)
     # backwards: beta[t] = A (e[t+1] * beta[t+1]); the scan yields e[t] * beta[t], with ones at chain ends
-    ends = np.append(begins[1:], True)
-    ones = np.ones(len(p), e.dtype)
-    behind = _scan(e[::-1], ends[::-1], ones, a.T.astype(e.dtype))[::-1]
+    ends = np.append(begins[1:], exit is None)
+    ones = np.ones(len(start), e.dtype)
+    behind = _scan(e[::-1], ends[::-1], ones, np.exp(transition - transition.max()).T.astype(e.dtype), exit)[::-1]
     beta = behind / np.maximum(e, 1e-30)
     marginals = forward * beta
     marginals /= marginals.sum(1, keepdims=True)
@@ -191,13 +207,29 @@ class Crf:
         out = np.zeros((len(words.counts), len(self.labels)))
         if not len(h) or not self.labels:
             return out
-        _, which, inverse = np.unique(h, return_index=True, return_inverse=True)
-        scores = emissions(self.table, *word_features(words, which))[inverse]
         full = np.flatnonzero(words.counts)
-        begins = np.zeros(len(h), bool)
-        begins[words.bounds[:-1][full]] = True
-        marginals, _, _ = forward_backward(scores, begins, self.start, self.transition)
-        out[full] = np.add.reduceat(marginals.astype(np.float64), words.bounds[:-1][full], axis=0) / words.counts[full][:, None]
+        begins = np.zeros(len(h) + 1, bool)
+        begins[words.bounds[:-1][full]] = begins[-1] = True
+        size = max(STRIP, LABEL_CELLS // len(self.labels))
+        pieces = list(range(0, len(h), size))
+
+        def scores(i: int) -> np.ndarray:
+            _, which, inverse = np.unique(h[i : i + size], return_index=True, return_inverse=True)
+            return emissions(self.table, *word_features(words, i + which))[inverse]
+
+        entries = [None]  # of each piece the forward vector before it, where a text goes on from the one before
+        for i in pieces[:-1]:
+            entries.append(_forward(_potentials(scores(i)), begins[i : i + size], self.start, self.transition, entries[-1])[-1])
+            if begins[i + size]:
+                entries[-1] = None
+        exit, rows = None, words.rows()
+        for i, entry in zip(pieces[::-1], entries[::-1]):
+            j = min(i + size, len(h))
+            marginals, _, behind = forward_backward(scores(i), begins[i:j], self.start, self.transition, entry, exit)
+            exit = None if begins[i] else behind[0]
+            at = np.flatnonzero(np.append(True, rows[i + 1 : j] != rows[i : j - 1]))
+            out[rows[i:j][at]] += np.add.reduceat(marginals.astype(np.float64), at, axis=0)
+        out[full] /= words.counts[full][:, None]
         return out
 
 
