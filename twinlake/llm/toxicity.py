@@ -35,9 +35,10 @@ from pyspark.sql import functions as F
 
 from twinlake.llm.common import ALPHA, U64, Lookup, Words, bounded_batches, mix, prefix_hash, span_hash, words_of
 
-#: Bound on the labelled rows of the fit, and on the units that are shipped to the tasks (those in most texts).
+#: Bound on the labelled rows of the fit. All units of these that MIN_TEXTS texts hold are shipped to the tasks; a sample
+#: whose texts hold more than MAX_UNITS of them is refused.
 MAX_ROWS = 20_000
-MAX_UNITS = 200_000
+MAX_UNITS = 4 << 20
 LEAST_PREFIX, LONGEST_PREFIX = 3, 10
 PRIOR_TEXTS = 5.0
 MIN_TEXTS = 3
@@ -243,7 +244,7 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS) -> Model:
-    """The model from the labelled rows; the driver gets at most MAX_UNITS units, and a few numbers a sample row."""
+    """The model from the labelled rows; the driver gets all units in MIN_TEXTS texts or more, and a few numbers a sample row."""
     bounded_batches(docs.sparkSession)
     sample = labelled_sample(docs, labels, max_rows).persist()
     try:
@@ -254,7 +255,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS) -> Mode
         if not both.all():
             return Model(np.zeros(0, U64), np.zeros(0))
         texts = F.col("t0") + F.col("c0") + F.col("t1") + F.col("c1")
-        units = unit_frequencies(sample).filter(texts >= MIN_TEXTS).orderBy(texts.desc(), "unit").limit(MAX_UNITS).toArrow()
+        units = unit_frequencies(sample).filter(texts >= MIN_TEXTS).limit(MAX_UNITS + 1).toArrow()
+        if units.num_rows > MAX_UNITS:
+            raise ValueError(f"more than {MAX_UNITS} units in {MIN_TEXTS} of the {max_rows} sample texts or more; use fewer texts")
         unit, parent = (units.column(c).to_numpy().view(U64) for c in ("unit", "parent"))
         size, t0, c0, t1, c1 = (units.column(c).to_numpy() for c in ("size", "t0", "c0", "t1", "c1"))
         whole = unit_odds(unit, parent, size, t0 + t1, c0 + c1, *both)
@@ -280,15 +283,13 @@ def _judge_sample(sample: DataFrame, models: list[Model]) -> list:
     def scan(batches):
         for batch in batches:
             fold = batch.column(2).to_numpy(zero_copy_only=False)
-            for i, j, words in words_of(batch.column(0), ALPHA):
+            parts = [(m, batch.filter(pa.array(fold == k))) for k, m in enumerate(shared.value)]
+            for m, part, (i, j, words) in ((m, part, step) for m, part in parts for step in words_of(part.column(0), ALPHA)):
                 best, together = np.zeros(j - i), np.full(j - i, LOW)
-                for k, m in enumerate(shared.value):
-                    if (fold[i:j] == k).any():
-                        for row, segments in m.judge(words):
-                            if fold[i + row] == k:
-                                scores = [s for *_, s in segments]
-                                best[row], together[row] = max(scores), m.together(scores, words.counts[row])
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(i, j - i).cast(pa.int64()), pa.array(best), pa.array(together), pa.array(words.counts)], ["toxic", "best", "together", "n_words"])
+                for row, segments in m.judge(words):
+                    scores = [s for *_, s in segments]
+                    best[row], together[row] = max(scores), m.together(scores, words.counts[row])
+                yield pa.RecordBatch.from_arrays([part.column(1).slice(i, j - i).cast(pa.int64()), pa.array(best), pa.array(together), pa.array(words.counts)], ["toxic", "best", "together", "n_words"])
 
     return sample.select("text", "toxic", "fold").mapInArrow(scan, "toxic long, best double, together double, n_words long").collect()
 
