@@ -208,6 +208,15 @@ def test_expression_values():
     assert found[7] == ["GPL-2.0-only WITH X OR MIT"] and found[5] == "gpl,mit" and found[6] == pytest.approx(0.1)
 
 
+def test_families_and_tags_in_one_line():
+    named = {"CC0-1.0": "cc0", "0BSD": "0bsd", "ISC": "isc", "EPL-2.0": "epl", "Unlicense": "unlicense", "Zlib": "zlib", "BSL-1.0": "bsl", "BUSL-1.1": "busl", "CC-BY-NC-SA-4.0": "cc-by-nc", "Thing-1": "other"}
+    assert {k: license.label_of(k) for k in named} == named
+    found = license.scan_text("SPDX-License-Identifier: ISC SPDX-License-Identifier: EPL-2.0 OR MIT\nx")
+    assert found[5] == "epl,isc,mit" and found[7] == ["ISC", "EPL-2.0 OR MIT"]
+    many = license.scan_text("SPDX-License-Identifier: MIT " * 20_000)  # linear in the number of tags
+    assert many[5] == "mit" and len(many[7]) == 20_000 and set(many[7]) == {"MIT"}
+
+
 # ------------------------------------------------------------------ personal data
 
 BASE = {

@@ -3,8 +3,8 @@ and a shunting-yard parser evaluates licence expressions with AND, OR and WITH.
 
 Words are runs of letters, digits and non-ASCII characters, A-Z lowered. A phrase is found wherever its
 words stand consecutively, whatever stands between them. Expressions follow an
-``SPDX-License-Identifier:`` tag, up to the end of that line; they are evaluated to the set of their
-licence labels and whether the expression can be met without a restricted licence.
+``SPDX-License-Identifier:`` tag, up to the end of that line or the next tag; they are evaluated to the set of
+their licence labels and whether the expression can be met without a restricted licence.
 
 Cases: null and empty texts have no words and score 0; overlapping places all count; a malformed
 expression gives the labels that it names and no verdict; an empty table gives an empty result.
@@ -36,9 +36,31 @@ MORE_PHRASES = {
     "mozilla public license": "mpl",
     "bsd license": "bsd",
     "public domain": "public-domain",
+    "creative commons zero": "cc0",
+    "free and unencumbered software": "unlicense",
+    "isc license": "isc",
+    "zlib license": "zlib",
+    "boost software license": "bsl",
+    "postgresql license": "postgresql",
+    "artistic license": "artistic",
+    "python software foundation license": "psf",
+    "eclipse public license": "epl",
+    "common development and distribution license": "cddl",
+    "european union public licence": "eupl",
+    "open software license": "osl",
+    "open database license": "odbl",
+    "free documentation license": "gfdl",
+    "server side public license": "sspl",
+    "business source license": "busl",
 }
 #: How freely text under a label may be reused; the score of a document is that of its most restrictive label.
-FREEDOM = {"public-domain": 1.0, "mit": 0.9, "bsd": 0.9, "apache": 0.9, "cc-by": 0.8, "cc-by-sa": 0.6, "mpl": 0.6, "lgpl": 0.5, "gpl": 0.4, "agpl": 0.3, "cc-by-nd": 0.2, "cc-by-nc": 0.2, "reserved": 0.0}
+FREEDOM = {
+    **{"public-domain": 1.0, "cc0": 1.0, "unlicense": 1.0, "0bsd": 1.0, "wtfpl": 1.0},
+    **{"mit": 0.9, "bsd": 0.9, "apache": 0.9, "isc": 0.9, "zlib": 0.9, "bsl": 0.9, "postgresql": 0.9, "psf": 0.9, "cc-by": 0.8, "artistic": 0.8},
+    **{"cc-by-sa": 0.6, "mpl": 0.6, "epl": 0.6, "cddl": 0.6, "lgpl": 0.5, "eupl": 0.5, "odbl": 0.5, "gpl": 0.4, "osl": 0.4, "gfdl": 0.4},
+    **{"agpl": 0.3, "sspl": 0.2, "cc-by-nd": 0.2, "cc-by-nc": 0.2, "busl": 0.1, "reserved": 0.0},
+}
+_FAMILIES = sorted(FREEDOM, key=len, reverse=True)
 TAG = "spdx-license-identifier:"
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 _PIECES = re.compile(r"[()]|[A-Za-z0-9.+:-]+")
@@ -48,7 +70,7 @@ _KEEP = np.where(ALNUM[1], ALNUM[0], 32).astype(np.uint8).tobytes()
 def label_of(identifier: str) -> str:
     """The family label of an identifier such as GPL-3.0-or-later."""
     name = identifier.lower()
-    for family in sorted(FREEDOM, key=len, reverse=True):
+    for family in _FAMILIES:
         if name == family or name.startswith(family + "-") or name.startswith(family + "+"):
             return family
     return "other"
@@ -134,8 +156,10 @@ def scan_text(text: str) -> tuple:
     expressions, freedoms = [], []
     if ":" in text:
         lowered = text.encode().lower().decode()  # ASCII letters only, so places stay the same
-        for end, _ in tags.iter(lowered):
-            expression = text[end + 1 :].split("\n", 1)[0].strip(" \t\r*/#-")
+        begins = [end + 1 for end, _ in tags.iter(lowered)]
+        for begin, to in zip(begins, [b - len(TAG) for b in begins[1:]] + [len(text)]):
+            line_end = text.find("\n", begin, to)
+            expression = text[begin : to if line_end < 0 else line_end].strip(" \t\r*/#-")
             expressions.append(expression)
             named, freedom = evaluate(expression)
             labels |= named
