@@ -419,11 +419,32 @@ def test_odd_items(spark, edge):
     items = spark.createDataFrame([("a", text), ("a", None), (None, text), ("b", "one"), ("c", "one two three four"), ("d", " ")], "item_id string, text string")
     docs = spark.createDataFrame([(1, "he said: " + text.upper() + " and so on"), (2, "one"), (3, "one two three four"), (None, text)], "doc_id long, text string")
     rows = decontam.contaminated(docs, items).collect()
-    assert sorted((repr(r.doc_id), repr(r.item_id)) for r in rows) == [("1", "'a'"), ("1", "None"), ("None", "'a'"), ("None", "None")]
+    short = [r for r in rows if r.whole_runs]
+    assert sorted((r.doc_id, r.item_id, r.whole_runs, r.passages, r.score) for r in short) == [(2, "b", 1, 0, 1.0), (3, "b", 1, 0, 1.0), (3, "c", 1, 0, 1.0)]
+    assert [r.doc_id for r in decontam.drop_contaminated(docs, items, short=True).collect()] == []
+    assert sorted((repr(r.doc_id), repr(r.item_id)) for r in rows if not r.whole_runs) == [("1", "'a'"), ("1", "None"), ("None", "'a'"), ("None", "None")]
     assert sorted(r.doc_id for r in decontam.drop_contaminated(docs, items).collect()) == [2, 3]
     assert decontam.drop_contaminated(edge, items).count() == 13
 
 
+def test_short_items_against_word_lists(spark):
+    rng = random.Random(4)
+    words = ["a", "B", "ç", "dd", "e5"]
+    items = [(f"i{n}", " ".join(rng.choices(words, k=rng.randint(1, 4)))) for n in range(60)] + [(None, "a, A!"), ("i0", "dd")]
+    docs = [(n, rng.choice([" ", "\n", "-"]).join(rng.choices(words, k=rng.randint(0, 30)))) for n in range(200)] + [(900, None), (901, "")]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id string, text string")
+    split = lambda t: re.findall(r"[a-zç0-9]+", (t or "").lower())
+    want = []
+    for i, text in docs:
+        w = split(text)
+        for item, t in items:
+            k = split(t)
+            if n := sum(w[p : p + len(k)] == k for p in range(len(w) - len(k) + 1)):
+                want.append((i, repr(item), n))
+    assert sorted((r.doc_id, repr(r.item_id), r.whole_runs) for r in decontam.contaminated(df, bench).collect()) == sorted(want)
+    assert decontam.drop_contaminated(df, bench).count() == len(docs)
+
+
 # ------------------------------------------------------------------ language
 
 

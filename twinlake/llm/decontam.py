@@ -9,11 +9,14 @@ passage that stays below the threshold in each can retrieve nothing and is not s
 A retrieved item is confirmed by the overlap of k-word shingles of its question and of its answer with the
 passage. The answer is the item's last sentence, or its last third if it has but one.
 
+Items of less than MIN_WORDS words have no shingle; they are found where all their words stand in a row (``ShortItems``),
+and reported with the number of such places in ``whole_runs``. A word or two prove no copy, so documents with
+short items only are dropped on request only (``drop_contaminated(short=True)``).
+
 Words are runs of letters, digits and non-ASCII characters, in lower case. Cases: null and empty texts have
-no passage; items of less than MIN_WORDS words hold too little to tell a copy from common speech, and are never
-found, like those without words; equal items, and items that repeat an id, are all reported (under their ids, which
-may be of any type, or null); an empty benchmark or table gives no rows; a null ``doc_id`` is passed on; extra
-columns pass through ``drop_contaminated``.
+no passage; items without words are never found; equal items, and items that repeat an id, are all reported (under
+their ids, which may be of any type, or null); an empty benchmark or table gives no rows; a null ``doc_id`` is passed
+on; extra columns pass through ``drop_contaminated``.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from twinlake.llm.common import ALNUM, U64, Lookup, Words, bounded_batches, words_of
+from twinlake.llm.common import ALNUM, U64, Lookup, Words, bounded_batches, mix, words_of
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
@@ -40,7 +43,7 @@ SHINGLE = 5
 QUESTION_OVERLAP = 0.8
 ANSWER_OVERLAP = 0.5
 LEAST_STRIDE = 32
-#: Items of less words (as many as a shingle has) are not looked for.
+#: Items of less words (as many as a shingle has) are looked for as whole runs of words.
 MIN_WORDS = SHINGLE
 #: The index is shipped to every task, so the benchmark's size is checked first and more is refused.
 MAX_ITEMS = 500_000
@@ -96,6 +99,44 @@ def _highest(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return np.maximum.reduceat(values, begin) if len(begin) else values[:0]
 
 
+def run_keys(words: np.ndarray, size: int) -> np.ndarray:
+    """A hash of the run of ``size`` words that begins with each word."""
+    n = max(0, len(words) - size + 1)
+    keys = np.zeros(n, U64)
+    for j in range(size):
+        keys = mix(keys) + words[j : j + n]
+    return keys
+
+
+class ShortItems:
+    """Items of one to MIN_WORDS - 1 words, by number, found where all their words stand in a row."""
+
+    def __init__(self, words: dict[int, np.ndarray]):
+        self.sizes = []  # (size, lookup of the distinct runs, their words, of each the items)
+        for size in sorted({len(w) for w in words.values()}):
+            items = [i for i, w in words.items() if len(w) == size]
+            runs, of = np.unique(np.stack([words[i] for i in items]), axis=0, return_inverse=True)
+            held: list[list[int]] = [[] for _ in runs]
+            for i, run in zip(items, of.ravel().tolist()):
+                held[run].append(i)
+            keys = np.concatenate([run_keys(r, size) for r in runs])
+            self.sizes.append((size, Lookup(keys), runs, held))
+
+    def hits(self, words: Words):
+        """(row, item number, places) of each item in each row that holds it."""
+        h = words.hashes() if self.sizes else None
+        for size, lookup, runs, held in self.sizes:
+            at, run = lookup(run_keys(h, size))
+            row = np.searchsorted(words.bounds, at, "right") - 1
+            inside = at + size <= words.bounds[row + 1]
+            for j in range(size):
+                inside &= h[at + j] == runs[run, j]
+            pairs, places = np.unique(row[inside] * len(runs) + run[inside], return_counts=True)
+            for pair, n in zip(pairs.tolist(), places.tolist()):
+                for item in held[pair % len(runs)]:
+                    yield pair // len(runs), item, n
+
+
 class Index:
     """Postings per term, by item, with impacts as shares of the item's score for its own words.
 
@@ -112,6 +153,7 @@ class Index:
         del split
         lengths = np.where(whole.counts >= MIN_WORDS, whole.counts, 0)
         self.longest = int(lengths.max()) if len(items) else 0
+        self.short = ShortItems({i: whole[i] for i in np.flatnonzero((whole.counts > 0) & (lengths == 0)).tolist()})
         mean = lengths.mean() if lengths.sum() else 1.0
         n = max(1, len(items))
         terms, of = np.unique(whole.words[np.repeat(lengths > 0, whole.counts)], return_inverse=True)
@@ -257,13 +299,16 @@ def build_index(benchmark: DataFrame, *, id: str = "item_id", text: str = "text"
 
 
 def contaminated(df: DataFrame, benchmark: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document and confirmed item: doc_id, item_id, score (best passage), overlaps, passages."""
+    """One row per document and confirmed item: doc_id, item_id, score (best passage), overlaps, passages, whole_runs.
+
+    whole_runs is 0 but for items of less than MIN_WORDS words; those have score and overlaps 1, and no passages.
+    """
     bounded_batches(df.sparkSession)
     rows = df.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
     kind = benchmark.schema["item_id"].dataType
     item_type = to_arrow_type(kind)
     shared = df.sparkSession.sparkContext.broadcast(build_index(benchmark))
-    names = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "passages"]
+    names = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "passages", "whole_runs"]
 
     def search(batches):
         index = shared.value
@@ -271,8 +316,10 @@ def contaminated(df: DataFrame, benchmark: DataFrame, *, id: str = "doc_id", tex
             best: dict[tuple[int, int], list] = {}
             for i, _, words in words_of(pc.utf8_lower(batch.column(1)), ALNUM):
                 for row, item, score, q, a, _ in index.hits(words):
-                    old = best.get((i + row, item), [0.0, 0.0, 0.0, 0])
-                    best[i + row, item] = [max(old[0], score), max(old[1], q), max(old[2], a), old[3] + 1]
+                    old = best.get((i + row, item), [0.0, 0.0, 0.0, 0, 0])
+                    best[i + row, item] = [max(old[0], score), max(old[1], q), max(old[2], a), old[3] + 1, 0]
+                for row, item, places in index.short.hits(words):
+                    best[i + row, item] = [1.0, 1.0, 1.0, 0, places]
             if best:
                 keys = list(best)
                 values = list(zip(*best.values()))
@@ -281,16 +328,19 @@ def contaminated(df: DataFrame, benchmark: DataFrame, *, id: str = "doc_id", tex
                         batch.column(0).take(pa.array([k[0] for k in keys], pa.int64())),
                         pa.array([index.ids[k[1]] for k in keys], item_type),
                         *(pa.array(list(v), pa.float64()) for v in values[:3]),
-                        pa.array(list(values[3]), pa.int64()),
+                        *(pa.array(list(v), pa.int64()) for v in values[3:]),
                     ],
                     names,
                 )
 
-    return rows.mapInArrow(search, f"doc_id {dict(rows.dtypes)['doc_id']}, item_id {kind.simpleString()}, score double, question_overlap double, answer_overlap double, passages long")
+    return rows.mapInArrow(search, f"doc_id {dict(rows.dtypes)['doc_id']}, item_id {kind.simpleString()}, score double, question_overlap double, answer_overlap double, passages long, whole_runs long")
+
 
+def drop_contaminated(df: DataFrame, benchmark: DataFrame, *, text: str = "text", short: bool = False) -> DataFrame:
+    """df without the rows in which an item is confirmed; all columns, in place, without a shuffle.
 
-def drop_contaminated(df: DataFrame, benchmark: DataFrame, *, text: str = "text") -> DataFrame:
-    """df without the rows in which an item is confirmed; all columns, in place, without a shuffle."""
+    short: rows that hold all words of an item of less than MIN_WORDS words in a row go too.
+    """
     bounded_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(build_index(benchmark))
     column = df.columns.index(text)
@@ -302,6 +352,8 @@ def drop_contaminated(df: DataFrame, benchmark: DataFrame, *, text: str = "text"
             for i, _, words in words_of(pc.utf8_lower(batch.column(column)), ALNUM):
                 for row, *_ in index.hits(words):
                     clean[i + row] = False
+                for row, *_ in index.short.hits(words) if short else ():
+                    clean[i + row] = False
             yield batch.filter(pa.array(clean))
 
     return df.mapInArrow(keep, df.schema)
