@@ -3,6 +3,7 @@ import json
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from twinlake import cli
 from twinlake.gateway import catalog
@@ -242,6 +243,41 @@ def test_database_source_end_to_end(spark, tmp_path):
         assert {(r.key.ID, r.status) for r in result.diffs.collect()} == {(7, "MissingRight"), (42, "Modified")}
 
 
+def test_balanced_database_reads(spark, tmp_path):
+    from twinlake.sources.registry import Registry, Source
+
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    rows = spark.range(1, 801).selectExpr(
+        "id * id * id * id K", "concat(if(id > 500, 'it''s', 'z'), lpad(id % 331, 3, '0'), '-', id) S", "cast(id % 3 as int) A", "date_add(date'2020-02-28', cast(id * id as int)) B",
+        "if(id % 10 = 0, null, cast(id as decimal(20,2))) N", "cast(1 as int) ONE",
+    )
+    rows.write.option("createTableColumnTypes", "S varchar(40)").jdbc(url, "T", properties={"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"})
+    want = sorted(map(repr, rows.select("K", "S", "A", "B").collect()))
+    for key, parts in ((["K"], 4), (["S"], 4), (["A", "B"], 4), (["N"], 4), (["ONE"], 1), (["A"], 3)):
+        registry = Registry([Source("db", "jdbc", f"derby:{tmp_path}/db", {"partitions": "4"}, {"T": key}, timeout=30)])
+        df = registry.open(spark, "db", "T")
+        assert df.rdd.getNumPartitions() == parts
+        assert sorted(map(repr, df.select("K", "S", "A", "B").collect())) == want, key  # each row once
+        sizes = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) == parts and max(sizes) <= 2 * 800 / parts, (key, sizes)
+    one = Registry([Source("db", "jdbc", f"derby:{tmp_path}/db", {"partitions": "4"}, {"T": ["K"]})])
+    assert one.open(spark, "db", "(select * from T where K < 0) t").rdd.getNumPartitions() == 1
+
+
+def test_predicates_and_literals():
+    from datetime import date
+    from decimal import Decimal
+
+    from twinlake.sources.registry import range_predicates, sql_literal
+
+    assert [sql_literal(v, "oracle") for v in (7, Decimal("1.50"), "o'k\\", date(2024, 2, 9))] == ["7", "1.50", "'o''k\\'", "{d '2024-02-09'}"]
+    assert sql_literal("o'k\\", "mysql") == "'o''k\\\\'"
+    first, middle, last = range_predicates(["a", "b"], [["1", "2"], ["3", "4"]])
+    assert first == "a is null or b is null or not (a > 1 or (a = 1 and (b >= 2)))"
+    assert middle == "a is not null and b is not null and (a > 1 or (a = 1 and (b >= 2))) and not (a > 3 or (a = 3 and (b >= 4)))"
+    assert last == "a is not null and b is not null and (a > 3 or (a = 3 and (b >= 4)))"
+
+
 def test_model_context_client(spark, folder):
     lines = [
         {"jsonrpc": "2.0", "id": 1, "method": "initialize", "params": {"protocolVersion": "2024-11-05", "capabilities": {}, "clientInfo": {"name": "t", "version": "1"}}},

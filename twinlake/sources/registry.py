@@ -10,9 +10,11 @@ import re
 import tomllib
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
+from datetime import date
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from twinlake.plans.tableplan import find_column, is_integer
 
@@ -82,25 +84,72 @@ def jdbc_options(source: Source, table: str) -> dict:
     return out | source.options
 
 
+def sql_literal(value, scheme: str) -> str:
+    """A key's value as the database reads it."""
+    if isinstance(value, str):
+        quoted = value.replace("'", "''")
+        return "'" + (quoted.replace("\\", "\\\\") if scheme == "mysql" else quoted) + "'"
+    return f"{{d '{value}'}}" if isinstance(value, date) else str(value)
+
+
+def range_predicates(names: Sequence[str], points: Sequence[Sequence[str]]) -> list[str]:
+    """Conditions that put each row in one range of the key's order; points: ascending keys as literals.
+
+    Rows with a NULL in the key are in the first range.
+    """
+
+    def reached(point) -> str:
+        out = f"{names[-1]} >= {point[-1]}"
+        for name, value in list(zip(names, point))[-2::-1]:
+            out = f"{name} > {value} or ({name} = {value} and ({out}))"
+        return f"({out})"
+
+    whole = " and ".join(f"{n} is not null" for n in names)
+    null = " or ".join(f"{n} is null" for n in names)
+    marks = [reached(p) for p in points]
+    inner = [f"{whole} and {a} and not {b}" for a, b in zip(marks, marks[1:])]
+    return [f"{null} or not {marks[0]}", *inner, f"{whole} and {marks[-1]}"]
+
+
+def _quantiles(read: Callable[[str], DataFrame], table: str, names: Sequence[str], n: int, scheme: str) -> list[list[str]]:
+    """At most n - 1 distinct keys, by the database's own order, that cut the table's rows into equal parts."""
+    columns, given = ", ".join(names), " and ".join(f"{k} is not null" for k in names)
+    rows = int(read(f"(select count(*) as n from {table} where {given}) counted").first()[0])
+    if rows < 2:
+        return []
+    # the embedded database numbers rows without an order of their own
+    ordered = f"(select {columns} from {table} where {given} order by {columns}) o" if scheme == "derby" else f"{table} where {given}"
+    numbered = f"select {columns}, row_number() over ({'' if scheme == 'derby' else f'order by {columns}'}) as place from {ordered}"
+    cuts = read(f"(select {columns}, place from ({numbered}) r where mod(place - 1, {-(-rows // n)}) = 0) cuts")
+    found = sorted(map(tuple, cuts.collect()), key=lambda r: int(r[-1]))  # n rows, the least key first
+    return [list(p) for p in dict.fromkeys(tuple(sql_literal(v, scheme) for v in r[:-1]) for r in found)][1:]
+
+
 def _jdbc(spark: SparkSession, source: Source, table: str) -> DataFrame:
-    """By one connection, or by ``partitions`` of them over equal ranges of the single integer key that is declared."""
+    """By one connection, or by ``partitions`` of them over ranges of the declared key with equal numbers of rows.
+
+    The ranges are cut at quantiles that the database finds in its own order, so skewed, string and composite keys are
+    balanced too. A key's value that repeats stays in one range.
+    """
     options = jdbc_options(source, table)
     n, key = int(options.pop("partitions", 1)), source.declared_key(table)
 
-    def reader(**more) -> DataFrame:
-        return spark.read.format("jdbc").options(**options | more).load()
+    def read(what: str) -> DataFrame:
+        return spark.read.format("jdbc").options(**options | {"dbtable": what}).load()
 
-    df = reader()
-    if n < 2 or len(key) != 1 or "partitionColumn" in options:
+    df = read(table)
+    if n < 2 or not key or "partitionColumn" in options:
         return df
-    field = find_column(df.schema, key[0])
-    if not is_integer(field.dataType):
+    fields = [find_column(df.schema, k) for k in key]
+    if not all(is_integer(f.dataType) or isinstance(f.dataType, (T.StringType, T.DecimalType, T.DateType)) for f in fields):
         return df
-    # the range by the database, which reads its index
-    ends = reader(dbtable=f"(select min({field.name}) as lo, max({field.name}) as hi from {table}) ends").first()
-    if ends[0] is None:
+    scheme = options["url"].split(":", 2)[1]
+    names = [f.name for f in fields]
+    points = _quantiles(read, table, names, n, scheme)
+    if not points:
         return df
-    return reader(partitionColumn=field.name, lowerBound=str(int(ends[0])), upperBound=str(int(ends[1]) + 1), numPartitions=str(n))
+    more = {k: v for k, v in options.items() if k not in ("url", "dbtable")}
+    return spark.read.options(**more).jdbc(options["url"], table, predicates=range_predicates(names, points))
 
 
 READERS: dict[str, Callable[[SparkSession, Source, str], DataFrame]] = {"parquet": _files, "orc": _files, "csv": _files, "json": _files, "table": _table, "jdbc": _jdbc}

@@ -151,7 +151,12 @@ def hash_slices(spark, sf_dir):
     return df.select("o_orderkey", *(hash_slice(h, i).alias(f"v{i + 1}") for i in range(4)), bucket(h, BUCKETS).alias("bkt"))
 
 
-@_query()
+@_query(f"""with recursive t(n, k, c) as (select i, 0, i::bigint from range(256) r(i)
+    union all select n, k + 1, case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end from t where k < 8),
+  steps as (select list(c order by n) s from t where k = 8),
+  x as (select o_orderkey, hex(encode(concat_ws('#', {', '.join(map(_text, ORDERS))}))) x from orders)
+  select o_orderkey, xor(list_reduce(list_transform(range(1, length(x), 2), lambda i: cast('0x' || substr(x, i, 2) as bigint)),
+    lambda c, b: xor(c // 256, s[xor(c % 256, b) + 1]), 4294967295::bigint), 4294967295::bigint) crc from x, steps""")
 def crc_hashes(spark, sf_dir):
     df = read(spark, sf_dir, "orders")
     return df.select("o_orderkey", crc_hash(build_plan(df).normalized()).alias("crc"))
