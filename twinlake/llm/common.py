@@ -6,6 +6,7 @@ All tokenisers here work on whole texts. A null text counts as empty.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -89,6 +90,14 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)  # a schema given is a job less
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let go of what a finished step has left: its shuffle files and broadcasts stay on the cluster until the driver
+    collects its garbage, which it does by itself only when its memory is full."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Scratch:
     """Tables written for the steps of one operator; they are deleted when its block ends."""
 
@@ -120,6 +129,7 @@ class Scratch:
     def __exit__(self, *_) -> None:
         for path in self.paths:
             _delete(self.spark, path)
+        tidy(self.spark)
 
 
 # --------------------------------------------------------------------------- bytes

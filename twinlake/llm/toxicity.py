@@ -30,10 +30,11 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinlake.llm.common import ALPHA, U64, Lookup, Words, bounded_batches, mix, prefix_hash, span_hash, words_of
+from twinlake.llm.common import ALPHA, U64, Lookup, Words, bounded_batches, mix, prefix_hash, span_hash, tidy, words_of
 
 #: Bound on the labelled rows of the fit. All units of these that MIN_TEXTS texts hold are shipped to the tasks; a sample
 #: whose texts hold more than MAX_UNITS of them is refused.
@@ -261,26 +262,32 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS) -> Mode
         unit, parent = (units.column(c).to_numpy().view(U64) for c in ("unit", "parent"))
         size, t0, c0, t1, c1 = (units.column(c).to_numpy() for c in ("size", "t0", "c0", "t1", "c1"))
         whole = unit_odds(unit, parent, size, t0 + t1, c0 + c1, *both)
-        model, others = Model(*whole), [Model(*whole), Model(*whole)]
+        model = Model(*whole)
+        others = [model, model]
         if sizes.all():  # each fold is judged by the counts of the other
             others = [Model(*unit_odds(unit, parent, size, *tc, *n)) for tc, n in (((t1, c1), sizes[1]), ((t0, c0), sizes[0]))]
-        found = np.array([(r.toxic, r.best, r.n_words) for r in _judge_sample(sample, others)], float).reshape(-1, 3)
-        clean = found[:, 0] == 0
-        model.decay, model.scale = extreme_value_law(found[clean, 1], found[clean, 2])
-        for m in others:
-            m.decay, m.scale = model.decay, model.scale
-        found = np.array([(r.toxic, r.together) for r in _judge_sample(sample, others)], float).reshape(-1, 2)
-        model.base, model.slope = logistic(found[:, 1], found[:, 0])
+        del units, unit, parent, size, t0, c0, t1, c1, whole
+        shared = docs.sparkSession.sparkContext.broadcast(others)
+        del others
+        try:
+            toxic, best, _, n_words = _judge_sample(sample, shared)
+            model.decay, model.scale = extreme_value_law(best[toxic == 0], n_words[toxic == 0])
+            toxic, _, together, _ = _judge_sample(sample, shared, (model.decay, model.scale))
+        finally:
+            shared.destroy()
+        model.base, model.slope = logistic(together, toxic)
         return model
     finally:
         sample.unpersist()
+        tidy(docs.sparkSession)
 
 
-def _judge_sample(sample: DataFrame, models: list[Model]) -> list:
-    """toxic, best, together, n_words of each sample row, by the model of its fold."""
-    shared = sample.sparkSession.sparkContext.broadcast(models)
+def _judge_sample(sample: DataFrame, shared: Broadcast, law: tuple[float, float] = (1.0, 1.0)) -> list[np.ndarray]:
+    """toxic, best, together, n_words of the sample's rows, each by the model of its fold under the law."""
 
     def scan(batches):
+        for m in shared.value:
+            m.decay, m.scale = law
         for batch in batches:
             fold = batch.column(2).to_numpy(zero_copy_only=False)
             parts = [(m, batch.filter(pa.array(fold == k))) for k, m in enumerate(shared.value)]
@@ -291,7 +298,8 @@ def _judge_sample(sample: DataFrame, models: list[Model]) -> list:
                     best[row], together[row] = max(scores), m.together(scores, words.counts[row])
                 yield pa.RecordBatch.from_arrays([part.column(1).slice(i, j - i).cast(pa.int64()), pa.array(best), pa.array(together), pa.array(words.counts)], ["toxic", "best", "together", "n_words"])
 
-    return sample.select("text", "toxic", "fold").mapInArrow(scan, "toxic long, best double, together double, n_words long").collect()
+    columns = sample.select("text", "toxic", "fold").mapInArrow(scan, "toxic long, best double, together double, n_words long").toArrow().columns
+    return [c.to_numpy().astype(float) for c in columns]
 
 
 def score_toxicity(df: DataFrame, model: Model, *, id: str = "doc_id", text: str = "text") -> DataFrame:
