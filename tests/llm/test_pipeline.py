@@ -117,7 +117,7 @@ def test_registered_queries_against_sql(spark, duck, name):
 
 def test_every_operator_is_registered(spark):
     numbers = collections.Counter(re.match(r"op(\d+)_", n)[1] for n in registry.queries() if n.startswith("op"))
-    assert numbers == {str(n): 1 for n in range(1, 11)}
+    assert numbers == {str(n): 1 for n in range(1, 14)}
     n = spark.read.parquet(f"{SF}/documents.parquet").count()
     for name in ("op1_language", "op3_near_duplicates", "op5_media", "op6_licenses", "op8_toxicity", "op9_mixing", "op10_repeats"):
         assert registry.queries()[name](spark, SF).count() == n, name
