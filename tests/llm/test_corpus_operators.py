@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -263,6 +264,25 @@ def test_many_repeats_of_a_row(spark):
     }
 
 
+def shuffle_files(spark):
+    """The names of the shuffle files on this machine's disk."""
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return set(re.findall(r"shuffle_\d+_\d+_\d+\.data", files.mkString(" ")))
+
+
+def test_tables_of_steps_leave_no_shuffle_files(spark):
+    setting = spark.conf.get(common.FILE_CLEANUP)
+    dealt = spark.range(1000).selectExpr("id % 7 as k", "id").groupBy("k").agg(F.count("*").alias("n"))
+    before = shuffle_files(spark)
+    tables = common.written(dealt), common.Scratch(spark).written(dealt), common.Scratch(spark).written(dealt, "k")
+    for _ in range(50):  # Spark deletes them in the background
+        if shuffle_files(spark) <= before:
+            break
+        time.sleep(0.1)
+    assert shuffle_files(spark) <= before and spark.conf.get(common.FILE_CLEANUP) == setting
+    assert [df.count() for df in (*tables, dealt)] == [7] * 4  # the frame itself can be used on
+
+
 def test_suffix_array_and_intervals():
     rng = random.Random(3)
     for _ in range(60):
