@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import time
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -283,6 +284,24 @@ def test_tables_of_steps_leave_no_shuffle_files(spark):
     assert [df.count() for df in (*tables, dealt)] == [7] * 4  # the frame itself can be used on
 
 
+def test_anchors_go_before_texts_are_shuffled(spark, monkeypatch):
+    """While contexts are cut out of the texts, only the runs of repeated anchors are on disk beside them."""
+    folder = Path(common.shared_dir(spark).removeprefix("file://"), "tables")
+    before, there, contexts = set(folder.glob("*")), [], suffix._contexts
+
+    def watched(rows, length):
+        tables = set(folder.glob("*")) - before
+        there.append(([spark.read.parquet(str(t)).columns for t in tables], rows.columns))
+        return contexts(rows, length)
+
+    monkeypatch.setattr(suffix, "_contexts", watched)
+    text = "".join(random.Random(3).choice("abcdefgh ") for _ in range(300))
+    df = spark.createDataFrame([(1, text), (2, "x" + text), (3, "alone")], "doc_id long, text string")
+    rows = suffix._rows(df, "doc_id", "text")
+    assert suffix.repeated_ranges(rows, length=60, gram=11).count() == 2
+    assert there == [([["k1", "k2", "runs"]], ["k1", "k2", "text", "runs"])]
+
+
 def test_suffix_array_and_intervals():
     rng = random.Random(3)
     for _ in range(60):

@@ -487,11 +487,14 @@ def repeated_ranges(rows: DataFrame, *, length: int = LENGTH, gram: int = GRAM,
         anchors = scratch.written(_anchors(rows, length, gram))
         # written, so that its join below has plain exchanges, whose hot partitions AQE can split
         often = scratch.written(anchors.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"))
-        runs = anchors.join(often, "anchor", "left_semi").groupBy(*_ROW).agg(F.collect_list(F.struct("first", "last", "anchor")).alias("runs"))
+        # written, so that the anchors and their shuffles are gone before the texts are shuffled
+        runs = scratch.written(anchors.join(often, "anchor", "left_semi").groupBy(*_ROW).agg(F.collect_list(F.struct("first", "last", "anchor")).alias("runs")))
+        scratch.done(anchors, often)
+        _release(spark)
         once = rows.select(*_ROW, "text").join(runs, list(_ROW)).select(*_ROW, "text", "runs")
         places = scratch.written(_contexts(once, length))
-        scratch.done(anchors, often)
-        del runs, once
+        scratch.done(runs)
+        del once
         _release(spark)
         # equal contexts together, with partial sums on the map side
         whole = scratch.written(places.filter("context is not null").groupBy("anchor", "cid").agg(F.first("context").alias("context"), F.sum("copies").alias("copies")))
