@@ -86,3 +86,62 @@ def test_the_memory_of_words_changes_nothing(vocabulary, monkeypatch, library):
     monkeypatch.setattr(pieces, "MEMO_WORDS", 3)
     texts = random_texts(50, 9)
     assert vocabulary.encode(texts) + vocabulary.encode(texts) == [library.encode(t) for t in texts] * 2
+
+
+def test_a_word_is_encoded_once_whatever_stands_beside_it(vocabulary, monkeypatch, library):
+    """Of 4,000 words with marks around them, only the 40 different ones and the marks go through the merges."""
+    v = pieces.Vocabulary(pieces.read_model(MODEL))
+    seen, merge = [], v.merge
+    monkeypatch.setattr(v, "merge", lambda codes, starts: seen.append(len(codes)) or merge(codes, starts))
+    texts = [" ".join(f"{'abcdefghij'[i]}ous{'klmn'[j]}eth{mark}" for mark in "+~*^|{}\"`;" for i in range(10) for j in range(4)) for _ in range(10)]
+    assert v.encode(texts) == [library.encode(t) for t in texts]
+    assert sum(seen) < 1_000
+    seen.clear()
+    assert v.encode(texts) == [library.encode(t) for t in texts]
+    assert sum(seen) == 0  # remembered
+
+
+def test_words_met_most_are_remembered(monkeypatch, library):
+    v = pieces.Vocabulary(pieces.read_model(MODEL))
+    monkeypatch.setattr(pieces, "MEMO_WORDS", 40)
+    seen, merge = [], v.merge
+    monkeypatch.setattr(v, "merge", lambda codes, starts: seen.append(len(codes)) or merge(codes, starts))
+    often = "often told stories " * 9
+    for i in range(5):
+        texts = [often + " ".join(f"{c}{'xyzuv'[i]}{d}ng" for c in "bcdfghj" for d in "aeiou")]
+        assert v.encode(texts) == [library.encode(t) for t in texts]
+    seen.clear()
+    assert v.encode([often.strip()]) == [library.encode(often.strip())]
+    assert sum(seen) == 0
+
+
+def test_sizes_of_steps_and_tables_change_nothing(monkeypatch, library):
+    for name, value in (("ROUND_CHARS", 7), ("TOUCH_CHARS", 3), ("NEAR", 5)):
+        monkeypatch.setattr(pieces, name, value)
+    v = pieces.Vocabulary(pieces.read_model(MODEL))
+    texts = random_texts(60, 12) + ["", None, "x", " "]
+    assert v.encode(texts) == [library.encode(t or "") for t in texts]
+
+
+def test_places_of_keys():
+    rng = random.Random(6)
+    keys = pieces.np.array(sorted({rng.randrange(1 << 42) for _ in range(5_000)}), pieces.np.int64)
+    place = pieces._Places(keys)
+    assert (place(keys) == pieces.np.arange(len(keys))).all()
+    other = pieces.np.setdiff1d(pieces.np.array([rng.randrange(1 << 42) for _ in range(50_000)], pieces.np.int64), keys)
+    assert (place(other) == len(keys)).all()
+    assert place(keys[:0]).tolist() == []
+
+
+def test_rows_of_one_batch_in_several_groups(spark, library):
+    """Texts beyond one group of characters, with a null and an empty text at the borders."""
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    big = "tall trees, 12 of them " * 100_000
+    rows = [(0, None), (1, big), (2, ""), (3, big + "!"), (4, None), (5, "▁▁ end"), (6, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = sorted(map(tuple, pieces.digests(docs, MODEL).collect()))
+    want = []
+    for i, t in rows:
+        ids = library.encode(t or "")
+        want.append((i, len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids))))
+    assert got == want

@@ -1,18 +1,21 @@
 """Encoding and decoding with a public sentencepiece BPE vocabulary, by vectorised merge rounds.
 
 A text is normalised as the vocabulary says (a space becomes U+2581, one is put in front) and cut into words
-where no piece of the vocabulary can reach across: before each run of U+2581 and around characters that stand in
-no longer piece. The merges of a word depend on the word alone, so each worker encodes a word once:
+where no piece of the vocabulary can reach across: between characters that are neighbours in no piece. The merges of
+a word depend on the word alone, so of the words of many texts, which are one flat array, Arrow tells the different
+ones, and a worker encodes those that it does not remember:
 
-1. The characters of all new words are one flat numpy array of symbols, cut into segments between neighbours that
-   are neighbours in no piece.
-2. A round takes in each segment the pairs of the smallest rank (rank: place of the merged piece's score) and merges
+1. The characters of all new words are one flat numpy array of symbols.
+2. A round takes in each word the pairs of the smallest rank (rank: place of the merged piece's score) and merges
    them at the same time from the left, overlapping ones left out. Where a merge makes a pair that is as good as the
    one just merged, one queue would take that next: the merges to its right wait for the next round.
-3. The arrays are compacted, segments without a pair leave them, until no pair remains. A segment in which merge
+3. The arrays are compacted, words without a pair leave them, until no pair remains. A word in which merge
    after merge waits like that (a long run of spaces, whose pieces all have one score) is finished by a queue, as
    rounds of one merge each would take quadratic time.
 
+Ids, their decimal digits and what they decode to are then put together for whole groups of texts by taking from
+the columns of the different words.
+
 Characters that are no piece become the ids of their UTF-8 bytes. Results equal those of the sentencepiece library,
 without begin and end ids and without sampling.
 
@@ -24,24 +27,30 @@ encoded whole. A model of another kind (no BPE, no byte pieces, another normalis
 from __future__ import annotations
 
 import hashlib
-import re
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from twinlake.llm.common import bounded_batches
+from twinlake.llm.common import bounded_batches, steps
 
 SPACE = "▁"
 #: Words that a worker remembers, and the longest of them in characters. Bounds of memory only: other words are encoded anew.
 MEMO_WORDS, MEMO_CHARS = 200_000, 64
-#: Rounds of one segment that ended early, after which a queue finishes it.
+#: Rounds of one word that ended early, after which a queue finishes it.
 WAITS = 32
 #: Characters that go through the rounds together (a longer word alone).
-ROUND_CHARS = 1 << 19
-_NO_RANK = np.int64(1) << 40
+ROUND_CHARS = 1 << 17
+#: Characters of texts that are taken together (a longer text alone).
+GROUP_CHARS = 1 << 22
+#: Characters whose neighbours are looked up in one step.
+TOUCH_CHARS = 1 << 17
+#: Characters whose neighbours are looked up in a square table; those of further characters by search.
+NEAR = 1_000
+_NO_RANK = np.int32(2**31 - 1)
 _BITS = 21
 
 
@@ -75,6 +84,78 @@ def _fields(data: bytes):
             i += n
 
 
+class _Places:
+    """Place of int64 keys in a fixed table, by hashing; the number of keys where absent."""
+
+    FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(10, (8 * len(keys)).bit_length())
+        self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys = np.append(keys, -1)
+        self.slots = np.full(1 << bits, len(keys), np.int32)
+        for k, at in enumerate(self._home(keys).tolist()):
+            while self.slots[at] < len(keys):
+                at = (at + 1) & self.last
+            self.slots[at] = k
+
+    def _home(self, asked: np.ndarray) -> np.ndarray:
+        return ((asked.view(np.uint64) * self.FACTOR) >> self.shift).view(np.int64)
+
+    def __call__(self, asked: np.ndarray) -> np.ndarray:
+        at = self._home(asked)
+        out = self.slots[at]
+        none = len(self.keys) - 1
+        left = np.flatnonzero((self.keys[out] != asked) & (out < none))
+        while len(left):
+            at[left] = (at[left] + 1) & self.last
+            out[left] = found = self.slots[at[left]]
+            left = left[(self.keys[found] != asked[left]) & (found < none)]
+        return out
+
+
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places first..first+size of all ranges, end to end."""
+    ends = np.cumsum(size)
+    return np.repeat(first - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _binary(data, offsets: np.ndarray) -> pa.LargeBinaryArray:
+    """The strings data[offsets[i]:offsets[i + 1]], not copied."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), data])
+
+
+def _parts(column: pa.LargeBinaryArray) -> tuple[pa.Buffer, np.ndarray]:
+    """(bytes, offsets) of a column."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if offsets else np.zeros(1, np.int64)
+    return data or pa.py_buffer(b""), at
+
+
+class Encoded:
+    """Words of texts. Text t has the words which[bounds[t]:bounds[t + 1]], places among the different words; of these,
+    word k has the ids ids[first[k]:first[k + 1]]."""
+
+    def __init__(self, bounds: np.ndarray, which: np.ndarray, ids: np.ndarray, first: np.ndarray):
+        self.bounds, self.which, self.ids, self.first = bounds, which, ids, first
+        self.counts = np.diff(first)
+
+    def strings(self, of_id: pa.LargeBinaryArray) -> pa.LargeBinaryArray:
+        """For each different word the strings of its ids end to end; of_id: the string of each id."""
+        data, offsets = _parts(of_id.take(pa.array(self.ids)))
+        return _binary(data, offsets[self.first])
+
+    def joined(self, of_id: pa.LargeBinaryArray) -> pa.LargeBinaryArray:
+        """For each text the strings of its ids end to end."""
+        data, offsets = _parts(self.strings(of_id).take(pa.array(self.which)))
+        return _binary(data, offsets[self.bounds])
+
+    def totals(self) -> np.ndarray:
+        """For each text its number of ids."""
+        sums = np.append(0, np.cumsum(self.counts[self.which]))
+        return np.diff(sums[self.bounds])
+
+
 class Vocabulary:
     """The pieces of a model with the tables of the rounds. ``model``: the bytes of its file."""
 
@@ -102,9 +183,11 @@ class Vocabulary:
         self.decoded = [bytes([self.byte_of[i]]) if k == 6 else b"" if k == 3 else p.replace(SPACE, " ").encode() for i, (p, k) in enumerate(zip(self.pieces, kinds))]
         if 2 in kinds:
             self.decoded[kinds.index(2)] = trainer.get(44, " ⁇ ".encode())
+        self.decoded_column = pa.array(self.decoded, pa.large_binary())
+        self.decimals = pa.array([b"%d," % i for i in range(len(self.pieces))], pa.large_binary())
         self.n = len(self.pieces)
         ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, kinds)) if k == 1}
-        self.of_char = np.arange(self.n, self.n + 0x110000, dtype=np.int64)  # a character that is no piece has a symbol of its own
+        self.of_char = np.arange(self.n, self.n + 0x110000, dtype=np.int32)  # a character that is no piece has a symbol of its own
         for p, i in ids.items():
             if len(p) == 1:
                 self.of_char[ord(p)] = i
@@ -113,34 +196,56 @@ class Vocabulary:
         pairs, touching = {}, set()
         for p, i in ids.items():
             for c, d in zip(p, p[1:]):
-                touching.add(int(self.of_char[ord(c)]) << _BITS | int(self.of_char[ord(d)]))
+                touching.add(ord(c) << _BITS | ord(d))
             for k in range(1, len(p)):
                 left, right = symbol(p[:k]), symbol(p[k:])
                 if left is not None and right is not None:
                     pairs[left << _BITS | right] = (ranks[float(scores[i])], i)
-        self.keys = np.array(sorted(pairs), np.int64)
-        self.ranks = np.array([pairs[k][0] for k in self.keys.tolist()], np.int64)
-        self.merged = np.array([pairs[k][1] for k in self.keys.tolist()], np.int64)
+        self.of_pair = pairs.get
+        self.place = _Places(np.array(sorted(pairs), np.int64))
+        found = [pairs[k] for k in sorted(pairs)] + [(_NO_RANK, 0)]
+        self.ranks = np.array([r for r, _ in found], np.int32)
+        self.merged = np.array([i for _, i in found], np.int32)
         self.touching = np.array(sorted(touching), np.int64)
-        self.memo: dict[str, tuple[int, bytes, bytes]] = {}
-        if any(SPACE in p.lstrip(SPACE) for p in ids):
-            self.words = re.compile("(?s).+")  # pieces reach over words: a text is one
-        else:
-            inner = {c for p in ids if len(p) > 1 for c in p}
-            alone = "".join(re.escape(chr(c)) for c in range(128) if chr(c) not in inner)
-            self.words = re.compile(f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+|[{alone}]" if alone else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        self._classes()
+        self._forget()
+
+    def _classes(self) -> None:
+        """Classes of characters: 0 has no neighbour in a piece, the last one is looked up in touching, near is for the others."""
+        left, right = self.touching >> _BITS, self.touching & ((1 << _BITS) - 1)
+        chars, often = np.unique(np.concatenate([left, right]), return_counts=True)
+        self.side = min(len(chars), NEAR) + 2
+        self.all_near = len(chars) <= NEAR
+        self.of_class = np.zeros(0x110000, np.int32)
+        self.of_class[chars[np.argsort(-often, kind="stable")]] = np.minimum(np.arange(len(chars)) + 1, self.side - 1)
+        self.near = np.zeros(self.side * self.side, bool)
+        self.near[self.of_class[left] * self.side + self.of_class[right]] = True
 
     def pair(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rank of the piece that both make, its id); no rank where they make none."""
-        asked = left << _BITS | right
-        k = np.minimum(np.searchsorted(self.keys, asked), len(self.keys) - 1)
-        hit = self.keys[k] == asked
-        return np.where(hit, self.ranks[k], _NO_RANK), self.merged[k]
+        k = self.place(left.astype(np.int64) << _BITS | right)
+        return self.ranks[k], self.merged[k]
+
+    def touch(self, codes: np.ndarray) -> np.ndarray:
+        """Whether each character and the next one are neighbours in a piece."""
+        if len(codes) > 1:
+            return np.concatenate([self._touch(codes[a : a + TOUCH_CHARS + 1]) for a in range(0, len(codes) - 1, TOUCH_CHARS)])
+        return np.zeros(0, bool)
+
+    def _touch(self, codes: np.ndarray) -> np.ndarray:
+        kind = self.of_class[codes]
+        out = self.near[kind[:-1] * self.side + kind[1:]]
+        if not self.all_near:
+            far = kind == self.side - 1
+            far = np.flatnonzero((far[:-1] | far[1:]) & (kind[:-1] > 0) & (kind[1:] > 0))
+            asked = codes[far].astype(np.int64) << _BITS | codes[far + 1]
+            out[far] = self.touching[np.minimum(np.searchsorted(self.touching, asked), len(self.touching) - 1)] == asked
+        return out
 
     # ------------------------------------------------------------------ rounds
 
     def _queue(self, sym: list[int]) -> list[int]:
-        """The same merges by a queue of (rank, place), for one segment."""
+        """The same merges by a queue of (rank, place), for one word."""
         n = len(sym)
         before, after, live = list(range(-1, n - 1)), list(range(1, n + 1)), [0] * n
         heap: list = []
@@ -148,10 +253,9 @@ class Vocabulary:
         def offer(i):
             j = after[i] if i >= 0 else n
             if j < n:
-                key = sym[i] << _BITS | sym[j]
-                k = int(np.searchsorted(self.keys, key))
-                if k < len(self.keys) and self.keys[k] == key:
-                    heap.append((int(self.ranks[k]), i, j, live[i], live[j], int(self.merged[k])))
+                rank, made = self.of_pair(sym[i] << _BITS | sym[j], (0, -1))
+                if made >= 0:
+                    heap.append((rank, i, j, live[i], live[j], made))
                     return True
             return False
 
@@ -174,20 +278,17 @@ class Vocabulary:
         """codes: characters of words end to end, which begin at starts. Symbols after all merges; -1 where a character was merged away."""
         out = self.of_char[codes]
         sym = out.copy()
-        cut = np.ones(len(sym), bool)  # begins a segment
-        asked = sym[:-1] << _BITS | sym[1:]
-        k = np.minimum(np.searchsorted(self.touching, asked), len(self.touching) - 1)
-        cut[1:] = self.touching[k] != asked
+        cut = np.zeros(len(sym), bool)  # begins a word
         cut[starts] = True
-        rank, made = np.full(len(sym), _NO_RANK), np.zeros(len(sym), np.int64)
+        rank, made = np.full(len(sym), _NO_RANK), np.zeros(len(sym), np.int32)
         rank[:-1], made[:-1] = self.pair(sym[:-1], sym[1:])
         rank[:-1][cut[1:]] = _NO_RANK
-        at, waits = np.arange(len(sym)), np.zeros(int(cut.sum()), np.int64)
+        at, waits = np.arange(len(sym)), np.zeros(len(starts), np.int64)
         while len(sym):
             first = np.flatnonzero(cut)
             best = np.minimum.reduceat(rank, first)
             size = np.diff(np.append(first, len(sym)))
-            # segments that are done, or handed to the queue, leave
+            # words that are done, or handed to the queue, leave
             slow = (waits > WAITS) & (best < _NO_RANK)
             for s in np.flatnonzero(slow):
                 a, b = first[s], first[s] + size[s]
@@ -201,19 +302,18 @@ class Vocabulary:
                 waits, best, size = waits[~done], best[~done], size[~done]
                 if not len(sym):
                     break
-            segment = np.repeat(np.arange(len(best)), size)
-            p = np.flatnonzero(rank == best[segment])
+            p = np.flatnonzero(rank == np.repeat(best, size))
             # of overlapping pairs every second one from the left
             head = np.ones(len(p), bool)
             head[1:] = np.diff(p) > 1
             p = p[(np.arange(len(p)) - np.flatnonzero(head)[np.cumsum(head) - 1]) % 2 == 0]
             new, low = made[p], rank[p]
             # what stands at both sides when the merge is done: merges at the left are done, those at the right not yet
-            left = np.where(cut[p], -1, sym[p - 1])
+            left = np.where(cut[p], np.int32(-1), sym[p - 1])
             follows = np.zeros(len(p), bool)
             follows[1:] = (p[1:] - p[:-1] == 2) & ~cut[p[1:]]
             left[follows] = new[:-1][follows[1:]]
-            right = np.full(len(p), -1, np.int64)
+            right = np.full(len(p), -1, np.int32)
             inner = np.flatnonzero(p + 2 < len(sym))
             inner = inner[~cut[p[inner] + 2]]
             right[inner] = sym[p[inner] + 2]
@@ -223,7 +323,7 @@ class Vocabulary:
                 side[has] = self.pair(a, b)[0]
             bad = np.flatnonzero((to_left <= low) | (to_right <= low))
             if len(bad):
-                group = segment[p]
+                group = np.cumsum(cut)[p] - 1
                 limit = np.full(len(best), len(p))
                 np.minimum.at(limit, group[bad], bad)
                 keep = np.arange(len(p)) <= limit[group]
@@ -237,7 +337,9 @@ class Vocabulary:
             sym, cut, rank, made, at = sym[stay], cut[stay], rank[stay], made[stay], at[stay]
             p = place[p]
             # pairs that changed: of a merged symbol with the next one, and of the one before with it
-            q = np.unique(np.concatenate([p, p[~cut[p]] - 1]))
+            changed = np.zeros(len(sym), bool)
+            changed[p] = changed[p[~cut[p]] - 1] = True
+            q = np.flatnonzero(changed)
             rank[q] = _NO_RANK
             q = q[q + 1 < len(sym)]
             q = q[~cut[q + 1]]
@@ -263,42 +365,68 @@ class Vocabulary:
 
     # ------------------------------------------------------------------ texts
 
-    def _learn(self, words: list[str], into: dict) -> None:
-        texts = "".join(words)
-        codes = np.frombuffer(texts.encode("utf-32-le"), np.uint32).astype(np.int64)
-        sizes = np.array([len(w) for w in words])
-        ids, counts = self.ids_of(codes, np.cumsum(sizes) - sizes)
-        ids, i = ids.tolist(), 0
-        decoded = self.decoded
-        for w, n in zip(words, counts.tolist()):
-            own = ids[i : i + n]
-            i += n
-            into[w] = (n, ",".join(map(str, own)).encode(), b"".join([decoded[x] for x in own]))
+    def _forget(self) -> None:
+        """No word is remembered. words: their characters, four bytes each; of word k, ids[first[k]:first[k + 1]]; uses: how often it was met."""
+        self.known = {"words": pa.array([], pa.large_binary()), "ids": np.zeros(0, np.int32), "first": np.zeros(1, np.int64), "uses": np.zeros(0, np.int64)}
+
+    def _remember(self, words: pa.LargeBinaryArray, ids: np.ndarray, first: np.ndarray, uses: np.ndarray) -> None:
+        """Keep the words that are not too long; where they are too many, half of what may be kept, those met most."""
+        keep = np.flatnonzero(np.diff(_parts(words)[1]) <= 4 * MEMO_CHARS)
+        if len(keep) > MEMO_WORDS:
+            keep = np.sort(keep[np.argsort(-uses[keep], kind="stable")[: MEMO_WORDS // 2]])
+            uses = uses // 2
+        counts = np.diff(first)[keep]
+        self.known = {"words": words.take(pa.array(keep)), "ids": ids[_ranges(first[keep], counts)], "first": np.append(0, np.cumsum(counts)), "uses": uses[keep]}
+
+    def words(self, texts: list[str | None]) -> Encoded:
+        """The words of texts, all in one step."""
+        full = [SPACE + t if t else "" for t in texts]
+        codes = np.frombuffer("".join(full).replace(" ", SPACE).encode("utf-32-le"), np.uint32)
+        ends = np.cumsum([len(t) for t in full], dtype=np.int64)
+        begins = np.ones(len(codes) + 1, bool)
+        if len(codes):
+            np.logical_not(self.touch(codes), out=begins[1:-1])
+        begins[ends] = True
+        at = np.flatnonzero(begins)
+        bounds = np.append(0, np.searchsorted(at, ends))
+        # which words differ; those remembered come first
+        known = self.known
+        n = len(known["words"])
+        every = pa.concat_arrays([known["words"], _binary(pa.py_buffer(codes), 4 * at)]).dictionary_encode()
+        words, which = every.dictionary, every.indices.to_numpy(zero_copy_only=False)
+        fresh = np.ones(len(words), bool)
+        fresh[which[:n]] = False
+        fresh = np.flatnonzero(fresh)
+        data, offsets = _parts(words.take(pa.array(fresh)))
+        new, offsets = np.frombuffer(data, np.uint32), offsets // 4
+        ids, counts = [known["ids"]], [np.diff(known["first"])]
+        for i, j in steps(offsets, ROUND_CHARS):
+            own, size = self.ids_of(new[offsets[i] : offsets[j]], offsets[i:j] - offsets[i])
+            ids.append(own)
+            counts.append(size)
+        ids, counts = np.concatenate(ids), np.concatenate(counts)
+        # in the order of the dictionary
+        order = np.empty(len(words), np.int64)
+        order[which[:n]], order[fresh] = np.arange(n), np.arange(n, len(words))
+        begin = (np.cumsum(counts) - counts)[order]
+        counts = counts[order]
+        ids, first = ids[_ranges(begin, counts)], np.append(0, np.cumsum(counts))
+        uses = np.bincount(which[n:], minlength=len(words))
+        uses[which[:n]] += known["uses"]
+        self._remember(words, ids, first, uses)
+        return Encoded(bounds, which[n:], ids, first)
 
     def words_of(self, texts: list[str | None]) -> list[list[tuple[int, bytes, bytes]]]:
         """For each text its words as (number of ids, ids joined by commas, what they decode to)."""
-        find, memo = self.words.findall, self.memo
-        cut = [find(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        fresh = set().union(*cut).difference(memo) if cut else set()
-        long = {}
-        group, size = [], 0
-        for w in sorted(fresh, key=len):
-            if group and size + len(w) > ROUND_CHARS:
-                self._learn(group, long)
-                group, size = [], 0
-            group.append(w)
-            size += len(w)
-        if group:
-            self._learn(group, long)
-        out = [[memo.get(w) or long[w] for w in words] for words in cut]
-        if len(memo) + len(long) > MEMO_WORDS:
-            memo.clear()
-        if len(long) <= MEMO_WORDS:
-            memo.update((w, x) for w, x in long.items() if len(w) <= MEMO_CHARS)
-        return out
+        w = self.words(texts)
+        each = list(zip(w.counts.tolist(), [x[:-1] for x in w.strings(self.decimals).to_pylist()], w.strings(self.decoded_column).to_pylist()))
+        return [[each[k] for k in w.which[a:b].tolist()] for a, b in zip(w.bounds, w.bounds[1:])]
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
-        return [[int(x) for _, ids, _ in words for x in ids.split(b",")] for words in self.words_of(texts)]
+        w = self.words(texts)
+        ids = w.ids[_ranges(w.first[w.which], w.counts[w.which])].tolist()
+        ends = np.cumsum(w.totals()).tolist()
+        return [ids[a:b] for a, b in zip([0, *ends], ends)]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids, as the library's decode() gives it."""
@@ -352,8 +480,9 @@ def _batches(docs: DataFrame, model_path: str, schema: str, rows) -> DataFrame:
     def work(batches):
         v = vocabulary(model.value)
         for batch in batches:
-            for at in range(0, max(1, batch.num_rows), 256):
-                part = batch.slice(at, 256)
+            sizes = pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+            for i, j in steps(np.append(0, np.cumsum(sizes, dtype=np.int64)), GROUP_CHARS):
+                part = batch.slice(i, j - i)
                 columns = rows(v, part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns.values()], ["doc_id", *columns])
 
@@ -374,12 +503,13 @@ def digests(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of decimal ids joined by commas), decoded_sha256 (of the decoded text)."""
 
     def rows(v, texts):
-        counts, ids, decoded = [], [], []
-        for words in v.words_of(texts):
-            n, own, back = zip(*words) if words else ((), (), ())
-            counts.append(sum(n))
-            ids.append(hashlib.sha256(b",".join(own)).hexdigest())
-            decoded.append(hashlib.sha256(b"".join(back).removeprefix(b" ")).hexdigest())
-        return {"n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(ids, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())}
+        w = v.words(texts)
+        ids, decoded = w.joined(v.decimals), w.joined(v.decoded_column)
+        sha = lambda column, cut: pa.array([hashlib.sha256(cut(memoryview(x.as_buffer()))).hexdigest() for x in column], pa.string())
+        return {
+            "n_tokens": pa.array(w.totals(), pa.int64()),
+            "ids_sha256": sha(ids, lambda x: x[:-1]),  # no comma after the last one
+            "decoded_sha256": sha(decoded, lambda x: x[1:] if x[:1] == b" " else x),  # without the space put in front
+        }
 
     return _batches(docs, model_path, "n_tokens long, ids_sha256 string, decoded_sha256 string", rows)
