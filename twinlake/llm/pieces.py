@@ -397,6 +397,7 @@ class Vocabulary:
         fresh = np.ones(len(words), bool)
         fresh[which[:n]] = False
         fresh = np.flatnonzero(fresh)
+        fresh = fresh[np.argsort(np.diff(_parts(words)[1])[fresh], kind="stable")]  # long words take many rounds: together
         data, offsets = _parts(words.take(pa.array(fresh)))
         new, offsets = np.frombuffer(data, np.uint32), offsets // 4
         ids, counts = [known["ids"]], [np.diff(known["first"])]
