@@ -52,6 +52,12 @@ class Outcome:
     held: list[DataFrame] = field(default_factory=list)
 
 
+def _few(keys: DataFrame) -> bool:
+    """Whether keys (key, ...) are few enough to be sent to all tasks."""
+    n, size = keys.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.to_json("key"))), F.lit(0))).first()
+    return n <= FEW_KEYS and size <= FEW_BYTES
+
+
 @dataclass
 class Sides:
     """Both filtered frames with their plans."""
@@ -73,9 +79,11 @@ class Sides:
 
     def contents(self, diffs: DataFrame) -> DataFrame:
         """Rows of differences that are settled: few enough keys are sent to all tasks, others are joined by exchange."""
-        n, size = diffs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.to_json("key"))), F.lit(0))).first()
-        few = n <= FEW_KEYS and size <= FEW_BYTES
-        return joins.with_contents(diffs, self.left, self.right, self.lplan, self.rplan, few=few)
+        return joins.with_contents(diffs, self.left, self.right, self.lplan, self.rplan, few=_few(diffs))
+
+    def pairs(self, keys: DataFrame) -> DataFrame:
+        """The pairs of rows that differ, of keys that are settled."""
+        return joins.pairs(keys, self.left, self.right, self.lplan, self.rplan, few=_few(keys))
 
     def no_diffs(self) -> DataFrame:
         return self.contents(joins.keyed_differences(self.left.limit(0), self.right.limit(0), self.lplan, self.rplan))
@@ -92,9 +100,16 @@ def _differing_keys(sides: Sides, options: DiffOptions) -> DataFrame:
     return found.select("key", "status")
 
 
+def _differences(sides: Sides, options: DiffOptions) -> DataFrame:
+    """(key, left, right, status): keys by one exchange, their rows by a second, small join."""
+    if options.pairs:
+        return sides.pairs(settled(joins.unequal_keys(sides.left, sides.right, sides.lplan, sides.rplan)))
+    return sides.contents(_differing_keys(sides, options))
+
+
 def joindiff(sides: Sides, options: DiffOptions) -> Outcome:
     """One exchange of keys and hashes; rows of differences by a second, small join."""
-    return Outcome(sides.contents(_differing_keys(sides, options)), queries=2)
+    return Outcome(_differences(sides, options), queries=2)
 
 
 def bucket_count(rows: int, threshold: int) -> int:

@@ -37,6 +37,9 @@ class DiffOptions:
     summary_only: bool = False
     #: Keys are enforced by the source, so that their uniqueness need not be measured.
     trust_keys: bool = False
+    #: What becomes of keys that repeat: "contents": all rows are compared as multisets instead; "pairs": each row is compared
+    #: with each row of its key on the other side, as a full outer join does.
+    repeats: str = "contents"
     #: hashdiff and iblt also for keys of several columns or other types than integers.
     any_key: bool = False
     left_name: str = "left"
@@ -55,12 +58,18 @@ class DiffOptions:
         need(not (self.where and self.update_column), "a condition and an update column exclude each other")
         need(not (self.update_since and not self.update_column), "an update window needs an update column")
         need(self.consistency in ("none", "snapshot", "pinned"), "consistency is 'none', 'snapshot' or 'pinned'")
+        need(self.repeats in ("contents", "pairs"), "repeats is 'contents' or 'pairs'")
         need(self.deadline is None or self.deadline > 0, "a deadline must be above 0")
         for name in ("bisection_factor", "bisection_threshold", "threads", "iblt_capacity"):
             need(getattr(self, name) is None or getattr(self, name) >= 1, f"{name} must be at least 1")
         need(self.bisection_factor >= 2, "bisection_factor must be at least 2")
         need(self.sample >= 0 and self.fetch_all_threshold >= 0, "sample and fetch_all_threshold must not be negative")
 
+    @property
+    def pairs(self) -> bool:
+        """Whether keys may repeat in a comparison by key."""
+        return self.repeats == "pairs" and not self.trust_keys
+
     @property
     def rechecks(self) -> bool:
         return self.recheck or self.consistency == "snapshot"
