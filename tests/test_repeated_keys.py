@@ -61,3 +61,7 @@ def test_joindiff_pairs(spark):
 
 def test_filtered_diff(spark, repeated):
     check(spark, repeated, "filtered_diff")
+
+
+def test_incremental_diff(spark, repeated):
+    check(spark, repeated, "incremental_diff")
