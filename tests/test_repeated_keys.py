@@ -65,3 +65,8 @@ def test_filtered_diff(spark, repeated):
 
 def test_incremental_diff(spark, repeated):
     check(spark, repeated, "incremental_diff")
+
+
+def test_keyeddiff(spark, repeated):
+    assert all_pairs(spark, "keyeddiff") == WANT
+    check(spark, repeated, "keyeddiff_rows")

@@ -112,6 +112,18 @@ def joindiff(sides: Sides, options: DiffOptions) -> Outcome:
     return Outcome(_differences(sides, options), queries=2)
 
 
+def _unlike(sides: Sides, options: DiffOptions) -> DataFrame | None:
+    """(key) of keys that the left side holds with several contents, if keys may repeat and there are any.
+
+    Where both sides hold them alike, their sums are equal, yet each content differs from the other side's others. Any other
+    key with pairs that differ has unequal sums.
+    """
+    if not options.pairs:
+        return None
+    keys = settled(joins.keys_of_several_contents(sides.left, sides.lplan))
+    return None if keys.isEmpty() else keys
+
+
 def bucket_count(rows: int, threshold: int) -> int:
     return max(1, min(MAX_BUCKETS, -(-rows // threshold)))
 
@@ -153,7 +165,11 @@ def keyeddiff(sides: Sides, options: DiffOptions) -> Outcome:
     started = time.monotonic()
     differ = settled(checksum.differing(checksum.batch_checksum(sides.left, sides.lplan, n, by="key"), checksum.batch_checksum(sides.right, sides.rplan, n, by="key")))
     shards = [Shard(f"bucket-{b}", (b, b + 1), lc, rc, abs(lc - rc), "Diff") for b, lc, rc in sorted(differ.collect())]
-    ids = F.broadcast(differ.select("bkt"))
+    ids = differ.select("bkt")
+    if (unlike := _unlike(sides, options)) is not None:
+        rows = joins.of_keys(sides.left, sides.lplan, unlike, sides.lplan, few=_few(unlike))
+        ids = ids.unionByName(rows.select(sides.lplan.key_bucket(n).alias("bkt"))).distinct()
+    ids = F.broadcast(settled(ids))  # at most n
     some = [in_buckets(df, p.key_bucket(n), ids).drop("bkt") for df, p in ((sides.left, sides.lplan), (sides.right, sides.rplan))]
     part = Sides(*some, sides.lplan, sides.rplan)
     out = joindiff(part, options)
