@@ -70,3 +70,8 @@ def test_incremental_diff(spark, repeated):
 def test_keyeddiff(spark, repeated):
     assert all_pairs(spark, "keyeddiff") == WANT
     check(spark, repeated, "keyeddiff_rows")
+
+
+def test_hashdiff(spark, repeated):
+    assert all_pairs(spark, "hashdiff") == WANT
+    check(spark, repeated, "hashdiff_rows")

@@ -202,23 +202,30 @@ def hashdiff(sides: Sides, options: DiffOptions) -> Outcome:
     width = 1
     while -(-leaves.number // width) > options.threads * 8:
         width *= options.bisection_factor
+    marked = None
+    if (unlike := _unlike(sides, options)) is not None:
+        keys = [F.col("key").getField(k) for k in sides.lplan.key_names]
+        marked = settled(unlike.select(leaves.of(keys).alias("leaf")).distinct())
+    also = {r[0] for r in marked.select(F.expr(f"leaf div {width}")).distinct().collect()} if marked is not None else set()  # at most threads * 8
     nodes = sorted(tree.roll_up(sums, width).withColumn("differs", tree.unequal()).collect(), key=lambda r: r["node"])  # at most threads * 8
     durations = [1000 * (time.monotonic() - started)]
     totals = (sum(r["left_cnt"] for r in nodes), sum(r["right_cnt"] for r in nodes))
     shards = []
     for r in nodes:
-        if r["differs"]:
+        if r["differs"] or r["node"] in also:
             a, b = r["node"] * width, min((r["node"] + 1) * width, leaves.number)
             shards.append(Shard(f"leaves-[{a},{b})", (a, b), r["left_cnt"], r["right_cnt"], abs(r["left_cnt"] - r["right_cnt"]), "Diff"))
     if not shards:
         return Outcome(sides.no_diffs(), queries=3, durations=durations, totals=totals)
     open_ = sums.filter(tree.unequal()).select("leaf")
+    if marked is not None:
+        open_ = settled(open_.unionByName(marked).distinct())
 
     def compare(a: int, b: int) -> DataFrame:
         """The differences in leaves a to b - 1."""
         some = open_.filter(f"leaf >= {a} and leaf < {b}")
         parts = [tree.within(df, p, leaves, some, (a, b - 1)) for df, p in ((sides.left, sides.lplan), (sides.right, sides.rplan))]
-        return sides.contents(_differing_keys(Sides(*parts, sides.lplan, sides.rplan), options))
+        return _differences(Sides(*parts, sides.lplan, sides.rplan), options)
 
     if not options.checkpoint:
         return Outcome(compare(shards[0].key_range[0], shards[-1].key_range[1]), shards, [], 5, durations, totals)
@@ -226,7 +233,7 @@ def hashdiff(sides: Sides, options: DiffOptions) -> Outcome:
     plan = fingerprint(
         [options.left_source, options.right_source, options.left_name, options.right_name, [[str(r[c]) for c in columns] for r in nodes]],
         [[p.key_names, [(f.name, f.dataType.simpleString()) for f in p.columns], p.scale, p.exact, p.nested_json] for p in (sides.lplan, sides.rplan)],
-        [options.where, options.update_column, options.update_since, options.as_of, options.bisection_factor, options.bisection_threshold, width, leaves.points, leaves.parts],
+        [options.where, options.update_column, options.update_since, options.as_of, options.bisection_factor, options.bisection_threshold, width, leaves.points, leaves.parts, options.pairs],
     )
     shared = sides.spark.conf.get("spark.checkpoint.dir", None)
     book = Checkpoint(options.checkpoint, plan, f"{shared}/differences" if shared else None)
