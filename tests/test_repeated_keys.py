@@ -79,3 +79,8 @@ def test_hashdiff(spark, repeated):
 
 def test_checkpoint_resume(spark, repeated):
     check(spark, repeated, "checkpoint_resume")
+
+
+def test_iblt(spark, repeated):
+    assert all_pairs(spark, "iblt", "hashdiff") == WANT  # rows that repeat alike on one side only vanish in a sketch
+    check(spark, repeated, "iblt_decode")

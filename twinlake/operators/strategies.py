@@ -298,14 +298,20 @@ def ibltdiff(sides: Sides, options: DiffOptions) -> Outcome:
         name, kind = sides.lplan.key_names[0], sides.lplan.keys[0].dataType
         rows = sides.spark.createDataFrame(found, T.StructType([T.StructField("k", T.LongType()), T.StructField("status", T.StringType())]))
         rows = rows.select(F.struct(F.col("k").cast(kind).alias(name)).alias("key"), "status")
-        diffs = joins.with_contents(rows, sides.left, sides.right, sides.lplan, sides.rplan, few=len(found) <= FEW_KEYS, counted=True)
     else:
         rows = sides.spark.createDataFrame([(*k, status) for k, status in found], "h0 long, h1 long, status string")
-        diffs = joins.by_key_hash(rows, sides.left, sides.right, sides.lplan, sides.rplan)
-    diffs = settled(diffs)
-    if not options.trust_keys and not diffs.filter("left_n > 1 or right_n > 1").isEmpty():
-        raise RepeatedKeys("duplicate keys")
-    diffs = diffs.select("key", "left", "right", "status")
+        rows = joins.by_key_hash(rows, sides.left, sides.right, sides.lplan, sides.rplan)
+    if options.pairs:
+        keys = rows.select("key")
+        if (unlike := _unlike(Sides(l, r, sides.lplan, sides.rplan), options)) is not None:
+            keys = keys.unionByName(unlike)
+        diffs = sides.pairs(settled(keys.distinct()))
+    else:
+        diffs = joins.with_contents(rows, sides.left, sides.right, sides.lplan, sides.rplan, few=len(found) <= FEW_KEYS, counted=True) if plain else rows
+        diffs = settled(diffs)
+        if not options.trust_keys and not diffs.filter("left_n > 1 or right_n > 1").isEmpty():
+            raise RepeatedKeys("duplicate keys")
+        diffs = diffs.select("key", "left", "right", "status")
     if plain:
         diffs = _with_null_keys(sides, diffs, options)
     return Outcome(diffs, queries=queries, durations=[1000 * (time.monotonic() - started)], totals=sides.counts())
