@@ -88,3 +88,7 @@ def test_iblt(spark, repeated):
 
 def test_difference_estimate(spark, repeated):
     check(spark, repeated, "difference_estimate")
+
+
+def test_joindiff_contents(spark, repeated):
+    check(spark, repeated, "joindiff_contents")

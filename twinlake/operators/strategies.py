@@ -81,6 +81,10 @@ class Sides:
         """Rows of differences that are settled: few enough keys are sent to all tasks, others are joined by exchange."""
         return joins.with_contents(diffs, self.left, self.right, self.lplan, self.rplan, few=_few(diffs))
 
+    def all_contents(self, diffs: DataFrame) -> DataFrame:
+        """Differences that are settled, each with every row of its key."""
+        return joins.with_all_contents(diffs, self.left, self.right, self.lplan, self.rplan, few=_few(diffs))
+
     def pairs(self, keys: DataFrame) -> DataFrame:
         """The pairs of rows that differ, of keys that are settled."""
         return joins.pairs(keys, self.left, self.right, self.lplan, self.rplan, few=_few(keys))
