@@ -92,3 +92,7 @@ def test_difference_estimate(spark, repeated):
 
 def test_joindiff_contents(spark, repeated):
     check(spark, repeated, "joindiff_contents")
+
+
+def test_recheck_confirmed(spark, repeated):
+    check(spark, repeated, "recheck_confirmed")

@@ -60,14 +60,17 @@ def plan_sides(left: DataFrame, right: DataFrame, options: DiffOptions, declared
 
 
 def recheck(diffs: DataFrame, sides: Sides) -> DataFrame:
-    """diffs with ``confirmed``: whether a fresh read of both sides still shows the difference, for keys of any type."""
+    """diffs with ``confirmed``: whether a fresh read of both sides still shows a difference of the key, of any type.
+
+    Rows are told apart as when differences are found; a key that repeats is equal if no row of it differs from one of the other side.
+    """
     keys = diffs.select("key").distinct()
-    again = joins.with_contents(keys.withColumn("status", F.lit("")), sides.left, sides.right, sides.lplan, sides.rplan)
-    # equal or absent on both sides: the difference has gone
-    gone = F.col("left").eqNullSafe(F.col("right")) if sides.lplan.payload else F.col("left").isNull() == F.col("right").isNull()
-    verdict = again.groupBy("key").agg(F.max(gone.cast("int")).alias("gone"))
-    out = diffs.alias("d").join(verdict.alias("v"), F.expr("d.key <=> v.key"), "left")
-    return out.select("d.*", (F.coalesce("v.gone", F.lit(0)) == 0).alias("confirmed"))
+    some = (joins.of_keys(df, p, keys, sides.lplan) for df, p in ((sides.left, sides.lplan), (sides.right, sides.rplan)))
+    still = joins.unequal_keys(*some, sides.lplan, sides.rplan).select(F.col("key").alias("still"))
+    same = F.lit(True)
+    for k in sides.lplan.key_names:
+        same = same & F.col("key").getField(k).eqNullSafe(F.col("still").getField(k))
+    return diffs.join(still, same, "left").withColumn("confirmed", F.col("still").isNotNull()).drop("still")
 
 
 def diff(left: DataFrame | Reader, right: DataFrame | Reader, options: DiffOptions | None = None, *, declared_key: Sequence[str] = ()) -> DiffResult:
