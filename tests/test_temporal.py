@@ -127,3 +127,17 @@ def test_split_points_of_any_key(spark):
         low = df.select(range_of([F.col(n) for n in names], kinds, points).alias("r"), F.struct(*names).alias("k")).groupBy("r").agg(F.min("k").alias("a"), F.max("k").alias("b")).orderBy("r").collect()
         assert all(tuple(x.b) < tuple(y.a) for x, y in zip(low, low[1:]))
     assert split_points(df.limit(0), 16, ["s"]) == [] and split_points(df.selectExpr("1 as c"), 16) == []
+
+
+def test_full_bins_are_dealt_in_pieces(spark, monkeypatch):
+    from twinlake.operators import temporal
+
+    monkeypatch.setattr(temporal, "PIECE_ROWS", 16)
+    # points of one instant, many short intervals around it and few long ones
+    left = [(None, 5, 5, i) for i in range(100)]
+    right = [(None, 5 - i % 3, 5 + i % 4, i) for i in range(60)] + [(None, -1000, 1000 + i, 100 + i) for i in range(5)] + [(None, 6, 7, 200)]
+    l, r = (spark.createDataFrame(rows, "k int, a long, b long, i int") for rows in (left, right))
+    for x, y, one, two in ((l, r, left, right), (r, l, right, left)):
+        got = interval_join(x, y, left_interval=("a", "b"), right_interval=("a", "b"))
+        assert sorted((z.i, z.i_right) for z in got.collect()) == plain_pairs(one, two, True, False)
+        assert "lpiece" in got._jdf.queryExecution().toString()

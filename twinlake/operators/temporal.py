@@ -10,12 +10,15 @@ from pyspark.sql import types as T
 
 from twinlake.functions.canonical import identifier
 from twinlake.functions.ranges import range_of, split_points
+from twinlake.operators.lineage import settled
 from twinlake.plans.tableplan import is_integer
 
 #: Time shards of an as-of join at most: rows of one key in the step that carries matches over shards.
 MAX_SHARDS = 256
 #: Bins of an interval join are this power of two as wide from one level to the next.
 LEVEL_BITS = 3
+#: Rows of a side of a bin that meet in one task; a bin with more is dealt out in pieces.
+PIECE_ROWS = 8192
 
 
 def as_of_join(
@@ -111,10 +114,13 @@ def interval_join(
     ``closed`` intervals that touch overlap, half-open ones, [start, end), do not, and hold nothing if start = end. NULL bounds and
     intervals that end before they start match nothing. Right columns whose names clash get the suffix.
 
-    Bins are of several widths, each 2 ** LEVEL_BITS times the one below. An interval's own level is the lowest whose bins
-    are at least as long; there it is in two bins at most, and so it is in every level above. Two intervals meet on the higher of
-    their own levels, in the bin of the later start, so no pair comes twice; very long intervals need no more bins than
-    short ones. What meets in a bin is rechecked exactly. Only levels that occur are used (at most 22).
+    Bins are of several widths, each 2 ** LEVEL_BITS times the one below. An interval's own level is the lowest where it is
+    less than 2 ** LEVEL_BITS bins long, so most of what meets it there overlaps it; on levels above it is in two bins at most. Two intervals meet on
+    the higher of their own levels, in the bin of the later start, so no pair comes twice, and only if that level is the own one of at least one of
+    them; very long intervals need no more bins than short ones. What meets in a bin is rechecked exactly. Only levels that occur are used
+    (at most 21). Bins with more than PIECE_ROWS rows of a side are counted first and dealt out: pieces of one side by pieces of the other, each
+    pair in a place of its own, so neither work nor memory of a task grows with a bin (rows that are copies of each other in all
+    columns stay in one piece). The number of pairs is the result's and can be quadratic.
     """
     taken = set(left.columns)
 
@@ -123,21 +129,43 @@ def interval_join(
         row = F.struct(*(identifier(c) for c in df.columns)).alias(side)
         keys = [identifier(pair[0 if side == "l" else 1]).alias(f"k{i}") for i, pair in enumerate(on)]
         rows = df.select(*keys, start.alias(f"{side}s"), (end if closed else end - 1).alias(f"{side}e"), row).filter(f"{side}s <= {side}e")
-        # the number of levels whose bins are shorter than the interval
+        # the number of levels but the first on which an interval of 2 ** LEVEL_BITS bins would not be longer
         length = f"coalesce(try_subtract({side}e, {side}s), {(1 << 63) - 1}L)"
-        return rows.withColumn("own", F.expr(" + ".join(f"cast({length} >= {1 << LEVEL_BITS * k}L as int)" for k in range(-(-63 // LEVEL_BITS)))))
+        return rows.withColumn("own", F.expr(" + ".join(f"cast({length} >= {1 << LEVEL_BITS * k}L as int)" for k in range(1, -(-63 // LEVEL_BITS)))))
 
     l, r = part(left, left_interval, "l"), part(right, right_interval, "r")
-    levels = sorted(row[0] for row in l.select("own").unionByName(r.select("own")).distinct().collect())  # at most 22
+    found = l.select("own", F.lit("l").alias("side")).unionByName(r.select("own", F.lit("r").alias("side"))).distinct().collect()  # at most 2 * 21
+    levels = {side: sorted(x["own"] for x in found if x["side"] == side) for side in "lr"}
+    cell = ["level", "who", "bin", *(f"k{i}" for i in range(len(on)))]
 
     def dealt(rows: DataFrame, side: str) -> DataFrame:
-        above = F.explode(F.filter(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>"), lambda x: x >= F.col("own")))
-        rows = rows.withColumn("level", above).withColumn(f"{side}home", F.expr("own = level"))
-        rows = rows.withColumn("shift", F.col("level") * LEVEL_BITS)
+        """rows once in each bin and role: ``who`` is on its own level there, both sides (b) or one of them."""
+        other = "r" if side == "l" else "l"
+        own = F.col("own")
+        at = lambda level, who: F.struct(level.cast("int").alias("level"), F.lit(who).alias("who"))
+        places = [F.when(own == k, F.array(at(own, "b"))) for k in levels[other]]
+        places += [F.when(own > k, F.array(at(own, side))) for k in levels[other][:1]]
+        places += [F.when(own < k, F.array(at(F.lit(k), other))) for k in levels[other]]
+        rows = rows.withColumn("at", F.explode(F.flatten(F.array_compact(F.array(*places))))) if places else rows.limit(0).withColumn("at", at(own, "b"))
+        rows = rows.select("*", "at.level", "at.who", (F.col("at.level") * LEVEL_BITS).alias("shift")).drop("at", "own")
         first, last = F.expr(f"shiftright({side}s, shift)"), F.expr(f"shiftright({side}e, shift)")
-        return rows.withColumn("bin", F.explode(F.when(first == last, F.array(first)).otherwise(F.array(first, last)))).drop("own")
+        return rows.withColumn("bin", F.explode(F.sequence(first, last)))
 
     a, b = dealt(l, "l"), dealt(r, "r").drop("shift")
-    met = a.join(b, ["level", "bin", *(f"k{i}" for i in range(len(on)))])
-    met = met.filter("(lhome or rhome) and ls <= re and rs <= le and bin = shiftright(greatest(ls, rs), shift)")
+    large = [x.groupBy(*cell).agg(F.count("*").alias("n")).filter(F.col("n") > PIECE_ROWS).select(*cell, F.expr(f"(n + {PIECE_ROWS - 1}) div {PIECE_ROWS}").alias(n)) for x, n in ((a, "ln"), (b, "rn"))]
+    pieces = settled(large[0].join(large[1], cell, "full_outer"))  # less than one a PIECE_ROWS rows
+    if not pieces.isEmpty():
+        pieces = F.broadcast(pieces)
+
+        def piece(rows: DataFrame, mine: str, other: str, row: str) -> DataFrame:
+            """rows in one piece of their own side each, before all pieces of the other side."""
+            rows = rows.join(pieces, cell, "left")
+            own = F.pmod(F.xxhash64(row), F.coalesce(f"{mine}n", F.lit(1)))
+            all_ = F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce(f"{other}n", F.lit(1)) - 1))
+            return rows.withColumn(f"{mine}piece", own).withColumn(f"{other}piece", all_).drop("ln", "rn")
+
+        a, b = piece(a, "l", "r", "l"), piece(b, "r", "l", "r")
+        cell = [*cell, "lpiece", "rpiece"]
+    # a small side is not broadcast: the other may be in few partitions, which would then make all pairs
+    met = a.join(b.hint("merge"), cell).filter("ls <= re and rs <= le and bin = shiftright(greatest(ls, rs), shift)")
     return met.select("l.*", *(F.col("r").getField(c).alias(c + suffix if c in taken else c) for c in right.columns))
