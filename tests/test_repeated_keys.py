@@ -2,9 +2,11 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from twinlake import workload
 from twinlake.diff import DiffOptions, diff
+from twinlake.operators import strategies
 
 COPIES = 8  # of 150,000 keys each: the right side's added keys, 1,000,000 later, are keys already
 
@@ -96,3 +98,31 @@ def test_joindiff_contents(spark, repeated):
 
 def test_recheck_confirmed(spark, repeated):
     check(spark, repeated, "recheck_confirmed")
+
+
+def test_one_leaf_tells_that_keys_repeat(spark, monkeypatch):
+    def all_keys(*_):
+        raise AssertionError("all keys were exchanged first")
+
+    monkeypatch.setattr(strategies, "_differing_keys", all_keys)
+    l = spark.range(400).selectExpr("id div 2 % 50 a", "id div 100 b", "id % 7 v")
+    result = diff(l, l.filter("v <> 3"), DiffOptions(strategy="hashdiff", any_key=True, bisection_threshold=16), declared_key=["a", "b"])
+    assert result.report.strategy == "bucketdiff" and result.report.summary.missing_right == result.diffs.count() > 0
+    assert not any("h0" in str(x) for x in spark.sparkContext._jsc.getPersistentRDDs().values())  # hashes are given up
+    result.close()
+
+
+def test_registered_comparisons_are_not_cancelled(spark, monkeypatch):
+    limits = []
+    monkeypatch.setattr(workload, "diff", lambda l, r, options, **more: limits.append(options.statement_timeout) or diff(l, r, options, **more))
+    for name in ("declared_duplicate_diff", "keyed_string_diff"):
+        workload.queries()[name](spark, "/root/testdata/sf0.001")
+    assert limits == [None, None]
+
+
+def test_ranges_of_composite_keys_with_nulls(spark):
+    l = spark.range(600).selectExpr("if(id % 3 = 0, null, id % 5) a", "id b", "id v")
+    r = l.withColumn("v", F.expr("if(b % 97 = 6, -1, v)"))
+    result = diff(l, r, DiffOptions(strategy="hashdiff", any_key=True, bisection_threshold=8), declared_key=["a", "b"])
+    assert sorted(x.key.b for x in result.diffs.collect()) == [6, 103, 200, 297, 394, 491, 588]
+    result.close()

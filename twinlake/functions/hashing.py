@@ -34,6 +34,16 @@ def half(h: Column, i: int) -> Column:
     return F.conv(F.substring(h, 16 * i + 1, 16), 16, -10).cast("bigint")
 
 
+def whole(h0: Column, h1: Column) -> Column:
+    """The hash whose halves these are."""
+    return F.lower(F.concat(F.lpad(F.hex(h0), 16, "0"), F.lpad(F.hex(h1), 16, "0")))
+
+
+def slices_of_halves(h0: Column, h1: Column) -> list[Column]:
+    """All four slices of a hash, from its halves."""
+    return [x for h in (h0, h1) for x in (F.shiftrightunsigned(h, 32), h.bitwiseAND(F.lit(0xFFFFFFFF)))]
+
+
 def bucket(h: Column, n: int) -> Column:
     return hash_slice(h, 0) % F.lit(n)
 

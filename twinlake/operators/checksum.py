@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinlake.functions.canonical import identifier
-from twinlake.functions.hashing import bucket, hash_slice, sum_modulo
+from twinlake.functions.hashing import bucket, hash_slice, slices_of_halves, sum_modulo
 from twinlake.operators.filters import key_range
 from twinlake.plans.tableplan import TablePlan
 
@@ -50,6 +50,12 @@ def bucket_sums(rows: DataFrame) -> DataFrame:
     return rows.groupBy("bkt").agg(*_aggregates())
 
 
+def half_sums(rows: DataFrame) -> DataFrame:
+    """bucket_sums of rows (h0, h1, bkt) that hold their hashes as halves."""
+    slices = slices_of_halves(F.col("h0"), F.col("h1"))
+    return rows.groupBy("bkt").agg(F.count("*").alias("cnt"), *(sum_modulo(x).alias(s) for x, s in zip(slices, SUMS)))
+
+
 def differing(left: DataFrame, right: DataFrame, on: str = "bkt") -> DataFrame:
     """(on, left_cnt, right_cnt) where the two sides' checksums differ; an absent group counts as zeros."""
     both = left.withColumn("side", F.lit(1)).unionByName(right.withColumn("side", F.lit(-1)))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from twinlake.functions.canonical import identifier
-from twinlake.functions.hashing import bucket, hash_slice, sum_modulo
+from twinlake.functions.hashing import half, hash_slice, sum_modulo
 from twinlake.operators import checksum, joins, sketch, tree
 from twinlake.operators.filters import in_buckets
 from twinlake.operators.lineage import settled
@@ -133,22 +133,25 @@ def bucket_count(rows: int, threshold: int) -> int:
 
 
 def bucketdiff(sides: Sides, options: DiffOptions) -> Outcome:
-    """Contents as multisets. Each row is hashed once; checksums by content bucket, with as many buckets as the rows call for,
+    """Contents as multisets. Each row is hashed once and its hash kept as two halves until the differences are settled; checksums by content bucket, with as many buckets as the rows call for,
     leave only rows of buckets that differ to a count of each content, unless most rows are in such buckets.
     """
     totals = sides.counts()
     started = time.monotonic()
     n = max(1, min(MOST_CONTENT_BUCKETS, -(-max(totals) // options.bisection_threshold)))
-    hashed = [df.select(p.content_hash().alias("h")).withColumn("bkt", bucket(F.col("h"), n)).persist(StorageLevel.MEMORY_AND_DISK) for df, p in ((sides.left, sides.lplan), (sides.right, sides.rplan))]
-    differ = settled(checksum.differing(*(checksum.bucket_sums(rows) for rows in hashed)))
+    kept = [df.select(p.content_hash().alias("h")).select(*(half(F.col("h"), i).alias(f"h{i}") for i in (0, 1))).persist(StorageLevel.MEMORY_AND_DISK) for df, p in ((sides.left, sides.lplan), (sides.right, sides.rplan))]
+    hashed = [rows.withColumn("bkt", F.shiftrightunsigned("h0", 32) % n) for rows in kept]
+    differ = settled(checksum.differing(*(checksum.half_sums(rows) for rows in hashed)))
     shards = [Shard(f"bucket-{b}", (b, b + 1), lc, rc, abs(lc - rc), "Diff") for b, lc, rc in differ.orderBy("bkt").limit(MAX_BUCKETS).collect()]
     inside = differ.agg(F.coalesce(F.sum(F.col("left_cnt") + F.col("right_cnt")), F.lit(0))).first()[0]
     if inside * 2 < sum(totals):
         hashed_some = [rows.join(differ.select("bkt"), "bkt", "left_semi") for rows in hashed]  # AQE broadcasts few buckets
     else:
         hashed_some = hashed
-    diffs = settled(joins.unequal_counts(*(rows.select("h") for rows in hashed_some)))
-    return Outcome(joins.keyless_rows(diffs), shards, queries=4, durations=[1000 * (time.monotonic() - started)], totals=totals, held=hashed)
+    diffs = settled(joins.unequal_halves(*hashed_some))
+    for rows in kept:
+        rows.unpersist()
+    return Outcome(joins.keyless_rows(diffs), shards, queries=4, durations=[1000 * (time.monotonic() - started)], totals=totals)
 
 
 def keyeddiff(sides: Sides, options: DiffOptions) -> Outcome:
@@ -225,6 +228,12 @@ def hashdiff(sides: Sides, options: DiffOptions) -> Outcome:
     if marked is not None:
         open_ = settled(open_.unionByName(marked).distinct())
 
+    if not options.pairs and not options.trust_keys:  # where keys repeat often, one leaf tells so before all are compared
+        first = sums.filter(tree.unequal()).agg(F.min("leaf")).first()[0]
+        parts = [tree.within(df, p, leaves, open_.filter(F.col("leaf") == first), (first, first)) for df, p in ((sides.left, sides.lplan), (sides.right, sides.rplan))]
+        if not joins.keyed_states(*parts, sides.lplan, sides.rplan).filter("left_n > 1 or right_n > 1").isEmpty():
+            raise RepeatedKeys("duplicate keys")
+
     def compare(a: int, b: int) -> DataFrame:
         """The differences in leaves a to b - 1."""
         some = open_.filter(f"leaf >= {a} and leaf < {b}")

@@ -119,11 +119,16 @@ def unequal() -> Column:
 
 def within(df: DataFrame, plan: TablePlan, leaves: Leaves, open_: DataFrame, span: tuple[int, int] | None = None) -> DataFrame:
     """The rows of leaves in ``open_`` (one column, leaf). span: first and last leaf, a range that scans can be pruned by."""
-    if span is not None and len(plan.key_names) == 1:
+    if span is not None:  # by the first column of the key
         (low, high), k = leaves.bounds(*span), identifier(plan.key_names[0])
-        if low is not None and low[0] is not None:
+        nulls = low is None or low[0] is None
+        if not nulls:
             df = df.filter(k >= F.lit(low[0]).cast(leaves.kinds[0]))
-        if high is not None:
-            df = df.filter((k < F.lit(high[0]).cast(leaves.kinds[0])) | k.isNull() if low is None else k < F.lit(high[0]).cast(leaves.kinds[0]))
+        if high is not None and high[0] is None:
+            df = df.filter(k.isNull())
+        elif high is not None:
+            bound = F.lit(high[0]).cast(leaves.kinds[0])
+            below = k < bound if len(plan.key_names) == 1 else k <= bound
+            df = df.filter(below | k.isNull() if nulls else below)
     leaf = leaves.of([identifier(k) for k in plan.key_names])
     return df.withColumn("_leaf", leaf).join(open_.select(F.col("leaf").alias("_leaf")), "_leaf", "left_semi").drop("_leaf")
